@@ -36,3 +36,19 @@ def partitions(spark: SparkSession) -> int:
 def rename_clash(df: DataFrame, keep: list[str]) -> DataFrame:
     """Only the columns an operator reads, whatever else the table holds."""
     return df.select(*[F.col(c) for c in keep])
+
+
+#: An internal document key: doc_id, with the least long for null, so that joins keep such rows.
+KEY = "__key"
+NO_ID = -(2**63)
+
+
+def keyed(documents: DataFrame, *columns: str) -> DataFrame:
+    """KEY and the columns named; every other column is left out, so none can clash."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(KEY)
+    return documents.select(key, *columns)
+
+
+def group_count(documents: DataFrame, rows: int) -> int:
+    """How many hash ranges keep each one's share of the table in a task's memory: it follows the table."""
+    return max(partitions(documents.sparkSession), documents.count() // rows + 1)

@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm import bpe_tree, decontaminate, licenses, media, sql
+from strandflow.llm import bpe_tree, decontaminate, licenses, media, sql, substring_dedup
 from strandflow.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -30,8 +34,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe_tree, op5_media_columns, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op2_substring_dedup, op4_bpe_tree, op5_media_columns, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": sql.OP9, "op10_license_scan": licenses.oracle()}
+    return {"op2_substring_dedup": sql.OP2, "op9_decontamination": sql.OP9, "op10_license_scan": licenses.oracle()}
