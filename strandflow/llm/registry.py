@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm import bpe_tree, decontaminate, licenses, media, sql, substring_dedup
+from strandflow.llm import bpe_tree, decontaminate, licenses, line_dedup, media, sql, substring_dedup
 from strandflow.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +25,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,8 +38,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_bpe_tree, op5_media_columns, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op2_substring_dedup, op4_bpe_tree, op5_media_columns, op6_line_dedup, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": sql.OP2, "op9_decontamination": sql.OP9, "op10_license_scan": licenses.oracle()}
+    return {"op2_substring_dedup": sql.OP2, "op6_line_dedup": sql.OP6, "op9_decontamination": sql.OP9, "op10_license_scan": licenses.oracle()}
