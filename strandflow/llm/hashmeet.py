@@ -51,9 +51,8 @@ def by_owner(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pack(hashes: np.ndarray, docs: np.ndarray, buckets: int, counts_only: bool) -> Iterator[tuple]:
-    """hashes and docs: entries in order of document, each document whole."""
     bucket, tokens = token_of(hashes, buckets)
-    order = np.argsort(tokens, kind="stable")
+    order = np.lexsort((docs, tokens)) if (docs[1:] < docs[:-1]).any() else np.argsort(tokens, kind="stable")
     tokens, docs = tokens[order], docs[order]
     if not len(tokens):
         return
@@ -107,11 +106,15 @@ def _meet(table: pa.Table, counts_only: bool) -> pa.Table:
         docs, owned = (np.concatenate([o[i] for o in owners]) for i in (0, 1))
         order = np.argsort(tokens, kind="stable")
         tokens, docs, owned = tokens[order], docs[order], owned[order]
-        same = tokens[1:] == tokens[:-1]
-        met = np.zeros(len(tokens), bool)
-        met[1:] |= same
-        met[:-1] |= same
-        met &= owned
+        begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        size = np.diff(np.append(begin, len(tokens)))
+        least, most = np.minimum.reduceat(docs, begin), np.maximum.reduceat(docs, begin)
+        met = np.repeat((least != most) | ~np.logical_and.reduceat(owned, begin), size) & owned
+        if (size > 1).any():  # an owner may have sent a token more than once
+            again = np.lexsort((docs, tokens))
+            dup = np.zeros(len(tokens), bool)
+            dup[again[1:]] = (tokens[again[1:]] == tokens[again[:-1]]) & (docs[again[1:]] == docs[again[:-1]]) & owned[again[:-1]]
+            met &= ~dup
         o, who, n = by_owner(docs[met])
         add(tokens[met][o], who, n)
     docs = np.concatenate(out_docs) if out_docs else np.zeros(0, np.int64)
@@ -121,13 +124,24 @@ def _meet(table: pa.Table, counts_only: bool) -> pa.Table:
     return pa.table(columns, names=names) if counts_only else pa.table([*columns, pa.array(out_tokens, pa.binary())], names=[*names, "tokens"])
 
 
-def shared(documents: DataFrame, extract: Callable, buckets: int, counts_only: bool) -> DataFrame:
-    """Rows of KEY with some of the document's shared hashes (`tokens`) and their number (`n_shared`).
+def text_hashes(extract: Callable) -> Callable:
+    """Entries from KEY and text: extract(bytes, offsets) gives hashes and each one's text, in order of text."""
 
-    `documents` has KEY and text; extract(bytes, offsets) gives the hashes of a chunk of texts and
-    each one's text, in order of text. A document may come in several rows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch, buf, offsets in chunks(batches):
+            hashes, doc = extract(buf, offsets)
+            yield hashes, ids_of(batch, KEY)[doc]
+
+    return run
+
+
+def shared(entries: DataFrame, extract: Callable, buckets: int, counts_only: bool) -> DataFrame:
+    """Rows of KEY with some of the owner's hashes that others have too (`tokens`), and their number (`n_shared`).
+
+    extract(batches) gives hashes and their owners. An owner may come in several rows; where its
+    hashes come in one task's stretch, no hash is counted twice.
     """
-    small_batches(documents.sparkSession)
+    small_batches(entries.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -138,9 +152,8 @@ def shared(documents: DataFrame, extract: Callable, buckets: int, counts_only: b
             rows = list(_pack(hashes, docs, buckets, counts_only))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, _KINDS, strict=True)], names=_NAMES)
 
-        for batch, buf, offsets in chunks(batches):
-            hashes, doc = extract(buf, offsets)
-            held.append((hashes, ids_of(batch, KEY)[doc]))
+        for hashes, docs in extract(batches):
+            held.append((hashes, docs))
             size += len(hashes)
             if size >= FLUSH:
                 yield flush()
@@ -149,4 +162,4 @@ def shared(documents: DataFrame, extract: Callable, buckets: int, counts_only: b
             yield flush()
 
     kind = f"{KEY} long, n_shared long" + ("" if counts_only else ", tokens binary")
-    return documents.select(KEY, "text").mapInArrow(run, _SCHEMA).groupBy("bucket").applyInArrow(lambda t: _meet(t, counts_only), kind)
+    return entries.mapInArrow(run, _SCHEMA).groupBy("bucket").applyInArrow(lambda t: _meet(t, counts_only), kind)

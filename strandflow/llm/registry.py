@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm import bpe_tree, decontaminate, licenses, line_dedup, media, sql, substring_dedup
+from strandflow.llm import bpe_tree, decontaminate, licenses, line_dedup, media, ngram_jaccard, sql, substring_dedup
 from strandflow.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -38,8 +42,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_bpe_tree, op5_media_columns, op6_line_dedup, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op4_bpe_tree, op5_media_columns, op6_line_dedup, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": sql.OP2, "op6_line_dedup": sql.OP6, "op9_decontamination": sql.OP9, "op10_license_scan": licenses.oracle()}
+    return {"op1_ngram_jaccard": sql.OP1, "op2_substring_dedup": sql.OP2, "op6_line_dedup": sql.OP6, "op9_decontamination": sql.OP9, "op10_license_scan": licenses.oracle()}

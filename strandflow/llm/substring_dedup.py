@@ -149,7 +149,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     small_batches(documents.sparkSession)
     buckets = group_count(documents, DOCS_A_RANGE)
     texts = keyed(documents, "text")
-    anchors = hashmeet.shared(texts, _extract, buckets, counts_only=False)
+    anchors = hashmeet.shared(texts, hashmeet.text_hashes(_extract), buckets, counts_only=False)
     anchors = anchors.groupBy(KEY).agg(F.collect_list("tokens").alias("tokens"))
     windows = texts.join(anchors.hint("shuffle_hash"), KEY).mapInArrow(_candidates(buckets), _SCHEMA)
     return windows.groupBy("bucket").applyInArrow(_least, f"{KEY} long, spans binary").groupBy(KEY).agg(F.collect_list("spans").alias("spans"))
