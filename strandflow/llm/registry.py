@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm import bpe_tree, decontaminate, licenses, line_dedup, media, ngram_jaccard, sql, substring_dedup
+from strandflow.llm import bpe_tree, decontaminate, licenses, line_dedup, media, ngram_jaccard, quality, sql, substring_dedup
 from strandflow.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -33,6 +33,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,7 +46,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op4_bpe_tree, op5_media_columns, op6_line_dedup, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op4_bpe_tree, op5_media_columns, op6_line_dedup, op8_quality, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
