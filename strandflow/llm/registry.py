@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm import bpe_tree, decontaminate, licenses, line_dedup, media, ngram_jaccard, quality, sql, substring_dedup
+from strandflow.llm import bpe_tree, decontaminate, html_text, licenses, line_dedup, media, ngram_jaccard, quality, sql, substring_dedup
 from strandflow.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -21,6 +21,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.texts(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -46,7 +50,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op4_bpe_tree, op5_media_columns, op6_line_dedup, op8_quality, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_html_text, op4_bpe_tree, op5_media_columns, op6_line_dedup, op8_quality, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
