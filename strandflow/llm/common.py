@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,8 @@ def keyed(documents: DataFrame, *columns: str) -> DataFrame:
 def group_count(documents: DataFrame, rows: int) -> int:
     """How many hash ranges keep each one's share of the table in a task's memory: it follows the table."""
     return max(partitions(documents.sparkSession), documents.count() // rows + 1)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder that spark.checkpoint.dir names (a local one if unset)."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"

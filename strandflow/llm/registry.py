@@ -7,10 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm import bpe_tree, decontaminate, html_text, licenses, line_dedup, media, ngram_jaccard, quality, sql, substring_dedup
+from strandflow.llm import bpe_tree, decontaminate, html_text, licenses, line_dedup, media, ngram_jaccard, quality, sql, substring_dedup, token_blocks
 from strandflow.llm.common import table
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_html_text, op4_bpe_tree, op5_media_columns, op6_line_dedup, op8_quality, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_html_text, op4_bpe_tree, op5_media_columns, op6_line_dedup, op7_token_blocks, op8_quality, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
