@@ -1,17 +1,482 @@
-"""The registered queries of the library's own operators."""
+"""The registered queries of the library's own operators, with their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandflow.functions import cigar, flags, sequence
+from strandflow.operators import count, intervals, mates, scan, sequences, sorting, tabtext, variants
+from strandflow.operators.pileup import multi_file_depth, pileup, quality_depth
+from strandflow.operators.views import Views
+from strandflow.plans import testviews as tv
+from strandflow.specs import MultiPileupSpec, PileupSpec, ScanSpec, VariantSpec
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+ALN, RANGES, CONTIGS, PAIRED = (tv.in_oracle(s) for s in (tv.ALIGNMENTS, tv.RANGES, tv.CONTIGS, tv.PAIRED))
+SEQ = tv.in_oracle(tv.SEQUENCES, letters="regexp_replace(text, '[^ACGTNacgtn]', '', 'g')")
+WITH = f"WITH aln AS ({ALN}), ranges AS ({RANGES}), contigs AS ({CONTIGS})"
+_SUM = "coalesce(list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[{}]', 1), lambda x: CAST(x AS INT))), 0)"
+REF_W, QUERY_W = _SUM.format("MDN=X"), _SUM.format("MIS=X")
+#: Placed rows with their last position, and rows with the ranges they overlap.
+PLACED = f"placed AS (SELECT *, pos + greatest(CASE WHEN cigar IS NULL THEN 1 ELSE {REF_W} END, 1) - 1 AS stop FROM aln WHERE rname IS NOT NULL)"
+MET = 'met AS (SELECT placed.*, range_id, "start" AS r_start, "end" AS r_end FROM placed JOIN ranges ON rname = contig AND pos <= "end" AND stop >= "start")'
+LABEL = "contig || ':' || CAST(\"start\" AS STRING) || '-' || CAST(\"end\" AS STRING)"
+
+
+def _register(oracle: str | None = None):
+    def add(f):
+        name = f.__name__.lstrip("_")
+        _QUERIES[name] = f
+        if oracle:
+            _ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+# --- counts and scans
+
+COUNTED = f"""{WITH}, {PLACED}, {MET},
+hits AS (SELECT range_id, count(*) AS records, sum(length(seq)) AS nucleotides FROM met {{where}} GROUP BY range_id)
+SELECT range_id, contig AS space, "start", "end", "end" - "start" + 1 AS width, CAST(coalesce(records, 0) AS BIGINT) AS records, CAST(coalesce(nucleotides, 0) AS BIGINT) AS nucleotides
+FROM ranges LEFT JOIN hits USING (range_id)"""
+
+
+@_register(COUNTED.format(where="WHERE flag & 4 = 0 AND flag & 1024 = 0 AND mapq >= 10"))
+def count_ranges(spark, d):
+    spec = ScanSpec(flag=flags.flag_filter(isUnmappedQuery=False, isDuplicate=False), mapq=10)
+    return count.count_ranges(tv.alignments(spark, d), tv.ranges(spark, d), spec)
+
+
+@_register(f"{WITH} SELECT file, count(*) AS records, CAST(sum(length(seq)) AS BIGINT) AS nucleotides FROM aln GROUP BY file")
+def count_whole_file(spark, d):
+    return count.count_file(tv.alignments(spark, d), by=("file",))
+
+
+@_register(f"{WITH} SELECT qname, flag FROM aln WHERE flag & 1 = 1 AND flag & 16 = 16 AND flag & 256 = 0 AND flag & 1024 = 0")
+def scan_flag_filter(spark, d):
+    keep = flags.flag_filter(isPaired=True, isMinusStrand=True, isSecondaryAlignment=False, isDuplicate=False)
+    return scan.scan(tv.alignments(spark, d), ScanSpec(what=("qname", "flag"), flag=keep))
+
+
+@_register(f"{WITH} SELECT qname, CASE WHEN flag & 4 = 0 THEN mapq END AS mapq FROM aln WHERE mapq >= 30")
+def scan_mapq_filter(spark, d):
+    return scan.scan(tv.alignments(spark, d), ScanSpec(what=("qname", "mapq"), mapq=30))
+
+
+@_register(f"""{WITH} SELECT qname, flag, rname, CASE WHEN flag & 4 = 0 THEN CASE WHEN flag & 16 = 0 THEN '+' ELSE '-' END END AS strand, CASE WHEN flag & 4 = 0 AND rname IS NOT NULL THEN pos END AS pos,
+CASE WHEN flag & 4 = 0 AND cigar IS NOT NULL THEN CAST({QUERY_W} AS INT) END AS qwidth, CASE WHEN flag & 4 = 0 THEN mapq END AS mapq, CASE WHEN flag & 4 = 0 AND rname IS NOT NULL THEN cigar END AS cigar,
+mrnm, CASE WHEN flag & 8 = 0 THEN mpos END AS mpos, CASE WHEN flag & 12 = 0 THEN isize END AS isize, seq, qual, CAST(nm AS STRING) AS "NM", rg AS "RG" FROM aln""")
+def scan_projection_null_rules(spark, d):
+    return scan.scan(tv.alignments(spark, d), ScanSpec(tags=("NM", "RG")))
+
+
+@_register(f"""{WITH}, {PLACED}, {MET} SELECT range_id, contig || ':' || CAST(r_start AS STRING) || '-' || CAST(r_end AS STRING) AS which_label, qname, CASE WHEN flag & 4 = 0 THEN pos END AS pos
+FROM (SELECT met.*, 'chr' || CAST(range_id % 6 AS STRING) AS contig FROM met)""")
+def scan_ranges_labelled(spark, d):
+    return scan.scan(tv.alignments(spark, d), ScanSpec(what=("qname", "pos")), tv.ranges(spark, d))
+
+
+_BITS = ", ".join(f'CAST((flag & {1 << i}) <> 0 AS INT) AS "{n}"' for i, n in enumerate(flags.FLAG_BITNAMES))
+
+
+@_register(f"{WITH} SELECT qname, flag, {_BITS} FROM aln")
+def flag_bit_matrix(spark, d):
+    return tv.alignments(spark, d).select("qname", "flag", *flags.bit_matrix(F.col("flag")))
+
+
+@_register(f"{WITH} SELECT qname, flag & mapq AS both FROM aln")
+def flag_and(spark, d):
+    return tv.alignments(spark, d).select("qname", flags.flag_and(F.col("flag"), F.col("mapq")).alias("both"))
+
+
+@_register(f"{WITH} SELECT (flag & 256) <> 0 AS secondary, count(*) AS n FROM aln GROUP BY 1")
+def flag_test(spark, d):
+    return tv.alignments(spark, d).groupBy(flags.flag_test(F.col("flag"), "isSecondaryAlignment").alias("secondary")).agg(F.count("*").alias("n"))
+
+
+@_register(f"{WITH} SELECT qname, CAST(nm AS STRING) AS \"NM\", rg AS \"RG\" FROM aln WHERE nm IN (1, 3) AND rg IN ('rg0', 'rg2')")
+def tag_filter(spark, d):
+    return scan.scan(tv.alignments(spark, d), ScanSpec(what=("qname",), tags=("NM", "RG"), tag_filter={"NM": [1, 3], "RG": ["rg0", "rg2"]}))
+
+
+@_register(f"{WITH} SELECT qname, flag FROM aln WHERE cigar IS NULL OR cigar = '10M'")
+def simple_cigar(spark, d):
+    return scan.scan(tv.alignments(spark, d), ScanSpec(what=("qname", "flag"), simple_cigar=True))
+
+
+@_register(f"{WITH} SELECT qname, cigar, CASE WHEN cigar IS NOT NULL THEN CAST({QUERY_W} AS INT) END AS query_width, CASE WHEN cigar IS NOT NULL THEN CAST({REF_W} AS INT) END AS reference_width FROM aln")
+def cigar_widths(spark, d):
+    c = F.col("cigar")
+    return tv.alignments(spark, d).select("qname", "cigar", cigar.query_width(c).alias("query_width"), cigar.reference_width(c).alias("reference_width"))
+
+
+@_register(f"""{WITH}, n AS (SELECT coalesce(rname, '*') AS seqnames, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 4 <> 0) AS unmapped FROM aln GROUP BY 1)
+SELECT seqnames, seqlength, CAST(coalesce(mapped, 0) AS BIGINT) AS mapped, CAST(coalesce(unmapped, 0) AS BIGINT) AS unmapped
+FROM (SELECT name AS seqnames, length AS seqlength FROM contigs UNION ALL SELECT '*', 0) LEFT JOIN n USING (seqnames)""")
+def contig_stats(spark, d):
+    return count.contig_stats(tv.alignments(spark, d), tv.contigs(spark, d))
+
+
+@_register(f"{WITH} SELECT bool_or(flag & 1 = 1) AS paired FROM aln")
+def paired_any(spark, d):
+    return count.any_paired(tv.alignments(spark, d))
+
+
+_GROUP_ROWS = "UNION ALL ".join(
+    f"SELECT qname, flag, '{g}' AS g FROM aln WHERE {t} "
+    for g, t in {"A": "true", "S": "flag & 1 = 0", "M": "flag & 1 = 1", "F": "flag & 193 = 65", "L": "flag & 193 = 129", "O": "flag & 1 = 1 AND flag & 192 IN (0, 192)"}.items()
+)
+_SUMMED = """SELECT k.grp, CAST(coalesce(sum(n), 0) AS BIGINT) AS records, count(n) AS names, round(sum(n) / nullif(count(n), 0), 6) AS mean_per_name, CAST(coalesce(max(n), 0) AS BIGINT) AS most_per_name
+FROM k LEFT JOIN (SELECT grp, qname, count(*) AS n FROM rows_ GROUP BY grp, qname) c ON c.grp = k.grp GROUP BY k.grp"""
+
+
+@_register(f"{WITH}, g AS ({_GROUP_ROWS}), rows_ AS (SELECT g AS grp, qname FROM g), k AS (SELECT unnest(['A', 'S', 'M', 'F', 'L', 'O']) AS grp) {_SUMMED}")
+def flag_summary_groups(spark, d):
+    return count.flag_summary(tv.alignments(spark, d))
+
+
+@_register(f"""{WITH}, g AS ({_GROUP_ROWS}), rows_ AS (SELECT g || '1' AS grp, qname FROM g WHERE flag & 4 = 0 UNION ALL SELECT g || '2', qname FROM g WHERE flag & 260 = 0
+UNION ALL SELECT g || '3', qname FROM g WHERE flag & 260 = 256 UNION ALL SELECT g || '4', qname FROM g WHERE flag & 4 = 4),
+k AS (SELECT g || p AS grp FROM (SELECT unnest(['A', 'S', 'M', 'F', 'L', 'O']) AS g), (SELECT unnest(['1', '2', '3', '4']) AS p)) {_SUMMED}""")
+def flag_summary_details(spark, d):
+    return count.flag_details(tv.alignments(spark, d))
+
+
+# --- intervals and destinations
+
+
+@_register(f"{WITH}, {PLACED}, {MET} SELECT range_id, count(*) AS n, sum(pos) AS pos_sum, min(stop) AS least_stop FROM met GROUP BY range_id")
+def interval_join_binned(spark, d):
+    rows = tv.alignments(spark, d).where("rname IS NOT NULL").withColumn("stop", cigar.reference_end(F.col("pos"), F.col("cigar")))
+    met = intervals.interval_join(rows, tv.ranges(spark, d), "rname", "pos", "stop", bin_width=1024)
+    return met.groupBy("range_id").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"), F.min("stop").alias("least_stop"))
+
+
+NORMAL = """n1 AS (SELECT contig, "start", "end", CASE WHEN "start" > 1 + max("end") OVER (PARTITION BY contig ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM ranges),
+n2 AS (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM n1), normal AS (SELECT contig, min("start") AS "start", max("end") AS "end" FROM n2 GROUP BY contig, island)"""
+
+
+@_register(f"{WITH}, {NORMAL} SELECT * FROM normal")
+def normalize_ranges(spark, d):
+    return intervals.normalize(tv.ranges(spark, d))
+
+
+@_register(f"""{WITH} SELECT dest, count(*) AS n, sum(pos) AS pos_sum FROM (SELECT 'good' AS dest, pos FROM aln WHERE mapq >= 20 AND flag & 1796 = 0 UNION ALL SELECT 'spliced', pos FROM aln WHERE cigar LIKE '%N%'
+UNION ALL SELECT 'rest', pos FROM aln WHERE mapq < 5) GROUP BY dest""")
+def filter_to_destinations(spark, d):
+    rules = {"good": (F.col("mapq") >= 20) & (F.col("flag").bitwiseAND(1796) == 0), "spliced": F.col("cigar").contains("N"), "rest": F.col("mapq") < 5}
+    return scan.demultiplex(tv.alignments(spark, d), rules).groupBy("dest").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
+
+
+@_register(f"""{WITH}, {PLACED}, {NORMAL} SELECT qname, flag, pos FROM placed WHERE EXISTS (SELECT 1 FROM normal WHERE contig = rname AND pos <= "end" AND stop >= "start")""")
+def filter_by_ranges(spark, d):
+    rows = tv.alignments(spark, d).where("rname IS NOT NULL").withColumn("stop", cigar.reference_end(F.col("pos"), F.col("cigar"))).withColumn("row", F.monotonically_increasing_id())
+    met = intervals.interval_join(rows.select("row", "qname", "flag", "rname", "pos", "stop"), intervals.normalize(tv.ranges(spark, d)), "rname", "pos", "stop")
+    return met.dropDuplicates(["row"]).select("qname", "flag", "pos")
+
+
+@_register(f"{WITH} SELECT name AS contig, CAST(i * 1000000 + 1 AS INT) AS \"start\", CAST(least((i + 1) * 1000000, length) AS INT) AS \"end\" FROM contigs, (SELECT unnest(range(100)) AS i)")
+def tiles(spark, d):
+    return intervals.tile(tv.contigs(spark, d), 1_000_000)
+
+
+# --- pileup
+
+#: Events of every read: the blocks of each distinct CIGAR, unfolded.
+EVENTS = """
+cig AS (SELECT cigar, regexp_extract_all(cigar, '(\\d+)[MIDNSH=X]', 1) AS n, regexp_extract_all(cigar, '\\d+([MIDNSH=X])', 1) AS o FROM (SELECT DISTINCT cigar FROM aln WHERE cigar IS NOT NULL)),
+ops AS (SELECT cigar, i, CAST(n[i] AS INT) AS len, o[i] AS op, coalesce(o[i + 1] = 'I', false) AS ins FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM cig)),
+blk AS (SELECT *, coalesce(sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN len ELSE 0 END) OVER w, 0) AS r, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S', '=', 'X') THEN len ELSE 0 END) OVER w, 0) AS q
+        FROM ops WINDOW w AS (PARTITION BY cigar ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+steps AS (SELECT cigar, op, r + k AS r, CASE WHEN op IN ('M', '=', 'X') THEN q + k ELSE q END AS q, ins AND k = len - 1 AS ins FROM (SELECT *, unnest(range(len)) AS k FROM blk WHERE op IN ('M', 'D', 'N', '=', 'X'))),
+ev AS (SELECT aln.file, rname AS seqnames, CAST(pos + r AS INT) AS pos, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand, q, op, ins, length(seq) AS qlen, ascii(substr(qual, CAST(q + 1 AS INT), 1)) - 33 AS bq,
+              CASE WHEN op = 'D' THEN '-' ELSE substr(seq, CAST(q + 1 AS INT), 1) END AS letter
+       FROM aln JOIN steps USING (cigar) WHERE flag & 1796 = 0 AND pos IS NOT NULL AND mapq >= {mapq})
+"""
+BASES = "b AS (SELECT seqnames, pos, strand, letter AS nucleotide, q, qlen FROM ev WHERE op <> 'N' AND bq >= {bq} AND letter <> 'N' {more})"
+
+
+def _pile(select: str, mapq: int = 0, bq: int = 13, more: str = "") -> str:
+    return f"{WITH}, {EVENTS.format(mapq=mapq)}, {BASES.format(bq=bq, more=more)} {select}"
+
+
+@_register(_pile("SELECT seqnames, pos, strand, nucleotide, count(*) AS count FROM b GROUP BY ALL"))
+def pileup_all_dims(spark, d):
+    return pileup(tv.alignments(spark, d))
+
+
+@_register(_pile("SELECT seqnames, pos, count(*) AS count FROM b GROUP BY ALL", mapq=5))
+def pileup_collapsed(spark, d):
+    return pileup(tv.alignments(spark, d), PileupSpec(min_mapq=5, distinguish_strands=False, distinguish_nucleotides=False))
+
+
+@_register(_pile("""SELECT seqnames, pos, nucleotide, count(*) AS count FROM (SELECT seqnames, pos, nucleotide FROM b UNION ALL SELECT seqnames, pos, '+' FROM ev WHERE ins) GROUP BY ALL""", bq=20))
+def pileup_insertions(spark, d):
+    return pileup(tv.alignments(spark, d), PileupSpec(include_insertions=True, distinguish_strands=False, min_base_quality=20))
+
+
+@_register(_pile("""SELECT seqnames, pos, strand, nucleotide, n AS count FROM (SELECT *, sum(n) OVER (PARTITION BY seqnames, pos, nucleotide) AS by_nuc FROM (SELECT seqnames, pos, strand, nucleotide, count(*) AS n FROM b GROUP BY ALL))
+JOIN (SELECT seqnames, pos, sum(n) AS total, max(n) AS most FROM (SELECT seqnames, pos, nucleotide, count(*) AS n FROM b GROUP BY ALL) GROUP BY ALL) USING (seqnames, pos) WHERE by_nuc >= 2 AND total - most >= 1"""))
+def pileup_depth_filters(spark, d):
+    return pileup(tv.alignments(spark, d), PileupSpec(min_nucleotide_depth=2, min_minor_allele_depth=1))
+
+
+@_register(_pile("SELECT seqnames, pos, CASE WHEN q + 1 <= 3 THEN '(0,3]' WHEN q + 1 <= 7 THEN '(3,7]' ELSE '(7,Inf]' END AS left_bin, strand, nucleotide, count(*) AS count FROM b GROUP BY ALL"))
+def pileup_left_bins(spark, d):
+    return pileup(tv.alignments(spark, d), PileupSpec(left_bins=(0, 3, 7, float("inf"))))
+
+
+@_register(_pile("""SELECT seqnames, pos, CASE WHEN e > -4 THEN '(-4,-1]' ELSE '(-8,-4]' END AS query_bin, strand, nucleotide, count(*) AS count
+FROM (SELECT *, CASE WHEN strand = '-' THEN -(q + 1) ELSE -(qlen - q) END AS e FROM b) WHERE e > -8 AND e <= -1 GROUP BY ALL"""))
+def pileup_query_bins(spark, d):
+    return pileup(tv.alignments(spark, d), PileupSpec(query_bins=(-8, -4, -1)))
+
+
+@_register(f"""{WITH}, {EVENTS.format(mapq=0)}, {BASES.format(bq=13, more="")} SELECT range_id, {LABEL} AS which_label, seqnames, pos, nucleotide, count(*) AS count
+FROM b JOIN ranges ON seqnames = contig AND pos >= "start" AND pos <= "end" GROUP BY ALL""")
+def pileup_ranges(spark, d):
+    return pileup(tv.alignments(spark, d), PileupSpec(distinguish_strands=False), ranges=tv.ranges(spark, d))
+
+
+@_register(f"""{WITH}, {PLACED}, steps AS (SELECT rname, p, sum(d) AS d FROM (SELECT rname, pos AS p, 1 AS d FROM placed UNION ALL SELECT rname, stop + 1, -1 FROM placed) GROUP BY ALL),
+runs AS (SELECT rname AS contig, p AS "start", lead(p) OVER w - 1 AS "end", sum(d) OVER w AS depth FROM steps WINDOW w AS (PARTITION BY rname ORDER BY p))
+SELECT contig, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end", CAST(depth AS BIGINT) AS depth FROM runs WHERE depth > 0""")
+def coverage(spark, d):
+    rows = tv.alignments(spark, d).where("rname IS NOT NULL").select(F.col("rname").alias("contig"), F.col("pos").alias("start"), cigar.reference_end(F.col("pos"), F.col("cigar")).alias("end"))
+    return intervals.coverage(rows)
+
+
+_DEPTH = ", ".join(f"count(*) FILTER (letter = '{b}') AS \"{b}\"" for b in "ACGT") + ", count(*) FILTER (letter NOT IN ('A', 'C', 'G', 'T')) AS \"N\""
+_MULTI = f"""{WITH}, {EVENTS.format(mapq=0)}, depth AS (SELECT range_id, file, seqnames, pos, {_DEPTH} FROM ev JOIN ranges ON seqnames = contig AND pos >= "start" AND pos <= "end" WHERE op NOT IN ('N', 'D') AND bq >= 13 GROUP BY ALL)"""
+
+
+@_register(f"{_MULTI} SELECT * FROM depth")
+def multi_file_depth_per_base(spark, d):
+    return multi_file_depth(tv.alignments(spark, d), tv.ranges(spark, d))
+
+
+_ZERO = ", ".join(f'CAST(coalesce("{b}", 0) AS BIGINT) AS "{b}"' for b in "ACGTN")
+
+
+@_register(f"""{_MULTI}, cells AS (SELECT range_id, contig AS seqnames, CAST(unnest(range("start", "end" + 1)) AS INT) AS pos FROM ranges) SELECT range_id, file, seqnames, pos, {_ZERO}
+FROM cells CROSS JOIN (SELECT DISTINCT file FROM aln) LEFT JOIN depth USING (range_id, file, seqnames, pos)""")
+def multi_file_depth_zero_filled(spark, d):
+    return multi_file_depth(tv.alignments(spark, d), tv.ranges(spark, d), MultiPileupSpec(yield_all=True))
+
+
+@_register(f"""{WITH}, {EVENTS.format(mapq=0)} SELECT range_id, file, seqnames, pos, bq AS quality, count(*) AS count FROM ev JOIN ranges ON seqnames = contig AND pos >= "start" AND pos <= "end"
+WHERE op NOT IN ('N', 'D') AND bq >= 13 GROUP BY ALL""")
+def multi_file_quality(spark, d):
+    return quality_depth(tv.alignments(spark, d), tv.ranges(spark, d))
+
+
+# --- mates
+
+_BIT = "({x} & {m} <> 0)"
+_STRICT = """x.flag & 13 = 1 AND y.flag & 13 = 1 AND (x.flag & 64 <> 0) <> (x.flag & 128 <> 0) AND (y.flag & 64 <> 0) <> (y.flag & 128 <> 0) AND (x.flag & 64 <> 0) <> (y.flag & 64 <> 0)
+AND x.flag & 258 = y.flag & 258 AND x.mpos = y.pos AND y.mpos = x.pos AND x.mrnm = y.rname AND y.mrnm = x.rname AND (x.flag & 32 <> 0) = (y.flag & 16 <> 0) AND (y.flag & 32 <> 0) = (x.flag & 16 <> 0)"""
+_MATES = f"""WITH p AS ({PAIRED}), pairs AS (SELECT x."key" AS k, y."key" AS m FROM p x JOIN p y ON x.qname = y.qname AND x."key" <> y."key" WHERE {_STRICT}),
+deg AS (SELECT k, count(*) AS n, min(m) AS m FROM pairs GROUP BY k), j AS (SELECT deg.*, o.n AS mn FROM deg LEFT JOIN deg o ON o.k = deg.m)"""
+
+
+@_register(f"""{_MATES}, s AS (SELECT p."key", qname, CASE WHEN n = 1 AND mn = 1 THEN 'mated' WHEN n IS NOT NULL THEN 'ambiguous' ELSE 'unmated' END AS mate_status, CASE WHEN n = 1 AND mn = 1 THEN m END AS mate FROM p LEFT JOIN j ON j.k = p."key")
+SELECT "key", mate_status, mate, CASE WHEN mate_status = 'mated' THEN least("key", mate) ELSE min("key") OVER (PARTITION BY qname, mate_status) END AS groupid FROM s""")
+def mates_status(spark, d):
+    return mates.mate_status(tv.paired(spark, d)).select("key", "mate_status", "mate", "groupid")
+
+
+@_register(f"""{_MATES} SELECT p."key", CASE WHEN n > 1 THEN 0 WHEN mn > 1 THEN -m ELSE m END AS hit FROM p LEFT JOIN j ON j.k = p."key" """)
+def mates_within_groups(spark, d):
+    return mates.mates_within_groups(tv.paired(spark, d)).select("key", "hit")
+
+
+@_register(f"""WITH p AS ({PAIRED}) SELECT x."key" AS x_key, y."key" AS y_key, coalesce({_STRICT}, false) AS valid FROM p x JOIN p y ON x.qname = y.qname AND x."key" < y."key" """)
+def mate_valid_hit(spark, d):
+    p = tv.paired(spark, d)
+    x, y = (p.select(*[F.col(c).alias(s + c) for c in p.columns]) for s in ("x_", "y_"))
+    return x.join(y, (F.col("x_qname") == F.col("y_qname")) & (F.col("x_key") < F.col("y_key"))).select("x_key", "y_key", mates.valid_hit().alias("valid"))
+
+
+@_register(f"""WITH p AS ({PAIRED}) SELECT "key", qname AS trimmed FROM p""")
+def qname_trim(spark, d):
+    return tv.paired(spark, d).select("key", sequence.trim_name(F.col("full_name"), ".", "/").alias("trimmed"))
+
+
+# --- order, limits, merging, views
+
+
+@_register(f"""WITH p AS ({PAIRED}) SELECT "key", rname, pos, row_number() OVER (PARTITION BY rname ORDER BY pos, (flag & 16), qname, flag, "key") AS place FROM p""")
+def sort_coordinate_rank(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("rname").orderBy("pos", F.col("flag").bitwiseAND(16), "qname", "flag", "key")
+    return tv.paired(spark, d).select("key", "rname", "pos", F.row_number().over(w).alias("place"))
+
+
+@_register(f"""{WITH} SELECT rname, rg, qname, flag, seq, qual, cigar, mapq, pos, dense_rank() OVER (PARTITION BY rname ORDER BY rg NULLS FIRST, pos, qname) AS place FROM aln WHERE rname IS NOT NULL""")
+def sort_by_tag_rank(spark, d):
+    from pyspark.sql import Window
+
+    rows = tv.alignments(spark, d).where("rname IS NOT NULL").withColumn("rg", F.col("tags")["RG"]["s"])
+    w = Window.partitionBy("rname").orderBy(F.col("rg").asc_nulls_first(), "pos", "qname")
+    return rows.select("rname", "rg", "qname", "flag", "seq", "qual", "cigar", "mapq", "pos", F.dense_rank().over(w).alias("place"))
+
+
+@_register(f"{WITH} SELECT file AS \"RG\", count(*) AS n, sum(pos) AS pos_sum FROM aln GROUP BY file")
+def merge_with_read_group(spark, d):
+    rows = tv.alignments(spark, d)
+    files = {f: rows.where(F.col("file") == f).drop("file") for f in ("f0", "f1", "f2")}
+    merged = sorting.merge(files, add_read_group=True)
+    return merged.groupBy(F.col("tags")["RG"]["s"].alias("RG")).agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
+
+
+@_register(f"{WITH} SELECT qname, flag, seq FROM aln WHERE qname IN (SELECT DISTINCT qname FROM aln ORDER BY qname LIMIT 100)")
+def first_n_qnames(spark, d):
+    return scan.first_n_names(tv.alignments(spark, d), 100).select("qname", "flag", "seq")
+
+
+@_register(f"""{WITH}, {PLACED}, {MET}, hits AS (SELECT range_id, count(*) AS records FROM met GROUP BY range_id), c AS (SELECT range_id, CAST(coalesce(records, 0) AS BIGINT) AS records FROM ranges LEFT JOIN hits USING (range_id))
+SELECT range_id, records FROM (SELECT *, coalesce(sum(records) OVER (ORDER BY range_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) WHERE before < 1000""")
+def ranges_until_yield(spark, d):
+    return scan.whole_ranges_until(count.count_ranges(tv.alignments(spark, d), tv.ranges(spark, d)).select("range_id", "records"), 1000)
+
+
+@_register(f"""{WITH}, {PLACED}, {MET}, hits AS (SELECT range_id, 's_' || file AS sample, count(*) AS records, sum(length(seq)) AS nucleotides FROM met GROUP BY ALL)
+SELECT range_id, sample, CAST(coalesce(records, 0) AS BIGINT) AS records, CAST(coalesce(nucleotides, 0) AS BIGINT) AS nucleotides FROM ranges CROSS JOIN (SELECT DISTINCT 's_' || file AS sample FROM aln) LEFT JOIN hits USING (range_id, sample)""")
+def views_rect_counts(spark, d):
+    rows = tv.alignments(spark, d)
+    samples = rows.select("file").distinct().withColumn("sample", F.concat(F.lit("s_"), "file"))
+    return Views(rows, tv.ranges(spark, d), samples).count()
+
+
+@_register()
+def sample_n(spark, d):
+    return scan.sample_n(tv.alignments(spark, d).select("qname", "flag", "pos"), 500, seed=7)
+
+
+# --- sequences, text, variants
+
+
+@_register(f"WITH s AS ({SEQ}) SELECT name, CAST(length(seq) AS INT) AS length FROM s")
+def fasta_index(spark, d):
+    return sequences.fasta_index(tv.sequences(spark, d))
+
+
+def _seq_ranges(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.col("name").alias("contig"), (F.lit(1) + F.col("doc_id") % 5).cast("int").alias("start"), F.least(F.length("seq"), F.lit(50) + F.col("doc_id") % 5).cast("int").alias("end"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"))
+
+
+_REGION = f"WITH s AS ({SEQ}), r AS (SELECT doc_id, name AS contig, CAST(1 + doc_id % 5 AS INT) AS \"start\", CAST(least(length(seq), 50 + doc_id % 5) AS INT) AS \"end\", CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand, seq AS whole FROM s), t AS (SELECT * EXCLUDE (whole), substr(whole, \"start\", greatest(\"end\" - \"start\" + 1, 0)) AS seq FROM r)"
+
+
+@_register(f"{_REGION} SELECT * FROM t")
+def fasta_regions(spark, d):
+    rows = tv.sequences(spark, d)
+    return sequences.regions(rows, _seq_ranges(rows))
+
+
+@_register(f"{_REGION} SELECT doc_id, contig, \"start\", \"end\", strand, CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) ELSE seq END AS seq FROM t")
+def fasta_getseq_revcomp(spark, d):
+    rows = tv.sequences(spark, d)
+    return sequences.regions(rows, _seq_ranges(rows), stranded=True)
+
+
+_TAB = f"""WITH l AS ({tv.in_oracle(tv.TABLE_LINES)}), ranges AS ({tv.in_oracle(tv.TABLE_RANGES)}), rows_ AS (SELECT line, split_part(line, chr(9), 1) AS c, CAST(split_part(line, chr(9), 2) AS INT) AS a, CAST(split_part(line, chr(9), 3) AS INT) AS b FROM l),
+met AS (SELECT range_id, line FROM rows_ JOIN ranges ON c = contig AND a <= "end" AND b >= "start")"""
+
+
+def _text(spark, d):
+    return tabtext.keyed(tv.view(spark, d, tv.TABLE_LINES), tabtext.Layout(1, 2, 3)), tv.view(spark, d, tv.TABLE_RANGES)
+
+
+@_register(f"{_TAB} SELECT * FROM met")
+def tabix_ranges(spark, d):
+    rows, ranges = _text(spark, d)
+    return tabtext.in_ranges(rows, ranges).select("range_id", "line")
+
+
+@_register(f"""{_TAB}, n AS (SELECT range_id, count(*) AS records FROM met GROUP BY range_id) SELECT range_id, contig, "start", "end", CAST(coalesce(records, 0) AS BIGINT) AS records FROM ranges LEFT JOIN n USING (range_id)""")
+def tabix_count(spark, d):
+    rows, ranges = _text(spark, d)
+    return tabtext.count(rows, ranges)
+
+
+_OLD = tv.in_oracle(tv.PILEUP_TEXT)
+
+
+@_register(f"""WITH t AS ({_OLD}), u AS (SELECT *, lead("referenceBase") OVER (PARTITION BY space ORDER BY line_no) AS nxt FROM t) SELECT * EXCLUDE (nxt) FROM u WHERE "referenceBase" <> '*' AND coalesce(nxt, '') <> '*'""")
+def legacy_pileup_snp(spark, d):
+    return tabtext.legacy_pileup(tv.view(spark, d, tv.PILEUP_TEXT), "SNP")
+
+
+_LAGGED = ", ".join(f'lag("{c}") OVER w AS "{c}"' for c in ("position", "referenceBase", "consensusBase", "consensusQuality", "snpQuality", "maxMappingQuality", "coverage"))
+
+
+@_register(f"""WITH t AS ({_OLD}), u AS (SELECT line_no, space, {_LAGGED}, "alleleOne", "alleleTwo", "alleleOneSupport", "alleleTwoSupport", "additionalIndels", "referenceBase" AS own FROM t WINDOW w AS (PARTITION BY space ORDER BY line_no))
+SELECT * EXCLUDE (own) FROM u WHERE own = '*'""")
+def legacy_pileup_indel(spark, d):
+    return tabtext.legacy_pileup(tv.view(spark, d, tv.PILEUP_TEXT), "indel")
+
+
+@_register(f"""WITH t AS ({_OLD}) SELECT * FROM t WHERE "referenceBase" <> '*'""")
+def legacy_pileup_all(spark, d):
+    return tabtext.legacy_pileup(tv.view(spark, d, tv.PILEUP_TEXT), "all")
+
+
+@_register(f"""{WITH} SELECT qname, mapq % 41 AS score, mapq % 41 AS sanger, mapq % 41 + 31 AS solexa, ascii(substr(qual, 1, 1)) - 33 AS of_char FROM aln""")
+def phred_offsets(spark, d):
+    score = F.col("mapq") % 41
+    return tv.alignments(spark, d).select("qname", score.alias("score"), sequence.phred_offset(score, "Sanger").alias("sanger"), sequence.phred_offset(score, "Solexa").alias("solexa"), sequence.phred_char_offset(F.substring("qual", 1, 1)).alias("of_char"))
+
+
+_VARIANTS = f"""WITH ranges AS ({RANGES}), v AS (SELECT p_partkey, 'chr' || CAST(p_partkey % 6 AS STRING) AS chrom, CAST(1 + p_partkey * 53 AS INT) AS pos, CASE WHEN p_partkey % 2 <> 0 THEN 'rs' || CAST(p_partkey AS STRING) END AS id,
+substr('ACGTACGT', 1 + CAST(p_partkey % 4 AS INT), 1 + CAST(p_partkey % 3 AS INT)) AS ref, CASE WHEN p_partkey % 5 = 0 THEN 'A,T' ELSE 'G' END AS alt, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS qual, p_size FROM part)"""
+
+
+def _variants(spark, d):
+    return variants.parse(tv.view(spark, d, tv.VARIANT_LINES), ["one", "two"])
+
+
+@_register(f"""{_VARIANTS} SELECT chrom, pos, id, ref, alt, qual, 'PASS' AS filter, CAST(p_size AS STRING) AS "info_DP", '' AS "info_DB", '0/1' AS gt1, CAST(p_size AS INT) AS pl1, CASE WHEN p_partkey % 3 <> 0 THEN '1/1' ELSE './.' END AS gt2,
+CASE WHEN p_partkey % 3 <> 0 THEN 7 END AS dp2, CASE WHEN p_partkey % 3 <> 0 THEN 'b' END AS xx2 FROM v""")
+def variant_scan(spark, d):
+    rows = variants.scan(_variants(spark, d), VariantSpec(info=("DP", "DB")))
+    g = F.col("geno")
+    return rows.select("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info_DP", "info_DB", g[0]["gt"].alias("gt1"), g[0]["pl"][0].alias("pl1"), g[1]["gt"].alias("gt2"), g[1]["dp"].alias("dp2"), g[1]["other"]["XX"].alias("xx2"))
+
+
+@_register(f"""{_VARIANTS} SELECT range_id, contig, "start", "end", count(pos) AS records FROM ranges LEFT JOIN v ON chrom = contig AND pos <= "end" AND pos + length(ref) - 1 >= "start" GROUP BY ALL""")
+def variant_ranges(spark, d):
+    return variants.records_per_range(_variants(spark, d), tv.ranges(spark, d))
+
+
+_HEAD = ["##fileformat=VCFv4.2", "##reference=x.fa", '##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth, raw">', '##INFO=<ID=DP,Number=1,Type=Integer,Description="again">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">']
+
+
+@_register("""SELECT * FROM (VALUES (0, 'fileformat', NULL, 'VCFv4.2', NULL), (1, 'reference', NULL, 'x.fa', NULL), (2, 'INFO', 'DP', NULL, 'Depth, raw'), (3, 'INFO', 'DP.1', NULL, 'again'), (4, 'FORMAT', 'GT', NULL, 'Genotype')) AS t(line_no, "key", id, value, description)""")
+def variant_header_tables(spark, d):
+    lines = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in _HEAD])).alias("line_no", "line"))
+    return variants.header_tables(lines).select("line_no", "key", "id", "value", F.col("fields")["Description"].alias("description"))
+
+
+@_register("SELECT * FROM (VALUES ('gq'), ('sp'), ('gl')) AS t(field)")
+def variant_trim_empty(spark, d):
+    return variants.empty_fields(_variants(spark, d))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return pileup_all_dims(spark, sf_dir)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
