@@ -33,7 +33,7 @@ MIN_CHARS, MIN_DOCS = 40, 5
 #: What a broadcast of all shards' filters may take.
 FILTER_BYTES = 32 << 20
 #: Documents whose lines one shard takes on, and keys that a task gathers before it packs them.
-DOCS_A_SHARD, FLUSH = 20_000, 2_000_000
+DOCS_A_SHARD, FLUSH = 20_000, 500_000
 
 
 class CuckooFilter:
