@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import KEY, small_batches
+from strandflow.llm.common import KEY, partitions, small_batches
 from strandflow.llm.textkernel import chunks, ids_of
 
 #: Hashes that a task gathers before it packs them.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 _SCHEMA = "bucket int, tokens binary, docs binary, counts binary, found boolean"
 _NAMES = ["bucket", "tokens", "docs", "counts", "found"]
 _KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
@@ -63,7 +63,7 @@ def _pack(hashes: np.ndarray, docs: np.ndarray, buckets: int, counts_only: bool)
     met = np.repeat(size > 1, size)
     if met.any():
         o, who, n = by_owner(docs[met])
-        yield from _found(tokens[met][o], who, n, int(tokens[0] >> np.uint64(48)), counts_only)
+        yield from _found(tokens[met][o], who, n, buckets, counts_only)
     for known, keep in ((False, begin[size == 1]), (True, begin[size > 1])):
         edges = np.searchsorted(tokens[keep], np.arange(buckets + 1, dtype=np.uint64) << np.uint64(48))
         for b in np.flatnonzero(np.diff(edges)):
@@ -75,22 +75,58 @@ def _pack(hashes: np.ndarray, docs: np.ndarray, buckets: int, counts_only: bool)
                 yield int(b), pack48(tokens[at][o]), who.tobytes(), n.astype(np.uint32).tobytes(), False
 
 
-def _found(tokens: np.ndarray, who: np.ndarray, n: np.ndarray, bucket: int, counts_only: bool) -> Iterator[tuple]:
-    for a in range(0, len(who), 20_000):
-        b = min(a + 20_000, len(who))
+def _found(tokens: np.ndarray, who: np.ndarray, n: np.ndarray, buckets: int, counts_only: bool) -> Iterator[tuple]:
+    for a in range(0, len(who), 2_000):
+        b = min(a + 2_000, len(who))
         lo, hi = int(n[:a].sum()), int(n[:b].sum())
-        yield bucket, b"" if counts_only else tokens[lo:hi].tobytes(), who[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes(), True
+        yield int(who[a] % buckets), b"" if counts_only else tokens[lo:hi].tobytes(), who[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes(), True
+
+
+def spread(docs: np.ndarray, n: np.ndarray, values: np.ndarray, width: int, shards: int) -> Iterator[tuple]:
+    """Rows of shard, owners, their numbers of values, and values; `values` lie in order of owner."""
+    shard = (docs % shards).astype(np.int64)
+    ends = np.cumsum(n) * width
+    order = np.argsort(shard, kind="stable")
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    data = np.ascontiguousarray(values).view(np.uint8) if width else b""
+    for s in np.flatnonzero(np.diff(edges)):
+        at = order[edges[s] : edges[s + 1]]
+        packed = b"".join([data[ends[i] - n[i] * width : ends[i]].tobytes() for i in at]) if width else b""
+        yield int(s), docs[at].tobytes(), n[at].astype(np.uint32).tobytes(), packed
+
+
+def gather(width: int):
+    """The values of every owner of a shard, brought together from rows made by `spread`."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
+        n = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist()])
+        order = np.argsort(docs, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], docs[order][1:] != docs[order][:-1]]))
+        out = {KEY: pa.array(docs[order][begin], pa.int64()), "n_shared": pa.array(np.add.reduceat(n[order], begin), pa.int64())}
+        if width:
+            data, ends = b"".join(table.column("packed").to_pylist()), np.cumsum(n) * width
+            cut = [data[ends[i] - n[i] * width : ends[i]] for i in order]
+            stop = np.append(begin[1:], len(order))
+            out["packed"] = pa.array([b"".join(cut[a:b]) for a, b in zip(begin, stop, strict=True)], pa.binary())
+        return pa.table(out)
+
+    return run
+
+
+SPREAD = "shard int, docs binary, counts binary, packed binary"
+SPREAD_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def spread_table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, SPREAD_KINDS, strict=True)], names=["shard", "docs", "counts", "packed"])
 
 
-def _meet(table: pa.Table, counts_only: bool) -> pa.Table:
-    out_docs, out_n, out_tokens = [], [], []
+def _meet(table: pa.Table, counts_only: bool, shards: int) -> pa.Table:
+    rows: list[tuple] = []
 
     def add(tokens: np.ndarray, who: np.ndarray, n: np.ndarray) -> None:
-        out_docs.append(who)
-        out_n.append(n)
-        if not counts_only:
-            ends = np.cumsum(n)
-            out_tokens.extend(tokens[e - k : e].tobytes() for e, k in zip(ends, n, strict=True))
+        rows.extend(spread(who, n, tokens, 0 if counts_only else 8, shards))
 
     parts, owners = [], []
     for bucket, tokens, docs, counts, found in zip(*(table.column(c).to_pylist() for c in _NAMES), strict=True):
@@ -117,11 +153,7 @@ def _meet(table: pa.Table, counts_only: bool) -> pa.Table:
             met &= ~dup
         o, who, n = by_owner(docs[met])
         add(tokens[met][o], who, n)
-    docs = np.concatenate(out_docs) if out_docs else np.zeros(0, np.int64)
-    n = np.concatenate(out_n) if out_n else np.zeros(0, np.int64)
-    columns = [pa.array(docs, pa.int64()), pa.array(n, pa.int64())]
-    names = [KEY, "n_shared"]
-    return pa.table(columns, names=names) if counts_only else pa.table([*columns, pa.array(out_tokens, pa.binary())], names=[*names, "tokens"])
+    return spread_table(rows)
 
 
 def text_hashes(extract: Callable) -> Callable:
@@ -136,12 +168,13 @@ def text_hashes(extract: Callable) -> Callable:
 
 
 def shared(entries: DataFrame, extract: Callable, buckets: int, counts_only: bool) -> DataFrame:
-    """Rows of KEY with some of the owner's hashes that others have too (`tokens`), and their number (`n_shared`).
+    """A row per KEY that shares hashes: their number (`n_shared`) and the hashes (`packed`).
 
-    extract(batches) gives hashes and their owners. An owner may come in several rows; where its
-    hashes come in one task's stretch, no hash is counted twice.
+    extract(batches) gives hashes and their owners. Where an owner's hashes come in one task's
+    stretch, no hash is counted twice.
     """
     small_batches(entries.sparkSession)
+    shards = partitions(entries.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -161,5 +194,6 @@ def shared(entries: DataFrame, extract: Callable, buckets: int, counts_only: boo
         if size:
             yield flush()
 
-    kind = f"{KEY} long, n_shared long" + ("" if counts_only else ", tokens binary")
-    return entries.mapInArrow(run, _SCHEMA).groupBy("bucket").applyInArrow(lambda t: _meet(t, counts_only), kind)
+    met = entries.mapInArrow(run, _SCHEMA).groupBy("bucket").applyInArrow(lambda t: _meet(t, counts_only, shards), SPREAD)
+    kind = f"{KEY} long, n_shared long" + ("" if counts_only else ", packed binary")
+    return met.groupBy("shard").applyInArrow(gather(0 if counts_only else 8), kind)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.llm import hashmeet
-from strandflow.llm.common import KEY, group_count, keyed, small_batches
+from strandflow.llm.common import KEY, NO_ID, group_count, keyed, partitions, small_batches
 from strandflow.llm.textkernel import SPACE, chunks, ids_of, split_words, window_hash
 
 WIDTH, PERIOD, COVER = 13, 7, (0, 1, 3)
@@ -59,6 +59,15 @@ def _spans(starts: np.ndarray) -> np.ndarray:
     return np.stack([starts[first], starts[last] + WIDTH], axis=1).astype(np.int32).ravel()
 
 
+def _document_spans(docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, their numbers of spans, and the spans, one 64-bit value each."""
+    o, who, n = hashmeet.by_owner(docs)
+    found, ends = starts[o], np.cumsum(n)
+    spans = [_spans(found[e - k : e]) for e, k in zip(ends, n, strict=True)]
+    flat = np.concatenate(spans) if spans else np.zeros(0, np.int32)
+    return who, np.array([len(x) // 2 for x in spans], np.int64), flat.view(np.int64)
+
+
 _SCHEMA = "bucket int, hashes binary, docs binary, counts binary, starts binary"
 _NAMES = ["bucket", "hashes", "docs", "counts", "starts"]
 _KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -73,11 +82,10 @@ def _candidates(buckets: int):
         begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         least = np.repeat(docs[begin], np.diff(np.append(begin, len(hashes))))
         later = docs > least
-        o, who, n = hashmeet.by_owner(docs[later])
-        ends, found = np.cumsum(n), starts[later][o]
-        for e, k, d in zip(ends, n, who, strict=True):  # hashes empty: spans known already
-            spans = _spans(found[e - k : e])
-            yield int(d % buckets), b"", np.int64(d).tobytes(), np.uint32(len(spans) // 2).tobytes(), spans.tobytes()
+        who, n, spans = _document_spans(docs[later], starts[later])  # known already: rows without hashes
+        for a in range(0, len(who), 2_000):
+            b = min(a + 2_000, len(who))
+            yield int(who[a] % buckets), b"", who[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes(), spans[n[:a].sum() : n[:b].sum()].tobytes()
         keep = np.flatnonzero(~later)
         bucket = ((hashes[keep] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
@@ -100,8 +108,8 @@ def _candidates(buckets: int):
             _, tokens = hashmeet.token_of(window_hash(words.hashes, ANCHOR)[at], buckets)
             shared = np.zeros(len(at), bool)
             edges = np.searchsorted(doc[at], np.arange(batch.num_rows + 1))
-            for d, known in enumerate(batch.column(batch.schema.get_field_index("tokens")).to_pylist()):
-                mine = np.frombuffer(b"".join(known), np.uint64)
+            for d, known in enumerate(batch.column(batch.schema.get_field_index("packed")).to_pylist()):
+                mine = np.frombuffer(known, np.uint64)
                 shared[edges[d] : edges[d + 1]] = np.isin(tokens[edges[d] : edges[d + 1]], mine)
             start = np.zeros(len(doc) + 1, bool)
             first = words.first[:-1][doc] if len(doc) else doc
@@ -121,38 +129,38 @@ def _candidates(buckets: int):
     return run
 
 
-def _least(table: pa.Table) -> pa.Table:
-    """The windows of a range that a smaller document holds too."""
-    out_docs, out_spans, parts = [], [], []
-    for _, hashes, docs, counts, starts in zip(*(table.column(c).to_pylist() for c in _NAMES), strict=True):
-        if not hashes:
-            out_docs.append(int(np.frombuffer(docs, np.int64)[0]))
-            out_spans.append(starts)
-            continue
-        parts.append((np.frombuffer(hashes, np.uint64), np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(counts, np.uint32)), np.frombuffer(starts, np.int32)))
-    if parts:
-        hashes, docs, starts = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((docs, hashes))
-        hashes, docs, starts = hashes[order], docs[order], starts[order]
-        begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        later = docs > np.repeat(docs[begin], np.diff(np.append(begin, len(hashes))))
-        o, who, n = hashmeet.by_owner(docs[later])
-        ends, found = np.cumsum(n), starts[later][o]
-        for e, k, d in zip(ends, n, who, strict=True):
-            out_docs.append(int(d))
-            out_spans.append(_spans(found[e - k : e]).tobytes())
-    return pa.table([pa.array(out_docs, pa.int64()), pa.array(out_spans, pa.binary())], names=[KEY, "spans"])
+def _least(shards: int):
+    """The windows of a range that a smaller document holds too, as spans by shard of document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, parts = [], []
+        for _, hashes, docs, counts, starts in zip(*(table.column(c).to_pylist() for c in _NAMES), strict=True):
+            who, n = np.frombuffer(docs, np.int64), np.frombuffer(counts, np.uint32).astype(np.int64)
+            if hashes:
+                parts.append((np.frombuffer(hashes, np.uint64), np.repeat(who, n), np.frombuffer(starts, np.int32)))
+            else:
+                rows.extend(hashmeet.spread(who, n, np.frombuffer(starts, np.int64), 8, shards))
+        if parts:
+            hashes, docs, starts = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            order = np.lexsort((docs, hashes))
+            hashes, docs, starts = hashes[order], docs[order], starts[order]
+            begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            later = docs > np.repeat(docs[begin], np.diff(np.append(begin, len(hashes))))
+            rows.extend(hashmeet.spread(*_document_spans(docs[later], starts[later]), 8, shards))
+        return hashmeet.spread_table(rows)
+
+    return run
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
-    """KEY and `spans`: word spans (first, end; 32-bit, in binary pieces) that a smaller document repeats."""
+    """KEY and `spans`: word spans (first, end; 32 bits each) that a smaller document repeats; they may overlap."""
     small_batches(documents.sparkSession)
-    buckets = group_count(documents, DOCS_A_RANGE)
+    buckets, shards = group_count(documents, DOCS_A_RANGE), partitions(documents.sparkSession)
     texts = keyed(documents, "text")
-    anchors = hashmeet.shared(texts, hashmeet.text_hashes(_extract), buckets, counts_only=False)
-    anchors = anchors.groupBy(KEY).agg(F.collect_list("tokens").alias("tokens"))
+    anchors = hashmeet.shared(texts, hashmeet.text_hashes(_extract), buckets, counts_only=False).drop("n_shared")
     windows = texts.join(anchors.hint("shuffle_hash"), KEY).mapInArrow(_candidates(buckets), _SCHEMA)
-    return windows.groupBy("bucket").applyInArrow(_least, f"{KEY} long, spans binary").groupBy(KEY).agg(F.collect_list("spans").alias("spans"))
+    spans = windows.groupBy("bucket").applyInArrow(_least(shards), hashmeet.SPREAD)
+    return spans.groupBy("shard").applyInArrow(hashmeet.gather(8), f"{KEY} long, n_shared long, packed binary").select(KEY, F.col("packed").alias("spans"))
 
 
 def remove(documents: DataFrame) -> DataFrame:
@@ -167,7 +175,7 @@ def remove(documents: DataFrame) -> DataFrame:
             for d, known in enumerate(batch.column(batch.schema.get_field_index("spans")).to_pylist()):
                 a, b = words.first[d], words.first[d + 1]
                 edge = np.zeros(b - a + 1, np.int64)
-                pairs = np.frombuffer(b"".join(known or []), np.int32)
+                pairs = np.frombuffer(known or b"", np.int32)
                 np.add.at(edge, np.minimum(pairs[::2], b - a), 1)
                 np.add.at(edge, np.minimum(pairs[1::2], b - a), -1)
                 gone = np.cumsum(edge)[:-1] > 0
@@ -175,12 +183,12 @@ def remove(documents: DataFrame) -> DataFrame:
                 text = buf[offsets[d] : offsets[d + 1]].tobytes()
                 parts = text.split()  # bytes: exactly the separators of SPACE
                 kept.append(b" ".join(parts if not removed[-1] else [w for w, g in zip(parts, gone, strict=True) if not g]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    joined = keyed(documents, "text", "doc_id").join(spans.hint("shuffle_hash"), KEY, "left")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
-
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(KEY)), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[KEY, "n_words", "n_removed", "kept"])
 
+    # the same columns as for the anchors' join, so that one shuffle of the texts serves both
+    joined = keyed(documents, "text").join(spans.hint("shuffle_hash"), KEY, "left")
+    out = joined.mapInArrow(run, f"{KEY} long, n_words long, n_removed long, kept string")
+    return out.select(F.when(F.col(KEY) != NO_ID, F.col(KEY)).cast(kind).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def digests(documents: DataFrame) -> DataFrame:
