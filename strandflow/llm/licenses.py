@@ -16,17 +16,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"^[ \t\r*#/;-]*(copyright|\(c\)|©|all rights reserved)"
-PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+COPYRIGHT = r"(?m)^[ \t\r*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: All ASCII characters but letters, digits and line breaks.
+PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Spellings that count as one: pattern, what stands for it ({n} is the n-th group).
 SPELLINGS = [
-    ("([a-z][a-z])is(e|es|ed|ing|ation|ations)( |$)", "{1}iz{2}{3}"),
-    ("([a-z][a-z])our(s|ed|ing|able|ite)?( |$)", "{1}or{2}{3}"),
+    ("([a-z][a-z])is(e|es|ed|ing|ation|ations)([ \\n]|$)", "{1}iz{2}{3}"),
+    ("([a-z][a-z])our(s|ed|ing|able|ite)?([ \\n]|$)", "{1}or{2}{3}"),
     ("(licen|offen|defen|practi)ce", "{1}se"),
     ("dgement", "dgment"),
     ("(cance|labe|mode|signa)ll(ed|ing)", "{1}l{2}"),
-    ("(sub|non|per) (license|licensed|licensing|commercial|cent)", "{1}{2}"),
-    ("copyright owner", "copyright holder"),
+    ("(sub|non|per)[ \\n](license|licensed|licensing|commercial|cent)", "{1}{2}"),
+    ("copyright[ \\n]owner", "copyright holder"),
     ("https", "http"),
     ("whilst", "while"),
 ]
@@ -78,71 +79,71 @@ KNOWN = [
 ]
 
 
-def canonical_line(line: Column) -> Column:
-    """One line's canonical form, before spellings: empty for a copyright line."""
-    low = F.translate(line, UPPER, LOWER)
-    return F.when(low.rlike(COPYRIGHT), F.lit("")).otherwise(F.trim(F.regexp_replace(low, PUNCTUATION, " ")))
-
-
-def one_spelling(text: Column) -> Column:
+def canonical(text: Column) -> Column:
+    """The canonical form with line breaks left in; a null text's is null."""
+    out = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT, "")
+    out = F.regexp_replace(out, PUNCTUATION, " ")
     for pattern, by in SPELLINGS:
         for n in "123":
             by = by.replace("{%s}" % n, f"${n}")
-        text = F.regexp_replace(text, pattern, by)
-    return text
+        out = F.regexp_replace(out, pattern, by)
+    return out
 
 
-def canonical_lines(text: Column) -> Column:
-    """The canonical lines that are not empty; null for a null text."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: canonical_line(x)), lambda x: x != "")
+def digest(canon: Column) -> Column:
+    """Of a canonical text as a whole, whatever its line breaks."""
+    return F.sha2(F.trim(F.regexp_replace(canon, "[ \n]+", " ")), 256)
 
 
 def known_table(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """license_id and digest of each known text's canonical form."""
     rows = [F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in (known if known is not None else KNOWN)]
     texts = spark.range(1).select(F.inline(F.array(*rows)))
-    digest = F.sha2(one_spelling(F.concat_ws(" ", canonical_lines(F.col("text")))), 256).alias("digest")
-    return texts.select("license_id", digest).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return texts.select("license_id", digest(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per document: digest of the canonical text, licence of the whole text, licences of whole lines.
 
     `notices` are the licences of single lines, sorted and comma-joined (empty if none), and
-    `n_notices` counts such lines. Rows that share a doc_id share their notices.
+    `n_notices` counts such lines. Rows that share a doc_id share one result row.
     """
     known = known if known is not None else known_table(documents.sparkSession)
-    lines = documents.select("doc_id", canonical_lines(F.coalesce("text", F.lit(""))).alias("lines"))
-    hits = lines.select("doc_id", F.explode("lines").alias("line")).select("doc_id", F.sha2(one_spelling(F.col("line")), 256).alias("digest")).join(known, "digest")
-    notices = hits.groupBy("doc_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("license_id"))).alias("notices"), F.count("*").alias("n_notices"))
-    whole = lines.select("doc_id", F.sha2(one_spelling(F.concat_ws(" ", "lines")), 256).alias("digest")).join(known, "digest", "left")
-    return whole.join(notices, "doc_id", "left").select(
-        "doc_id", F.col("digest").alias("canonical_sha256"), "license_id",
-        F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"),
-    )
+    canon = documents.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canon"))
+    units = F.concat(
+        F.array(F.struct(F.lit(True).alias("whole"), digest(F.col("canon")).alias("digest"))),
+        F.transform(F.split("canon", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(F.trim(x), 256).alias("digest"))),
+    )
+    met = canon.select("doc_id", F.inline(units)).join(known, "digest", "left").where("whole OR license_id IS NOT NULL")
+    found = met.groupBy("doc_id").agg(
+        F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"),
+        F.max(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
+        F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))).alias("names"),
+        F.count(F.when(~F.col("whole"), 1)).alias("n_notices"),
+    )
+    return found.select("doc_id", "canonical_sha256", "license_id", F.concat_ws(",", "names").alias("notices"), "n_notices")
 
 
 def oracle() -> str:
     """The same scan of `documents` in the SQL of the oracle's engine."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
-    def spelt(x: str) -> str:
+    def canon(text: str) -> str:
+        x = f"regexp_replace(regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), {quote(COPYRIGHT)}, '', 'g'), {quote(PUNCTUATION)}, ' ', 'g')"
         for pattern, by in SPELLINGS:
             for n in "123":
                 by = by.replace("{%s}" % n, f"\\{n}")
             x = f"regexp_replace({x}, {quote(pattern)}, {quote(by)}, 'g')"
         return x
 
-    low = f"translate(x, '{UPPER}', '{LOWER}')"
-    line = f"CASE WHEN regexp_matches({low}, {quote(COPYRIGHT)}) THEN '' ELSE trim(regexp_replace({low}, {quote(PUNCTUATION)}, ' ', 'g')) END"
-    lines = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {line}), lambda x: x <> '')"
+    whole = "sha256(trim(regexp_replace(canon, '[ \\n]+', ' ', 'g')))"
     rows = ", ".join(f"({quote(i)}, {' || chr(10) || '.join(quote(x) for x in t.split(chr(10)))})" for i, t in KNOWN)
     return f"""
     WITH known AS (SELECT min(license_id) AS license_id, digest FROM (
-           SELECT license_id, sha256({spelt(f"array_to_string({lines}, ' ')")}) AS digest FROM (VALUES {rows}) v(license_id, text)) GROUP BY digest),
-         parts AS (SELECT doc_id, {lines} AS lines FROM documents),
+           SELECT license_id, {whole} AS digest FROM (SELECT license_id, {canon("text")} AS canon FROM (VALUES {rows}) v(license_id, text))) GROUP BY digest),
+         parts AS (SELECT doc_id, {canon("coalesce(text, '')")} AS canon FROM documents),
          notices AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices, count(*) AS n_notices
-                     FROM (SELECT doc_id, sha256({spelt('line')}) AS digest FROM (SELECT doc_id, unnest(lines) AS line FROM parts)) JOIN known USING (digest) GROUP BY doc_id)
+                     FROM (SELECT doc_id, sha256(trim(unnest(string_split(canon, chr(10))))) AS digest FROM parts) JOIN known USING (digest) GROUP BY doc_id)
     SELECT w.doc_id, w.digest AS canonical_sha256, known.license_id, coalesce(notices, '') AS notices, CAST(coalesce(n_notices, 0) AS BIGINT) AS n_notices
-    FROM (SELECT doc_id, sha256({spelt("array_to_string(lines, ' ')")}) AS digest FROM parts) w LEFT JOIN known USING (digest) LEFT JOIN notices USING (doc_id)
+    FROM (SELECT doc_id, {whole} AS digest FROM parts) w LEFT JOIN known USING (digest) LEFT JOIN notices USING (doc_id)
     """
