@@ -135,8 +135,9 @@ def _cap(reads: DataFrame, depth: int, ranged: bool) -> DataFrame:
     at = F.explode(F.sequence("pos", cigar.reference_end(F.col("pos"), F.col("cigar")))).alias("__at")
     ranked = reads.select("*", at).withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= depth).drop("__rank")
     # one row per kept (read, position): the events of a row are clipped to its position
-    clipped = ranked.withColumnRenamed("range_start", "__rs").withColumnRenamed("range_end", "__re") if ranged else ranked
-    return clipped.withColumn("range_start", F.col("__at")).withColumn("range_end", F.col("__at")).drop("__at", "__rs", "__re")
+    if ranged:
+        ranked = ranked.where((F.col("__at") >= F.col("range_start")) & (F.col("__at") <= F.col("range_end")))
+    return ranked.withColumn("range_start", F.col("__at")).withColumn("range_end", F.col("__at")).drop("__at")
 
 
 def multi_file_depth(alignments: DataFrame, ranges: DataFrame, spec: MultiPileupSpec | None = None) -> DataFrame:
