@@ -8,13 +8,15 @@ A document's set holds its distinct SHINGLE-word shingles (with fewer words, the
    part of its set in hash order, it then shares a known number (see `prefix`), so documents that
    share fewer with all others together are out. This is counted by ranges of hashes, without pairs.
 3. Similar documents are partitioned into groups: documents that agree with a pivot in half of their
-   minima of residue classes are compared with it, and links give the groups (components so far).
+   minima of residue classes are compared with it, and links give the groups (components so far); this
+   is repeated with other pivots for documents whose pivots lie in other groups.
 4. The token-group matrix of these groups tells which tokens stand in more than one group. A document
    with a link out of its group has three quarters of its set there; the few that have go on, as
-   queries and as members. Each group's token union is stored, in parts of bounded size; the rarest
-   tokens of a query, as many as it may miss and one more, name the parts it meets; a part is
-   qualifying if the query's overlap with its union reaches three quarters of the query, and only
-   qualifying parts are opened, that is, compared document by document.
+   queries and as members. They are partitioned again, by the minimum that most of them have in common,
+   into parts of bounded size whose token unions make the matrix; the rarest tokens of a query, as
+   many as it may miss and one more, name the parts it meets; a part is qualifying if the query's
+   overlap with its union reaches three quarters of the query, and only qualifying parts are opened,
+   that is, compared document by document, for the links that connect groups which the part's other links have not.
 5. Components of all links.
 
 No step loses a link between documents of different groups; within a group they are connected.
@@ -42,7 +44,9 @@ SIMILARITY = 75
 #: Residue classes of shingles, each of which gives a minimum, and how many must agree with a pivot's.
 CLASSES, AGREE = 8, 4
 #: Documents whose tokens one range takes on, and documents of a part of a group.
-DOCS_A_RANGE, DOCS_A_PART = 20_000, 64
+DOCS_A_RANGE, DOCS_A_PART = 20_000, 512
+#: Turns of pivots that groups are made in, and queries that meet a part at a time.
+TURNS, DOCS_A_PORTION = 2, 1024
 
 
 def overlap_of(n: int) -> int:
@@ -132,15 +136,39 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
-def _pivot_pairs(sets: DataFrame) -> DataFrame:
-    """Each document with the pivots, its smallest fellows, that it agrees with in AGREE minima (or in all it has)."""
-    keys = sets.select(KEY, F.size("minima").alias("has"), F.explode("minima").alias("m")).select(KEY, "has", F.col("m")[0].alias("class"), F.col("m")[1].alias("least"))
-    pivots = keys.groupBy("class", "least").agg(F.min(KEY).alias("pivot"), F.count("*").alias("docs")).where("docs > 1").drop("docs")
-    met = keys.join(pivots, ["class", "least"]).where(f"{KEY} <> pivot")
-    met = met.groupBy(KEY, "pivot").agg(F.count("*").alias("agree"), F.first("has").alias("has"))
+def _keys(sets: DataFrame) -> DataFrame:
+    """A row per document and residue class: its minimum there."""
+    each = sets.select(KEY, F.size("minima").alias("has"), F.explode("minima").alias("m"))
+    return each.select(KEY, "has", F.col("m")[0].alias("class"), F.col("m")[1].alias("least"))
+
+
+def _pivot_pairs(keys: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
+    """Each document with the pivots of other groups that it agrees with in AGREE minima (or in all it has but one).
+
+    The documents with a common minimum have one pivot, another one in each turn, so pairs follow the documents.
+    """
+    if groups is not None:
+        keys = keys.join(groups, KEY, "left").withColumn("grp", F.coalesce("grp", KEY))
+    else:
+        keys = keys.withColumn("grp", F.col(KEY))
+    pivot = F.min_by(F.struct(F.col(KEY).alias("pivot"), F.col("grp").alias("pivot_grp")), F.xxhash64(KEY, F.lit(turn)))
+    pivots = keys.groupBy("class", "least").agg(pivot.alias("p"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("class", "least", "p.*")
+    met = keys.join(pivots, ["class", "least"]).where("grp <> pivot_grp").groupBy(KEY, "pivot").agg(F.count("*").alias("agree"), F.first("has").alias("has"))
     return met.where(f"agree >= least({AGREE}, greatest(1, has - 1))").select(F.col(KEY).alias("a"), F.col("pivot").alias("b"))
 
 
+def _groups(sets: DataFrame) -> DataFrame:
+    """KEY and grp of documents with links to pivots, after a few turns; fewer if a turn finds no link."""
+    keys, links, groups = cut(_keys(sets)), None, None
+    for turn in range(TURNS):
+        found = cut(_compare(_pivot_pairs(keys, groups, turn), sets))
+        if not found.take(1):
+            break
+        links = found if links is None else links.unionByName(found)
+        groups = cut(components(links).select(F.col("node").alias(KEY), F.col("component").alias("grp")))
+    return groups if groups is not None else sets.where("false").select(KEY, F.col(KEY).alias("grp"))
+
+
 def _set_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         sets = [np.frombuffer(t, np.uint64) for t in batch.column(1).to_pylist()]
@@ -157,7 +185,7 @@ def _crossing(buckets: int):
             last, known = None, None
             for key, n, tokens, group, cross in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if group != last:
-                    last, known = group, np.frombuffer(b"".join(cross), np.uint64)
+                    last, known = group, np.frombuffer(cross, np.uint64)
                 mine = np.frombuffer(tokens, np.uint64)
                 _, short = hashmeet.token_of(mine, buckets)
                 mine = mine[np.isin(short, known)]
@@ -169,39 +197,76 @@ def _crossing(buckets: int):
     return run
 
 
-def _qualify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bound: a query's overlap with a part's token union."""
-    for batch in batches:
-        out = []
-        for key, n, tokens, grp, part, union in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            every = np.unique(np.frombuffer(b"".join(union), np.uint64))
-            if np.isin(np.frombuffer(tokens, np.uint64), every, assume_unique=True).sum() >= overlap_of(n):
-                out.append((key, grp, part))
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["a", "grp", "part"])
+def _open(key: tuple, queries: pa.Table, members: pa.Table) -> pa.Table:
+    """The bound, a query's overlap with a part's token union; a qualifying part is opened until a link is found."""
+    links: list[tuple[int, int]] = []
+    above: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while root in above:
+            root = above[root]
+        while x != root:
+            above[x], x = root, above[x]
+        return root
+
+    names, groups = members.column("b").to_pylist(), np.array(members.column("grp").to_pylist(), np.int64)
+    sets = [np.frombuffer(t, np.uint64) for t in members.column("tokens").to_pylist()]
+    if sets:
+        every = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        union = np.unique(every)
+        size = np.array([len(s) for s in sets])
+        for a, own, tokens in zip(*(queries.column(c).to_pylist() for c in ("a", "grp", "tokens")), strict=True):
+            mine = np.frombuffer(tokens, np.uint64)
+            if (union[np.minimum(np.searchsorted(union, mine), len(union) - 1)] == mine).sum() < overlap_of(len(mine)):
+                continue
+            lo, hi = np.searchsorted(every, mine), np.searchsorted(every, mine, side="right")
+            n = hi - lo
+            both = np.bincount(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(sets))
+            linked = np.flatnonzero((100 * both >= SIMILARITY * (len(mine) + size - both)) & (groups != own))
+            for i in linked:
+                x, y = find(own), find(groups[i])
+                if x != y:
+                    above[x] = y
+                    links.append((a, names[i]))
+    return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def _links_across(sets: DataFrame, groups: DataFrame, buckets: int) -> DataFrame:
     """Links between documents of different groups; `groups` has KEY and grp for grouped documents."""
     grouped = sets.select(KEY, "n", "tokens").join(groups, KEY, "left").withColumn("grp", F.coalesce("grp", KEY))
     cross = hashmeet.shared(grouped.select(F.col("grp").alias(KEY), "tokens"), _set_entries, buckets, counts_only=False)
-    cross = cross.groupBy(F.col(KEY).alias("grp")).agg(F.collect_list("tokens").alias("cross"))
+    cross = cross.select(F.col(KEY).alias("grp"), F.col("packed").alias("cross"))
     some = grouped.join(cross, "grp").select(KEY, "n", "tokens", "grp", "cross").mapInArrow(_crossing(buckets), f"{KEY} long, n long, tokens binary, grp long, crossing array<long>")
-    parts = F.greatest(F.lit(1), F.ceil(F.count("*") / DOCS_A_PART)).cast("long")
     some = cut(some)
-    number = some.groupBy("grp").agg(parts.alias("parts"))
-    some = some.join(number, "grp").withColumn("part", F.pmod(F.xxhash64(KEY), "parts")).drop("parts")
-    matrix = some.select("grp", "part", F.explode("crossing").alias("token")).distinct()
+    # similar documents: those that share the minimum which most of them have, in parts of bounded size
+    keys = _keys(sets.join(some.select(KEY), KEY, "left_semi"))
+    heap = keys.groupBy("class", "least").agg(F.count("*").alias("docs"))
+    largest = F.max_by(F.struct("class", "least", "docs"), F.struct("docs", "class", "least"))
+    chosen = keys.join(heap, ["class", "least"]).groupBy(KEY).agg(largest.alias("h"))
+    number = F.pmod(F.xxhash64(KEY), F.ceil(F.col("h.docs") / DOCS_A_PART).cast("long"))
+    some = cut(some.join(chosen.select(KEY, "h.class", "h.least", number.alias("number")), KEY))
+    part = ["class", "least", "number"]
+    matrix = some.select(*part, "grp", F.explode("crossing").alias("token")).groupBy(*part, "token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
     frequency = matrix.groupBy("token").agg(F.count("*").alias("df"))
-    asked = some.select(KEY, "n", "grp", F.size("crossing").alias("crossed"), F.explode("crossing").alias("token")).join(frequency, "token")
+    asked = some.select(KEY, "n", F.col("grp").alias("own"), F.size("crossing").alias("crossed"), F.explode("crossing").alias("token")).join(frequency, "token")
     # of n tokens n - overlap may be missed, and those that no other group has are missed already
     rank = F.row_number().over(Window.partitionBy(KEY).orderBy("df", "token"))
     asked = asked.withColumn("rank", rank).where(F.col("rank") <= F.expr(f"crossed - (n * {SIMILARITY} + 99) div 100 + 1"))
-    met = asked.select(KEY, F.col("grp").alias("own"), "token").join(matrix, "token").where("grp <> own").select(KEY, "grp", "part").distinct()
-    unions = some.groupBy("grp", "part").agg(F.collect_list("tokens").alias("union"))
-    queries = met.join(some.select(KEY, "n", "tokens"), KEY).join(unions, ["grp", "part"]).select(KEY, "n", "tokens", "grp", "part", "union")
-    opened = queries.mapInArrow(_qualify, "a long, grp long, part long")
-    members = some.select("grp", "part", F.col(KEY).alias("b"))
-    return _compare(opened.join(members, ["grp", "part"]).select("a", "b"), some)
+    met = asked.select(KEY, "own", "token").join(matrix, "token").where("lo <> own OR hi <> own").select(KEY, *part).distinct()
+    met = cut(met)
+    # a part's queries come in portions of bounded size, each with the part's members
+    portions = F.greatest(F.lit(1), F.ceil(F.count("*") / DOCS_A_PORTION)).cast("long").alias("portions")
+    asked_of = met.groupBy(*part).agg(portions)
+    queries = met.join(asked_of, part).withColumn("portion", F.pmod(F.xxhash64(KEY), "portions")).drop("portions")
+    queries = queries.join(some.select(KEY, "grp", "tokens"), KEY).select(*part, "portion", F.col(KEY).alias("a"), "grp", "tokens")
+    members = some.select(*part, F.col(KEY).alias("b"), "grp", "tokens").join(asked_of, part)
+    members = members.select(*part, F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), "b", "grp", "tokens")
+    by = [*part, "portion"]
+    return queries.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(_open, "a long, b long")
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -211,16 +276,14 @@ def classes(documents: DataFrame) -> DataFrame:
     texts = keyed(documents, "text")
     sets = cut(texts.mapInArrow(_sets, f"{KEY} long, n long, one long, two long"))
     first = sets.where("n > 0").groupBy("n", "one", "two").agg(F.min(KEY).alias("rep"))
-    shares = hashmeet.shared(texts, hashmeet.text_hashes(_prefixes), buckets, counts_only=True).groupBy(KEY).agg(F.sum("n_shared").alias("n_shared"))
+    shares = hashmeet.shared(texts, hashmeet.text_hashes(_prefixes), buckets, counts_only=True)
     reps = first.select(F.col("rep").alias(KEY), "n")
     need = f"greatest(1, ((n * {SIMILARITY} + 99) div 100) * 15 div 100)"
     alive = reps.join(shares, KEY).where(f"n_shared >= {need}").select(KEY)
     tokens = cut(texts.join(alive.distinct().hint("shuffle_hash"), KEY).mapInArrow(_tokens, f"{KEY} long, n long, tokens binary, minima array<array<long>>"))
-    links = cut(_compare(_pivot_pairs(tokens), tokens))
-    groups = cut(components(links))
-    across = _links_across(tokens, groups.select(F.col("node").alias(KEY), F.col("component").alias("grp")), buckets)
-    joined = cut(across)
-    every = components(links.unionByName(joined)) if joined.take(1) else groups
+    groups = _groups(tokens)
+    across = cut(_links_across(tokens, groups, buckets))
+    every = components(across.unionByName(groups.select(F.col(KEY).alias("a"), F.col("grp").alias("b"))))
     every = first.join(every, F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component"))
     out = sets.join(every, ["n", "one", "two"], "left")
     return out.select(KEY, "n", F.coalesce("component", KEY).alias("component"))
