@@ -42,19 +42,16 @@ def is_simple(cigar: Column) -> Column:
 
 def blocks(cigar: Column) -> Column:
     """array<struct<op, len, r, q, ins>>: reference and query offsets before each operation, and whether
-    an insertion follows it (padding between does not count)."""
-    start = F.struct(F.lit(0).alias("r"), F.lit(0).alias("q"), F.array().cast("array<struct<op:string,len:int,r:int,q:int>>").alias("out"))
+    an insertion follows it (padding between does not count). Lambdas run once per operation, not per base."""
+    pattern = F.lit(r"(\d+)([MIDNSH=X])(?:\d+P)*(?=(\d+I)?)")
+    part = [F.regexp_extract_all(cigar, pattern, F.lit(i)) for i in (1, 2, 3)]
+    listed = F.arrays_zip(part[0].alias("n"), part[1].alias("op"), part[2].alias("next"))
+    start = F.struct(F.lit(0).alias("r"), F.lit(0).alias("q"), F.array().cast("array<struct<op:string,len:int,r:int,q:int,ins:boolean>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        n, op = x["len"], x["op"]
+        n, op = x["n"].cast("int"), x["op"]
         on_ref, on_query = (F.when(op.isin(*kinds), n).otherwise(0) for kinds in (REFERENCE_OPS, QUERY_OPS))
-        here = F.array(F.struct(op.alias("op"), n.alias("len"), acc["r"].alias("r"), acc["q"].alias("q")))
+        here = F.array(F.struct(op.alias("op"), n.alias("len"), acc["r"].alias("r"), acc["q"].alias("q"), (x["next"] != "").alias("ins")))
         return F.struct((acc["r"] + on_ref).alias("r"), (acc["q"] + on_query).alias("q"), F.concat(acc["out"], here).alias("out"))
 
-    listed = F.aggregate(F.filter(ops(cigar), lambda x: x["op"] != "P"), start, step)["out"]
-
-    def mark(x: Column, i: Column) -> Column:
-        following = F.try_element_at(listed, i + 2)
-        return F.struct(x["op"].alias("op"), x["len"].alias("len"), x["r"].alias("r"), x["q"].alias("q"), F.coalesce(following["op"] == "I", F.lit(False)).alias("ins"))
-
-    return F.transform(listed, mark)
+    return F.aggregate(listed, start, step, lambda acc: acc["out"])

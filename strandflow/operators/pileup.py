@@ -46,17 +46,14 @@ def _events(reads: DataFrame, spec: PileupSpec) -> DataFrame:
     minus = F.col("flag").bitwiseAND(16) != 0
     points = spec.left_bins or spec.query_bins
 
-    def at(b: Column, i: Column) -> Column:
-        q = b["q"] + F.when(b["op"].isin("M", "=", "X"), i).otherwise(0)
-        here = F.struct((F.col("pos") + b["r"] + i).alias("pos"), q.alias("q"), b["op"].alias("op"), (b["ins"] & (i == b["len"] - 1)).alias("ins"))
-        return here
-
-    covered = F.filter(cigar.blocks(F.col("cigar")), lambda b: b["op"].isin("M", "=", "X", "D", "N") & (b["len"] > 0))
-    if not spec.include_insertions:
-        covered = F.filter(covered, lambda b: b["op"] != "N")
-    places = F.flatten(F.transform(covered, lambda b: F.transform(F.sequence(F.lit(0), b["len"] - 1), lambda i: at(b, i))))
     keep = [c for c in ("range_id", "range_start", "range_end", "file") if c in reads.columns]
-    rows = reads.select(*keep, F.col("rname").alias("seqnames"), F.when(minus, "-").otherwise("+").alias("strand"), "seq", "qual", F.explode(places).alias("p"))
+    kinds = ["M", "=", "X", "D", *(["N"] if spec.include_insertions else [])]
+    fixed = [*keep, F.col("rname").alias("seqnames"), F.when(minus, "-").otherwise("+").alias("strand"), "seq", "qual", "pos"]
+    rows = reads.select(*fixed, F.explode(cigar.blocks(F.col("cigar"))).alias("b")).where(F.col("b.op").isin(*kinds) & (F.col("b.len") > 0))
+    rows = rows.select(*keep, "seqnames", "strand", "seq", "qual", "pos", "b", F.explode(F.sequence(F.lit(0), F.col("b.len") - 1)).alias("i"))
+    q = F.col("b.q") + F.when(F.col("b.op").isin("M", "=", "X"), F.col("i")).otherwise(0)
+    place = F.struct((F.col("pos") + F.col("b.r") + F.col("i")).alias("pos"), q.alias("q"), F.col("b.op").alias("op"), (F.col("b.ins") & (F.col("i") == F.col("b.len") - 1)).alias("ins"))
+    rows = rows.select(*keep, "seqnames", "strand", "seq", "qual", place.alias("p"))
     if "range_start" in keep:
         rows = rows.where((F.col("p.pos") >= F.col("range_start")) & (F.col("p.pos") <= F.col("range_end")))
     bin_label = F.lit(None).cast("string")
@@ -103,20 +100,21 @@ def pileup(alignments: DataFrame, spec: PileupSpec | None = None, scan_spec: Sca
     if spec.max_depth is not None:
         reads = _cap(reads, spec.max_depth, ranges is not None)
     events = _events(reads, spec)
-    counts = events.groupBy(*group, "nucleotide", "strand", "bin").agg(F.count("*").alias("n"))
-    combined = _test_and_collapse(counts, group, spec)
     name = "left_bin" if spec.left_bins else "query_bin"
     dims = [*(["strand"] if spec.distinguish_strands else []), *(["nucleotide"] if spec.distinguish_nucleotides else []), *(["bin"] if spec.left_bins or spec.query_bins else [])]
-    out = combined.groupBy(*group, *dims).agg(F.sum("n").cast("long").alias("count"))
+    if spec.min_nucleotide_depth <= 1 and spec.min_minor_allele_depth <= 0:
+        out = events.groupBy(*group, *dims).agg(F.count("*").alias("count"))
+    else:
+        counts = events.groupBy(*group, "nucleotide", "strand", "bin").agg(F.count("*").alias("n"))
+        out = _test(counts, group, spec).groupBy(*group, *dims).agg(F.sum("n").cast("long").alias("count"))
     out = out.withColumnRenamed("bin", name)
     if ranges is not None:
         out = out.join(unique_labels(ranges).select("range_id", F.col("label").alias("which_label")), "range_id")
     return out
 
 
-def _test_and_collapse(counts: DataFrame, group: list[str], spec: PileupSpec) -> DataFrame:
-    if spec.min_nucleotide_depth <= 1 and spec.min_minor_allele_depth <= 0:
-        return counts
+def _test(counts: DataFrame, group: list[str], spec: PileupSpec) -> DataFrame:
+    """Counts that pass the tests on positions and nucleotides."""
     listed = counts.groupBy(*group).agg(F.collect_list(F.struct("nucleotide", "strand", "bin", "n")).alias("all"))
     zero = F.lit(0).cast("long")
     of = lambda x: F.aggregate(F.filter("all", lambda y: y["nucleotide"] == x), zero, lambda a, y: a + y["n"])
