@@ -3,6 +3,8 @@
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from strandflow.plans import catalog
@@ -21,11 +23,11 @@ def oracle():
 
 
 def _cell(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return None
     if isinstance(v, float) and v == int(v):
         return int(v)
-    return v if isinstance(v, (int, str, bool, float)) else str(v)
+    return int(v) if isinstance(v, np.integer) else v if isinstance(v, (int, str, bool, float)) else str(v)
 
 
 def rows_of(df):
