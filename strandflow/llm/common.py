@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from strandflow.llm.textkernel import BATCH_ROWS
 
 
+#: Whether Spark removes a query's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table, read with Arrow batches small enough for long texts."""
     small_batches(spark)
@@ -23,12 +27,21 @@ def small_batches(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that the cluster names.
 
-    Only where spark.checkpoint.dir is unset, as in tests, a local folder is used.
+    Only where spark.checkpoint.dir is unset, as in tests, a local folder is used. The shuffle files
+    that led to the checkpoint are not needed any more and are removed with it.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new plan, made under this setting
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
 
 
 def partitions(spark: SparkSession) -> int:
