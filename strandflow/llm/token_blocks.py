@@ -17,6 +17,7 @@ first; documents with equal doc_id come in any order, each with its own row.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -65,7 +66,7 @@ class Encoder:
         # each piece but the first has its space back in front; where spaces meet, or lie before other
         # white space or at the end, a piece is cut elsewhere, and the whole text is asked for
         words = text.split(" ")
-        if "" in words or any(c in text for c in _OTHER_SPACE_AFTER):
+        if "" in words or _SPACE_RUN.search(text):
             return self.pieces.library.encode(text, add_special_tokens=False).ids
         first, rest = words[0], words[1:]
         ids = list(self.pieces[first])
@@ -74,7 +75,7 @@ class Encoder:
 
 
 #: A space before other white space forms one run with it.
-_OTHER_SPACE_AFTER = (" \n", " \t", " \r", " \x0b", " \x0c", " \xa0", "  ", "  ", " 　", " \x85")
+_SPACE_RUN = re.compile(r" \s")
 
 
 @lru_cache(maxsize=1)

@@ -222,6 +222,14 @@ def test_range_coder(n):
             range_coder.decode(block[:-1] + bytes([block[-1] ^ 1]), 50258)
 
 
+def test_piecewise_encoding_is_the_whole_one():
+    encoder, rng = token_blocks._encoder(registry.TOKENIZER), random.Random(6)
+    kinds = ["ab 's  ", "\n \n\t", "\u2002\u2028 \u3000x", "\u1680 \x1c\x85\xa0\n", "é中 12!"]
+    for _ in range(2000):
+        s = "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 30)))
+        assert encoder.encode(s) == encoder.pieces.library.encode(s, add_special_tokens=False).ids
+
+
 def test_token_blocks(spark, docs, empty):
     from tokenizers import Tokenizer
 
