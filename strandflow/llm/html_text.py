@@ -211,11 +211,11 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     """page_id, url and `text`, the main text, for every page."""
     templates = cut(site_templates(pages, min_pages, min_share))
     page = pages.select("page_id", "url", "html", host_column().alias("host"))
-    few = templates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = templates.count() <= BROADCAST_ROWS
     shared = None
     if few:
         known: dict[str, set[int]] = {}
-        for row in templates.toLocalIterator():
+        for row in templates.collect():  # of a checked size
             known.setdefault(row["host"], set()).add(row["hash"])
         shared = pages.sparkSession.sparkContext.broadcast(known)
     else:
