@@ -8,13 +8,14 @@ article or main elements is taken; a page without such elements gives its body's
 
 Inside an article only containers (sections, lists, boxes) count as templates, so a sentence or
 heading that many articles of a host repeat stays; elsewhere every block element counts. Pages of
-one host are counted by grouped sums with map-side partial sums, each page sending a hash once, and
-the templates, a few per host, are broadcast while there are fewer than BROADCAST_ROWS; beyond
-that, they are joined to the pages by host.
+one host are counted by grouped sums with map-side partial sums, each distinct page (host and digest
+of the whole html) sending a hash once, and the templates, a few per host, are broadcast while there
+are fewer than BROADCAST_ROWS; beyond that, they are joined to the pages by host.
 
 Null and empty html give an empty text; broken markup is read leniently: an end tag closes the
-nearest open element of its name or nothing, and a new block ends an open paragraph. Repeated pages
-with one page_id count once for templates and are extracted one by one. Character references are
+nearest open element of its name or nothing, and a new block ends an open paragraph. Rows of a
+host with equal html, whatever their page_id or path, count as one page for templates and are
+extracted one by one. Character references are
 decoded, and all white space inside and between blocks becomes one space.
 """
 
@@ -192,19 +193,22 @@ def host_column(url: str = "url") -> Column:
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """`host` and `hash` of subtrees that recur on many pages of their host."""
+    """`host` and `hash` of subtrees that recur on many distinct pages of their host."""
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted(set(Page(h).hashes().values())) if h else [] for h in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.int64()))], names=["host", "page_id", "hashes"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    found = pages.select(host_column().alias("host"), "html", "page_id").mapInArrow(run, f"host string, page_id {kind}, hashes array<long>")
-    each = found.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    hosts = pages.groupBy(host_column().alias("host")).agg(F.count("*").alias("pages"))
-    return each.join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+            sources = [h or "" for h in b.column(1).to_pylist()]
+            digests = [xxhash.xxh3_128_digest(h) for h in sources]
+            found = [sorted(set(Page(h).hashes().values())) if h else [] for h in sources]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["host", "digest", "hashes"])
+
+    found = pages.select(host_column().alias("host"), "html").mapInArrow(run, "host string, digest binary, hashes array<long>")
+    distinct = found.dropDuplicates(["host", "digest"])  # equal pages have equal hashes
+    each = distinct.select("host", F.explode(F.array_append("hashes", F.lit(None).cast("long"))).alias("hash"))  # a null for the page itself
+    n = cut(each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages)))
+    hosts = n.where("hash is null").select("host", F.col("n").alias("pages"))
+    return n.where("hash is not null").join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

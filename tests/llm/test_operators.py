@@ -177,6 +177,15 @@ def test_html_rules(spark):
     assert html_text.texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_copies_are_no_templates(spark):
+    """Copies of a page, with one page_id or many, count as one page of their host."""
+    page = "<body><h1>Title</h1><div>Own box</div><p>Own text</p></body>"
+    rows = [(i // 2, f"http://copies.org/{i % 3}", page) for i in range(12)]
+    rows += [(100, f"http://mixed.org/{i}", page) for i in range(9)] + [(200 + i, f"http://mixed.org/o{i}", f"<body><div>Same box</div><p>Own {i}</p></body>") for i in range(6)]
+    got = [(r.page_id, r.text) for r in html_text.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got) == sorted([(i, "Title Own box Own text") for i, _, h in rows if h == page] + [(200 + i, f"Own {i}") for i in range(6)])
+
+
 @needs_tables
 def test_html_whole_articles(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet")
