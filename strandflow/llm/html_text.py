@@ -6,8 +6,11 @@ and are deleted, with elements that are no main text by their kind (navigation,
 by their class, id or role (adverts, notices, comments). Of what is left, the text of the page's
 article or main elements is taken; a page without such elements gives its body's text.
 
-Inside an article only containers (sections, lists, boxes) count as templates, so a sentence or
-heading that many articles of a host repeat stays; elsewhere every block element counts. Pages of
+Inside an article only containers (sections, lists, boxes) on half of the host's pages count as
+templates, so a sentence or heading that many articles of a host repeat stays; elsewhere every block
+element counts that is on MIN_PAGES pages and on OUTER_SHARE of them, so one of several boxes that a
+host shows in turn goes too. A subtree is counted wherever it stands and judged where it stands. The
+share bounds a host's templates by what 1 / OUTER_SHARE of its pages hold. Pages of
 one host are counted by grouped sums with map-side partial sums, each distinct page (host and digest
 of the whole html) sending a hash once, and the templates, a few per host, are broadcast while there
 are fewer than BROADCAST_ROWS; beyond that, they are joined to the pages by host.
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 
 from strandflow.llm.common import cut, small_batches
 
-#: A subtree is a template if it is on so many pages of its host, and on such a share of them.
+#: A subtree is a template if it is on so many pages of its host, and on such a share of them: the
+#: first share holds inside article and main, the second elsewhere.
 MIN_PAGES, MIN_SHARE = 5, 0.5
+OUTER_SHARE = 0.005
 BROADCAST_ROWS = 200_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!\[CDATA\[|[!?])[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -168,11 +173,12 @@ class Page:
                 out[e] = xxhash.xxh64_intdigest(self.source[a:b].strip()) - (1 << 63)
         return out
 
-    def main_text(self, templates: frozenset[int] | set[int]) -> str:
+    def main_text(self, templates: frozenset[int] | set[int], strict: frozenset[int] | set[int] = frozenset()) -> str:
+        """The text without `templates` outside article and main, and without `strict` ones inside."""
         out = list(self.out)
-        if templates:
+        if templates or strict:
             for e, h in self.hashes().items():
-                out[e] = out[e] or h in templates
+                out[e] = out[e] or h in (strict if self.in_root[e] else templates)
         for e, p in enumerate(self.parents):
             out[e] = out[e] or (p >= 0 and out[p])
         rooted = any(r and not o for r, o in zip(self.in_root, out, strict=True))
@@ -192,8 +198,8 @@ def host_column(url: str = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """`host` and `hash` of subtrees that recur on many distinct pages of their host."""
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, outer_share: float = OUTER_SHARE) -> DataFrame:
+    """`host` and `hash` of subtrees that recur on many distinct pages of their host; `strict` ones reach min_share."""
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,29 +214,33 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     each = distinct.select("host", F.explode(F.array_append("hashes", F.lit(None).cast("long"))).alias("hash"))  # a null for the page itself
     n = cut(each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages)))
     hosts = n.where("hash is null").select("host", F.col("n").alias("pages"))
-    return n.where("hash is not null").join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+    met = n.where("hash is not null").join(hosts, "host").where(F.col("n") >= F.col("pages") * min(min_share, outer_share))
+    return met.select("host", "hash", (F.col("n") >= F.col("pages") * min_share).alias("strict"))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, outer_share: float = OUTER_SHARE) -> DataFrame:
     """page_id, url and `text`, the main text, for every page."""
-    templates = cut(site_templates(pages, min_pages, min_share))
+    templates = cut(site_templates(pages, min_pages, min_share, outer_share))
     page = pages.select("page_id", "url", "html", host_column().alias("host"))
     few = templates.count() <= BROADCAST_ROWS
     shared = None
     if few:
-        known: dict[str, set[int]] = {}
+        known: dict[str, tuple[set[int], set[int]]] = {}
         for row in templates.collect():  # of a checked size
-            known.setdefault(row["host"], set()).add(row["hash"])
+            every, strict = known.setdefault(row["host"], (set(), set()))
+            every.add(row["hash"])
+            if row["strict"]:
+                strict.add(row["hash"])
         shared = pages.sparkSession.sparkContext.broadcast(known)
     else:
-        page = page.join(templates.groupBy("host").agg(F.collect_list("hash").alias("hashes")), "host", "left").select("page_id", "url", "html", "host", "hashes")
+        page = page.join(templates.groupBy("host").agg(F.collect_list("hash").alias("hashes"), F.collect_list(F.when(F.col("strict"), F.col("hash"))).alias("strict")), "host", "left").select("page_id", "url", "html", "host", "hashes", "strict")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none: frozenset[int] = frozenset()
+        none: tuple[frozenset[int], frozenset[int]] = (frozenset(), frozenset())
         for b in batches:
             hosts = b.column(3).to_pylist()
-            own = [shared.value.get(h, none) for h in hosts] if shared else [set(x or ()) for x in b.column(4).to_pylist()]
-            texts = [Page(h).main_text(t) if h else "" for h, t in zip(b.column(2).to_pylist(), own, strict=True)]
+            own = [shared.value.get(h, none) for h in hosts] if shared else [(set(x or ()), set(y or ())) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            texts = [Page(h).main_text(*t) if h else "" for h, t in zip(b.column(2).to_pylist(), own, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -186,6 +186,16 @@ def test_html_copies_are_no_templates(spark):
     assert sorted(got) == sorted([(i, "Title Own box Own text") for i, _, h in rows if h == page] + [(200 + i, f"Own {i}") for i in range(6)])
 
 
+@pytest.mark.parametrize("few", [html_text.BROADCAST_ROWS, 0])
+def test_html_rotating_boxes(spark, monkeypatch, few):
+    """Boxes that a host shows in turn are templates outside articles; inside, only what half of its pages hold."""
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", few)
+    rows = [(i, f"http://turns.org/{i}", f"<body><div>Box {i % 3}</div><p>Own {i}</p></body>") for i in range(18)]
+    rows += [(100 + i, f"http://articles.org/{i}", f"<article><div>Box {i % 3}</div><ul><li>On all</ul><p>Own {i}</p></article>") for i in range(18)]
+    got = {r.page_id: r.text for r in html_text.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own {i}" for i in range(18)} | {100 + i: f"Box {i % 3} Own {i}" for i in range(18)}
+
+
 @needs_tables
 def test_html_whole_articles(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet")
