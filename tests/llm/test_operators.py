@@ -378,6 +378,23 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.judge(empty, benchmark).count() == 0 and decontaminate.judge(docs, benchmark.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_blocks_change_nothing(spark, monkeypatch):
+    """Rows of equal or null doc_id, items of null id and windows that overlap across blocks, in one block or many."""
+    w = words_of(60, 9, 10**6)
+    rows = [(None, " ".join(w[:30]), "a"), (None, "clean words only", "b"), (7, " ".join(w[5:40]) + " end", "c"), (7, "other " * 50 + " ".join(w[10:24]), "d"), (7, "clean", "e"), (8, None, "f")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, __row string").repartition(3)
+    benchmark = spark.createDataFrame([(1, " ".join(w[:20])), (2, " ".join(w[12:34])), (None, " ".join(w[8:26])), (None, " ".join(w[20:40]))], "item_id long, text string")
+
+    def results():
+        return [sorted(map(str, x.collect())) for x in (decontaminate.judge(documents, benchmark), decontaminate.remove(documents, benchmark), decontaminate.remove(documents, benchmark, whole=False))]
+
+    one = results()
+    assert len(one[0]) == len(one[2]) == 6 and sorted(x[-3] for x in one[1]) == ["b", "e", "f"]
+    assert any("n_words=30, n_hit=30, n_items=3," in x for x in one[0])
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 1)
+    assert results() == one
+
+
 # op10
 
 
