@@ -3,7 +3,8 @@
 A page is read once into its element tree. Subtrees are hashed by their source; Spark counts on how
 many pages of a host each hash occurs; subtrees that recur on many pages of the host are templates
 and are deleted, with elements that are no main text by their kind (navigation, forms, scripts) or
-by their class, id or role (adverts, notices, comments). Of what is left, the text of the page's
+by their class, id or role (adverts, notices, comments); inside article and main only a container's
+unmistakable class or role tells so, and ids tell nothing. The text of formulas stays. Of what is left, the text of the page's
 article or main elements is taken; a page without such elements gives its body's text.
 
 Inside an article only containers (sections, lists, boxes) on half of the host's pages count as
@@ -49,7 +50,7 @@ RAW = frozenset("script style textarea title iframe noscript noembed noframes xm
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("aside center details dialog div dl fieldset figure footer form header menu nav ol section table ul".split())
 HASHED = CONTAINERS | frozenset("blockquote h1 h2 h3 h4 h5 h6 li p pre td".split())
-DROPPED = frozenset("aside audio button canvas datalist dialog footer form head iframe map math menu nav noembed noframes noscript object script select style svg template textarea video".split())
+DROPPED = frozenset("annotation annotation-xml aside audio button canvas datalist dialog footer form head iframe map menu nav noembed noframes noscript object script select style svg template textarea video".split())
 ROOTS = frozenset(("article", "main"))
 #: Words in a class, an id or a role that tell an element is no main text.
 NO_TEXT = frozenset(
@@ -58,11 +59,44 @@ NO_TEXT = frozenset(
     "newsletter subscribe subscription signup login popup modal overlay dialog share sharing social related recommended recommendations comment comments "
     "commentlist disqus reply replies respond search toolbar copyright masthead disclaimer form".split()
 )
+#: Inside article and main a role of these, or a class whose words are all of SURE or PARTS, one of SURE at least, or that is named whole.
+ROLES = frozenset("navigation banner complementary contentinfo search menu menubar toolbar dialog alertdialog form".split())
+SURE = frozenset(
+    "ad ads adbox advert advertisement advertisements adverts adsense sponsored promo nav navbar navigation menubar sidebar sidebars breadcrumb breadcrumbs "
+    "pagination newsletter popup comments commentlist disqus".split()
+)
+PARTS = frozenset("area bar block body bottom box container footer form header inner left link links list main right section slot top unit widget wrap wrapper".split())
+WHOLE = frozenset("comment-list comment-form comment-respond related-posts related-articles share-buttons sharing-buttons social-share cookie-notice cookie-banner".split())
 _CLOSES_P = BLOCKS - {"br", "body", "html", "head", "title", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _SIBLINGS = {"li": {"li"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
+def label_tells(tag: str, name: str, value: str, inside: bool) -> bool:
+    """Whether a class, an id or a role tells that an element is no main text.
+
+    An id is often made from a heading's words: inside article and main it tells nothing, elsewhere
+    only on a container and if all its words are labels. A class or role inside must be unmistakable
+    and stand on a container.
+    """
+    words = [x for x in re.split(r"[^a-z0-9]+", value) if x]
+    if inside:
+        if tag not in CONTAINERS and tag != "article":
+            return False
+        if name == "role":
+            return not ROLES.isdisjoint(value.split())
+        if name == "class":
+            for token in value.split():
+                own = {x for x in re.split(r"[^a-z0-9]+", token) if x and not x.isdigit()}
+                if token in WHOLE or (own and own <= SURE | PARTS and not own.isdisjoint(SURE)):
+                    return True
+        return False
+    if name == "id":
+        own = {x for x in words if not x.isdigit()}
+        return tag in CONTAINERS and bool(own) and own <= NO_TEXT | PARTS and (not own.isdisjoint(NO_TEXT) or "header" in own)
+    return not NO_TEXT.isdisjoint(words) or ("header" in words and tag in CONTAINERS)
+
+
 def no_text(tag: str, attributes: str, in_root: bool) -> bool:
     """Whether an element is no main text by its kind or its labels."""
     if tag in DROPPED or (tag == "header" and not in_root):
@@ -74,10 +108,8 @@ def no_text(tag: str, attributes: str, in_root: bool) -> bool:
         name = name.lower()
         if hidden or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
-        if name in ("class", "id", "role"):
-            words = re.split(r"[^a-z0-9]+", value)
-            if not NO_TEXT.isdisjoint(words) or ("header" in words and not in_root and tag in CONTAINERS):
-                return True
+        if name in ("class", "id", "role") and label_tells(tag, name, value, in_root or tag in ROOTS):
+            return True
     return False
 
 

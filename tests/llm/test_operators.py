@@ -177,6 +177,18 @@ def test_html_rules(spark):
     assert html_text.texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_generated_ids_stay():
+    """Ids made from headings, common words as classes, and formulas are no reason to drop an article's text."""
+    article = (
+        '<article id="comment-policy"><h2 id="related-work">Related work</h2><section id="social-structure"><p>Social text</p></section><p><span id="Search_methods">Search</span> '
+        '<span class="share">share</span> <math><mi>x</mi><annotation>tex</annotation></math></p><div class="alert">Mind</div>'
+        '<div class="ad">buy</div><div class="comments-area">me</div><div role="navigation">next</div><div class="share-buttons">post</div></article>'
+    )
+    assert html_text.Page(f"<body>{article}</body>").main_text(set()) == "Related work Social text Search share x Mind"
+    outside = '<body><div id="sidebar-left">side</div><div id="comments">me</div><div class="ad">buy</div><h2 id="related-work">Related</h2><section id="social-structure">Text</section></body>'
+    assert html_text.Page(outside).main_text(set()) == "Related Text"
+
+
 def test_html_copies_are_no_templates(spark):
     """Copies of a page, with one page_id or many, count as one page of their host."""
     page = "<body><h1>Title</h1><div>Own box</div><p>Own text</p></body>"
