@@ -3,15 +3,20 @@
 Canonical form: lines that begin with a copyright mark go; A-Z are lower-cased; runs of ASCII
 characters other than letters and digits become one space; equivalent spellings become one. Two
 texts with equal canonical forms have equal SHA-256 digests, so a whole text, or a whole line of
-one, is looked up by an equi-join to the digests of known texts. Known texts are a table; Spark
+one, is looked up by an equi-join to the digests of known texts. Known texts are a table, by default
+KNOWN and the files of TEXTS (whole licences and standard headers by SPDX identifier); Spark
 broadcasts it by itself while its size is under the session's threshold, else it shuffles.
 
 Null and empty texts, and texts of nothing but copyright lines, have an empty canonical form, which
-matches nothing. Repeated documents are judged one by one; other columns are ignored.
+matches nothing. Repeated documents, also those of equal or null doc_id, are judged one by one; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +84,27 @@ KNOWN = [
 ]
 
 
+#: A shipped licence text per file, named by its identifier; `.header` marks a standard header.
+TEXTS = Path(__file__).parent / "license_texts"
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def shipped() -> list[tuple[str, str]]:
+    """Identifier and text of each file of TEXTS; what tells how to apply a licence may be left out."""
+    out = []
+    for file in sorted(TEXTS.glob("*.txt")):
+        name, text = file.name.removesuffix(".txt").removesuffix(".header"), file.read_text()
+        terms, end, _ = text.partition(TERMS_END)
+        out += [(name, x) for x in ([text, terms, terms + end] if end else [text])]
+    return out
+
+
+@lru_cache(maxsize=2)
+def _digests(spark: SparkSession) -> list[tuple[str, str]]:
+    """The default known texts' digests, made once a session: some dozens of rows."""
+    return [tuple(x) for x in known_table(spark, KNOWN + shipped()).select("license_id", "digest").collect()]
+
+
 def canonical(text: Column) -> Column:
     """The canonical form with line breaks left in; a null text's is null."""
     out = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT, "")
@@ -97,25 +123,27 @@ def digest(canon: Column) -> Column:
 
 def known_table(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """license_id and digest of each known text's canonical form."""
-    rows = [F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in (known if known is not None else KNOWN)]
+    made = known is None
+    rows = [F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("digest" if made else "text")) for i, t in (_digests(spark) if made else known)]
     texts = spark.range(1).select(F.inline(F.array(*rows)))
-    return texts.select("license_id", digest(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    digests = F.col("digest") if made else digest(canonical(F.col("text")))
+    return texts.select("license_id", digests.alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per document: digest of the canonical text, licence of the whole text, licences of whole lines.
 
     `notices` are the licences of single lines, sorted and comma-joined (empty if none), and
-    `n_notices` counts such lines. Rows that share a doc_id share one result row.
+    `n_notices` counts such lines. Every row has a result row, whatever its doc_id.
     """
     known = known if known is not None else known_table(documents.sparkSession)
-    canon = documents.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canon"))
+    canon = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canon"))
     units = F.concat(
         F.array(F.struct(F.lit(True).alias("whole"), digest(F.col("canon")).alias("digest"))),
         F.transform(F.split("canon", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(F.trim(x), 256).alias("digest"))),
     )
-    met = canon.select("doc_id", F.inline(units)).join(known, "digest", "left").where("whole OR license_id IS NOT NULL")
-    found = met.groupBy("doc_id").agg(
+    met = canon.select("row", "doc_id", F.inline(units)).join(known, "digest", "left").where("whole OR license_id IS NOT NULL")
+    found = met.groupBy("row", "doc_id").agg(
         F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"),
         F.max(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
         F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))).alias("names"),

@@ -418,3 +418,12 @@ def test_licenses(spark, empty):
     assert got[1][0] == name and got[2] == (None, "MIT", 1)
     assert all(got[i][0] is None and got[i][2] == 0 for i in (3, 4, 5)) and got[6][0] is None
     assert licenses.scan(empty).count() == 0
+
+
+def test_license_rows_and_shipped_texts(spark):
+    """Rows of equal or null doc_id have results of their own; whole shipped licences and headers are known."""
+    read = lambda name: (licenses.TEXTS / f"{name}.txt").read_text()
+    names = ["Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Unlicense"]
+    rows = [(1, read(x)) for x in names] + [(None, read("GPL-3.0-only").split(licenses.TERMS_END)[0]), (None, read("GPL-3.0-or-later.header")), (None, "None"), (None, "None")]
+    got = sorted(str(r.license_id) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([*names, "GPL-3.0-only", "GPL-3.0-or-later", "None", "None"])
