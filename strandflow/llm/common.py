@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.llm.textkernel import BATCH_ROWS
@@ -27,12 +29,12 @@ def small_batches(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that the cluster names.
 
-    Only where spark.checkpoint.dir is unset, as in tests, a local folder is used. The shuffle files
-    that led to the checkpoint are not needed any more and are removed with it.
+    The shuffle files that led to the checkpoint are not needed any more and are removed with it; the
+    checkpoint itself goes when Spark is told so (spark.cleaner.referenceTracking.cleanCheckpoints).
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
@@ -48,20 +50,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def rename_clash(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the columns an operator reads, whatever else the table holds."""
-    return df.select(*[F.col(c) for c in keep])
-
-
 #: An internal document key: doc_id, with the least long for null, so that joins keep such rows.
 KEY = "__key"
 NO_ID = -(2**63)
 
 
+def key_column() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(KEY)
+
+
 def keyed(documents: DataFrame, *columns: str) -> DataFrame:
     """KEY and the columns named; every other column is left out, so none can clash."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(KEY)
-    return documents.select(key, *columns)
+    return documents.select(key_column(), *columns)
 
 
 def group_count(documents: DataFrame, rows: int) -> int:
@@ -69,6 +69,22 @@ def group_count(documents: DataFrame, rows: int) -> int:
     return max(partitions(documents.sparkSession), documents.count() // rows + 1)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; where it is unset, a folder of this machine if all of Spark runs here."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder that spark.checkpoint.dir names (a local one if unset)."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared folder, by whatever file system it lies on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,19 +1,27 @@
 """Reversible line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
-A line's key is the line without white space at both ends and with A-Z lower-cased. The state has a
-row per shard of key digests: the exact table (128-bit digests of keys of at least MIN_CHARS code
-points, the number of documents that hold each, and the largest of these) and a cuckoo filter of the
-keys that at least MIN_DOCS documents hold. Inserting documents adds counts, deleting them takes
-counts off again; keys that cross the threshold enter or leave the filter, so any sequence of
-insertions and deletions gives the state that the remaining documents alone would give.
-
-Deduping documents screens their lines by the filters and looks up what passes in the exact tables,
-shard by shard; lines held elsewhere by a larger document go, with all their repeats. Filters are
-broadcast while they stay under FILTER_BYTES; beyond that every key is sent to its shard, with the
-same result. A task sends each key once with its count, so a hot line costs one entry per task.
-
-Null and empty texts are one empty line; rows with equal doc_id should not occur (each row counts as
-a document); a null doc_id counts as the smallest. All other columns are kept.
+A line's key is the line without white space at both ends and with A-Z lower-cased, if it has
+MIN_CHARS code points or more; it is known by its 128-bit BLAKE2b digest. The state is three tables:
+
+* `holders`: each key with each document that holds it, once;
+* `keys`: each key's reference count (the documents that hold it) and the largest of them;
+* `filters`: a row per shard of keys, a cuckoo filter of those that MIN_DOCS documents hold.
+
+Inserting documents adds what is new to them and counts it; deleting documents, named by their ids,
+takes their holders away, counts down, and asks the holders left for the largest of the keys
+concerned: no text is read. Keys that cross the threshold enter or leave the filter of their shard, so
+any sequence of insertions and deletions gives what the remaining documents alone would give.
+
+Deduping documents screens their lines by the filters and joins what passes to the exact table; lines
+that a larger document keeps go, with all their repeats. Filters are broadcast while they stay under
+FILTER_BYTES; beyond that every key is joined, with the same result. A key that a third of all
+documents hold is counted by partial sums, and its join is one that Spark splits as skewed.
+
+Null and empty texts are one empty line and stay null or empty. Rows with equal doc_id are one
+document: a line that only they hold counts once, and is kept in all of them if it is kept. A null
+doc_id counts as the smallest. Deleting a document that never came, or inserting one again, changes
+nothing. An empty table gives an empty one. All columns are kept; n_lines and n_dropped replace
+columns of these names.
 """
 
 from __future__ import annotations
@@ -22,18 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import KEY, NO_ID, cut, group_count, keyed, small_batches
-from strandflow.llm.hashmeet import by_owner
-from strandflow.llm.textkernel import LOWER, SPACE, chunks, ids_of, span_hash
+from strandflow.llm.common import KEY, cut, group_count, key_column, keyed, small_batches
+from strandflow.llm.textkernel import LOWER, SPACE, chunks, ids_of, long_digests
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: What a broadcast of all shards' filters may take.
 FILTER_BYTES = 32 << 20
-#: Documents whose lines one shard takes on, and keys that a task gathers before it packs them.
-DOCS_A_SHARD, FLUSH = 20_000, 500_000
+#: Documents whose lines one shard takes on.
+DOCS_A_SHARD = 20_000
+#: A key's digest, in two columns.
+DIGEST = ["__one", "__two"]
 
 
 class CuckooFilter:
@@ -116,248 +125,169 @@ def line_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, first
 
 
-def line_keys(buf: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which lines have a key that is long enough, two digests of each such key, and first lines of texts."""
+def line_keys(buf: np.ndarray, offsets: np.ndarray, min_chars: int, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which lines have a key that is long enough (of `some` texts only), the digest of each, and first lines of texts."""
     starts, ends, first = line_spans(buf, offsets)
-    space = SPACE[buf] if len(buf) else np.zeros(0, bool)
-    text = np.flatnonzero(~space)  # ends of a line's key: the first and last characters that are no space
-    lo, hi = np.searchsorted(text, starts), np.searchsorted(text, ends)
-    some = np.flatnonzero(hi > lo)
-    if not len(some):
-        return some, np.zeros(0, np.uint64), np.zeros(0, np.uint64), first
-    a, b = text[lo[some]], text[hi[some] - 1] + 1
+    lines = np.arange(len(starts)) if some is None else np.flatnonzero(np.repeat(some, np.diff(first)))
+    if not len(lines) or not len(buf):
+        return lines[:0], np.zeros((0, 2), np.uint64), first
+    text = np.flatnonzero(~SPACE[buf])  # ends of a line's key: the first and last characters that are no space
+    lo, hi = np.searchsorted(text, starts[lines]), np.searchsorted(text, ends[lines])
+    full = hi > lo
+    lines, a, b = lines[full], text[lo[full]], text[hi[full] - 1] + 1
     points = np.zeros(len(buf) + 1, np.int64)
     np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
     long = points[b] - points[a] >= min_chars
-    some, a, b = some[long], a[long], b[long]
-    low = LOWER[buf]
-    return some, span_hash(low, a, b), span_hash(low ^ np.uint8(0x55), a, b), first
+    lines, a, b = lines[long], a[long], b[long]
+    return lines, long_digests(LOWER[buf].tobytes(), a, b), first
 
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+def _pairs(documents: DataFrame, min_chars: int, screen=None, shards: int = 0) -> DataFrame:
+    """A row per document row and key: DIGEST, KEY; with `screen`, a broadcast of filters by shard, only keys that pass."""
+    small_batches(documents.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = {s: CuckooFilter.from_bytes(f) for s, f in screen.value.items()} if screen else None
+        for batch, buf, offsets in chunks(batches):
+            lines, keys, first = line_keys(buf, offsets, min_chars)
+            if filters is not None:
+                go, shard = np.zeros(len(lines), bool), shard_of(keys[:, 0], shards)
+                for s in np.unique(shard).tolist():
+                    if s in filters:
+                        at = np.flatnonzero(shard == s)
+                        go[at] = filters[s].holds(keys[at, 0])
+                lines, keys = lines[go], keys[go]
+            doc = np.searchsorted(first, lines, side="right") - 1
+            order = np.lexsort((keys[:, 1], keys[:, 0], doc))
+            keys, doc = keys[order], doc[order]
+            new = np.ones(len(doc), bool)  # a text's repeats of a line
+            new[1:] = (keys[1:] != keys[:-1]).any(1) | (doc[1:] != doc[:-1])
+            one, two = np.ascontiguousarray(keys[new].view(np.int64).T)
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids_of(batch, KEY)[doc[new]])], names=[*DIGEST, KEY])
 
-_DELTA = "shard int, kind int, keys binary, counts binary, holders binary"
-_DELTA_NAMES = ["shard", "kind", "keys", "counts", "holders"]
-_DELTA_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-#: Kinds of rows that meet in a shard: its state, documents coming, going, and staying.
-STATE, COMING, GOING, STAYING = range(4)
+    return keyed(documents, "text").mapInArrow(run, f"{DIGEST[0]} long, {DIGEST[1]} long, {KEY} long")
 
 
-def _reduce(keys: np.ndarray, counts: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums and maxima by key (n x 2 digests)."""
-    order = np.lexsort((keys[:, 1], keys[:, 0]))
-    keys, counts, holders = keys[order], counts[order], holders[order]
-    begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.zeros(0, np.int64)
-    if not len(begin):
-        return keys, counts, holders
-    return keys[begin], np.add.reduceat(counts, begin), np.maximum.reduceat(holders, begin)
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (keys % np.uint64(shards)).astype(np.int64)
 
 
-def _counts(documents: DataFrame, shards: int, kind: int, min_chars: int) -> DataFrame:
-    """Each task's keys by shard, with the number of its documents that hold them and the largest."""
-    small_batches(documents.sparkSession)
+def _shard_column(shards: int) -> Column:
+    """The same of the signed column."""
+    one = F.col(DIGEST[0])
+    return F.pmod(F.pmod(one, F.lit(shards)) + F.when(one < 0, F.lit((1 << 64) % shards)).otherwise(0), F.lit(shards)).cast("int").alias("shard")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
 
-        def flush() -> pa.RecordBatch:
-            keys, docs = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            keys, counts, holders = _reduce(keys, np.ones(len(keys), np.int64), docs)
-            edges = np.searchsorted(_shard(keys[:, 0], shards), np.arange(shards + 1))
-            rows = [(s, kind, keys[a:b].tobytes(), counts[a:b].tobytes(), holders[a:b].tobytes()) for s in range(shards) if (a := edges[s]) < (b := edges[s + 1])]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _DELTA_KINDS, strict=True)], names=_DELTA_NAMES)
+def _new_filter(table: pa.Table) -> pa.Table:
+    keys = table.column(DIGEST[0]).to_numpy().view(np.uint64)
+    return pa.table({"shard": table.column("shard").slice(0, 1), "filter": pa.array([CuckooFilter.of(keys).to_bytes()], pa.binary())})
 
-        for batch, buf, offsets in chunks(batches):
-            lines, one, two, first = line_keys(buf, offsets, min_chars)
-            if not len(lines):
-                continue
-            doc = np.searchsorted(first, lines, side="right") - 1
-            order = np.lexsort((two, one, doc))
-            keys, doc = np.stack([one, two], axis=1)[order], doc[order]
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1) | (doc[1:] != doc[:-1])])
-            held.append((keys[new], ids_of(batch, KEY)[doc[new]]))
-            size += int(new.sum())
-            if size >= FLUSH:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
-
-    return keyed(documents, "text").mapInArrow(run, _DELTA)
-
-
-_STATE = "shard int, keys binary, counts binary, holders binary, filter binary"
-
-
-def _merge(table: pa.Table, min_docs: int) -> pa.Table:
-    rows = list(zip(*(table.column(c).to_pylist() for c in [*_DELTA_NAMES, "filter"]), strict=True))
-
-    def part(*kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = [r for r in rows if r[1] in kinds]
-        return _reduce(np.frombuffer(b"".join(r[2] for r in own), np.uint64).reshape(-1, 2), np.frombuffer(b"".join(r[3] for r in own), np.int64), np.frombuffer(b"".join(r[4] for r in own), np.int64))
-
-    keys, counts, holders = part(STATE, COMING)
-    went, gone, _ = part(GOING)
-    if len(went):
-        where = {k.tobytes(): i for i, k in enumerate(keys)}
-        at = np.array([where[k.tobytes()] for k in went])  # documents that go must have come before
-        counts = counts.copy()
-        counts[at] -= gone
-        stay, _, largest = part(STAYING)
-        known = {k.tobytes(): int(h) for k, h in zip(stay, largest, strict=True)}
-        holders = holders.copy()
-        holders[at] = [known.get(k.tobytes(), NO_ID) for k in went]
-    old = next((CuckooFilter.from_bytes(r[5]) for r in rows if r[1] == STATE), None)
-    if old is None:
-        filter_ = CuckooFilter.of(keys[counts >= min_docs][:, 0])
-    else:
-        was, before, _ = part(STATE)
-        then = {k.tobytes() for k, n in zip(was, before, strict=True) if n >= min_docs}
-        filter_ = old
-        for k, n in zip(keys, counts, strict=True):
-            if (k.tobytes() in then) == (n >= min_docs):
-                continue
-            if not (filter_.insert(int(k[0])) if n >= min_docs else filter_.delete(int(k[0]))):
-                filter_ = CuckooFilter.of(keys[counts >= min_docs][:, 0])
-                break
-    live = counts > 0
-    return pa.table({"shard": pa.array([rows[0][0]], pa.int32()), "keys": pa.array([keys[live].tobytes()], pa.binary()), "counts": pa.array([counts[live].tobytes()], pa.binary()), "holders": pa.array([holders[live].tobytes()], pa.binary()), "filter": pa.array([filter_.to_bytes()], pa.binary())})
+
+def _changed_filter(events: pa.Table, state: pa.Table) -> pa.Table:
+    """The shard's filter after its keys came and went; null if it must be made anew, as it has no room."""
+    shard = (events if events.num_rows else state).column("shard").slice(0, 1)
+    old = state.column("filter")[0].as_py() if state.num_rows else None
+    filter_ = CuckooFilter.from_bytes(old) if old else None
+    for key, comes in zip(events.column(DIGEST[0]).to_numpy().view(np.uint64).tolist(), events.column("comes").to_pylist(), strict=True):
+        if filter_ and not (filter_.insert(key) if comes else filter_.delete(key)):
+            filter_ = None
+    return pa.table({"shard": shard, "filter": pa.array([filter_.to_bytes() if filter_ else None], pa.binary())})
 
 
 class LineIndex:
-    """The state as a DataFrame, one row per shard; save it as a table between runs."""
+    """The state; `save` keeps it between runs."""
 
-    def __init__(self, state: DataFrame, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
-        self.state, self.shards, self.min_chars, self.min_docs = state, shards, min_chars, min_docs
+    def __init__(self, holders: DataFrame, keys: DataFrame, filters: DataFrame, shards: int, min_chars: int, min_docs: int):
+        self.holders, self.keys, self.filters = holders, keys, filters
+        self.shards, self.min_chars, self.min_docs = shards, min_chars, min_docs
 
     @classmethod
     def build(cls, documents: DataFrame, shards: int | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> "LineIndex":
         shards = shards or group_count(documents, DOCS_A_SHARD)
-        coming = _counts(documents, shards, COMING, min_chars).withColumn("filter", F.lit(None).cast("binary"))
-        state = coming.groupBy("shard").applyInArrow(lambda t: _merge(t, min_docs), _STATE)
-        return cls(cut(state), shards, min_chars, min_docs)
-
-    def _with(self, *parts: DataFrame) -> "LineIndex":
-        rows = self.state.withColumn("kind", F.lit(STATE))
-        for p in parts:
-            rows = rows.unionByName(p.withColumn("filter", F.lit(None).cast("binary")))
-        min_docs = self.min_docs
-        state = rows.groupBy("shard").applyInArrow(lambda t: _merge(t, min_docs), _STATE)
-        return LineIndex(cut(state), self.shards, self.min_chars, self.min_docs)
+        holders = _pairs(documents, min_chars).distinct()
+        keys = cut(holders.groupBy(*DIGEST).agg(F.count("*").alias("n"), F.max(KEY).alias("largest")).select(_shard_column(shards), *DIGEST, "n", "largest"))
+        return cls(holders, keys, cut(cls._filters(keys, min_docs)), shards, min_chars, min_docs)
 
-    def insert(self, documents: DataFrame) -> "LineIndex":
-        return self._with(_counts(documents, self.shards, COMING, self.min_chars))
+    @staticmethod
+    def _filters(keys: DataFrame, min_docs: int) -> DataFrame:
+        return keys.where(F.col("n") >= min_docs).select("shard", DIGEST[0]).groupBy("shard").applyInArrow(_new_filter, "shard int, filter binary")
+
+    def save(self, folder: str) -> None:
+        for name in ("holders", "keys", "filters"):
+            getattr(self, name).write.mode("errorifexists").parquet(f"{folder}/{name}")
+        rows = [(self.shards, self.min_chars, self.min_docs)]
+        self.keys.sparkSession.createDataFrame(rows, "shards int, min_chars int, min_docs int").write.parquet(f"{folder}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> "LineIndex":
+        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in ("holders", "keys", "filters")), *spark.read.parquet(f"{folder}/settings").first())
+
+    def _with(self, holders: DataFrame, keys: DataFrame) -> "LineIndex":
+        """The state of these holders and keys, which have the count before as `was`."""
+        keys, hot = cut(keys), lambda n: F.coalesce(F.col(n), F.lit(0)) >= self.min_docs
+        events = keys.where(hot("n") != hot("was")).select("shard", DIGEST[0], hot("n").alias("comes"))
+        changed = cut(events.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_changed_filter, "shard int, filter binary"))
+        keys = keys.where("n > 0").drop("was")
+        anew = self._filters(keys.join(changed.where("filter is null").select("shard"), "shard", "left_semi"), self.min_docs)
+        filters = cut(changed.where("filter is not null").unionByName(anew))
+        return LineIndex(cut(holders), keys, filters, self.shards, self.min_chars, self.min_docs)
 
-    def delete(self, gone: DataFrame, remaining: DataFrame) -> "LineIndex":
-        """Take documents out again; the remaining ones tell who now is the largest holder of a line."""
-        return self._with(_counts(gone, self.shards, GOING, self.min_chars), _counts(remaining, self.shards, STAYING, self.min_chars))
+    def insert(self, documents: DataFrame) -> "LineIndex":
+        new = cut(_pairs(documents, self.min_chars).distinct().join(self.holders, [*DIGEST, KEY], "left_anti"))
+        more = new.groupBy(*DIGEST).agg(F.count("*").alias("more"), F.max(KEY).alias("high"))
+        none = lambda c: F.coalesce(F.col(c), F.lit(0))
+        keys = self.keys.join(more, DIGEST, "full").select(_shard_column(self.shards), *DIGEST, (none("n") + none("more")).alias("n"), F.greatest("largest", "high").alias("largest"), F.col("n").alias("was"))
+        return self._with(self.holders.unionByName(new), keys)
+
+    def delete(self, documents: DataFrame) -> "LineIndex":
+        """Take out again every document whose doc_id is among those of `documents`; no other column is read."""
+        ids = keyed(documents).distinct()
+        fewer = cut(self.holders.join(ids, KEY, "left_semi").groupBy(*DIGEST).agg(F.count("*").alias("fewer")))
+        left = cut(self.holders.join(ids, KEY, "left_anti"))
+        high = left.join(fewer, DIGEST, "left_semi").groupBy(*DIGEST).agg(F.max(KEY).alias("high"))
+        n = F.col("n") - F.coalesce("fewer", F.lit(0))
+        largest = F.when(F.col("fewer").isNull(), F.col("largest")).otherwise(F.col("high")).alias("largest")
+        keys = self.keys.join(fewer, DIGEST, "left").join(high, DIGEST, "left").select("shard", *DIGEST, n.alias("n"), largest, F.col("n").alias("was"))
+        return self._with(left, keys)
 
     def dedup(self, documents: DataFrame, text: str = "text") -> DataFrame:
         """All rows and columns, with `text` without repeated lines, and n_lines and n_dropped."""
+        documents = documents.withColumnRenamed(text, "text") if text != "text" else documents
         gone = self._repeats(documents)
         min_chars = self.min_chars
-        names = [f for f in documents.columns if f not in ("n_lines", "n_dropped")]
+        names = [f for f in documents.columns if f.lower() not in ("n_lines", "n_dropped")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, buf, offsets in chunks(batches):
-                lines, one, two, first = line_keys(buf, offsets, min_chars)
-                known = batch.column(batch.schema.get_field_index("__gone")).to_pylist()
-                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                edges = np.searchsorted(lines, first)
-                dropped = np.zeros(batch.num_rows, np.int64)
-                for d, keys in enumerate(known):
-                    if not keys:
-                        continue
-                    bad = {bytes(k[i : i + 16]) for k in keys for i in range(0, len(k), 16)}
-                    a, b = edges[d], edges[d + 1]
-                    drop = {int(lines[i] - first[d]) for i in range(a, b) if one[i].tobytes() + two[i].tobytes() in bad}
-                    texts[d] = "\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in drop)
-                    dropped[d] = len(drop)
-                out = [pa.array(texts, pa.string()) if n == text else batch.column(batch.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(np.diff(first), pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+                at = lambda n: batch.column(batch.schema.get_field_index(n))
+                known = at("__gone")
+                some = known.is_valid().to_numpy(zero_copy_only=False)
+                lines, keys, first = line_keys(buf, offsets, min_chars, some)
+                column, dropped = at("text"), np.zeros(batch.num_rows, np.int64)
+                if some.any():
+                    texts, edges, one = column.to_pylist(), np.searchsorted(lines, first), keys.view(np.int64)
+                    for d in np.flatnonzero(some):
+                        bad = {(k[DIGEST[0]], k[DIGEST[1]]) for k in known[int(d)].as_py()}
+                        drop = {int(lines[i] - first[d]) for i in range(edges[d], edges[d + 1]) if (int(one[i, 0]), int(one[i, 1])) in bad}
+                        texts[d] = "\n".join([x for i, x in enumerate(texts[d].split("\n")) if i not in drop])
+                        dropped[d] = len(drop)
+                    column = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*[column if n == "text" else at(n) for n in names], pa.array(np.diff(first), pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in names)
-        key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(KEY)
-        joined = documents.select(key, *[F.col(f"`{n}`") for n in names]).join(gone.hint("shuffle_hash"), KEY, "left")
-        return joined.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long")
+        joined = documents.select(key_column(), *[F.col(f"`{n}`") for n in names]).join(gone.hint("shuffle_hash"), KEY, "left")
+        out = joined.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long")
+        return out.withColumnRenamed("text", text) if text != "text" else out
 
     def _repeats(self, documents: DataFrame) -> DataFrame:
         """KEY and `__gone`: digests of the document's lines that a larger document keeps."""
-        small_batches(documents.sparkSession)
-        shards, min_chars, min_docs = self.shards, self.min_chars, self.min_docs
-        size = self.state.agg(F.sum(F.length("filter"))).first()[0] or 0
         screen = None
-        if size <= FILTER_BYTES:
-            screen = documents.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in self.state.select("shard", "filter").toLocalIterator()})
-
-        def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {s: CuckooFilter.from_bytes(f) for s, f in screen.value.items()} if screen else None
-            held: list[tuple[np.ndarray, ...]] = []
-            size = 0
-
-            def flush() -> pa.RecordBatch:
-                keys, docs, shard = (np.concatenate([h[i] for h in held]) for i in range(3))
-                order = np.lexsort((docs, shard))
-                keys, docs, shard = keys[order], docs[order], shard[order]
-                edges = np.searchsorted(shard, np.arange(shards + 1))
-                rows = [(s, keys[a:b].tobytes(), docs[a:b].tobytes()) for s in range(shards) if (a := edges[s]) < (b := edges[s + 1])]
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "line_keys", "docs"])
-
-            for batch, buf, offsets in chunks(batches):
-                lines, one, two, first = line_keys(buf, offsets, min_chars)
-                shard = _shard(one, shards)
-                go = np.arange(len(lines))
-                if filters is not None:
-                    go = go[:0]
-                    order = np.argsort(shard, kind="stable")
-                    edges = np.searchsorted(shard[order], np.arange(shards + 1))
-                    for s, f in filters.items():
-                        at = order[edges[s] : edges[s + 1]]
-                        go = np.concatenate([go, at[f.holds(one[at])]])
-                if len(go):
-                    doc = ids_of(batch, KEY)[np.searchsorted(first, lines[go], side="right") - 1]
-                    held.append((np.stack([one[go], two[go]], axis=1), doc, shard[go]))
-                    size += len(go)
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
-            if size:
-                yield flush()
-
-        def hot_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for row in batch.to_pylist():
-                    hot = np.frombuffer(row["counts"], np.int64) >= min_docs
-                    rows.append((row["shard"], np.frombuffer(row["keys"], np.uint64).reshape(-1, 2)[hot].tobytes(), np.frombuffer(row["holders"], np.int64)[hot].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "holders"])
-
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                docs_out, keys_out = [], []
-                for row in batch.to_pylist():
-                    table, holder = np.frombuffer(row["keys"], np.uint64).reshape(-1, 2), np.frombuffer(row["holders"], np.int64)
-                    keys, docs = np.frombuffer(row["line_keys"], np.uint64).reshape(-1, 2), np.frombuffer(row["docs"], np.int64)
-                    if not len(table):
-                        continue
-                    at = np.minimum(np.searchsorted(table[:, 0], keys[:, 0]), len(table) - 1)
-                    go = (table[at] == keys).all(1) & (holder[at] != docs)
-                    for i in np.flatnonzero((table[at, 0] == keys[:, 0]) & (table[at, 1] != keys[:, 1])):  # equal first digests
-                        same = np.flatnonzero((table == keys[i]).all(1))
-                        go[i] = len(same) > 0 and holder[same[0]] != docs[i]
-                    o, who, n = by_owner(docs[go])
-                    found, ends = keys[go][o], np.cumsum(n)
-                    docs_out += who.tolist()
-                    keys_out += [np.unique(found[e - k : e], axis=0).tobytes() for e, k in zip(ends, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs_out, pa.int64()), pa.array(keys_out, pa.binary())], names=[KEY, "gone"])
-
-        asked = keyed(documents, "text").mapInArrow(keys_of, "shard int, line_keys binary, docs binary")
-        hot = self.state.select("shard", "keys", "counts", "holders").mapInArrow(hot_of, "shard int, keys binary, holders binary")
-        met = asked.join(hot.hint("shuffle_hash"), "shard").select("keys", "holders", "line_keys", "docs")
-        return met.mapInArrow(look_up, f"{KEY} long, gone binary").groupBy(KEY).agg(F.collect_list("gone").alias("__gone"))
+        if (self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0) <= FILTER_BYTES:
+            rows = self.filters.select("shard", "filter").toLocalIterator()  # of a checked size
+            screen = documents.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in rows})
+        asked = _pairs(documents, self.min_chars, screen, self.shards)
+        hot = self.keys.where(F.col("n") >= self.min_docs).select(*DIGEST, "largest")
+        return asked.join(hot, DIGEST).where(F.col(KEY) != F.col("largest")).groupBy(KEY).agg(F.collect_set(F.struct(*DIGEST)).alias("__gone"))
 
 
 def dedup(documents: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from strandflow.llm import hashmeet
 from strandflow.llm.common import KEY, NO_ID, cut, group_count, keyed, small_batches
 from strandflow.llm.components import components
-from strandflow.llm.textkernel import SPACE, chunks, ids_of, split_words, window_hash
+from strandflow.llm.textkernel import SPACE, chunks, ids_of, long_digests, split_words, window_hash
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -89,9 +89,8 @@ def token_sets(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, buf, offsets in chunks(batches):
         sets = token_sets(buf, offsets)
-        sums = [int(s.sum()) if len(s) else 0 for s in sets]
-        mixed = [int((s * (s >> np.uint64(7) | np.uint64(1))).sum()) if len(s) else 0 for s in sets]
-        signed = [np.array(x, np.uint64).view(np.int64) for x in (sums, mixed)]
+        ends = np.cumsum([8 * len(s) for s in sets])
+        signed = long_digests(b"".join([s.tobytes() for s in sets]), np.append(0, ends[:-1]), ends).view(np.int64).T
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(KEY)), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(x, pa.int64()) for x in signed]], names=[KEY, "n", "one", "two"])
 
 

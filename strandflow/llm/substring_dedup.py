@@ -8,10 +8,15 @@ anchor extend it: the WIDTH-word windows round it are hashed, and each one's sma
 found. A word is removed where a window covers it that also starts in a document with a smaller
 doc_id; windows are judged on the input.
 
-Hot passages: a task sends each distinct hash once and answers for its own documents itself, so no
-range of hashes gets a row per document, and no pairs are made. Windows are compared by 64-bit
-hashes of 64-bit word hashes. Null and empty texts, and texts of fewer than WIDTH words, lose
-nothing; rows with equal doc_id count as one document; a null doc_id counts as the smallest.
+Hot passages: a task sends each distinct digest once and answers for its own documents itself, so no
+range of digests gets a row per document, and no pairs are made. Anchors only name candidates.
+Windows are equal if two independent hashes of their words' 128-bit digests are: 96 bits of these and
+the number of the range of digests, 128 bits within a task.
+
+Null and empty texts, and texts of fewer than WIDTH words, lose nothing. Rows with equal doc_id count
+as one document, so they keep what they share with each other and lose what a smaller one holds; a
+null doc_id counts as the smallest. An empty table gives an empty one. Only doc_id and text are read;
+other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strandflow.llm import hashmeet
 from strandflow.llm.common import KEY, NO_ID, group_count, keyed, partitions, small_batches
-from strandflow.llm.textkernel import SPACE, chunks, ids_of, split_words, window_hash
+from strandflow.llm.textkernel import SPACE, chunks, ids_of, split_words, window_digest, window_hash
 
 WIDTH, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WIDTH - PERIOD + 1
@@ -68,38 +73,44 @@ def _document_spans(docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
     return who, np.array([len(x) // 2 for x in spans], np.int64), flat.view(np.int64)
 
 
-_SCHEMA = "bucket int, hashes binary, docs binary, counts binary, starts binary"
-_NAMES = ["bucket", "hashes", "docs", "counts", "starts"]
-_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_SCHEMA = "bucket int, hashes binary, seconds binary, docs binary, counts binary, starts binary"
+_NAMES = ["bucket", "hashes", "seconds", "docs", "counts", "starts"]
+_KINDS = [pa.int32(), *[pa.binary()] * 5]
+
+
+def _later(hashes: np.ndarray, seconds: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of windows by digest and document, and which of them, in it, have a smaller document before."""
+    order = np.lexsort((docs, seconds, hashes))
+    hashes, seconds, docs = hashes[order], seconds[order], docs[order]
+    begin = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (seconds[1:] != seconds[:-1])]))
+    return order, docs > np.repeat(docs[begin], np.diff(np.append(begin, len(docs))))
 
 
 def _candidates(buckets: int):
     """Windows round shared anchors: packed by range of hashes, or answered here."""
 
-    def pack(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> Iterator[tuple]:
-        order = np.lexsort((docs, hashes))
-        hashes, docs, starts = hashes[order], docs[order], starts[order]
-        begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        least = np.repeat(docs[begin], np.diff(np.append(begin, len(hashes))))
-        later = docs > least
+    def pack(hashes: np.ndarray, seconds: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> Iterator[tuple]:
+        order, later = _later(hashes, seconds, docs)
+        hashes, seconds, docs, starts = hashes[order], seconds[order], docs[order], starts[order]
         who, n, spans = _document_spans(docs[later], starts[later])  # known already: rows without hashes
         for a in range(0, len(who), 2_000):
             b = min(a + 2_000, len(who))
-            yield int(who[a] % buckets), b"", who[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes(), spans[n[:a].sum() : n[:b].sum()].tobytes()
+            yield int(who[a] % buckets), b"", b"", who[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes(), spans[n[:a].sum() : n[:b].sum()].tobytes()
         keep = np.flatnonzero(~later)
-        bucket = ((hashes[keep] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        bucket, hashes = hashmeet.token_of(hashes, buckets)
+        edges = np.searchsorted(bucket[keep], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
             at = keep[edges[b] : edges[b + 1]]
             o, who, n = hashmeet.by_owner(docs[at])
-            yield int(b), hashes[at][o].tobytes(), who.tobytes(), n.astype(np.uint32).tobytes(), starts[at][o].astype(np.int32).tobytes()
+            at = at[o]
+            yield int(b), hashmeet.pack48(hashes[at]), hashmeet.pack48(seconds[at]), who.tobytes(), n.astype(np.uint32).tobytes(), starts[at].astype(np.int32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            rows = list(pack(*(np.concatenate([h[i] for h in held]) for i in range(3))))
+            rows = list(pack(*(np.concatenate([h[i] for h in held]) for i in range(4))))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
         for batch, buf, offsets in chunks(batches):
@@ -118,7 +129,8 @@ def _candidates(buckets: int):
                 start[p[p >= first[at[shared]]]] = True
             go = np.flatnonzero(start[:-1] & (words.room() >= WIDTH))
             if len(go):
-                held.append((window_hash(words.hashes, WIDTH)[go], ids_of(batch, KEY)[doc[go]], go - first[go]))
+                one, two = window_digest(words, WIDTH)
+                held.append((one[go], two[go], ids_of(batch, KEY)[doc[go]], go - first[go]))
                 size += len(go)
             if size >= hashmeet.FLUSH:
                 yield flush()
@@ -134,19 +146,16 @@ def _least(shards: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows, parts = [], []
-        for _, hashes, docs, counts, starts in zip(*(table.column(c).to_pylist() for c in _NAMES), strict=True):
+        for bucket, hashes, seconds, docs, counts, starts in zip(*(table.column(c).to_pylist() for c in _NAMES), strict=True):
             who, n = np.frombuffer(docs, np.int64), np.frombuffer(counts, np.uint32).astype(np.int64)
             if hashes:
-                parts.append((np.frombuffer(hashes, np.uint64), np.repeat(who, n), np.frombuffer(starts, np.int32)))
+                parts.append((hashmeet.unpack48(hashes, bucket), hashmeet.unpack48(seconds, 0), np.repeat(who, n), np.frombuffer(starts, np.int32)))
             else:
                 rows.extend(hashmeet.spread(who, n, np.frombuffer(starts, np.int64), 8, shards))
         if parts:
-            hashes, docs, starts = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            order = np.lexsort((docs, hashes))
-            hashes, docs, starts = hashes[order], docs[order], starts[order]
-            begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            later = docs > np.repeat(docs[begin], np.diff(np.append(begin, len(hashes))))
-            rows.extend(hashmeet.spread(*_document_spans(docs[later], starts[later]), 8, shards))
+            hashes, seconds, docs, starts = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            order, later = _later(hashes, seconds, docs)
+            rows.extend(hashmeet.spread(*_document_spans(docs[order][later], starts[order][later]), 8, shards))
         return hashmeet.spread_table(rows)
 
     return run

@@ -1,16 +1,17 @@
 """Vectorised word splitting and hashing of Arrow text columns.
 
 Spark deals the rows out; inside a task these helpers work on the raw UTF-8 buffers of one Arrow
-batch at a time with numpy, so that no Python object is made per word. Word hashes are polynomial
-prefix sums modulo 2**64 over a random byte table, finished by a mixer; they depend on the word's
+batch at a time with numpy, so that hardly a Python object is made per word. A byte span's digest is
+128 bits in two lanes. Spans of up to 15 bytes and their lengths fill 128 bits, which a permutation
+stirs, so no two of them have equal digests; longer spans take BLAKE2b. Digests depend on the span's
 bytes alone, so every task on every executor computes the same values.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,12 @@ CHUNK_BYTES = 1 << 20
 BATCH_ROWS = 1000
 
 _RNG = np.random.default_rng(20240601)
-_BYTE_TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LANES = _RNG.integers(1, 2**63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_LANES = _RNG.integers(1, 2**63, (4, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ROUNDS = _RNG.integers(1, 2**63, 4, dtype=np.uint64)
+#: The longest span that is stirred and not given to BLAKE2b.
+SHORT_SPAN = 15
+#: Masks of the first 0 to 8 bytes of a little-endian 64-bit number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def _mask(spans: list[tuple[int, int]]) -> np.ndarray:
@@ -52,33 +55,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _BASE_INV):
-        p = np.full(n + 1, base, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def long_digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """BLAKE2b digests of 128 bits of the byte spans, a row of two lanes for each."""
+    spans = zip(starts.tolist(), ends.tolist(), strict=True)
+    return np.frombuffer(b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in spans]), "<u8").reshape(-1, 2)
 
 
-def span_hash(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each byte span; equal bytes have equal hashes wherever they stand."""
-    n = 1 << max(10, int(len(mapped)).bit_length())
-    power, inverse = _powers(n)
-    sums = np.zeros(len(mapped) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_TABLE[mapped] * power[: len(mapped)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
+def span_digest(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two lanes of each byte span's digest; equal bytes have equal digests wherever they stand."""
+    padded = np.zeros(len(mapped) + 16, np.uint8)
+    padded[: len(mapped)] = mapped
+    eight = np.ndarray((len(mapped) + 9,), "<u8", padded.data, strides=(1,))  # the 8 bytes from each place on
+    size = ends - starts
+    one = eight[starts] & _FIRST[np.minimum(size, 8)]
+    two = size.astype(np.uint64) << np.uint64(56)
+    more = np.flatnonzero(size > 8)
+    two[more] |= eight[starts[more] + 8] & _FIRST[np.minimum(size[more] - 8, 7)]
+    for k in (0, 2):
+        two ^= mix(one + _ROUNDS[k])
+        one ^= mix(two + _ROUNDS[k + 1])
+    long = np.flatnonzero(size > SHORT_SPAN)
+    if len(long):
+        one[long], two[long] = long_digests(mapped.tobytes(), starts[long], ends[long]).T
+    return one, two
 
 
 @dataclass
 class Words:
-    """Words of a chunk of texts: byte spans, hashes, and each text's first word (n + 1 entries)."""
+    """Words of a chunk of texts: byte spans, both lanes of their digests, and each text's first word (n + 1 entries)."""
 
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
+    second: np.ndarray
     first: np.ndarray
 
     @property
@@ -89,32 +98,29 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def windows(self, width: int, lane: int = 0) -> np.ndarray:
-        """Hash of the `width` words from each word on; past the chunk's end the rest counts as none."""
-        return window_hash(self.hashes, width, lane)
-
     def room(self) -> np.ndarray:
         """How many words of its text stand from each word on."""
-        return np.repeat(self.first[1:], self.counts) - np.arange(len(self.hashes))
+        return np.repeat(self.first[1:], self.counts) - np.arange(len(self.starts))
 
 
 def window_hash(hashes: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of the `width` words from each word on; past the end the rest counts as none."""
     out = np.zeros(len(hashes), dtype=np.uint64)
     for k in range(min(width, len(hashes))):
         out[: len(hashes) - k] += hashes[k:] * _LANES[lane, k]
     return mix(out + np.uint64(width))
 
 
-def sequence_hash(hashes: np.ndarray, lane: int = 0) -> int:
-    """The hash that a window holding exactly these words has."""
-    return int(window_hash(hashes, len(hashes), lane)[0])
+def window_digest(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the windows, one of either lane of the words' digests."""
+    return window_hash(words.hashes, width, 0), window_hash(words.second, width, 1)
 
 
 def split_words(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lower: bool, hashes: bool = True) -> Words:
     """Words of texts lying in `buf` between consecutive `offsets`, which begin at 0."""
     if len(buf) == 0:
-        none = np.zeros(0, dtype=np.int64)
-        return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), dtype=np.int64))
+        none, nothing = np.zeros(0, dtype=np.int64), np.zeros(0, np.uint64)
+        return Words(none, none, nothing, nothing, np.zeros(len(offsets), dtype=np.int64))
     mapped = LOWER[buf] if lower else buf
     word = ~sep[mapped]
     begin = word.copy()
@@ -125,8 +131,8 @@ def split_words(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lower: bo
     begin[inner] |= word[inner]
     finish[inner - 1] |= word[inner - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-    h = span_hash(mapped, starts, ends) if hashes else np.zeros(0, np.uint64)
-    return Words(starts, ends, h, np.searchsorted(starts, offsets))
+    one, two = span_digest(mapped, starts, ends) if hashes else (np.zeros(0, np.uint64),) * 2
+    return Words(starts, ends, one, two, np.searchsorted(starts, offsets))
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -331,11 +331,44 @@ def test_line_dedup_is_reversible(spark, docs, empty):
     some, rest = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
     index = line_dedup.LineIndex.build(some, shards=4).insert(rest)
     assert {r.doc_id: r.text or "" for r in index.dedup(docs).collect()} == brute_lines(rows)
-    back = index.delete(rest, some)
+    back = index.insert(some).delete(rest.select("doc_id")).delete(spark.createDataFrame([(987654,)], "doc_id long"))
     assert {r.doc_id: r.text or "" for r in back.dedup(some).collect()} == brute_lines({i: t for i, t in rows.items() if i % 2 == 0})
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_line_index_lives_on(spark, docs, tmp_path):
+    """Deletions and insertions after a save; keys cross the threshold both ways."""
+    rows = texts(docs)
+    line_dedup.LineIndex.build(docs, shards=2).save(str(tmp_path / "index"))
+    ids, state = sorted(rows), set(rows)
+    index, rng = line_dedup.LineIndex.load(spark, str(tmp_path / "index")), random.Random(5)
+    for _ in range(4):
+        some = docs.where(docs.doc_id.isin(rng.sample(ids, 12)))
+        here = {r.doc_id for r in some.select("doc_id").collect()}
+        index, state = (index.delete(some), state - here) if rng.random() < 0.5 else (index.insert(some), state | here)
+        left = docs.where(docs.doc_id.isin(sorted(state)))
+        assert {r.doc_id: r.text or "" for r in index.dedup(left).collect()} == brute_lines({i: rows[i] for i in state})
+
+
+def thue_morse(n):
+    """A line of n letters a and b, and its complement: equal under any polynomial hash modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_no_text_collides(spark, n):
+    """Different lines and words stay different in line dedup, substring dedup and the Jaccard join."""
+    one, two = thue_morse(n)
+    lines = spark.createDataFrame([(i, one if i < 3 else two) for i in range(5)], "doc_id long, text string")
+    assert {r.n_dropped for r in line_dedup.digests(lines).collect()} == {0}
+    same = " ".join(f"w{i}" for i in range(12))
+    tails = spark.createDataFrame([(0, f"{same} {one}"), (1, f"{same} {two}")], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.digests(tails).collect()} == {0}
+    pair = spark.createDataFrame([(0, f"{one} a b c d"), (1, f"{two} a b c d")], "doc_id long, text string")
+    assert {r.component_id for r in ngram_jaccard.join(pair).collect()} == {0, 1}
+
+
 # op8
 
 
