@@ -253,12 +253,15 @@ def test_range_coder(n):
             range_coder.decode(block[:-1] + bytes([block[-1] ^ 1]), 50258)
 
 
-def test_piecewise_encoding_is_the_whole_one():
-    encoder, rng = token_blocks._encoder(registry.TOKENIZER), random.Random(6)
-    kinds = ["ab 's  ", "\n \n\t", "\u2002\u2028 \u3000x", "\u1680 \x1c\x85\xa0\n", "é中 12!"]
-    for _ in range(2000):
-        s = "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 30)))
-        assert encoder.encode(s) == encoder.pieces.library.encode(s, add_special_tokens=False).ids
+@pytest.mark.parametrize("memory", [5, token_blocks.MEMORY])
+def test_piecewise_encoding_is_the_whole_one(memory):
+    encoder, rng = token_blocks.Encoder(registry.TOKENIZER, memory), random.Random(6)
+    kinds = ["ab 's  ", "\n \n\t", "\u2002\u2028 \u3000x", "\u1680 \x1c\x85\xa0\n\u205f\u202f", "é中 12!", "ñ×÷,'t._", "e\u0301 ' 'll,", "—… ,.x\x7f\x00", "<|endoftext|> "]
+    for _ in range(400):
+        rows = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 30))) for _ in range(8)]
+        data = [x.encode() for x in rows]
+        ids, n = encoder.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(x) for x in data]))
+        assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [encoder.library.encode(x, add_special_tokens=False).ids for x in rows]
 
 
 def test_token_blocks(spark, docs, empty):
@@ -276,6 +279,19 @@ def test_token_blocks(spark, docs, empty):
     assert token_blocks.digests(empty, registry.TOKENIZER).count() == 0
 
 
+def test_token_blocks_of_any_size(spark, docs, tmp_path):
+    """Small blocks hold whole documents and give the same ids."""
+    encoder = token_blocks._encoder(registry.TOKENIZER)
+    want = {i: [*encoder.library.encode(t or "", add_special_tokens=False).ids, 2] for i, t in texts(docs).items()}
+    for k, block_ids in enumerate((1, 300)):
+        folder = str(tmp_path / str(k))
+        token_blocks.write(docs, registry.TOKENIZER, folder, 2, block_ids)
+        rows = spark.read.parquet(folder).collect()
+        assert all(r.n_ids <= block_ids or len(r.docs) == 8 for r in rows) and len(rows) > 10
+        back = token_blocks.read(spark, folder, encoder.symbols).collect()
+        assert {r["__key"]: np.frombuffer(r.ids, "<u4").tolist() for r in back} == want
+
+
 # op5
 
 
