@@ -1,7 +1,9 @@
 """N-gram Jaccard join by a token-group matrix.
 
 A document's set holds its distinct SHINGLE-word shingles (with fewer words, the whole sequence), as
-64-bit hashes of 64-bit word hashes. Two documents link when 100 * |x & y| >= 75 * |x | y|.
+64-bit hashes of the words' digests; a set's own digest is 128 bits of BLAKE2b. Different words never
+have equal digests by construction (see textkernel); two shingles of compared documents have equal
+hashes with a chance of 2**-64. Two documents link when 100 * |x & y| >= 75 * |x | y|.
 
 1. Documents with equal sets form a class; its smallest document stands for it.
 2. A linked document shares at least three quarters of its set with one other document. Of the first
@@ -20,8 +22,10 @@ A document's set holds its distinct SHINGLE-word shingles (with fewer words, the
 5. Components of all links.
 
 No step loses a link between documents of different groups; within a group they are connected.
-Null and empty texts have empty sets and no links; repeated texts are one class; rows with equal
-doc_id are one document; a null doc_id counts as the smallest and is given back as null.
+Null and empty texts have empty sets and no links; repeated texts are one class. Every row has a
+result row, with the size of its own set; rows with equal doc_id are one document that has the links of
+all its texts (a row without words is linked with nothing); a null doc_id counts as the smallest and is given back as null. An empty table gives an empty one. Only doc_id and
+text are read; other columns, whatever their names, are left out (kept by keep_one).
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.llm import hashmeet
-from strandflow.llm.common import KEY, NO_ID, cut, group_count, keyed, small_batches
+from strandflow.llm.common import KEY, NO_ID, cut, group_count, key_column, keyed, small_batches
 from strandflow.llm.components import components
 from strandflow.llm.textkernel import SPACE, chunks, ids_of, long_digests, split_words, window_hash
 
@@ -45,6 +49,8 @@ SIMILARITY = 75
 CLASSES, AGREE = 8, 4
 #: Documents whose tokens one range takes on, and documents of a part of a group.
 DOCS_A_RANGE, DOCS_A_PART = 20_000, 512
+#: Documents of a group that one copy of its list serves, and parts that a range's documents come in then.
+DOCS_A_SLICE, PLACES_A_RANGE = 1024, 8
 #: Turns of pivots that groups are made in, and queries that meet a part at a time.
 TURNS, DOCS_A_PORTION = 2, 1024
 
@@ -152,6 +158,7 @@ def _pivot_pairs(keys: DataFrame, groups: DataFrame | None, turn: int) -> DataFr
         keys = keys.withColumn("grp", F.col(KEY))
     pivot = F.min_by(F.struct(F.col(KEY).alias("pivot"), F.col("grp").alias("pivot_grp")), F.xxhash64(KEY, F.lit(turn)))
     pivots = keys.groupBy("class", "least").agg(pivot.alias("p"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("class", "least", "p.*")
+    pivots = cut(pivots)  # a join with a table of its own, which Spark broadcasts or splits where a minimum is hot
     met = keys.join(pivots, ["class", "least"]).where("grp <> pivot_grp").groupBy(KEY, "pivot").agg(F.count("*").alias("agree"), F.first("has").alias("has"))
     return met.where(f"agree >= least({AGREE}, greatest(1, has - 1))").select(F.col(KEY).alias("a"), F.col("pivot").alias("b"))
 
@@ -176,26 +183,38 @@ def _set_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
 
 
 def _crossing(buckets: int):
-    """Documents three quarters of whose tokens other groups have too, with these tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            last, known = None, None
-            for key, n, tokens, group, cross in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if group != last:
-                    last, known = group, np.frombuffer(cross, np.uint64)
+    """Documents three quarters of whose tokens other groups have too, with these tokens, from some groups' slices and lists."""
+
+    def run(documents: pa.Table, lists: pa.Table) -> pa.Table:
+        known = {g: np.frombuffer(c, np.uint64) for g, c in zip(lists.column("grp").to_pylist(), lists.column("cross").to_pylist(), strict=True)}
+        out = []
+        rows = zip(*(documents.column(c).to_pylist() for c in (KEY, "n", "tokens", "grp")), strict=True)
+        for key, n, tokens, group in rows if known else ():
+            if group in known:
                 mine = np.frombuffer(tokens, np.uint64)
                 _, short = hashmeet.token_of(mine, buckets)
-                mine = mine[np.isin(short, known)]
+                mine = mine[np.isin(short, known[group])]
                 if len(mine) >= overlap_of(n):
                     out.append((key, n, tokens, group, mine.view(np.int64).tolist()))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names=[KEY, "n", "tokens", "grp", "crossing"])
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names=[KEY, "n", "tokens", "grp", "crossing"])
 
     return run
 
 
+def _crossing_documents(sets: DataFrame, groups: DataFrame, buckets: int) -> DataFrame:
+    """Documents with a query's chance out of their group; a group's list goes once to each DOCS_A_SLICE of its documents."""
+    grouped = sets.select(KEY, "n", "tokens").join(groups, KEY, "left").withColumn("grp", F.coalesce("grp", KEY))
+    lists = hashmeet.shared(grouped.select(F.col("grp").alias(KEY), "tokens"), _set_entries, buckets, counts_only=False)
+    slices = F.coalesce(F.ceil(F.col("docs") / DOCS_A_SLICE).cast("long"), F.lit(1).cast("long"))
+    sizes = cut(groups.groupBy("grp").agg(F.count("*").alias("docs")).where(F.col("docs") > DOCS_A_SLICE))  # the others are one slice
+    place = F.pmod(F.xxhash64("grp", "slice"), F.lit(buckets * PLACES_A_RANGE)).alias("place")
+    documents = grouped.join(sizes, "grp", "left").withColumn("slice", F.pmod(F.xxhash64(KEY), slices)).select(place, KEY, "n", "tokens", "grp")
+    lists = lists.select(F.col(KEY).alias("grp"), F.col("packed").alias("cross")).join(sizes, "grp", "left")
+    lists = lists.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).select(place, "grp", "cross")
+    return documents.groupBy("place").cogroup(lists.groupBy("place")).applyInArrow(_crossing(buckets), f"{KEY} long, n long, tokens binary, grp long, crossing array<long>")
+
+
 def _open(key: tuple, queries: pa.Table, members: pa.Table) -> pa.Table:
     """The bound, a query's overlap with a part's token union; a qualifying part is opened until a link is found."""
     links: list[tuple[int, int]] = []
@@ -236,14 +255,10 @@ def _open(key: tuple, queries: pa.Table, members: pa.Table) -> pa.Table:
 
 def _links_across(sets: DataFrame, groups: DataFrame, buckets: int) -> DataFrame:
     """Links between documents of different groups; `groups` has KEY and grp for grouped documents."""
-    grouped = sets.select(KEY, "n", "tokens").join(groups, KEY, "left").withColumn("grp", F.coalesce("grp", KEY))
-    cross = hashmeet.shared(grouped.select(F.col("grp").alias(KEY), "tokens"), _set_entries, buckets, counts_only=False)
-    cross = cross.select(F.col(KEY).alias("grp"), F.col("packed").alias("cross"))
-    some = grouped.join(cross, "grp").select(KEY, "n", "tokens", "grp", "cross").mapInArrow(_crossing(buckets), f"{KEY} long, n long, tokens binary, grp long, crossing array<long>")
-    some = cut(some)
+    some = cut(_crossing_documents(sets, groups, buckets))
     # similar documents: those that share the minimum which most of them have, in parts of bounded size
     keys = _keys(sets.join(some.select(KEY), KEY, "left_semi"))
-    heap = keys.groupBy("class", "least").agg(F.count("*").alias("docs"))
+    heap = cut(keys.groupBy("class", "least").agg(F.count("*").alias("docs")))
     largest = F.max_by(F.struct("class", "least", "docs"), F.struct("docs", "class", "least"))
     chosen = keys.join(heap, ["class", "least"]).groupBy(KEY).agg(largest.alias("h"))
     number = F.pmod(F.xxhash64(KEY), F.ceil(F.col("h.docs") / DOCS_A_PART).cast("long"))
@@ -259,7 +274,7 @@ def _links_across(sets: DataFrame, groups: DataFrame, buckets: int) -> DataFrame
     met = cut(met)
     # a part's queries come in portions of bounded size, each with the part's members
     portions = F.greatest(F.lit(1), F.ceil(F.count("*") / DOCS_A_PORTION)).cast("long").alias("portions")
-    asked_of = met.groupBy(*part).agg(portions)
+    asked_of = cut(met.groupBy(*part).agg(portions))
     queries = met.join(asked_of, part).withColumn("portion", F.pmod(F.xxhash64(KEY), "portions")).drop("portions")
     queries = queries.join(some.select(KEY, "grp", "tokens"), KEY).select(*part, "portion", F.col(KEY).alias("a"), "grp", "tokens")
     members = some.select(*part, F.col(KEY).alias("b"), "grp", "tokens").join(asked_of, part)
@@ -282,7 +297,10 @@ def classes(documents: DataFrame) -> DataFrame:
     tokens = cut(texts.join(alive.distinct().hint("shuffle_hash"), KEY).mapInArrow(_tokens, f"{KEY} long, n long, tokens binary, minima array<array<long>>"))
     groups = _groups(tokens)
     across = cut(_links_across(tokens, groups, buckets))
-    every = components(across.unionByName(groups.select(F.col(KEY).alias("a"), F.col("grp").alias("b"))))
+    # a doc_id of several rows belongs to the classes of them all
+    several = cut(sets.groupBy(KEY).agg(F.count("*").alias("rows")).where("rows > 1").select(KEY))
+    ties = sets.join(several, KEY, "left_semi").join(first, ["n", "one", "two"]).select(F.col(KEY).alias("a"), F.col("rep").alias("b"))
+    every = components(across.unionByName(groups.select(F.col(KEY).alias("a"), F.col("grp").alias("b"))).unionByName(ties))
     every = first.join(every, F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component"))
     out = sets.join(every, ["n", "one", "two"], "left")
     return out.select(KEY, "n", F.coalesce("component", KEY).alias("component"))
@@ -297,4 +315,4 @@ def join(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents, with all their columns, that are the smallest of their component."""
     kept = classes(documents).where(f"{KEY} = component").select(F.col(KEY).alias("__kept")).distinct()
-    return documents.join(kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__kept"), "left_semi")
+    return documents.join(kept, key_column() == kept["__kept"], "left_semi")
