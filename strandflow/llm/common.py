@@ -55,8 +55,8 @@ KEY = "__key"
 NO_ID = -(2**63)
 
 
-def key_column() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(KEY)
+def key_column(name: str = "doc_id") -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID)).alias(KEY)
 
 
 def keyed(documents: DataFrame, *columns: str) -> DataFrame:
@@ -64,9 +64,9 @@ def keyed(documents: DataFrame, *columns: str) -> DataFrame:
     return documents.select(key_column(), *columns)
 
 
-def group_count(documents: DataFrame, rows: int) -> int:
-    """How many hash ranges keep each one's share of the table in a task's memory: it follows the table."""
-    return max(partitions(documents.sparkSession), documents.count() // rows + 1)
+def group_count(documents: DataFrame, rows: int, tasks: int | None = None) -> int:
+    """How many hash ranges keep each one's share of the table in a task's memory: it follows the table, from `tasks` on."""
+    return max(tasks or partitions(documents.sparkSession), documents.count() // rows + 1)
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -83,8 +83,8 @@ def _found(tokens: np.ndarray, who: np.ndarray, n: np.ndarray, buckets: int, cou
 
 
 def spread(docs: np.ndarray, n: np.ndarray, values: np.ndarray, width: int, shards: int) -> Iterator[tuple]:
-    """Rows of shard, owners, their numbers of values, and values; `values` lie in order of owner."""
-    shard = (docs % shards).astype(np.int64)
+    """Rows of shard, owners (or rows of owner and more), their numbers of values, and values; `values` lie in order of owner."""
+    shard = ((docs if docs.ndim == 1 else docs[:, 0]) % shards).astype(np.int64)
     ends = np.cumsum(n) * width
     order = np.argsort(shard, kind="stable")
     edges = np.searchsorted(shard[order], np.arange(shards + 1))

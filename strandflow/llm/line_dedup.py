@@ -252,32 +252,34 @@ class LineIndex:
 
     def dedup(self, documents: DataFrame, text: str = "text") -> DataFrame:
         """All rows and columns, with `text` without repeated lines, and n_lines and n_dropped."""
-        documents = documents.withColumnRenamed(text, "text") if text != "text" else documents
-        gone = self._repeats(documents)
-        min_chars = self.min_chars
         names = [f for f in documents.columns if f.lower() not in ("n_lines", "n_dropped")]
+        plain = [f"c{i}" for i in range(len(names))]  # no name that a table has can clash
+        rows = documents.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, plain, strict=True)])
+        c_text, c_id = (plain[[n.lower() for n in names].index(x)] for x in (text.lower(), "doc_id"))
+        gone = self._repeats(rows.select(F.col(c_id).alias("doc_id"), F.col(c_text).alias("text")))
+        min_chars = self.min_chars
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, buf, offsets in chunks(batches):
+            for batch, buf, offsets in chunks(batches, c_text):
                 at = lambda n: batch.column(batch.schema.get_field_index(n))
                 known = at("__gone")
                 some = known.is_valid().to_numpy(zero_copy_only=False)
                 lines, keys, first = line_keys(buf, offsets, min_chars, some)
-                column, dropped = at("text"), np.zeros(batch.num_rows, np.int64)
+                column, dropped = at(c_text), np.zeros(batch.num_rows, np.int64)
                 if some.any():
                     texts, edges, one = column.to_pylist(), np.searchsorted(lines, first), keys.view(np.int64)
                     for d in np.flatnonzero(some):
                         bad = {(k[DIGEST[0]], k[DIGEST[1]]) for k in known[int(d)].as_py()}
                         drop = {int(lines[i] - first[d]) for i in range(edges[d], edges[d + 1]) if (int(one[i, 0]), int(one[i, 1])) in bad}
-                        texts[d] = "\n".join([x for i, x in enumerate(texts[d].split("\n")) if i not in drop])
+                        if drop:
+                            texts[d] = "\n".join([x for i, x in enumerate(texts[d].split("\n")) if i not in drop])
                         dropped[d] = len(drop)
                     column = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*[column if n == "text" else at(n) for n in names], pa.array(np.diff(first), pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([*[column if c == c_text else at(c) for c in plain], pa.array(np.diff(first), pa.int64()), pa.array(dropped, pa.int64())], names=[*plain, "n_lines", "n_dropped"])
 
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in names)
-        joined = documents.select(key_column(), *[F.col(f"`{n}`") for n in names]).join(gone.hint("shuffle_hash"), KEY, "left")
-        out = joined.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long")
-        return out.withColumnRenamed("text", text) if text != "text" else out
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        joined = rows.select(key_column(c_id), *plain).join(gone.hint("shuffle_hash"), KEY, "left")
+        return joined.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long").toDF(*names, "n_lines", "n_dropped")
 
     def _repeats(self, documents: DataFrame) -> DataFrame:
         """KEY and `__gone`: digests of the document's lines that a larger document keeps."""
