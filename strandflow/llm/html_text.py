@@ -1,8 +1,8 @@
 """Main text of web pages by site template removal.
 
-A page is read once into its element tree. Subtrees are hashed by their source; Spark counts on how
-many pages of a host each hash occurs; subtrees that recur on many pages of the host are templates
-and are deleted, with elements that are no main text by their kind (navigation, forms, scripts) or
+A page is read once into its element tree. All its subtrees, whatever their labels, are hashed by their
+source; Spark counts on how many pages of a host each hash occurs; subtrees that recur on many pages of
+the host are templates and are deleted. So are elements that are no main text by their kind (navigation, forms, scripts) or
 by their class, id or role (adverts, notices, comments); inside article and main only a container's
 unmistakable class or role tells so, and ids tell nothing. The text of formulas stays. Of what is left, the text of the page's
 article or main elements is taken; a page without such elements gives its body's text.
@@ -16,7 +16,8 @@ one host are counted by grouped sums with map-side partial sums, each distinct p
 of the whole html) sending a hash once, and the templates, a few per host, are broadcast while there
 are fewer than BROADCAST_ROWS; beyond that, they are joined to the pages by host.
 
-Null and empty html give an empty text; broken markup is read leniently: an end tag closes the
+Null and empty html give an empty text, and an empty table an empty one; columns but page_id, url and
+html are left out. Rows without a url, or of one that names no host, are pages of one host of no name. Broken markup is read leniently: an end tag closes the
 nearest open element of its name or nothing, and a new block ends an open paragraph. Rows of a
 host with equal html, whatever their page_id or path, count as one page for templates and are
 extracted one by one. Character references are
@@ -49,7 +50,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp template".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("aside center details dialog div dl fieldset figure footer form header menu nav ol section table ul".split())
-HASHED = CONTAINERS | frozenset("blockquote h1 h2 h3 h4 h5 h6 li p pre td".split())
+HASHED = CONTAINERS | frozenset("blockquote h1 h2 h3 h4 h5 h6 iframe li object p pre select td".split())
 DROPPED = frozenset("annotation annotation-xml aside audio button canvas datalist dialog footer form head iframe map menu nav noembed noframes noscript object script select style svg template textarea video".split())
 ROOTS = frozenset(("article", "main"))
 #: Words in a class, an id or a role that tell an element is no main text.
@@ -200,7 +201,7 @@ class Page:
         """The hash of each subtree that may be a template."""
         out = {}
         for e, tag in enumerate(self.tags):
-            if tag in HASHED and not self.out[e] and (tag in CONTAINERS or not self.in_root[e]):
+            if tag in HASHED and (tag in CONTAINERS or not self.in_root[e]):
                 a, b = self.spans[e]
                 out[e] = xxhash.xxh64_intdigest(self.source[a:b].strip()) - (1 << 63)
         return out
