@@ -5,20 +5,29 @@ unlabelled. A linear model on bounded text features g(x) minimises
 
     prior * mean_P[l(g)] + max(0, mean_U[l(-g)] - prior * mean_P[l(-g)]),    l(z) = log(1 + exp(-z)),
 
-plus a small ridge. Unlabelled means are taken over the whole table: each Newton step is one pass
-over the stored features, in which tasks send one block of sums each, added up in groups before one
-row per group reaches the driver. Where the negative part of the risk falls below zero by more than
-its sampling error, the step is taken back and halved until it does not: that is the non-negative
-correction. The class prior is estimated from the training labels, of which at most MAX_LABELS are read (those with the smallest id digests).
+plus a small ridge. The features are shares of kinds of characters, tallies of repeated words and
+phrases, and the shares of words in BUCKETS classes of their hashes. Unlabelled means are taken over
+the whole table: each Newton step is one pass over the stored features, in which tasks send one block
+of sums each, added up in groups, in a fixed order, before one row per group reaches the driver. Where
+the negative part of the risk falls below zero by more than its sampling error, the step is taken back
+and halved until it does not: that is the non-negative correction.
+
+The class prior is estimated from positives and unlabelled documents alone: of all score levels of a
+first model, the least ratio of the share of unlabelled documents above the level to that of positives,
+each ratio with its sampling error added. Negative labels are not used. At most about MAX_LABELS
+positives are read (those with the smallest id digests).
 
 A document's score is the model's probability. Null and empty texts have a score too: all their
-features are zero but for a flag. With no trusted positive the model is the prior alone. Repeated
-rows have equal scores; labels that contradict each other count each on its own.
+features are zero but for a flag. With no trusted positive every score is a half. Rows of equal text
+have equal scores; of labels that contradict each other the good one counts; labels of null doc_id or
+quality do not count. An empty table gives an empty one. Only doc_id and text are read, whatever other
+columns the table holds (keep_good keeps them).
 """
 
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +42,10 @@ from strandflow.llm.textkernel import SPACE, chunks, split_words, window_hash
 #: Labelled rows that are read for the fit.
 MAX_LABELS = 200_000
 RIDGE, STEPS, THRESHOLD, FOLDS = 1e-2, 14, 0.3, 5
+#: Steps of the first model, which only ranks, and the levels its scores are compared at.
+FIRST_STEPS, LEVELS = 5, 1000
+#: Classes of word hashes.
+BUCKETS = 64
 #: Standard errors by which the negative part of the risk may lie below zero.
 SLACK = 2.0
 
@@ -42,7 +55,7 @@ for _i, _g in enumerate(_GROUPS):
     _CLASS[list(_g)] = _i
 _CLASS[128:] = len(_GROUPS) + 1
 _N_CLASSES = len(_GROUPS) + 2
-FEATURES = 1 + 2 * (_N_CLASSES - 2) + 2 + 12
+FEATURES = 1 + 2 * (_N_CLASSES - 2) + 2 + 12 + BUCKETS
 
 
 def _distinct(doc: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +92,8 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     shout = caps[words.ends] - caps[words.starts] >= np.maximum(2, (length + 1) // 2)
     mean = np.bincount(doc, weights=length, minlength=n) / count
     odd = np.isin(last, np.frombuffer(b"#$%&*+=^~@|!", np.uint8))
+    bucket = (words.hashes % np.uint64(BUCKETS)).astype(np.int64)
+    kind = np.bincount(doc * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS) / count[:, None]
     columns = [
         size == 0,
         *share[:, : _N_CLASSES - 2].T,
@@ -86,6 +101,7 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         share[:, _N_CLASSES - 2], share[:, _N_CLASSES - 1],
         np.log1p(size) / 12, np.minimum(mean / 12, 2), tally(again), tally(odd), tally(shout), np.sqrt(tally(odd)), np.sqrt(tally(shout)),
         1 - kinds / count, most / count, 1 - phrases / spans, np.sqrt(np.maximum(0, 1 - phrases / spans)), often / spans,
+        *np.sqrt(kind).T,
     ]
     out = np.stack([np.asarray(c, np.float64) for c in columns], axis=1)
     out[size == 0, 1:] = 0
@@ -123,23 +139,25 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 
 def _sum(table: DataFrame, task_sums) -> np.ndarray:
-    """Sums over the table of task_sums(features, is_positive), added up in a fixed number of groups."""
+    """Sums over the table of task_sums(features, is_positive), added up in groups of tasks, always in the same order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        from pyspark import TaskContext
+
+        total, task = None, TaskContext.get().partitionId()
         for b in batches:
             if b.num_rows:
                 s = task_sums(_rows(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(bool))
                 total = s if total is None else total + s
         if total is not None:
-            slot = int(abs(total).sum() * 1000) % 16
-            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([task % 16], pa.int32()), pa.array([task], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "task", "sums"])
 
     def add(t: pa.Table) -> pa.Table:
-        return pa.table({"sums": pa.array([np.sum([np.frombuffer(s) for s in t.column("sums").to_pylist()], axis=0).tobytes()], pa.binary())})
+        rows = sorted(zip(t.column("task").to_pylist(), t.column("sums").to_pylist(), strict=True), key=operator.itemgetter(0))
+        return pa.table({"slot": t.column("slot").slice(0, 1), "sums": pa.array([np.sum([np.frombuffer(s) for _, s in rows], axis=0).tobytes()], pa.binary())})
 
-    parts = table.select("x", "positive").mapInArrow(run, "slot int, sums binary").groupBy("slot").applyInArrow(add, "sums binary").collect()
-    return np.sum([np.frombuffer(p["sums"]) for p in parts], axis=0) if parts else np.zeros(1)
+    parts = table.select("x", "positive").mapInArrow(run, "slot int, task int, sums binary").groupBy("slot").applyInArrow(add, "slot int, sums binary").collect()
+    return np.sum([np.frombuffer(p["sums"]) for p in sorted(parts, key=operator.itemgetter("slot"))], axis=0) if parts else np.zeros(2 + 2 * FEATURES)
 
 
 def training_fold() -> Column:
@@ -150,35 +168,27 @@ def _sigmoid(g: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(g, -500, 500)))
 
 
-def fit_features(table: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
-    """The model from a feature table and labels (doc_id, quality) of the training folds."""
-    labels = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(training_fold())
-    count, good = labels.agg(F.count("*"), F.sum(F.col("quality").cast("double"))).first()
-    prior = (float(good or 0) + 1) / (count + 2)
-    share = min(1.0, max_labels / max(count, 1))
-    trusted = labels.where("quality = 1").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id").distinct().withColumn("positive", F.lit(True))
-    table = cut(table.join(trusted, "doc_id", "left").select("x", F.coalesce("positive", F.lit(False)).alias("positive")))
-    d = FEATURES
-    s = _sum(table, lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(0), (x * x).sum(0)]))
-    if len(s) == 1 or not s[1]:
-        return Model(np.zeros(d), np.ones(d), np.append(np.zeros(d), math.log(prior / (1 - prior))), prior)
-    mean = s[2 : 2 + d] / s[0]
-    scale = np.sqrt(np.maximum(s[2 + d :] / s[0] - mean**2, 0)) + 1e-3
-    w = np.append(np.zeros(d), math.log(prior / (1 - prior)))
-    best, step, ridge = w, np.zeros_like(w), np.full(d + 1, RIDGE)
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
+def _newton(table: DataFrame, mean: np.ndarray, scale: np.ndarray, prior: float, start: np.ndarray, steps: int) -> np.ndarray:
+    """Weights of the least non-negative risk, from a start."""
+    w = best = start
+    step, ridge = np.zeros_like(w), np.full(len(w), RIDGE)
     ridge[-1] = 1e-6
-    for _ in range(STEPS):
+    for _ in range(steps):
         now = w
 
         def sums(x: np.ndarray, p: np.ndarray) -> np.ndarray:
             z = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
-            g = z @ now
+            g, u = z @ now, ~p
             q, soft = _sigmoid(g), np.logaddexp(0, g)
-            hess = (z * (q * (1 - q))[:, None]).T @ z
-            return np.concatenate([[len(x), soft.sum(), (soft**2).sum(), p.sum(), soft[p].sum(), (soft[p] ** 2).sum()], q @ z, z[p].sum(0), hess.ravel()])
+            hess = (z * (q * (1 - q) * u)[:, None]).T @ z
+            return np.concatenate([[u.sum(), soft[u].sum(), (soft[u] ** 2).sum(), p.sum(), soft[p].sum(), (soft[p] ** 2).sum()], (q * u) @ z, z[p].sum(0), hess.ravel()])
 
         s = _sum(table, sums)
-        (n, u, u2, m, v, v2), k = s[:6], d + 1
+        (n, u, u2, m, v, v2), k = s[:6], len(w)
         negative = u / n - prior * v / m
         noise = math.sqrt(max(0.0, u2 / n - (u / n) ** 2) / n + prior**2 * max(0.0, v2 / m - (v / m) ** 2) / m)
         if negative >= -SLACK * noise:
@@ -189,11 +199,48 @@ def fit_features(table: DataFrame, labels: DataFrame, max_labels: int = MAX_LABE
         w = best - step
         if np.abs(step).max() < 1e-4:
             break
-    return Model(mean, scale, best, prior)
+    return best
+
+
+def estimate_prior(unlabelled: np.ndarray, positive: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from both kinds' counts by score level, the lowest first."""
+    n, m = unlabelled.sum(), positive.sum()
+    above_u, above_p = np.cumsum(unlabelled[::-1]) / n, np.cumsum(positive[::-1]) / m
+    error = math.sqrt(math.log(40) / 2 / n) + math.sqrt(math.log(40) / 2 / m)
+    some = above_p > error
+    ratio = (above_u[some] + error) / above_p[some] if some.any() else np.ones(1)
+    at = int(np.argmin(ratio))
+    return float(np.clip(above_u[some][at] / above_p[some][at] if some.any() else 1.0, 0.01, 0.99))
+
+
+def fit_features(table: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
+    """The model from a stored feature table and labels (doc_id, quality) of the training folds."""
+    good = labels.select("doc_id").where("doc_id is not null AND quality = 1").where(training_fold()).distinct()
+    share = min(1.0, max_labels / max(good.count(), 1))
+    trusted = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
+    positives = cut(table.join(trusted, "doc_id", "left_semi").select("doc_id", "x").repartition("doc_id").sortWithinPartitions("doc_id", "x"))
+    both = table.select("x", F.lit(False).alias("positive")).unionAll(positives.select("x", F.lit(True)))
+    d = FEATURES
+    s = _sum(both, lambda x, p: np.concatenate([[(~p).sum(), p.sum()], x[~p].sum(0), (x[~p] ** 2).sum(0)]))
+    if not s[1]:
+        return Model(np.zeros(d), np.ones(d), np.zeros(d + 1), 0.5)
+    mean = s[2 : 2 + d] / s[0]
+    scale = np.sqrt(np.maximum(s[2 + d :] / s[0] - mean**2, 0)) + 1e-3
+    first = _newton(both, mean, scale, 0.5, np.zeros(d + 1), FIRST_STEPS)
+    model = Model(mean, scale, first, 0.5)
+
+    def levels(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+        level = np.minimum((model.score(x) * LEVELS).astype(np.int64), LEVELS - 1)
+        return np.bincount(level + LEVELS * p, minlength=2 * LEVELS).astype(np.float64)
+
+    counts = _sum(both, levels)
+    prior = estimate_prior(counts[:LEVELS], counts[LEVELS:])
+    start = np.append(np.zeros(d), _logit(prior))
+    return Model(mean, scale, _newton(both, mean, scale, prior, start, STEPS), prior)
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
-    return fit_features(_feature_table(documents), labels, max_labels)
+    return fit_features(cut(_feature_table(documents)), labels, max_labels)
 
 
 def keep_good(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
