@@ -13,8 +13,10 @@ neighbouring encodings are joined by encoding anew only a window round the seam:
   all stable is the encoding of its bytes. Otherwise the window doubles.
 
 Decoding is a homomorphism: the bytes of halves are concatenated up the tree.
-Null and empty texts have no tokens; equal texts have equal tokens; other columns are kept, but
-`ids` and `decoded` replace columns of those names. Nothing is shuffled, and nothing grows with the
+Null and empty texts have no tokens; equal texts have equal tokens, and repeated rows, also those of
+equal or null doc_id, have a row each; an empty table gives an empty one. Other columns are kept, but
+`ids` and `decoded` replace columns of those names. A very long text takes memory in proportion to its
+own size. Nothing is shuffled, and nothing grows with the
 table: a task holds one Arrow batch.
 """
 
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 
 from strandflow.llm.common import small_batches
 
-#: Characters of a leaf; a parameter of the tree, not of the result.
-LEAF = 2048
+#: Characters of a leaf; a parameter of the tree, not of the result. Most texts take several.
+LEAF = 128
 
 _EDGE = regex.compile(r"\S(?=\s)")
 _LAST_EDGE = regex.compile(r"(?r)\S(?=\s)")
