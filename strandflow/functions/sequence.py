@@ -59,7 +59,11 @@ def circular(pos: Column, length: Column) -> Column:
 
 
 def in_alphabet(seq: Column, alphabet: str) -> Column:
-    """The sequence, or an error if a letter is not of the alphabet."""
+    """The sequence, or an error if a letter is not of the alphabet. RNA is given with U for T, DNA with T for U."""
+    if alphabet == "RNA":
+        seq = F.translate(seq, "Tt", "Uu")
+    elif alphabet == "DNA":
+        seq = F.translate(seq, "Uu", "Tt")
     letters = ALPHABETS[alphabet].replace("-", "") + ALPHABETS[alphabet].lower().replace("-", "")
     good = seq.rlike(rf"^[{''.join(map(_class, sorted(set(letters))))}-]*$") | seq.isNull()
     return F.when(good, seq).otherwise(F.raise_error(F.lit(f"a letter is not of the {alphabet} alphabet")).cast("string"))

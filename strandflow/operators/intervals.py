@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.schemas import MAX_COORDINATE
+from strandflow.shared import numbered
+
+#: Positions that one task of a running sum or maximum takes on; tiles are joined by their totals.
+TILE = 1 << 20
 
 
 def check_ranges(ranges: DataFrame) -> DataFrame:
@@ -19,6 +23,13 @@ def check_ranges(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("end", F.when(bad, F.raise_error(F.lit("a range is out of bounds")).cast("int")).otherwise(F.col("end")))
 
 
+def check_contigs(ranges: DataFrame, contigs: DataFrame) -> DataFrame:
+    """The ranges; one on a contig that the header (name, ...) does not have is an error when read."""
+    known = contigs.select(F.col("name").alias("contig"), F.lit(True).alias("__known"))
+    error = F.raise_error(F.concat(F.lit("the header has no contig "), F.col("contig"))).cast("string")
+    return ranges.join(known, "contig", "left").withColumn("contig", F.when(F.col("__known"), F.col("contig")).otherwise(error)).select(*ranges.columns)
+
+
 def unknown_contigs(ranges: DataFrame, contigs: DataFrame) -> DataFrame:
     """Contigs of the ranges that the header does not have; a scan of these is an error."""
     return ranges.select("contig").distinct().join(contigs.select(F.col("name").alias("contig")), "contig", "left_anti")
@@ -42,21 +53,35 @@ def label(contig: Column, start: Column, end: Column) -> Column:
 
 
 def unique_labels(ranges: DataFrame) -> DataFrame:
-    """Ranges with `label`; if any label occurs twice, each gets its ordinal in range_id order as a suffix."""
+    """Ranges with `label`; if any label occurs twice, each gets its ordinal in range_id order as a suffix.
+
+    Whether one does is asked at once, so that only ranges that need ordinals are numbered.
+    """
     named = ranges.withColumn("label", label(F.col("contig"), F.col("start"), F.col("end")))
-    twice = named.groupBy("label").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n") > 1, F.lit(False)).alias("twice"))
-    ordinal = F.row_number().over(Window.orderBy("range_id"))  # ranges are a query's parameter, not data
-    return named.withColumn("ordinal", ordinal).join(twice).withColumn("label", F.when(F.col("twice"), F.concat_ws(".", "label", F.col("ordinal").cast("string"))).otherwise(F.col("label"))).drop("twice", "ordinal")
+    if named.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return named
+    ordinal = (F.col("__ordinal") + 1).cast("string")
+    return numbered(named, "__ordinal", "range_id").withColumn("label", F.concat_ws(".", "label", ordinal)).drop("__ordinal")
+
+
+def _tiled(rows: DataFrame, contig: str, at: str, value: Column, gather, before: str) -> DataFrame:
+    """Rows with `__tile` and, in `before`, `gather` of the value over all tiles of the contig before."""
+    rows = rows.withColumn("__tile", (F.col(at) / TILE).cast("long"))
+    w = Window.partitionBy(contig).orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)  # a row per tile
+    tiles = rows.groupBy(contig, "__tile").agg(gather(value).alias("__v")).select(contig, "__tile", gather("__v").over(w).alias(before))
+    return rows.join(tiles, [contig, "__tile"])
 
 
 def normalize(ranges: DataFrame, contig: str = "contig", start: str = "start", end: str = "end") -> DataFrame:
-    """Merge overlapping and adjacent ranges of a contig; empty ones are dropped."""
-    w = Window.partitionBy(contig).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(contig).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
+    """Merge overlapping and adjacent ranges of a contig; empty ones are dropped. No task orders more than a tile's ranges."""
     rows = ranges.where(F.col(end) >= F.col(start)).select(contig, start, end)
-    rows = rows.withColumn("new", F.coalesce(F.col(start) > F.max(end).over(w) + 1, F.lit(True)).cast("int"))
-    rows = rows.withColumn("island", F.sum("new").over(whole))
-    return rows.groupBy(contig, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
+    rows = _tiled(rows, contig, start, F.col(end), F.max, "__reach")
+    w = Window.partitionBy(contig, "__tile").orderBy(start, end)
+    reach = F.greatest("__reach", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.select(contig, start, end, F.when(F.coalesce(F.col(start) > reach + 1, F.lit(True)), F.col(start)).alias("__new"))
+    rows = _tiled(rows, contig, start, F.col("__new"), F.max, "__island")
+    island = F.coalesce(F.max("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__island")
+    return rows.withColumn("__island", island).groupBy(contig, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
 def tile(contigs: DataFrame, width: int) -> DataFrame:
@@ -68,7 +93,11 @@ def tile(contigs: DataFrame, width: int) -> DataFrame:
 def coverage(blocks: DataFrame, contig: str = "contig", start: str = "start", end: str = "end") -> DataFrame:
     """Runs of equal depth over (contig, start, end) blocks, from +1 and -1 steps: rows follow the blocks, not the bases."""
     steps = blocks.where(F.col(end) >= F.col(start)).select(contig, F.inline(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct((F.col(end) + 1).alias("at"), F.lit(-1).alias("d")))))
-    steps = steps.groupBy(contig, "at").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(contig).orderBy("at")
-    runs = steps.withColumn("depth", F.sum("d").over(w)).withColumn("next", F.lead("at").over(w))
-    return runs.where("depth > 0").select(F.col(contig).alias("contig"), F.col("at").alias("start"), (F.col("next") - 1).alias("end"), "depth")
+    steps = steps.withColumn("__tile", (F.col("at") / TILE).cast("long")).groupBy(contig, "__tile", "at").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy(contig).orderBy("__tile")  # a row per tile
+    tiles = steps.groupBy(contig, "__tile").agg(F.sum("d").alias("all"), F.min("at").alias("first"))
+    tiles = tiles.select(contig, "__tile", (F.sum("all").over(w) - F.col("all")).alias("before"), F.lead("first").over(w).alias("after"))
+    inside = Window.partitionBy(contig, "__tile").orderBy("at")
+    runs = steps.withColumn("depth", F.sum("d").over(inside)).withColumn("next", F.lead("at").over(inside)).join(tiles, [contig, "__tile"])
+    runs = runs.select(F.col(contig).alias("contig"), F.col("at").alias("start"), (F.coalesce("next", "after") - 1).alias("end"), (F.col("depth") + F.col("before")).alias("depth"))
+    return runs.where("depth > 0")

@@ -1,10 +1,14 @@
 """Pileup: counts of bases by position, strand, nucleotide and place in the read.
 
-A generator turns each read into one row per covered position (or two where an insertion follows),
-all in built-in functions. Partial sums by (contig, position, ...) run before the first shuffle. The
+A generator turns each read into its blocks, and each block into one row per covered position (or two
+where an insertion follows), all in built-in functions; only a position's own letter and quality go on,
+not the read's. Partial sums by (contig, position, ...) run before the first shuffle. The
 tests on positions and nucleotides look at coarser sums; instead of windows over three different
 keys, the counts of a position are gathered into one small array (its combinations of nucleotide,
 strand and bin are few) and tested there, so the whole operator has a single shuffle.
+
+Depth caps: reads are first counted by bins of positions. Where no bin has more reads than the cap, no
+position has; elsewhere reads are ranked at the positions of those bins only.
 """
 
 from __future__ import annotations
@@ -17,10 +21,13 @@ from pyspark.sql import functions as F
 from strandflow.functions import cigar
 from strandflow.operators.intervals import check_ranges, interval_join, unique_labels
 from strandflow.operators.scan import predicate
+from strandflow.shared import cut
 from strandflow.specs import MultiPileupSpec, PileupSpec, ScanSpec
 
 #: Unmapped, secondary, failed and duplicate reads never count.
 EXCLUDED = 4 + 256 + 512 + 1024
+#: Positions of a bin by which reads are counted before any is ranked.
+CAP_BIN = 1024
 #: Fixed nucleotide letters of a pileup.
 NUCLEOTIDES = "ACGTN=-+"
 
@@ -42,40 +49,49 @@ def _bin(points: tuple[float, ...], place: Column) -> tuple[Column, Column]:
 
 def _events(reads: DataFrame, spec: PileupSpec) -> DataFrame:
     """A row per read and covered position: pos, nucleotide, strand, bin."""
-    seq, qual = F.col("seq"), F.col("qual")
     minus = F.col("flag").bitwiseAND(16) != 0
     points = spec.left_bins or spec.query_bins
-
-    keep = [c for c in ("range_id", "range_start", "range_end", "file") if c in reads.columns]
+    keep = [c for c in ("range_id", "range_label", "range_start", "range_end", "file") if c in reads.columns]
     kinds = ["M", "=", "X", "D", *(["N"] if spec.include_insertions else [])]
-    fixed = [*keep, F.col("rname").alias("seqnames"), F.when(minus, "-").otherwise("+").alias("strand"), "seq", "qual", "pos"]
-    rows = reads.select(*fixed, F.explode(cigar.blocks(F.col("cigar"))).alias("b")).where(F.col("b.op").isin(*kinds) & (F.col("b.len") > 0))
-    rows = rows.select(*keep, "seqnames", "strand", "seq", "qual", "pos", "b", F.explode(F.sequence(F.lit(0), F.col("b.len") - 1)).alias("i"))
-    q = F.col("b.q") + F.when(F.col("b.op").isin("M", "=", "X"), F.col("i")).otherwise(0)
-    place = F.struct((F.col("pos") + F.col("b.r") + F.col("i")).alias("pos"), q.alias("q"), F.col("b.op").alias("op"), (F.col("b.ins") & (F.col("i") == F.col("b.len") - 1)).alias("ins"))
-    rows = rows.select(*keep, "seqnames", "strand", "seq", "qual", place.alias("p"))
+    names = [*keep, "seqnames", "strand", "n"]
+    rows = reads.select(*keep, F.col("rname").alias("seqnames"), F.when(minus, "-").otherwise("+").alias("strand"), F.length("seq").alias("n"), "seq", "qual", "pos", F.explode(cigar.blocks(F.col("cigar"))).alias("b"))
+    rows = rows.select(*names, "seq", "qual", (F.col("pos") + F.col("b.r")).alias("at"), F.col("b.q").alias("q"), F.col("b.op").alias("op"), F.col("b.len").alias("len"), F.col("b.ins").alias("ins"))
+    rows = rows.where(F.col("op").isin(*kinds) & (F.col("len") > 0))
     if "range_start" in keep:
-        rows = rows.where((F.col("p.pos") >= F.col("range_start")) & (F.col("p.pos") <= F.col("range_end")))
+        rows = rows.where((F.col("at") <= F.col("range_end")) & (F.col("at") + F.col("len") > F.col("range_start")))
+    # of a skip only the place before an insertion counts; a deletion has one quality, that of the next base
+    skip, gap = F.col("op") == "N", F.col("op").isin("D", "N")
+    rows = rows.where(~skip | F.col("ins"))
+    split = lambda c: F.split(F.substr(F.coalesce(c, F.lit("")), F.col("q") + 1, F.when(gap, 1).otherwise(F.col("len"))), "")
+    places = F.sequence(F.when(skip, F.col("len") - 1).otherwise(0), F.col("len") - 1)
+    letters = F.when(gap, F.array_repeat(F.lit("-"), F.col("len"))).otherwise(split("seq"))
+    quals = F.when(gap, F.array_repeat(F.substr("qual", F.col("q") + 1, F.lit(1)), F.col("len"))).otherwise(split("qual"))
+    rows = rows.select(*names, "at", "q", "op", "len", "ins", places.alias("i"), letters.alias("letter"), quals.alias("qual"))
+    z = lambda c: F.col(f"z.{c}")
+    rows = rows.select(*names, "at", "q", "op", "len", "ins", F.explode(F.arrays_zip("i", "letter", "qual")).alias("z")).where(z("i").isNotNull())
+    q = F.col("q") + F.when(gap, 0).otherwise(z("i"))
+    rows = rows.select(*names, (F.col("at") + z("i")).alias("pos"), q.alias("q"), "op", (F.col("ins") & (z("i") == F.col("len") - 1)).alias("ins"), z("letter").alias("letter"), z("qual").alias("qual"))
+    if "range_start" in keep:
+        rows = rows.where((F.col("pos") >= F.col("range_start")) & (F.col("pos") <= F.col("range_end")))
     bin_label = F.lit(None).cast("string")
     if points:
-        n, q = F.length("seq"), F.col("p.q") + 1
+        n, q = F.col("n"), F.col("q") + 1
         forward, backward = q, -(n - q + 1)
         if spec.query_bins:
             minus_strand = F.col("strand") == "-"
             forward, backward = F.when(minus_strand, n - q + 1).otherwise(q), F.when(minus_strand, -q).otherwise(-(n - q + 1))
         bin_label, inside = _bin(tuple(points), forward if points[0] >= 0 else backward)
         rows = rows.where(inside)
-    base_quality = F.ascii(F.substr(qual, F.col("p.q") + 1, F.lit(1))) - 33
-    letter = F.when(F.col("p.op") == "D", F.lit("-")).otherwise(F.substr(seq, F.col("p.q") + 1, F.lit(1)))
-    good = (F.col("p.op") != "N") & (base_quality >= spec.min_base_quality)
+    letter = F.col("letter")
+    good = (F.col("op") != "N") & (F.ascii("qual") - 33 >= spec.min_base_quality)
     if not spec.include_deletions:
-        good = good & (F.col("p.op") != "D")
+        good = good & (F.col("op") != "D")
     if spec.ignore_query_ns:
         good = good & (letter != "N")
     nucleotides = F.when(good, letter)
     if spec.include_insertions:
-        nucleotides = F.explode(F.array_compact(F.array(F.when(F.col("p.ins"), F.lit("+")), nucleotides)))
-    out = rows.select(*[c for c in keep if not c.startswith("range_s") and not c.startswith("range_e")], "seqnames", F.col("p.pos").alias("pos"), "strand", bin_label.alias("bin"), nucleotides.alias("nucleotide"))
+        nucleotides = F.explode(F.array_compact(F.array(F.when(F.col("ins"), F.lit("+")), nucleotides)))
+    out = rows.select(*[c for c in keep if c not in ("range_start", "range_end")], "seqnames", "pos", "strand", bin_label.alias("bin"), nucleotides.alias("nucleotide"))
     return out.where(F.col("nucleotide").isNotNull() & (F.col("nucleotide") != ""))
 
 
@@ -93,24 +109,43 @@ def pileup(alignments: DataFrame, spec: PileupSpec | None = None, scan_spec: Sca
     """
     spec = spec or PileupSpec()
     reads = _reads(alignments, scan_spec, spec.min_mapq)
-    if ranges is not None:
-        reads = reads.withColumn("__end", cigar.reference_end(F.col("pos"), F.col("cigar")))
-        reads = interval_join(reads, unique_labels(check_ranges(ranges)), "rname", "pos", "__end")
-    group = ["range_id", "seqnames", "pos"] if ranges is not None else ["seqnames", "pos"]
-    if spec.max_depth is not None:
-        reads = _cap(reads, spec.max_depth, ranges is not None)
-    events = _events(reads, spec)
+    labelled = unique_labels(check_ranges(ranges)) if ranges is not None else None
+    group = ["range_id", "range_label", "seqnames", "pos"] if ranges is not None else ["seqnames", "pos"]
     name = "left_bin" if spec.left_bins else "query_bin"
     dims = [*(["strand"] if spec.distinguish_strands else []), *(["nucleotide"] if spec.distinguish_nucleotides else []), *(["bin"] if spec.left_bins or spec.query_bins else [])]
-    if spec.min_nucleotide_depth <= 1 and spec.min_minor_allele_depth <= 0:
-        out = events.groupBy(*group, *dims).agg(F.count("*").alias("count"))
-    else:
+
+    def counted(rows: DataFrame) -> DataFrame:
+        events = _events(rows, spec)
+        if spec.min_nucleotide_depth <= 1 and spec.min_minor_allele_depth <= 0:
+            return events.groupBy(*group, *dims).agg(F.count("*").alias("count"))
         counts = events.groupBy(*group, "nucleotide", "strand", "bin").agg(F.count("*").alias("n"))
-        out = _test(counts, group, spec).groupBy(*group, *dims).agg(F.sum("n").cast("long").alias("count"))
-    out = out.withColumnRenamed("bin", name)
+        return _test(counts, group, spec).groupBy(*group, *dims).agg(F.sum("n").cast("long").alias("count"))
+
+    out = _up_to(reads, labelled, spec.max_depth, [], counted).withColumnRenamed("bin", name)
+    return out.withColumnRenamed("range_label", "which_label")
+
+
+def _up_to(reads: DataFrame, ranges: DataFrame | None, depth: int | None, by: list[str], counted) -> DataFrame:
+    """`counted` of the reads, in the ranges if any, where no position has more than `depth` reads, for each value of `by`."""
+    stop = cigar.reference_end(F.col("pos"), F.col("cigar"))
+    whole = reads if ranges is None else interval_join(reads.withColumn("__end", stop), ranges, "rname", "pos", "__end").drop("__end")
+    if depth is None:
+        return counted(whole)
+    bins = F.explode(F.sequence((F.col("pos") / CAP_BIN).cast("long"), (stop / CAP_BIN).cast("long"))).alias("__bin")
+    deep = cut(reads.select(*by, "rname", bins).groupBy(*by, "rname", "__bin").agg(F.count("*").alias("n")).where(F.col("n") > depth).drop("n"))
+    if deep.isEmpty():
+        return counted(whole)
+    at = (F.col("pos") / CAP_BIN).cast("long")
+    elsewhere = counted(whole).withColumn("__bin", at).join(deep.withColumnRenamed("rname", "seqnames"), [*by, "seqnames", "__bin"], "left_anti").drop("__bin")
+    # positions of the deep bins: a row per read and position, ranked there; its events are clipped to the position
+    low, high = F.greatest(F.col("pos"), F.col("__bin") * CAP_BIN), F.least(stop, F.col("__bin") * CAP_BIN + (CAP_BIN - 1))
+    covered = reads.select("*", bins).join(deep, [*by, "rname", "__bin"]).withColumn("__at", F.explode(F.sequence(low.cast("int"), high.cast("int")))).drop("__bin")
+    w = Window.partitionBy(*by, "rname", "__at").orderBy("pos", "qname", "flag", "cigar", "seq", "qual")
+    ranked = covered.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= depth).drop("__rank")
     if ranges is not None:
-        out = out.join(unique_labels(ranges).select("range_id", F.col("label").alias("which_label")), "range_id")
-    return out
+        ranked = interval_join(ranked, ranges, "rname", "__at", "__at")
+    clipped = ranked.withColumn("range_start", F.col("__at")).withColumn("range_end", F.col("__at")).drop("__at")
+    return elsewhere.unionByName(counted(clipped))
 
 
 def _test(counts: DataFrame, group: list[str], spec: PileupSpec) -> DataFrame:
@@ -127,25 +162,20 @@ def _test(counts: DataFrame, group: list[str], spec: PileupSpec) -> DataFrame:
     return listed.withColumn("deep", deep).select(*group, F.inline(F.filter("all", lambda y: F.array_contains("deep", y["nucleotide"]))))
 
 
-def _cap(reads: DataFrame, depth: int, ranged: bool) -> DataFrame:
-    """Split reads so that none covers a position where `depth` earlier reads do: positions are ranked, reads are kept whole by a mask."""
-    w = Window.partitionBy(*(["range_id"] if ranged else []), "rname", "__at").orderBy("pos", "qname", "flag", "cigar", "seq")
-    at = F.explode(F.sequence("pos", cigar.reference_end(F.col("pos"), F.col("cigar")))).alias("__at")
-    ranked = reads.select("*", at).withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= depth).drop("__rank")
-    # one row per kept (read, position): the events of a row are clipped to its position
-    if ranged:
-        ranked = ranked.where((F.col("__at") >= F.col("range_start")) & (F.col("__at") <= F.col("range_end")))
-    return ranked.withColumn("range_start", F.col("__at")).withColumn("range_end", F.col("__at")).drop("__at")
+def _file_reads(alignments: DataFrame, spec: MultiPileupSpec) -> DataFrame:
+    return _reads(alignments, ScanSpec(flag=spec.flag), spec.min_mapq)
 
 
 def multi_file_depth(alignments: DataFrame, ranges: DataFrame, spec: MultiPileupSpec | None = None) -> DataFrame:
-    """Depth of A, C, G, T and N per range, position and file. `alignments` has `file`; yield_all fills in zeros."""
+    """Depth of A, C, G, T and N per range, position and file. `alignments` has `file`; yield_all fills in zeros.
+
+    max_depth holds for each file.
+    """
     spec = spec or MultiPileupSpec()
-    reads = _reads(alignments, ScanSpec(flag=spec.flag), spec.min_mapq).withColumn("__end", cigar.reference_end(F.col("pos"), F.col("cigar")))
-    reads = interval_join(reads, unique_labels(check_ranges(ranges)), "rname", "pos", "__end")
-    events = _events(reads, PileupSpec(min_base_quality=spec.min_base_quality, ignore_query_ns=False, include_deletions=False))
     bases = [F.count_if(F.col("nucleotide") == b).alias(b) for b in "ACGT"] + [F.count_if(~F.col("nucleotide").isin(*"ACGT")).alias("N")]
-    depth = events.groupBy("range_id", "file", "seqnames", "pos").agg(*bases)
+    events = PileupSpec(min_base_quality=spec.min_base_quality, ignore_query_ns=False, include_deletions=False)
+    counted = lambda rows: _events(rows, events).groupBy("range_id", "file", "seqnames", "pos").agg(*bases)
+    depth = _up_to(_file_reads(alignments, spec), check_ranges(ranges), spec.max_depth, ["file"], counted)
     if spec.min_depth > 0:
         total = sum((F.col(b) for b in "CGTN"), F.col("A"))
         deep = depth.groupBy("range_id", "seqnames", "pos").agg(F.sum(total).alias("t")).where(F.col("t") >= spec.min_depth)
@@ -159,10 +189,10 @@ def multi_file_depth(alignments: DataFrame, ranges: DataFrame, spec: MultiPileup
 
 
 def quality_depth(alignments: DataFrame, ranges: DataFrame, spec: MultiPileupSpec | None = None) -> DataFrame:
-    """Counts of base qualities per range, position and file."""
+    """Counts of base qualities per range, position and file; max_depth holds for each file."""
     spec = spec or MultiPileupSpec()
-    reads = _reads(alignments, ScanSpec(flag=spec.flag), spec.min_mapq).withColumn("__end", cigar.reference_end(F.col("pos"), F.col("cigar")))
-    reads = interval_join(reads, unique_labels(check_ranges(ranges)), "rname", "pos", "__end")
     # the quality string stands in for the bases, so an event's letter is its quality
-    events = _events(reads.withColumn("seq", F.col("qual")), PileupSpec(min_base_quality=spec.min_base_quality, ignore_query_ns=False, include_deletions=False))
-    return events.groupBy("range_id", "file", "seqnames", "pos", (F.ascii("nucleotide") - 33).alias("quality")).agg(F.count("*").alias("count"))
+    reads = _file_reads(alignments, spec).withColumn("seq", F.col("qual"))
+    events = PileupSpec(min_base_quality=spec.min_base_quality, ignore_query_ns=False, include_deletions=False)
+    counted = lambda rows: _events(rows, events).groupBy("range_id", "file", "seqnames", "pos", (F.ascii("nucleotide") - 33).alias("quality")).agg(F.count("*").alias("count"))
+    return _up_to(reads, check_ranges(ranges), spec.max_depth, ["file"], counted)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import cigar, flags, sequence
-from strandflow.operators.intervals import check_ranges, interval_join, unique_labels
+from strandflow.operators.intervals import check_contigs, check_ranges, interval_join, unique_labels
+from strandflow.shared import numbered
 from strandflow.specs import ScanSpec
 
 
@@ -55,23 +58,27 @@ def predicate(spec: ScanSpec) -> Column:
     return test
 
 
-def scan(alignments: DataFrame, spec: ScanSpec | None = None, ranges: DataFrame | None = None) -> DataFrame:
-    """Selected fields and tags of the passing rows; with ranges, a row per range hit, with range_id and which_label."""
+def scan(alignments: DataFrame, spec: ScanSpec | None = None, ranges: DataFrame | None = None, contigs: DataFrame | None = None) -> DataFrame:
+    """Selected fields and tags of the passing rows; with ranges, a row per range hit, with range_id and which_label.
+
+    With contigs (the header's), a range on another one is an error.
+    """
     spec = spec or ScanSpec()
     rows = alignments.where(predicate(spec))
     if spec.reverse_complement:
         rows = rows.withColumns({"seq": sequence.on_forward(F.col("seq"), F.col("flag")), "qual": sequence.quality_on_forward(F.col("qual"), F.col("flag"))})
     extra: list[Column] = []
     if ranges is not None:
-        rows = overlap(rows, ranges)
+        rows = overlap(rows, ranges, contigs)
         extra = [F.col("range_id"), F.col("range_label").alias("which_label")]
     fields = output_fields()
     tags = [F.coalesce(F.col("tags")[t]["i"].cast("string"), F.col("tags")[t]["d"].cast("string"), F.col("tags")[t]["s"]).alias(t) for t in spec.tags]
     return rows.select(*extra, *[fields[f].alias(f) if f in fields else F.col(f) for f in spec.what], *tags)
 
 
-def overlap(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Placed rows with each range they overlap."""
+def overlap(rows: DataFrame, ranges: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
+    """Placed rows with each range they overlap; with contigs, a range on any other is an error."""
+    ranges = check_contigs(ranges, contigs) if contigs is not None else ranges
     placed = rows.where(F.col("rname").isNotNull() & F.col("pos").isNotNull()).withColumn("__end", cigar.reference_end(F.col("pos"), F.col("cigar")))
     return interval_join(placed, unique_labels(check_ranges(ranges)), "rname", "pos", "__end").drop("__end")
 
@@ -87,6 +94,31 @@ def first_n_names(rows: DataFrame, n: int) -> DataFrame:
     return rows.join(names, "qname", "left_semi")
 
 
+def first_n_pairs(mated: DataFrame, n: int) -> DataFrame:
+    """Both records of the first n pairs, in order of groupid, of rows with a mate status."""
+    pairs = mated.where("mate_status = 'mated'").select("groupid").distinct().orderBy("groupid").limit(n)
+    return mated.where("mate_status = 'mated'").join(pairs, "groupid", "left_semi")
+
+
+def in_chunks(rows: DataFrame, n: int, *order: str | Column) -> DataFrame:
+    """The rows with `chunk`: each next n of them in order have the next number, from 0."""
+    return numbered(rows, "chunk", *order).withColumn("chunk", F.floor(F.col("chunk") / n))
+
+
+def iterate(rows: DataFrame, n: int, *order: str | Column) -> Iterator[DataFrame]:
+    """The chunks one after another, for callers that take n rows at a time; the rows are sorted once."""
+    chunked = in_chunks(rows, n, *order)
+    last = chunked.agg(F.max("chunk")).first()[0]
+    for i in range(0 if last is None else last + 1):
+        yield chunked.where(F.col("chunk") == i).drop("chunk")
+
+
+def each_position(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of positions (seqnames, pos, ...) with `chunk`: each next n positions have the next number, whole positions in each."""
+    places = numbered(rows.select("seqnames", "pos").distinct(), "chunk", "seqnames", "pos")
+    return rows.join(places.withColumn("chunk", F.floor(F.col("chunk") / n)), ["seqnames", "pos"])
+
+
 def whole_ranges_until(counts: DataFrame, n: int, total: str = "records") -> DataFrame:
     """Ranges in order until their counts reach n: those whose predecessors' sum is less than n."""
     w = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
@@ -94,8 +126,14 @@ def whole_ranges_until(counts: DataFrame, n: int, total: str = "records") -> Dat
 
 
 def sample_n(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n rows by random rank: a top-n by task, then of these."""
-    return rows.withColumn("__rank", F.rand(seed)).orderBy("__rank").limit(n).drop("__rank")
+    """n rows, those with the least digests of the seed and their own columns: a top-n by task, then of these.
+
+    The same rows come whatever their order and partitions; equal rows come or go together but for the last.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\\N"))
+    simple = [f.name for f in rows.schema if f.dataType.typeName() not in ("map", "array", "struct", "binary")]
+    digest = F.md5(F.concat_ws("\t", F.lit(str(seed)), *map(text, simple)))
+    return rows.withColumn("__rank", digest).orderBy("__rank", *simple).limit(n).drop("__rank")
 
 
 def demultiplex(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

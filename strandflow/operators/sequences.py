@@ -26,16 +26,41 @@ def merge_indexes(indexes: list[DataFrame]) -> DataFrame:
     return found.select("name", F.when(F.col("length") == F.col("most"), F.col("length")).otherwise(F.raise_error(F.lit("a name has two lengths")).cast("int")).alias("length"))
 
 
-def regions(sequences: DataFrame, ranges: DataFrame, stranded: bool = False, alphabet: str | None = None) -> DataFrame:
-    """The sequence of each range; one that ends beyond its sequence is an error. stranded: '-' is reverse-complemented."""
-    met = ranges.join(sequences.select(F.col("name").alias("contig"), "seq"), "contig")
-    part = F.expr("substring(seq, start, end - start + 1)")
-    part = F.when(F.col("end") <= F.length("seq"), part).otherwise(F.raise_error(F.lit("a range ends beyond its sequence")).cast("string"))
+#: Letters of a stored piece of a sequence.
+PIECE = 1 << 16
+
+
+def pieces(sequences: DataFrame, width: int = PIECE) -> DataFrame:
+    """name, piece (from 0), seq: each sequence in pieces of fixed width. Store these where ranges are asked often."""
+    number = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("seq") / width).cast("int") - 1, F.lit(0))))
+    cut = sequences.select("name", "seq", number.alias("piece"))
+    return cut.select("name", "piece", F.substr("seq", F.col("piece") * width + 1, F.lit(width)).alias("seq"))
+
+
+def regions(sequences: DataFrame, ranges: DataFrame, stranded: bool = False, alphabet: str | None = None, width: int = PIECE) -> DataFrame:
+    """The sequence of each range; one that ends beyond its sequence is an error. stranded: '-' is reverse-complemented.
+
+    Ranges meet pieces of sequences, not whole ones, and their parts are put together again.
+    """
+    return piece_regions(pieces(sequences, width), fasta_index(sequences), ranges, stranded, alphabet, width)
+
+
+def piece_regions(stored: DataFrame, index: DataFrame, ranges: DataFrame, stranded: bool = False, alphabet: str | None = None, width: int = PIECE) -> DataFrame:
+    """The same from stored pieces and the index (name, length). Ranges on unknown names give no row."""
+    first, last = ((F.col(c) - 1) / width for c in ("start", "end"))
+    rows = ranges.join(index.select(F.col("name").alias("contig"), F.col("length").alias("__length")), "contig").withColumn("__row", F.struct(*ranges.columns))
+    good = F.when(F.col("end") <= F.col("__length"), F.floor(last)).otherwise(F.raise_error(F.lit("a range ends beyond its sequence")).cast("long"))
+    full = F.col("end") >= F.col("start")
+    asked = rows.withColumn("piece", F.explode(F.when(full, F.sequence(F.floor(first), good)).otherwise(F.array(F.lit(0).cast("long"))))).select("__row", "piece", F.col("contig").alias("name"), "start", "end")
+    low, high = F.greatest(F.col("start") - F.col("piece") * width, F.lit(1)), F.least(F.col("end") - F.col("piece") * width, F.lit(width))
+    met = asked.join(stored, ["name", "piece"]).select("__row", "piece", F.substr("seq", low.cast("int"), F.greatest(high - low + 1, F.lit(0)).cast("int")).alias("part"))
+    whole = met.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("piece", "part"))).alias("parts"))
+    part = F.array_join(F.transform("parts", lambda p: p["part"]), "")
     if alphabet:
         part = in_alphabet(part, alphabet)
     if stranded:
-        part = F.when(F.col("strand") == "-", reverse_complement(part)).otherwise(part)
-    return met.select(*ranges.columns, part.alias("seq"))
+        part = F.when(F.col("__row.strand") == "-", reverse_complement(part)).otherwise(part)
+    return whole.select("__row.*", part.alias("seq"))
 
 
 def regions_by_file(files: list[tuple[DataFrame, DataFrame]], stranded: bool = True) -> DataFrame:

@@ -18,12 +18,20 @@ def order_columns(by: str = "coordinate", tag: str | None = None, then_name: boo
         return [*name, *place, *rest]
     if by == "tag":
         value = F.col("tags")[tag]
-        return [value["s"].asc_nulls_first(), value["i"].asc_nulls_first(), value["d"].asc_nulls_first(), *(name if then_name else place), *rest]
+        return [value["s"].asc_nulls_first(), value["i"].asc_nulls_first(), value["d"].asc_nulls_first(), *([*name, *place] if then_name else place), *rest]
     if by != "coordinate":
         raise ValueError(f"unknown order {by!r}")
     return [*place, *rest]
 
 
+def place_by(sorted_rows: DataFrame, name: str, *by: str) -> DataFrame:
+    """Sorted rows with their place, from 1, among those of equal `by`, as they stand after the sort."""
+    from pyspark.sql import Window
+
+    at = sorted_rows.withColumn("__at", F.monotonically_increasing_id())
+    return at.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("__at"))).drop("__at")
+
+
 def sort(alignments: DataFrame, by: str = "coordinate", tag: str | None = None, then_name: bool = False) -> DataFrame:
     """A total order by range partitions; each task sorts, and spills, its own range."""
     return alignments.orderBy(*order_columns(by, tag, then_name))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.operators.intervals import check_ranges, interval_join, unique_labels
+from strandflow.operators.intervals import check_contigs, check_ranges, interval_join, unique_labels
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,12 @@ PRESETS = {
 
 
 def keyed(lines: DataFrame, layout: Layout) -> DataFrame:
-    """Lines (column `line`) that are no comment, with contig, start and end; starts count from 1."""
+    """Lines (column `line`) that are no comment, with contig, start and end; starts count from 1.
+
+    A layout that skips lines needs their number in `line_no`, from 0 in each file.
+    """
+    if layout.skip:
+        lines = lines.where(F.col("line_no") >= layout.skip)
     parts = F.split("line", "\t")
     start = F.get(parts, F.lit(layout.start - 1)).cast("int") + (1 if layout.zero_based else 0)
     end = F.get(parts, F.lit(layout.end - 1)).cast("int") if layout.end else start
@@ -42,15 +47,19 @@ def keyed(lines: DataFrame, layout: Layout) -> DataFrame:
 
 
 def header(lines: DataFrame, layout: Layout) -> DataFrame:
-    return lines.where(F.col("line").startswith(layout.comment))
+    """Comments, and the lines that the layout skips."""
+    test = F.col("line").startswith(layout.comment)
+    return lines.where(test | (F.col("line_no") < layout.skip) if layout.skip else test)
 
 
 def names(rows: DataFrame) -> DataFrame:
     return rows.select("contig").distinct()
 
 
-def in_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Lines per range hit, with range_id and label."""
+def in_ranges(rows: DataFrame, ranges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Lines per range hit, with range_id and label; with the known names (`contig`), a range on another one is an error."""
+    if known is not None:
+        ranges = check_contigs(ranges, known.select(F.col("contig").alias("name")))
     return interval_join(rows, unique_labels(check_ranges(ranges)), "contig", "start", "end")
 
 

@@ -62,7 +62,11 @@ def info_value(name: str, info: Column | None = None) -> Column:
 
 
 def scan(variants: DataFrame, spec: VariantSpec | None = None, ranges: DataFrame | None = None) -> DataFrame:
-    """Records, per range if any, with the asked fields, INFO keys, samples and genotype fields."""
+    """Records, per range if any, with the asked fields, INFO keys, samples and genotype fields.
+
+    Where all genotype fields are asked for and trim_empty is set, the records are looked through at once
+    for fields that none has a value of, and these are left out.
+    """
     spec = spec or VariantSpec()
     rows = variants
     if ranges is not None:
@@ -76,6 +80,10 @@ def scan(variants: DataFrame, spec: VariantSpec | None = None, ranges: DataFrame
     if spec.geno:
         typed = {"GT": "gt", "DP": "dp", "GQ": "gq", "SP": "sp", "PL": "pl", "GL": "gl"}
         geno = F.transform(geno, lambda g: F.struct(g["sample"].alias("sample"), *[(g[typed[k]] if k in typed else g["other"][k]).alias(k) for k in spec.geno]))
+    elif spec.trim_empty:
+        empty = {r["field"] for r in empty_fields(variants).collect()}  # six rows at most
+        kept = [f for f in ("sample", "gt", "dp", "gq", "sp", "pl", "gl", "other") if f not in empty]
+        geno = F.transform(geno, lambda g: F.struct(*[g[f].alias(f) for f in kept]))
     return rows.select(*extra, *fixed, *info, "format", geno.alias("geno"))
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandflow import shared
 from strandflow.functions import cigar, flags, sequence
 from strandflow.operators import count, intervals, mates, scan, sequences, sorting, tabtext, variants
 from strandflow.operators.pileup import multi_file_depth, pileup, quality_depth
 from strandflow.operators.views import Views
 from strandflow.plans import testviews as tv
+from strandflow.schemas import ALIGNMENT
+from strandflow.sources import bgzf, sam
 from strandflow.specs import MultiPileupSpec, PileupSpec, ScanSpec, VariantSpec
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,47 +212,64 @@ def _pile(select: str, mapq: int = 0, bq: int = 13, more: str = "") -> str:
 
 @_register(_pile("SELECT seqnames, pos, strand, nucleotide, count(*) AS count FROM b GROUP BY ALL"))
 def pileup_all_dims(spark, d):
-    return pileup(tv.alignments(spark, d))
+    return pileup(tv.alignments(spark, d, spread=True))
 
 
 @_register(_pile("SELECT seqnames, pos, count(*) AS count FROM b GROUP BY ALL", mapq=5))
 def pileup_collapsed(spark, d):
-    return pileup(tv.alignments(spark, d), PileupSpec(min_mapq=5, distinguish_strands=False, distinguish_nucleotides=False))
+    return pileup(tv.alignments(spark, d, spread=True), PileupSpec(min_mapq=5, distinguish_strands=False, distinguish_nucleotides=False))
 
 
 @_register(_pile("""SELECT seqnames, pos, nucleotide, count(*) AS count FROM (SELECT seqnames, pos, nucleotide FROM b UNION ALL SELECT seqnames, pos, '+' FROM ev WHERE ins) GROUP BY ALL""", bq=20))
 def pileup_insertions(spark, d):
-    return pileup(tv.alignments(spark, d), PileupSpec(include_insertions=True, distinguish_strands=False, min_base_quality=20))
+    return pileup(tv.alignments(spark, d, spread=True), PileupSpec(include_insertions=True, distinguish_strands=False, min_base_quality=20))
 
 
 @_register(_pile("""SELECT seqnames, pos, strand, nucleotide, n AS count FROM (SELECT *, sum(n) OVER (PARTITION BY seqnames, pos, nucleotide) AS by_nuc FROM (SELECT seqnames, pos, strand, nucleotide, count(*) AS n FROM b GROUP BY ALL))
 JOIN (SELECT seqnames, pos, sum(n) AS total, max(n) AS most FROM (SELECT seqnames, pos, nucleotide, count(*) AS n FROM b GROUP BY ALL) GROUP BY ALL) USING (seqnames, pos) WHERE by_nuc >= 2 AND total - most >= 1"""))
 def pileup_depth_filters(spark, d):
-    return pileup(tv.alignments(spark, d), PileupSpec(min_nucleotide_depth=2, min_minor_allele_depth=1))
+    return pileup(tv.alignments(spark, d, spread=True), PileupSpec(min_nucleotide_depth=2, min_minor_allele_depth=1))
 
 
 @_register(_pile("SELECT seqnames, pos, CASE WHEN q + 1 <= 3 THEN '(0,3]' WHEN q + 1 <= 7 THEN '(3,7]' ELSE '(7,Inf]' END AS left_bin, strand, nucleotide, count(*) AS count FROM b GROUP BY ALL"))
 def pileup_left_bins(spark, d):
-    return pileup(tv.alignments(spark, d), PileupSpec(left_bins=(0, 3, 7, float("inf"))))
+    return pileup(tv.alignments(spark, d, spread=True), PileupSpec(left_bins=(0, 3, 7, float("inf"))))
 
 
 @_register(_pile("""SELECT seqnames, pos, CASE WHEN e > -4 THEN '(-4,-1]' ELSE '(-8,-4]' END AS query_bin, strand, nucleotide, count(*) AS count
 FROM (SELECT *, CASE WHEN strand = '-' THEN -(q + 1) ELSE -(qlen - q) END AS e FROM b) WHERE e > -8 AND e <= -1 GROUP BY ALL"""))
 def pileup_query_bins(spark, d):
-    return pileup(tv.alignments(spark, d), PileupSpec(query_bins=(-8, -4, -1)))
+    return pileup(tv.alignments(spark, d, spread=True), PileupSpec(query_bins=(-8, -4, -1)))
 
 
 @_register(f"""{WITH}, {EVENTS.format(mapq=0)}, {BASES.format(bq=13, more="")} SELECT range_id, {LABEL} AS which_label, seqnames, pos, nucleotide, count(*) AS count
 FROM b JOIN ranges ON seqnames = contig AND pos >= "start" AND pos <= "end" GROUP BY ALL""")
 def pileup_ranges(spark, d):
-    return pileup(tv.alignments(spark, d), PileupSpec(distinguish_strands=False), ranges=tv.ranges(spark, d))
+    return pileup(tv.alignments(spark, d, spread=True), PileupSpec(distinguish_strands=False), ranges=tv.ranges(spark, d))
+
+
+#: The same, of the first reads at each position only.
+CAPPED = EVENTS.replace("ev AS (SELECT aln.file,", "every AS (SELECT aln.pos AS read_start, qname, flag, cigar, seq, qual, aln.file,") + """,
+ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}seqnames, pos ORDER BY read_start, qname, flag, cigar, seq, qual) AS nth FROM every) WHERE nth <= {cap})
+"""
+
+
+@_register(f"{WITH}, {CAPPED.format(mapq=0, by='', cap=3)}, {BASES.format(bq=13, more='')} SELECT seqnames, pos, strand, nucleotide, count(*) AS count FROM b GROUP BY ALL")
+def pileup_max_depth(spark, d):
+    return pileup(tv.alignments(spark, d, spread=True), PileupSpec(max_depth=3))
+
+
+@_register(f"""{WITH}, {CAPPED.format(mapq=0, by='', cap=2)}, {BASES.format(bq=13, more="")} SELECT range_id, {LABEL} AS which_label, seqnames, pos, strand, nucleotide, count(*) AS count
+FROM b JOIN ranges ON seqnames = contig AND pos >= "start" AND pos <= "end" GROUP BY ALL""")
+def pileup_max_depth_ranges(spark, d):
+    return pileup(tv.alignments(spark, d, spread=True), PileupSpec(max_depth=2), ranges=tv.ranges(spark, d))
 
 
 @_register(f"""{WITH}, {PLACED}, steps AS (SELECT rname, p, sum(d) AS d FROM (SELECT rname, pos AS p, 1 AS d FROM placed UNION ALL SELECT rname, stop + 1, -1 FROM placed) GROUP BY ALL),
 runs AS (SELECT rname AS contig, p AS "start", lead(p) OVER w - 1 AS "end", sum(d) OVER w AS depth FROM steps WINDOW w AS (PARTITION BY rname ORDER BY p))
 SELECT contig, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end", CAST(depth AS BIGINT) AS depth FROM runs WHERE depth > 0""")
 def coverage(spark, d):
-    rows = tv.alignments(spark, d).where("rname IS NOT NULL").select(F.col("rname").alias("contig"), F.col("pos").alias("start"), cigar.reference_end(F.col("pos"), F.col("cigar")).alias("end"))
+    rows = tv.alignments(spark, d, spread=True).where("rname IS NOT NULL").select(F.col("rname").alias("contig"), F.col("pos").alias("start"), cigar.reference_end(F.col("pos"), F.col("cigar")).alias("end"))
     return intervals.coverage(rows)
 
 
@@ -258,7 +279,7 @@ _MULTI = f"""{WITH}, {EVENTS.format(mapq=0)}, depth AS (SELECT range_id, file, s
 
 @_register(f"{_MULTI} SELECT * FROM depth")
 def multi_file_depth_per_base(spark, d):
-    return multi_file_depth(tv.alignments(spark, d), tv.ranges(spark, d))
+    return multi_file_depth(tv.alignments(spark, d, spread=True), tv.ranges(spark, d))
 
 
 _ZERO = ", ".join(f'CAST(coalesce("{b}", 0) AS BIGINT) AS "{b}"' for b in "ACGTN")
@@ -267,13 +288,25 @@ _ZERO = ", ".join(f'CAST(coalesce("{b}", 0) AS BIGINT) AS "{b}"' for b in "ACGTN
 @_register(f"""{_MULTI}, cells AS (SELECT range_id, contig AS seqnames, CAST(unnest(range("start", "end" + 1)) AS INT) AS pos FROM ranges) SELECT range_id, file, seqnames, pos, {_ZERO}
 FROM cells CROSS JOIN (SELECT DISTINCT file FROM aln) LEFT JOIN depth USING (range_id, file, seqnames, pos)""")
 def multi_file_depth_zero_filled(spark, d):
-    return multi_file_depth(tv.alignments(spark, d), tv.ranges(spark, d), MultiPileupSpec(yield_all=True))
+    return multi_file_depth(tv.alignments(spark, d, spread=True), tv.ranges(spark, d), MultiPileupSpec(yield_all=True))
 
 
 @_register(f"""{WITH}, {EVENTS.format(mapq=0)} SELECT range_id, file, seqnames, pos, bq AS quality, count(*) AS count FROM ev JOIN ranges ON seqnames = contig AND pos >= "start" AND pos <= "end"
 WHERE op NOT IN ('N', 'D') AND bq >= 13 GROUP BY ALL""")
 def multi_file_quality(spark, d):
-    return quality_depth(tv.alignments(spark, d), tv.ranges(spark, d))
+    return quality_depth(tv.alignments(spark, d, spread=True), tv.ranges(spark, d))
+
+
+@_register(f"""{WITH}, {CAPPED.format(mapq=0, by='file, ', cap=1)}, depth AS (SELECT range_id, file, seqnames, pos, {_DEPTH} FROM ev JOIN ranges ON seqnames = contig AND pos >= "start" AND pos <= "end"
+WHERE op NOT IN ('N', 'D') AND bq >= 13 GROUP BY ALL) SELECT * FROM depth""")
+def multi_file_max_depth(spark, d):
+    return multi_file_depth(tv.alignments(spark, d, spread=True), tv.ranges(spark, d), MultiPileupSpec(max_depth=1))
+
+
+@_register(_pile("SELECT *, (dense_rank() OVER (ORDER BY seqnames, pos) - 1) // 500 AS chunk FROM (SELECT seqnames, pos, count(*) AS count FROM b GROUP BY ALL)"))
+def pileup_chunks(spark, d):
+    flat = PileupSpec(distinguish_strands=False, distinguish_nucleotides=False)
+    return scan.each_position(pileup(tv.alignments(spark, d, spread=True), flat), 500)
 
 
 # --- mates
@@ -281,16 +314,33 @@ def multi_file_quality(spark, d):
 _BIT = "({x} & {m} <> 0)"
 _STRICT = """x.flag & 13 = 1 AND y.flag & 13 = 1 AND (x.flag & 64 <> 0) <> (x.flag & 128 <> 0) AND (y.flag & 64 <> 0) <> (y.flag & 128 <> 0) AND (x.flag & 64 <> 0) <> (y.flag & 64 <> 0)
 AND x.flag & 258 = y.flag & 258 AND x.mpos = y.pos AND y.mpos = x.pos AND x.mrnm = y.rname AND y.mrnm = x.rname AND (x.flag & 32 <> 0) = (y.flag & 16 <> 0) AND (y.flag & 32 <> 0) = (x.flag & 16 <> 0)"""
-_MATES = f"""WITH p AS ({PAIRED}), pairs AS (SELECT x."key" AS k, y."key" AS m FROM p x JOIN p y ON x.qname = y.qname AND x."key" <> y."key" WHERE {_STRICT}),
+_LOOSE = """x.flag & 13 = 1 AND y.flag & 13 = 1 AND (x.flag & 64 <> 0) <> (x.flag & 128 <> 0) AND (y.flag & 64 <> 0) <> (y.flag & 128 <> 0) AND (x.flag & 64 <> 0) <> (y.flag & 64 <> 0)
+AND x.flag & 258 = y.flag & 258 AND x.mpos = y.pos AND y.mpos = x.pos AND (x.mrnm = y.rname OR y.mrnm = x.rname) AND ((x.flag & 32 <> 0) = (y.flag & 16 <> 0)) = ((y.flag & 32 <> 0) = (x.flag & 16 <> 0))"""
+_PAIRS = """pairs AS (SELECT x."key" AS k, y."key" AS m FROM p x JOIN p y ON x.qname = y.qname AND x."key" <> y."key" WHERE {rule}),
 deg AS (SELECT k, count(*) AS n, min(m) AS m FROM pairs GROUP BY k), j AS (SELECT deg.*, o.n AS mn FROM deg LEFT JOIN deg o ON o.k = deg.m)"""
+_MATES = f"WITH p AS ({PAIRED}), " + _PAIRS.format(rule=_STRICT)
+_STATUS = """s AS (SELECT p."key", qname, CASE WHEN n = 1 AND mn = 1 THEN 'mated' WHEN n IS NOT NULL THEN 'ambiguous' ELSE 'unmated' END AS mate_status, CASE WHEN n = 1 AND mn = 1 THEN m END AS mate FROM p LEFT JOIN j ON j.k = p."key"),
+t AS (SELECT "key", mate_status, mate, CASE WHEN mate_status = 'mated' THEN least("key", mate) ELSE min("key") OVER (PARTITION BY qname, mate_status) END AS groupid FROM s)"""
 
 
-@_register(f"""{_MATES}, s AS (SELECT p."key", qname, CASE WHEN n = 1 AND mn = 1 THEN 'mated' WHEN n IS NOT NULL THEN 'ambiguous' ELSE 'unmated' END AS mate_status, CASE WHEN n = 1 AND mn = 1 THEN m END AS mate FROM p LEFT JOIN j ON j.k = p."key")
-SELECT "key", mate_status, mate, CASE WHEN mate_status = 'mated' THEN least("key", mate) ELSE min("key") OVER (PARTITION BY qname, mate_status) END AS groupid FROM s""")
+@_register(f"WITH p AS ({PAIRED}), {_PAIRS.format(rule=_LOOSE)}, {_STATUS} SELECT * FROM t")
 def mates_status(spark, d):
     return mates.mate_status(tv.paired(spark, d)).select("key", "mate_status", "mate", "groupid")
 
 
+@_register(f"""WITH ranges AS ({RANGES}), every AS ({PAIRED}), p AS (SELECT * FROM every WHERE qname IN (SELECT qname FROM every JOIN ranges ON rname = contig AND pos >= "start" AND pos <= "end")),
+{_PAIRS.format(rule=_LOOSE)}, {_STATUS} SELECT * FROM t""")
+def mates_ranged(spark, d):
+    rows = tv.paired(spark, d)
+    here = intervals.interval_join(rows.select("qname", "rname", "pos"), tv.ranges(spark, d), "rname", "pos", "pos")
+    return mates.ranged_mates(rows, here).select("key", "mate_status", "mate", "groupid")
+
+
+@_register(f"""WITH p AS ({PAIRED}), {_PAIRS.format(rule=_LOOSE)}, {_STATUS} SELECT "key", mate, groupid FROM t WHERE groupid IN (SELECT DISTINCT groupid FROM t WHERE mate_status = 'mated' ORDER BY groupid LIMIT 50) AND mate_status = 'mated'""")
+def first_n_pairs(spark, d):
+    return scan.first_n_pairs(mates.mate_status(tv.paired(spark, d)), 50).select("key", "mate", "groupid")
+
+
 @_register(f"""{_MATES} SELECT p."key", CASE WHEN n > 1 THEN 0 WHEN mn > 1 THEN -m ELSE m END AS hit FROM p LEFT JOIN j ON j.k = p."key" """)
 def mates_within_groups(spark, d):
     return mates.mates_within_groups(tv.paired(spark, d)).select("key", "hit")
@@ -311,21 +361,44 @@ def qname_trim(spark, d):
 # --- order, limits, merging, views
 
 
-@_register(f"""WITH p AS ({PAIRED}) SELECT "key", rname, pos, row_number() OVER (PARTITION BY rname ORDER BY pos, (flag & 16), qname, flag, "key") AS place FROM p""")
-def sort_coordinate_rank(spark, d):
-    from pyspark.sql import Window
+_REST = "qname, flag, mapq, cigar NULLS FIRST, seq, qual"
+_ORDERS = {"coordinate": "rname NULLS LAST, pos NULLS LAST, flag & 16, " + _REST, "name": "qname, flag & 192, rname NULLS LAST, pos NULLS LAST, flag & 16, " + _REST}
+_ORDERS |= {"tag": f"rg, {_ORDERS['coordinate']}", "tag_name": f"rg, {_ORDERS['name']}"}
+_SORTED = f"{WITH} SELECT file, rname, pos, qname, flag, mapq, cigar, seq, qual, row_number() OVER (PARTITION BY file ORDER BY {{order}}) AS place FROM aln"
+
 
-    w = Window.partitionBy("rname").orderBy("pos", F.col("flag").bitwiseAND(16), "qname", "flag", "key")
-    return tv.paired(spark, d).select("key", "rname", "pos", F.row_number().over(w).alias("place"))
+def _sorted(rows: DataFrame) -> DataFrame:
+    return sorting.place_by(rows, "place", "file").select("file", "rname", "pos", "qname", "flag", "mapq", "cigar", "seq", "qual", "place")
 
 
-@_register(f"""{WITH} SELECT rname, rg, qname, flag, seq, qual, cigar, mapq, pos, dense_rank() OVER (PARTITION BY rname ORDER BY rg NULLS FIRST, pos, qname) AS place FROM aln WHERE rname IS NOT NULL""")
-def sort_by_tag_rank(spark, d):
-    from pyspark.sql import Window
+@_register(_SORTED.format(order=_ORDERS["coordinate"]))
+def sort_coordinate(spark, d):
+    return _sorted(sorting.sort(tv.alignments(spark, d)))
 
-    rows = tv.alignments(spark, d).where("rname IS NOT NULL").withColumn("rg", F.col("tags")["RG"]["s"])
-    w = Window.partitionBy("rname").orderBy(F.col("rg").asc_nulls_first(), "pos", "qname")
-    return rows.select("rname", "rg", "qname", "flag", "seq", "qual", "cigar", "mapq", "pos", F.dense_rank().over(w).alias("place"))
+
+@_register(_SORTED.format(order=_ORDERS["name"]))
+def sort_by_name(spark, d):
+    return _sorted(sorting.sort(tv.alignments(spark, d), by="name"))
+
+
+@_register(_SORTED.format(order=_ORDERS["tag"]))
+def sort_by_tag(spark, d):
+    return _sorted(sorting.sort(tv.alignments(spark, d), by="tag", tag="RG"))
+
+
+@_register(_SORTED.format(order=_ORDERS["tag_name"]))
+def sort_by_tag_then_name(spark, d):
+    return _sorted(sorting.sort(tv.alignments(spark, d), by="tag", tag="RG", then_name=True))
+
+
+@_register(f"{WITH} SELECT qname, flag, pos, (row_number() OVER (ORDER BY qname, flag, pos NULLS FIRST) - 1) // 1000 AS chunk FROM aln")
+def yield_chunks(spark, d):
+    return scan.in_chunks(tv.alignments(spark, d).select("qname", "flag", "pos"), 1000, "qname", "flag", "pos")
+
+
+@_register(f"{WITH} SELECT qname, flag, pos FROM aln ORDER BY qname, flag, pos NULLS FIRST LIMIT 1000")
+def yield_first(spark, d):
+    return scan.first_n(tv.alignments(spark, d).select("qname", "flag", "pos"), 1000, "qname", "flag", "pos")
 
 
 @_register(f"{WITH} SELECT file AS \"RG\", count(*) AS n, sum(pos) AS pos_sum FROM aln GROUP BY file")
@@ -355,11 +428,81 @@ def views_rect_counts(spark, d):
     return Views(rows, tv.ranges(spark, d), samples).count()
 
 
-@_register()
+@_register(f"""{WITH} SELECT qname, flag, pos FROM aln
+ORDER BY md5(concat_ws(chr(9), '7', coalesce(qname, '\\N'), CAST(flag AS VARCHAR), coalesce(CAST(pos AS VARCHAR), '\\N'))), qname, flag, pos NULLS FIRST LIMIT 500""")
 def sample_n(spark, d):
     return scan.sample_n(tv.alignments(spark, d).select("qname", "flag", "pos"), 500, seed=7)
 
 
+# --- headers and files
+
+_RECORD = "qname, flag, rname, pos, mapq, cigar, mrnm, mpos, isize, seq, qual, CAST(nm AS BIGINT) AS \"NM\", rg AS \"RG\""
+
+
+def _record(rows: DataFrame) -> DataFrame:
+    return rows.select("qname", "flag", "rname", "pos", "mapq", "cigar", "mrnm", "mpos", "isize", "seq", "qual", F.col("tags")["NM"]["i"].alias("NM"), F.col("tags")["RG"]["s"].alias("RG"))
+
+
+@_register(f"{WITH} SELECT {_RECORD} FROM aln")
+def sam_text_round_trip(spark, d):
+    return _record(sam.parse(sam.to_lines(tv.alignments(spark, d))))
+
+
+@_register(f"{WITH} SELECT {_RECORD} FROM aln")
+def bam_round_trip(spark, d):
+    """Written as binary files into a folder of the shared one, and read back from there."""
+    bgzf.register(spark)
+    folder = f"{shared.folder(spark)}/bam-{uuid.uuid4().hex}"
+    contigs = ",".join(f"{r['name']}:{r['length']}" for r in tv.contigs(spark, d).orderBy("tid").collect())  # a header's contigs
+    tv.alignments(spark, d).drop("file").select(*[c.split(" ")[0] for c in ALIGNMENT.split(", ")]).write.format("bam").mode("append").option("contigs", contigs).save(folder)
+    return _record(spark.read.format("bam").load(folder))
+
+
+_SQ = "SELECT '@SQ' || chr(9) || 'SN:' || name || chr(9) || 'LN:' || CAST(length AS STRING) AS line FROM ({contigs}) UNION ALL SELECT '@HD' || chr(9) || 'VN:1.6'"
+
+
+def _header_lines(spark, d):
+    return tv.view(spark, d, _SQ.replace("{contigs}", tv.CONTIGS))
+
+
+@_register(f"{WITH} SELECT name, length FROM contigs")
+def sam_header_contigs(spark, d):
+    return sam.contigs(_header_lines(spark, d))
+
+
+@_register(f"{WITH} SELECT 'SQ' AS tag, 'SN:' || name || ',LN:' || CAST(length AS VARCHAR) AS fields FROM contigs UNION ALL SELECT 'HD', 'VN:1.6'")
+def sam_header(spark, d):
+    return sam.header(_header_lines(spark, d)).select("tag", F.array_join("fields", ",").alias("fields"))
+
+
+@_register(f"{WITH} SELECT DISTINCT contig FROM ranges WHERE contig NOT IN (SELECT name FROM contigs)")
+def unknown_range_contigs(spark, d):
+    return intervals.unknown_contigs(tv.ranges(spark, d), tv.contigs(spark, d))
+
+
+@_register(f"""{WITH}, {PLACED}, {MET} SELECT range_id, qname FROM met WHERE range_id % 6 < 5""")
+def scan_known_contigs(spark, d):
+    ranges = tv.ranges(spark, d).where("range_id % 6 < 5")
+    return scan.scan(tv.alignments(spark, d), ScanSpec(what=("qname",)), ranges, tv.contigs(spark, d)).select("range_id", "qname")
+
+
+@_register(f"""{WITH}, names AS (SELECT DISTINCT coalesce(rname, '*') AS seqnames FROM aln)
+SELECT seqnames, row_number() OVER (ORDER BY seqnames <> '*', regexp_replace(seqnames, '\\d+$', ''), coalesce(TRY_CAST(regexp_extract(seqnames, '(\\d+)$', 1) AS BIGINT), -1), seqnames) - 1 AS place FROM names""")
+def natural_contig_order(spark, d):
+    names = tv.alignments(spark, d).select(F.coalesce("rname", F.lit("*")).alias("seqnames")).distinct()
+    return shared.numbered(names, "place", *count.natural_order())
+
+
+@_register(f"{WITH} SELECT qname, pos, CAST((pos - 1) % 1000 + 1 AS INT) AS turned FROM aln")
+def circular_positions(spark, d):
+    return tv.alignments(spark, d).select("qname", "pos", sequence.circular(F.col("pos"), F.lit(1000)).alias("turned"))
+
+
+@_register(f"{WITH} SELECT qname, flag, CASE WHEN flag & 16 <> 0 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq, CASE WHEN flag & 16 <> 0 THEN reverse(qual) ELSE qual END AS qual FROM aln")
+def scan_reverse_complement(spark, d):
+    return scan.scan(tv.alignments(spark, d), ScanSpec(what=("qname", "flag", "seq", "qual"), reverse_complement=True))
+
+
 # --- sequences, text, variants
 
 
@@ -368,23 +511,51 @@ def fasta_index(spark, d):
     return sequences.fasta_index(tv.sequences(spark, d))
 
 
-def _seq_ranges(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.col("name").alias("contig"), (F.lit(1) + F.col("doc_id") % 5).cast("int").alias("start"), F.least(F.length("seq"), F.lit(50) + F.col("doc_id") % 5).cast("int").alias("end"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"))
+@_register(f"WITH s AS ({SEQ}) SELECT count(*) AS n FROM s")
+def fasta_count(spark, d):
+    return sequences.count_sequences(sequences.fasta_index(tv.sequences(spark, d)))
+
+
+@_register(f"WITH s AS ({SEQ}) SELECT name, CAST(length(seq) AS INT) AS length FROM s")
+def fasta_merged_index(spark, d):
+    index = sequences.fasta_index(tv.sequences(spark, d))
+    return sequences.merge_indexes([index, index.where("length % 2 = 0"), index.where("length > 50")])
+
+
+#: Tiles over all of each sequence, every other one on the minus strand.
+_TILE = 70
+_REGION = f"""WITH s AS ({SEQ}), r AS (SELECT name AS contig, seq AS whole, unnest(range(1, length(seq) + 1, {_TILE})) AS "start" FROM s),
+t AS (SELECT contig, CAST("start" AS INT) AS "start", CAST(least("start" + {_TILE - 1}, length(whole)) AS INT) AS "end", CASE WHEN "start" // {_TILE} % 2 = 0 THEN '+' ELSE '-' END AS strand, substr(whole, "start", {_TILE}) AS seq FROM r)"""
 
 
-_REGION = f"WITH s AS ({SEQ}), r AS (SELECT doc_id, name AS contig, CAST(1 + doc_id % 5 AS INT) AS \"start\", CAST(least(length(seq), 50 + doc_id % 5) AS INT) AS \"end\", CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand, seq AS whole FROM s), t AS (SELECT * EXCLUDE (whole), substr(whole, \"start\", greatest(\"end\" - \"start\" + 1, 0)) AS seq FROM r)"
+def _tiles(rows: DataFrame) -> DataFrame:
+    tiles = intervals.tile(sequences.fasta_index(rows), _TILE)
+    return tiles.withColumn("strand", F.when(F.floor(F.col("start") / _TILE) % 2 == 0, "+").otherwise("-"))
 
 
 @_register(f"{_REGION} SELECT * FROM t")
 def fasta_regions(spark, d):
     rows = tv.sequences(spark, d)
-    return sequences.regions(rows, _seq_ranges(rows))
+    return sequences.regions(rows, _tiles(rows), width=256)
 
 
-@_register(f"{_REGION} SELECT doc_id, contig, \"start\", \"end\", strand, CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) ELSE seq END AS seq FROM t")
+@_register(f"{_REGION} SELECT * EXCLUDE (seq), CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) ELSE seq END AS seq FROM t")
 def fasta_getseq_revcomp(spark, d):
     rows = tv.sequences(spark, d)
-    return sequences.regions(rows, _seq_ranges(rows), stranded=True)
+    return sequences.regions(rows, _tiles(rows), stranded=True, width=256)
+
+
+@_register(f"{_REGION} SELECT * EXCLUDE (seq), translate(seq, 'Tt', 'Uu') AS seq FROM t")
+def fasta_regions_rna(spark, d):
+    rows = tv.sequences(spark, d)
+    return sequences.regions(rows, _tiles(rows), alphabet="RNA", width=256)
+
+
+@_register(f"{_REGION} SELECT *, CAST(0 AS INT) AS file FROM t UNION ALL SELECT * EXCLUDE (seq), CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) ELSE seq END, 1 FROM t WHERE contig LIKE '%7'")
+def fasta_regions_by_file(spark, d):
+    rows = tv.sequences(spark, d)
+    tiles = _tiles(rows)
+    return sequences.regions_by_file([(rows, tiles.withColumn("strand", F.lit("+"))), (rows, tiles.where("contig LIKE '%7'"))]).withColumn("strand", F.when(F.floor(F.col("start") / _TILE) % 2 == 0, "+").otherwise("-"))
 
 
 _TAB = f"""WITH l AS ({tv.in_oracle(tv.TABLE_LINES)}), ranges AS ({tv.in_oracle(tv.TABLE_RANGES)}), rows_ AS (SELECT line, split_part(line, chr(9), 1) AS c, CAST(split_part(line, chr(9), 2) AS INT) AS a, CAST(split_part(line, chr(9), 3) AS INT) AS b FROM l),
@@ -398,7 +569,12 @@ def _text(spark, d):
 @_register(f"{_TAB} SELECT * FROM met")
 def tabix_ranges(spark, d):
     rows, ranges = _text(spark, d)
-    return tabtext.in_ranges(rows, ranges).select("range_id", "line")
+    return tabtext.in_ranges(rows, ranges, tabtext.names(rows)).select("range_id", "line")
+
+
+@_register(f"{_TAB} SELECT DISTINCT c AS contig FROM rows_")
+def tabix_names(spark, d):
+    return tabtext.names(_text(spark, d)[0])
 
 
 @_register(f"""{_TAB}, n AS (SELECT range_id, count(*) AS records FROM met GROUP BY range_id) SELECT range_id, contig, "start", "end", CAST(coalesce(records, 0) AS BIGINT) AS records FROM ranges LEFT JOIN n USING (range_id)""")
@@ -429,10 +605,12 @@ def legacy_pileup_all(spark, d):
     return tabtext.legacy_pileup(tv.view(spark, d, tv.PILEUP_TEXT), "all")
 
 
-@_register(f"""{WITH} SELECT qname, mapq % 41 AS score, mapq % 41 AS sanger, mapq % 41 + 31 AS solexa, ascii(substr(qual, 1, 1)) - 33 AS of_char FROM aln""")
+@_register(f"""{WITH} SELECT qname, score, score AS sanger, score + 31 AS solexa, score AS illumina_18, score + 31 AS illumina_13, score + 31 AS illumina_15, of_char
+FROM (SELECT qname, mapq % 38 + 3 AS score, ascii(substr(qual, 1, 1)) - 33 AS of_char FROM aln)""")
 def phred_offsets(spark, d):
-    score = F.col("mapq") % 41
-    return tv.alignments(spark, d).select("qname", score.alias("score"), sequence.phred_offset(score, "Sanger").alias("sanger"), sequence.phred_offset(score, "Solexa").alias("solexa"), sequence.phred_char_offset(F.substring("qual", 1, 1)).alias("of_char"))
+    score = F.col("mapq") % 38 + 3
+    schemes = {"sanger": "Sanger", "solexa": "Solexa", "illumina_18": "Illumina 1.8+", "illumina_13": "Illumina 1.3+", "illumina_15": "Illumina 1.5+"}
+    return tv.alignments(spark, d).select("qname", score.alias("score"), *[sequence.phred_offset(score, s).alias(n) for n, s in schemes.items()], sequence.phred_char_offset(F.substring("qual", 1, 1)).alias("of_char"))
 
 
 _VARIANTS = f"""WITH ranges AS ({RANGES}), v AS (SELECT p_partkey, 'chr' || CAST(p_partkey % 6 AS STRING) AS chrom, CAST(1 + p_partkey * 53 AS INT) AS pos, CASE WHEN p_partkey % 2 <> 0 THEN 'rs' || CAST(p_partkey AS STRING) END AS id,

@@ -61,11 +61,18 @@ FROM {part}
 """
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str, **words: str) -> DataFrame:
-    """A view as a DataFrame; {name} is a table or one of the words."""
-    # a test table may be one row group, which a single task would read and unfold: deal its rows out
-    spread = lambda df: df.repartition(spark.sparkContext.defaultParallelism)
-    tables = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in ("lineitem", "part", "region", "orders", "documents", "events", "customer") if "{%s}" % t in sql}
+def view(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False, **words: str) -> DataFrame:
+    """A view as a DataFrame; {name} is a table or one of the words.
+
+    With `spread`, for queries that unfold their rows, a table of fewer splits than cores is dealt out first.
+    """
+    cores = spark.sparkContext.defaultParallelism
+
+    def read(table: str) -> DataFrame:
+        df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+
+    tables = {t: read(t) for t in ("lineitem", "part", "region", "orders", "documents", "events", "customer") if "{%s}" % t in sql}
     for k, v in words.items():
         sql = sql.replace("{%s}" % k, v)
     return spark.sql(sql.replace('"', "`"), **tables)
@@ -79,11 +86,11 @@ def in_oracle(sql: str, **words: str) -> str:
     return sql
 
 
-def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alignments(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Alignments with NM and RG tags, and the file they are in."""
     tag = lambda kind, i, s: f"named_struct('type', '{kind}', 'i', {i}, 'd', CAST(NULL AS DOUBLE), 's', {s}, 'ai', CAST(NULL AS ARRAY<BIGINT>), 'ad', CAST(NULL AS ARRAY<DOUBLE>))"
     tags = F.expr(f"map('NM', {tag('i', 'CAST(nm AS BIGINT)', 'CAST(NULL AS STRING)')}, 'RG', {tag('Z', 'CAST(NULL AS BIGINT)', 'rg')})").cast(f"map<string,{TAG}>")
-    return view(spark, sf_dir, ALIGNMENTS).withColumn("tags", tags).drop("nm", "rg")
+    return view(spark, sf_dir, ALIGNMENTS, spread).withColumn("tags", tags).drop("nm", "rg")
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:

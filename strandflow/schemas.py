@@ -11,6 +11,7 @@ FASTA = "name string, seq string"
 FASTA_INDEX = "name string, length int, offset long, line_bases int, line_width int"
 GENOTYPE = "struct<sample:string,gt:string,dp:int,gq:int,sp:int,pl:array<int>,gl:array<double>,other:map<string,string>>"
 VARIANT = f"chrom string, pos int, id string, ref string, alt string, qual double, filter string, info string, format string, geno array<{GENOTYPE}>"
+#: Fixed names of the columns of old pileup text.
 PILEUP_TEXT = (
     "space string, position int, referenceBase string, consensusBase string, consensusQuality int, snpQuality int, maxMappingQuality int, coverage int, "
     "alleleOne string, alleleTwo string, alleleOneSupport int, alleleTwoSupport int, additionalIndels int"

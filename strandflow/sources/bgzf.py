@@ -4,12 +4,18 @@ A file is a series of gzip members of at most 64 KiB, each of which tells its si
 splits a file into byte ranges: a task seeks the first member that starts in its range and, inside
 the data, the first place from which records follow each other soundly. `register(spark)` makes it
 spark.read.format("bam").
+
+Tasks read and write through Arrow's file systems: a path may be local or a URI of any store that Arrow
+reaches (file, hdfs, s3, gs, abfs). Written files stand under `_temporary` until the job commits; only
+those of the attempts that Spark counts are moved then, and the rest is removed.
 """
 
 from __future__ import annotations
 
 import gzip
+import posixpath
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -146,9 +152,34 @@ class _Members:
             yield at, zlib.decompress(body[:-8], -15)
 
 
+def locate(path: str) -> tuple:
+    """The Arrow file system of a path or URI, and the path on it."""
+    from pyarrow import fs  # in tasks only
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), path)
+
+
+def _open(path: str):
+    store, place = locate(path)
+    return store.open_input_file(place)
+
+
+def files_of(path: str) -> list[tuple[str, int]]:
+    """A file, or the data files of a folder, with their sizes; what begins with _ or . is left out."""
+    from pyarrow import fs
+
+    store, place = locate(path)
+    head = path[: len(path) - len(place)] if path.endswith(place) else ""
+    info = store.get_file_info(place)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(place))
+    return sorted((head + f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name[0] not in "_.")
+
+
 def read_header(path: str) -> tuple[str, list[tuple[str, int]], int, int]:
     """Text, contigs, and where records begin: member offset and offset in its data."""
-    with open(path, "rb") as f:
+    with _open(path) as f:
         data, starts = b"", []
         for at, part in _Members(f, 0):
             starts.append((at, len(data)))
@@ -199,14 +230,12 @@ class BamReader(DataSourceReader):
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
 
     def partitions(self):
-        import os
-
-        return [_Range(p, a, a + self.split) for p in self.paths for a in range(0, max(os.path.getsize(p), 1), self.split)]
+        return [_Range(p, a, a + self.split) for path in self.paths for p, size in files_of(path) for a in range(0, max(size, 1), self.split)]
 
     def read(self, partition):
         _, contigs, first, inside = read_header(partition.path)
         names = [n for n, _ in contigs]
-        with open(partition.path, "rb") as f:
+        with _open(partition.path) as f:
             start = first
             if partition.start > first:
                 f.seek(partition.start)
@@ -250,21 +279,21 @@ class _Written(WriterCommitMessage):
 class BamWriter(DataSourceWriter):
     """A BAM file per task, in the folder `path`; `contigs` lists name:length pairs."""
 
-    def __init__(self, options):
-        import os
-
-        self.path = options["path"]
+    def __init__(self, options, overwrite: bool = False):
+        self.path, self.overwrite, self.job = options["path"].rstrip("/"), overwrite, uuid.uuid4().hex
         self.contigs = [(n, int(k)) for n, _, k in (c.rpartition(":") for c in options.get("contigs", "").split(",") if c)]
-        os.makedirs(self.path, exist_ok=True)
 
-    def write(self, iterator):
-        import os
-        import uuid
+    def _places(self) -> tuple:
+        store, folder = locate(self.path)
+        return store, folder, posixpath.join(folder, "_temporary", self.job)
 
+    def write(self, iterator):
         ids = {n: i for i, (n, _) in enumerate(self.contigs)}
         text = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in self.contigs)
-        name = f"{self.path}/part-{uuid.uuid4().hex}.bam"
-        with open(name + ".tmp", "wb") as f:
+        store, _, held_in = self._places()
+        store.create_dir(held_in)
+        name = f"part-{uuid.uuid4().hex}.bam"
+        with store.open_output_stream(posixpath.join(held_in, name)) as f:
             held = [encode_header(text, self.contigs)]
             size = len(held[0])
             for row in iterator:
@@ -274,22 +303,33 @@ class BamWriter(DataSourceWriter):
                     f.write(compress(b"".join(held))[: -len(EOF_MEMBER)])
                     held, size = [], 0
             f.write(compress(b"".join(held)))
-        os.replace(name + ".tmp", name)
         return _Written(name)
 
+    def _end(self, store, folder: str) -> None:
+        store.delete_dir(posixpath.join(folder, "_temporary"))
+
     def commit(self, messages):
-        pass
+        from pyarrow import fs
+
+        store, folder, held_in = self._places()
+        store.create_dir(held_in)
+        if self.overwrite:
+            for f in store.get_file_info(fs.FileSelector(folder)):
+                if f.type == fs.FileType.File:
+                    store.delete_file(f.path)
+        for m in messages:
+            if m is not None:
+                store.move(posixpath.join(held_in, m.path), posixpath.join(folder, m.path))
+        self._end(store, folder)
 
     def abort(self, messages):
-        import os
-
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        store, folder, held_in = self._places()
+        store.create_dir(held_in)
+        self._end(store, folder)
 
 
 class BamSource(DataSource):
-    """Options: path (comma-separated files), splitBytes; for writing path (a folder) and contigs."""
+    """Options: path (comma-separated files or folders), splitBytes; for writing path (a folder) and contigs."""
 
     @classmethod
     def name(cls):
@@ -302,7 +342,7 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
     def writer(self, schema, overwrite):
-        return BamWriter(self.options)
+        return BamWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -53,7 +53,7 @@ def header(lines: DataFrame) -> DataFrame:
 def contigs(lines: DataFrame) -> DataFrame:
     """name and length of the @SQ lines."""
     value = lambda k: F.regexp_extract("line", rf"\t{k}:([^\t]+)", 1)
-    return lines.where(F.col("line").startswith("@SQ")).select(value("SN").alias("name"), value("LN").cast("int").alias("length"))
+    return lines.where(F.col("line").startswith("@SQ")).select(value("SN").alias("name"), value("LN").try_cast("int").alias("length"))
 
 
 def to_lines(alignments: DataFrame) -> DataFrame:

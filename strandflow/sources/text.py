@@ -47,9 +47,19 @@ def vcf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return variants.parse(rows, names)
 
 
-def old_pileup(spark: SparkSession, path: str) -> DataFrame:
-    """Old pileup text with a line number; short rows are filled with null."""
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """`line`, the file and `line_no`, from 0 in each file: places inside each split of a file, and the lines of its splits before."""
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__at"))
+    sizes = rows.groupBy("file", "__split").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy("file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    sizes = sizes.select("file", "__split", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("file", "__split").orderBy("__at")) - 1
+    return rows.withColumn("__inside", inside).join(sizes, ["file", "__split"]).select("line", "file", (F.col("__before") + F.col("__inside")).alias("line_no"))
+
+
+def old_pileup(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Old pileup text with the file and a line number; short rows are filled with null."""
     fields = [f.split(" ") for f in PILEUP_TEXT.split(", ")]
-    p = F.split("value", "\t")
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "value"))
-    return rows.select("line_no", *[F.get(p, F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(fields)])
+    p = F.split("line", "\t")
+    rows = numbered_lines(spark, path)
+    return rows.select("file", "line_no", *[F.get(p, F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(fields)])

@@ -54,7 +54,8 @@ def check_bins(bins: Sequence[float]) -> list[float]:
 
 @dataclass(frozen=True)
 class PileupSpec:
-    max_depth: int | None = None
+    #: Reads that count at a position at most; None for all.
+    max_depth: int | None = 250
     min_base_quality: int = 13
     min_mapq: int = 0
     min_nucleotide_depth: int = 1
@@ -95,7 +96,8 @@ class MultiPileupSpec:
     min_base_quality: int = 13
     min_mapq: int = 0
     min_depth: int = 0
-    max_depth: int | None = None
+    #: Reads of a file that count at a position at most; None for all.
+    max_depth: int | None = 250
     yield_all: bool = False
 
     def __post_init__(self):

@@ -4,6 +4,9 @@ Each contig keeps the counts of positions that later reads may still cover: thos
 largest read start seen. Whatever lies before it is final and is emitted. State is bounded by the
 positions that reads at the frontier reach, not by the stream. A record named END_NAME on a contig
 tells that no more come, and flushes it. Out-of-order records behind the frontier are not expected.
+
+Tasks add up their own bases by Arrow batch before the shuffle, so a contig's state gets a row for each
+position of a batch and not for each base. A contig's frontier is one value: its state is one group.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
@@ -43,6 +47,17 @@ def _release(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     yield pd.DataFrame({"seqnames": key[0], "pos": out["pos"].astype("int32"), "strand": out["strand"], "nucleotide": out["nucleotide"], "count": out["n"].astype("int64")})
 
 
+_KEYS = ["seqnames", "pos", "strand", "nucleotide", "ended"]
+
+
+def _batch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each batch's equal bases, with the furthest start of their reads."""
+    for b in batches:
+        sums = pa.table(b).group_by(_KEYS).aggregate([("read_start", "max"), ("n", "sum")])
+        sums = sums.rename_columns([c.removesuffix("_max").removesuffix("_sum") for c in sums.column_names])
+        yield from sums.select(b.schema.names).to_batches()
+
+
 def stream_pileup(alignments: DataFrame, spec: PileupSpec | None = None, scan_spec: ScanSpec | None = None) -> DataFrame:
     """A streaming DataFrame of final positions (append mode) from a streaming DataFrame of alignments."""
     spec = spec or PileupSpec()
@@ -52,4 +67,5 @@ def stream_pileup(alignments: DataFrame, spec: PileupSpec | None = None, scan_sp
     counted = events.select("seqnames", "pos", "strand", "nucleotide", F.col("file").cast("int").alias("read_start"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("ended"))
     ends = alignments.where(F.col("qname") == END_NAME).select(F.col("rname").alias("seqnames"), *[F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("strand", "string"), ("nucleotide", "string"), ("read_start", "int"), ("n", "long"))], F.lit(True).alias("ended"))
     rows = counted.unionByName(ends)
+    rows = rows.mapInArrow(_batch_sums, rows.schema)
     return rows.groupBy("seqnames").applyInPandasWithState(_release, _OUT, _STATE, "append", "NoTimeout")

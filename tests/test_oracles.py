@@ -47,7 +47,3 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
-
-
-def test_sample(spark):
-    assert catalog.queries()["sample_n"](spark, DIR).count() == 500
