@@ -10,7 +10,9 @@ merged by that number, so any number of blocks gives what one would.
 
 Null and empty texts have no words and no hits; repeated rows, also those of equal or null doc_id,
 are judged one by one; item_ids are compared as strings, and items of null id count as one item that
-the digest of names leaves out; other columns are ignored.
+the digest of names leaves out. Where both tables or either is empty, there are no hits, and a row for
+each document. judge reads doc_id and text only; remove keeps all columns, whatever their names. A very
+long text is scanned whole, in memory in proportion to its size.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ KNOWN and the files of TEXTS (whole licences and standard headers by SPDX identi
 broadcasts it by itself while its size is under the session's threshold, else it shuffles.
 
 Null and empty texts, and texts of nothing but copyright lines, have an empty canonical form, which
-matches nothing. Repeated documents, also those of equal or null doc_id, are judged one by one; other
-columns are ignored.
+matches nothing; an empty table gives an empty one. Repeated documents, also those of equal or null
+doc_id, are judged one by one. Of known texts with equal forms the least identifier counts. A very long
+text is canonicalised whole. Only doc_id and text are read; other columns, whatever their names, are
+left out.
 """
 
 from __future__ import annotations

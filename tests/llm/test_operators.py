@@ -571,13 +571,35 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
-def test_license_rows_and_shipped_texts(spark):
-    """Rows of equal or null doc_id have results of their own; whole shipped licences and headers are known."""
+def test_every_known_license_is_found(spark):
+    """Each shipped text and header, and each text of the list, gives its identifier, also reflowed, in capitals and under a copyright line."""
+    files = {f.name.removesuffix(".txt"): f.read_text() for f in sorted(licenses.TEXTS.glob("*.txt"))}
+    known = [(n.removesuffix(".header"), t) for n, t in files.items()] + [(n, t) for n, t in licenses.KNOWN]
+    altered = [(n, "  (c) 1999 Some Body, all rights\n" + re.sub(r"(?m)^[ \t]+", "", t).upper().replace(" AND ", "  and\n")) for n, t in known if "COPYRIGHT" not in t.upper()]
+    rows = [(i, t) for i, (_, t) in enumerate(known + altered)]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(files) >= 20 and altered and [got[i] for i in range(len(rows))] == [n for n, _ in known + altered]
+
+
+@pytest.mark.parametrize(
+    ("one", "two"),
+    [
+        ("The organisation licences its colour", "THE ORGANIZATION LICENSES ITS COLOR"), ("acknowledgement of a cancelled labelling", "acknowledgment of a canceled labeling"), ("a sub-license for non-commercial per cent", "a sublicense for noncommercial percent"),
+        ("the copyright owner, whilst", "the copyright holder while"), ("see https://x.org/a", "see http x org a"), ("Copyright 2020 X\nfree  for all", "free for all\n * (C) someone"), ("one\n\n\ttwo", "One -- two."),
+    ],
+)
+def test_equivalent_spellings(spark, one, two):
+    df = spark.createDataFrame([(1, one), (2, two), (3, one + " other")], "doc_id long, text string")
+    got = {r.doc_id: r.canonical_sha256 for r in licenses.scan(df).collect()}
+    assert got[1] == got[2] != got[3]
+
+
+def test_license_rows(spark):
+    """Rows of equal or null doc_id have results of their own."""
     read = lambda name: (licenses.TEXTS / f"{name}.txt").read_text()
-    names = ["Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Unlicense"]
-    rows = [(1, read(x)) for x in names] + [(None, read("GPL-3.0-only").split(licenses.TERMS_END)[0]), (None, read("GPL-3.0-or-later.header")), (None, "None"), (None, "None")]
+    rows = [(1, read("MPL-2.0")), (1, read("Zlib")), (None, read("GPL-3.0-only").split(licenses.TERMS_END)[0]), (None, read("GPL-3.0-or-later.header")), (None, "None"), (None, "None")]
     got = sorted(str(r.license_id) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == sorted([*names, "GPL-3.0-only", "GPL-3.0-or-later", "None", "None"])
+    assert got == sorted(["MPL-2.0", "Zlib", "GPL-3.0-only", "GPL-3.0-or-later", "None", "None"])
 
 
 # all of them: null and equal ids, repeated rows, empty and very long texts, columns of clashing names
