@@ -113,6 +113,20 @@ def iterate(rows: DataFrame, n: int, *order: str | Column) -> Iterator[DataFrame
         yield chunked.where(F.col("chunk") == i).drop("chunk")
 
 
+def apply_chunks(rows: DataFrame, n: int, fun, schema: str, *order: str | Column) -> DataFrame:
+    """`fun`, from a pandas frame to one, of each chunk of n rows in order: a callback that Spark runs where the chunk is."""
+    return in_chunks(rows, n, *order).groupBy("chunk").applyInPandas(lambda frame: fun(frame.drop(columns="chunk")), schema)
+
+
+def apply_ranges(hits: DataFrame, fun, schema: str, n: int = 100_000) -> DataFrame:
+    """`fun` of each range's hits (rows with range_id), at most n at a time, in order of all columns."""
+    simple = [f.name for f in hits.schema if f.dataType.typeName() != "map"]
+    placed = numbered(hits, "__at", "range_id", *[c for c in simple if c != "range_id"])
+    first = placed.groupBy("range_id").agg(F.min("__at").alias("__first"))
+    parts = placed.join(first, "range_id").withColumn("__part", F.floor((F.col("__at") - F.col("__first")) / n))
+    return parts.groupBy("range_id", "__part").applyInPandas(lambda frame: fun(frame.sort_values("__at").drop(columns=["__at", "__first", "__part"])), schema)
+
+
 def each_position(rows: DataFrame, n: int) -> DataFrame:
     """Rows of positions (seqnames, pos, ...) with `chunk`: each next n positions have the next number, whole positions in each."""
     places = numbered(rows.select("seqnames", "pos").distinct(), "chunk", "seqnames", "pos")

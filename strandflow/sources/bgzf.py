@@ -177,6 +177,16 @@ def files_of(path: str) -> list[tuple[str, int]]:
     return sorted((head + f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name[0] not in "_.")
 
 
+def index_path(path: str, endings: tuple[str, ...] = (".bai", ".csi", ".tbi", ".fai", ".gzi")) -> str | None:
+    """The first index file that lies beside a file, named by a longer or another ending; None without one."""
+    stem = path.rpartition(".")[0] or path
+    for name in [path + e for e in endings] + [stem + e for e in endings]:
+        store, place = locate(name)
+        if store.get_file_info(place).is_file:
+            return name
+    return None
+
+
 def read_header(path: str) -> tuple[str, list[tuple[str, int]], int, int]:
     """Text, contigs, and where records begin: member offset and offset in its data."""
     with _open(path) as f:
@@ -224,7 +234,54 @@ class _Range(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
-class BamReader(DataSourceReader):
+def split_records(part: _Range, first: int, inside: int, length_of, sound) -> Iterator[bytes]:
+    """The records that begin in a file's byte range. Records of the file begin `inside` the member at `first`.
+
+    length_of(data, i) is a record's whole length, None if too few data tell it; sound(data, i) is whether
+    records may begin at i.
+    """
+    with _open(part.path) as f:
+        start = first
+        if part.start > first:
+            f.seek(part.start)
+            window = f.read(1 << 17)
+            start, i = None, window.find(b"\x1f\x8b\x08\x04")
+            while i >= 0 and start is None:
+                if window[i + 10 : i + 16] == b"\x06\0BC\x02\0":
+                    start = part.start + i
+                i = window.find(b"\x1f\x8b\x08\x04", i + 1)
+            if start is None or start >= part.end:
+                return
+        elif part.end <= first:
+            return
+        data, i, synced = b"", inside if start == first else 0, start == first
+        for at, piece in _Members(f, start):
+            if at >= part.end and synced and i >= len(data):
+                return
+            here = len(data) - i
+            data, i = data[i:] + piece, 0
+            if start == first and at == first:
+                i, here = inside, 0
+            if not synced:
+                while i < len(data) and not sound(data, i):
+                    i += 1
+                synced = i < len(data)
+            while (size := length_of(data, i)) is not None:
+                if i + size > len(data) or (at >= part.end and i >= here):
+                    break
+                yield data[i : i + size]
+                i += size
+            if at >= part.end and i >= here:
+                return
+
+
+def _length(data: bytes, i: int) -> int | None:
+    return 4 + struct.unpack_from("<i", data, i)[0] if i + 4 <= len(data) else None
+
+
+class SplitReader(DataSourceReader):
+    """Byte ranges of the files of `path`."""
+
     def __init__(self, options):
         self.paths = [p for p in options["path"].split(",") if p]
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
@@ -232,43 +289,13 @@ class BamReader(DataSourceReader):
     def partitions(self):
         return [_Range(p, a, a + self.split) for path in self.paths for p, size in files_of(path) for a in range(0, max(size, 1), self.split)]
 
+
+class BamReader(SplitReader):
     def read(self, partition):
         _, contigs, first, inside = read_header(partition.path)
         names = [n for n, _ in contigs]
-        with _open(partition.path) as f:
-            start = first
-            if partition.start > first:
-                f.seek(partition.start)
-                window = f.read(1 << 17)
-                start, i = None, window.find(b"\x1f\x8b\x08\x04")
-                while i >= 0 and start is None:
-                    if window[i + 10 : i + 16] == b"\x06\0BC\x02\0":
-                        start = partition.start + i
-                    i = window.find(b"\x1f\x8b\x08\x04", i + 1)
-                if start is None or start >= partition.end:
-                    return
-            elif partition.end <= first:
-                return
-            data, i, synced = b"", inside if start == first else 0, start == first
-            for at, part in _Members(f, start):
-                if at >= partition.end and synced and i >= len(data):
-                    return
-                here = len(data) - i
-                data, i = data[i:] + part, 0
-                if start == first and at == first:
-                    i, here = inside, 0
-                if not synced:
-                    while i < len(data) and not _sound(data, i, len(names)):
-                        i += 1
-                    synced = i < len(data)
-                while i + 4 <= len(data):
-                    size = struct.unpack_from("<i", data, i)[0]
-                    if i + 4 + size > len(data) or (at >= partition.end and i >= here):
-                        break
-                    yield decode_record(data[i + 4 : i + 4 + size], names)
-                    i += 4 + size
-                if at >= partition.end and i >= here:
-                    return
+        for record in split_records(partition, first, inside, _length, lambda data, i: _sound(data, i, len(names))):
+            yield decode_record(record[4:], names)
 
 
 class _Written(WriterCommitMessage):

@@ -1,6 +1,7 @@
 """Work dealt over tiles, splits and chunks gives what one ordered pass gives; rules that the large queries cannot tell apart."""
 
 import random
+import struct
 
 import pytest
 from pyspark.errors import PySparkException
@@ -10,7 +11,7 @@ from strandflow import shared
 from strandflow.functions import cigar
 from strandflow.operators import intervals, mates, scan, sequences, sorting, tabtext, variants
 from strandflow.operators.pileup import multi_file_depth, pileup, quality_depth
-from strandflow.sources import bgzf, sam, text
+from strandflow.sources import bcf, bgzf, sam, text
 from strandflow.specs import MultiPileupSpec, PileupSpec, ScanSpec, VariantSpec
 from strandflow.streaming.frontier_pileup import _batch_sums
 
@@ -196,6 +197,53 @@ def test_bam_folder_commits(spark, tmp_path):
     assert read() == {f"r{i}" for i in range(5)}
 
 
+def typed(code, values):
+    """A typed value of the binary variant format."""
+    n = len(values)
+    head = bytes([n << 4 | code]) if n < 15 else bytes([15 << 4 | code, 0x12]) + struct.pack("<h", n)
+    return head + (values if code == 7 else struct.pack(f"<{n}{ {1: 'b', 2: 'h', 3: 'i', 5: 'f'}[code] }", *values))
+
+
+def bcf_record(contig, pos, name, alleles, qual, tests, info, cells):
+    shared = struct.pack("<iiiIII", contig, pos - 1, len(alleles[0]), 0x7F800001 if qual is None else struct.unpack("<I", struct.pack("<f", qual))[0], len(alleles) << 16 | len(info), len(cells) << 24 | 2)
+    shared += typed(7, name) + b"".join(typed(7, a) for a in alleles) + typed(1, tests) + b"".join(typed(1, [k]) + v for k, v in info)
+    indiv = b"".join(typed(1, [k]) + v for k, v in cells)
+    return struct.pack("<II", len(shared), len(indiv)) + shared + indiv
+
+
+@pytest.mark.parametrize("split", [200, 1 << 20])
+def test_bcf_gives_vcf_lines(spark, tmp_path, split):
+    head = ["##fileformat=VCFv4.2", "##contig=<ID=c1>", "##contig=<ID=c2,length=9>", "##FILTER=<ID=q10>", '##INFO=<ID=DP,Number=1,Type=Integer,Description="x, y">', "##INFO=<ID=DB,Number=0>", "##INFO=<ID=AF>", "##FORMAT=<ID=GT>", "##FORMAT=<ID=PL>", "##FORMAT=<ID=XX>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tone\ttwo"]
+    text = "\n".join(head).encode() + b"\n\0"
+    body, want = b"", []
+    for i in range(300):
+        gt = b"\x21" + struct.pack("<4b", 2, 5, 0, 0) if i % 2 else b"\x21" + struct.pack("<4b", 4, -127, 2, 4)
+        pl = b"\x32" + struct.pack("<6h", 0, 300, 9, -(2**15), -(2**15) + 1, -(2**15) + 1)
+        info = [(2, typed(3, [70_000 + i])), (3, b"\0"), (4, typed(5, [0.5, 0.25]))]
+        body += bcf_record(i % 2, i + 1, b"rs%d" % i if i % 3 else b".", [b"A", b"CT" * (i % 20 + 1)], None if i % 5 == 0 else 7.5, [1, 0] if i % 7 == 0 else [0], info, [(5, gt), (6, pl), (7, b"\x37ab\0c\0\0")])
+        want.append(f"c{i % 2 + 1}\t{i + 1}\t{f'rs{i}' if i % 3 else '.'}\tA\t{'CT' * (i % 20 + 1)}\t{'.' if i % 5 == 0 else '7.5'}\t{'q10;PASS' if i % 7 == 0 else 'PASS'}\tDP={70_000 + i};DB;AF=0.5,0.25\tGT:PL:XX\t{'0|1' if i % 2 else '1'}:0,300,9:ab\t{'./.' if i % 2 else '0/1'}:.:c")
+    data = b"BCF\2\2" + struct.pack("<I", len(text)) + text + body
+    packed = b"".join(bgzf.compress(data[k : k + 700])[: -len(bgzf.EOF_MEMBER)] for k in range(0, len(data), 700)) + bgzf.EOF_MEMBER
+    (tmp_path / "x.bcf").write_bytes(packed)
+    (tmp_path / "x.bcf.csi").write_bytes(b"")
+    bcf.register(spark)
+    lines = [r.line for r in spark.read.format("bcf").option("splitBytes", split * 8).load(str(tmp_path / "x.bcf")).collect()]
+    assert lines[: len(head)] == head and sorted(lines[len(head) :]) == sorted(want)
+    rows = bcf.read(spark, str(tmp_path / "x.bcf")).where("pos = 2").collect()
+    assert rows[0].geno[0].gt == "0|1" and rows[0].geno[0].pl == [0, 300, 9] and rows[0].geno[1].gt == "./." and rows[0].geno[1].other["XX"] == "c"
+    assert bgzf.index_path(str(tmp_path / "x.bcf")) == str(tmp_path / "x.bcf.csi") and bgzf.index_path(str(tmp_path / "y.bam")) is None
+
+
+def test_callbacks_by_chunk_and_range(spark):
+    rows = spark.range(25).select("id", (F.col("id") % 2).alias("range_id"))
+    sums = scan.apply_chunks(rows, 10, lambda f: f.agg({"id": "sum"}).to_frame().T, "id long", "id").collect()
+    assert sorted(r.id for r in sums) == sorted([45, 145, 110])
+    import pandas as pd
+
+    got = scan.apply_ranges(rows, lambda f: pd.DataFrame({"range_id": [f["range_id"].iloc[0]], "n": [len(f)], "low": [f["id"].iloc[0]]}), "range_id long, n long, low long", n=5).collect()
+    assert sorted(map(tuple, got)) == [(0, 3, 20), (0, 5, 0), (0, 5, 10), (1, 2, 21), (1, 5, 1), (1, 5, 11)]
+
+
 def test_sort_orders(spark):
     rows = reads(spark, [("b", 5, "1M", "A"), ("a", 9, "1M", "A"), ("a", 5, "1M", "A", 16), ("c", 5, "1M", "A")])
     assert [(r.qname, r.pos) for r in sorting.sort(rows).collect()] == [("b", 5), ("c", 5), ("a", 5), ("a", 9)]
