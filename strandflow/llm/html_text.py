@@ -2,26 +2,28 @@
 
 A page is read once into its element tree. All its subtrees, whatever their labels, are hashed by their
 source; Spark counts on how many pages of a host each hash occurs; subtrees that recur on many pages of
-the host are templates and are deleted. So are elements that are no main text by their kind (navigation, forms, scripts) or
-by their class, id or role (adverts, notices, comments); inside article and main only a container's
-unmistakable class or role tells so, and ids tell nothing. The text of formulas stays. Of what is left, the text of the page's
-article or main elements is taken; a page without such elements gives its body's text.
+the host are templates and are deleted. So are elements that are no main text by their kind
+(navigation, forms, scripts) or by their class, id or role (adverts, notices, comments), which may
+differ from page to page; inside article and main only a container's unmistakable class or role tells
+so, and ids tell nothing. The text of formulas stays. Of what is left, the text of the page's article or
+main elements is taken; a page without such elements gives its body's text.
 
 Inside an article only containers (sections, lists, boxes) on half of the host's pages count as
 templates, so a sentence or heading that many articles of a host repeat stays; elsewhere every block
 element counts that is on MIN_PAGES pages and on OUTER_SHARE of them, so one of several boxes that a
 host shows in turn goes too. A subtree is counted wherever it stands and judged where it stands. The
-share bounds a host's templates by what 1 / OUTER_SHARE of its pages hold. Pages of
-one host are counted by grouped sums with map-side partial sums, each distinct page (host and digest
-of the whole html) sending a hash once, and the templates, a few per host, are broadcast while there
-are fewer than BROADCAST_ROWS; beyond that, they are joined to the pages by host.
+share bounds a host's templates by what 1 / OUTER_SHARE of its pages hold. Pages of one host are
+counted by grouped sums with map-side partial sums, each distinct page (host and digest of the whole
+html) sending a hash once, and the templates, a few per host, are broadcast while there are fewer than
+BROADCAST_ROWS; beyond that, they are joined to the pages by host.
 
 Null and empty html give an empty text, and an empty table an empty one; columns but page_id, url and
-html are left out. Rows without a url, or of one that names no host, are pages of one host of no name. Broken markup is read leniently: an end tag closes the
-nearest open element of its name or nothing, and a new block ends an open paragraph. Rows of a
-host with equal html, whatever their page_id or path, count as one page for templates and are
-extracted one by one. Character references are
-decoded, and all white space inside and between blocks becomes one space.
+html are left out. Rows without a url, or of one that names no host, are pages of one host of no name.
+Broken markup is read leniently: an end tag closes the nearest open element of its name or nothing, and
+a new block ends an open paragraph. Rows of a host with equal html, whatever their page_id or path,
+count as one page for templates and are extracted one by one. Character references are decoded, and all
+white space inside and between blocks becomes one space. A very long page takes memory in proportion to
+its own size.
 """
 
 from __future__ import annotations

@@ -18,14 +18,16 @@ hashes with a chance of 2**-64. Two documents link when 100 * |x & y| >= 75 * |x
    into parts of bounded size whose token unions make the matrix; the rarest tokens of a query, as
    many as it may miss and one more, name the parts it meets; a part is qualifying if the query's
    overlap with its union reaches three quarters of the query, and only qualifying parts are opened,
-   that is, compared document by document, for the links that connect groups which the part's other links have not.
+   that is, compared document by document, for the links that connect groups which the part's other
+   links have not.
 5. Components of all links.
 
 No step loses a link between documents of different groups; within a group they are connected.
 Null and empty texts have empty sets and no links; repeated texts are one class. Every row has a
 result row, with the size of its own set; rows with equal doc_id are one document that has the links of
-all its texts (a row without words is linked with nothing); a null doc_id counts as the smallest and is given back as null. An empty table gives an empty one. Only doc_id and
-text are read; other columns, whatever their names, are left out (kept by keep_one).
+all its texts (a row without words is linked with nothing); a null doc_id counts as the smallest and is
+given back as null. An empty table gives an empty one. Only doc_id and text are read; other columns,
+whatever their names, are left out (kept by keep_one).
 """
 
 from __future__ import annotations
@@ -48,11 +50,11 @@ SIMILARITY = 75
 #: Residue classes of shingles, each of which gives a minimum, and how many must agree with a pivot's.
 CLASSES, AGREE = 8, 4
 #: Documents whose tokens one range takes on, and documents of a part of a group.
-DOCS_A_RANGE, DOCS_A_PART = 20_000, 512
+DOCS_A_RANGE, DOCS_A_PART = 20_000, 256
 #: Documents of a group that one copy of its list serves, and parts that a range's documents come in then.
 DOCS_A_SLICE, PLACES_A_RANGE = 1024, 8
 #: Turns of pivots that groups are made in, and queries that meet a part at a time.
-TURNS, DOCS_A_PORTION = 2, 1024
+TURNS, DOCS_A_PORTION = 2, 256
 
 
 def overlap_of(n: int) -> int:
