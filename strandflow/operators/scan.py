@@ -118,13 +118,26 @@ def apply_chunks(rows: DataFrame, n: int, fun, schema: str, *order: str | Column
     return in_chunks(rows, n, *order).groupBy("chunk").applyInPandas(lambda frame: fun(frame.drop(columns="chunk")), schema)
 
 
-def apply_ranges(hits: DataFrame, fun, schema: str, n: int = 100_000) -> DataFrame:
-    """`fun` of each range's hits (rows with range_id), at most n at a time, in order of all columns."""
-    simple = [f.name for f in hits.schema if f.dataType.typeName() != "map"]
-    placed = numbered(hits, "__at", "range_id", *[c for c in simple if c != "range_id"])
-    first = placed.groupBy("range_id").agg(F.min("__at").alias("__first"))
-    parts = placed.join(first, "range_id").withColumn("__part", F.floor((F.col("__at") - F.col("__first")) / n))
-    return parts.groupBy("range_id", "__part").applyInPandas(lambda frame: fun(frame.sort_values("__at").drop(columns=["__at", "__first", "__part"])), schema)
+def apply_groups(rows: DataFrame, by: str, fun, schema: str, n: int = 100_000) -> DataFrame:
+    """`fun` of the rows of each value of `by`, say of each range's hits, at most n at a time, in order of all columns."""
+    simple = [f.name for f in rows.schema if f.dataType.typeName() != "map"]
+    placed = numbered(rows, "__at", by, *[c for c in simple if c != by])
+    first = placed.groupBy(by).agg(F.min("__at").alias("__first"))
+    parts = placed.join(first, by).withColumn("__part", F.floor((F.col("__at") - F.col("__first")) / n))
+    return parts.groupBy(by, "__part").applyInPandas(lambda frame: fun(frame.sort_values("__at").drop(columns=["__at", "__first", "__part"])), schema)
+
+
+def where_frame(rows: DataFrame, *rules) -> DataFrame:
+    """Rows that pass every rule, a function from a pandas frame to booleans, or to one for the whole frame."""
+
+    def run(frames: Iterator) -> Iterator:
+        for frame in frames:
+            for rule in rules:
+                keep = rule(frame)
+                frame = frame[keep] if hasattr(keep, "__len__") else frame if keep else frame[:0]
+            yield frame
+
+    return rows.mapInPandas(run, rows.schema)
 
 
 def each_position(rows: DataFrame, n: int) -> DataFrame:

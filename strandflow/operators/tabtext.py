@@ -46,6 +46,11 @@ def keyed(lines: DataFrame, layout: Layout) -> DataFrame:
     return lines.where(~F.col("line").startswith(layout.comment) & (F.col("line") != "")).select("*", F.get(parts, F.lit(layout.seq - 1)).alias("contig"), start.alias("start"), end.alias("end"))
 
 
+def parse_with(lines: DataFrame, fun, schema: str) -> DataFrame:
+    """Lines parsed by a caller's function, from a pandas frame of them to one of `schema`, batch by batch in Spark's tasks."""
+    return lines.mapInPandas(lambda frames: map(fun, frames), schema)
+
+
 def header(lines: DataFrame, layout: Layout) -> DataFrame:
     """Comments, and the lines that the layout skips."""
     test = F.col("line").startswith(layout.comment)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.operators.scan import overlap, predicate, scan
+from strandflow.operators.scan import apply_groups, overlap, predicate, scan
 from strandflow.specs import ScanSpec
 
 
@@ -38,6 +38,12 @@ class Views:
         spec = spec or ScanSpec()
         return scan(self._rows(), spec, self.ranges)
 
+    def apply(self, fun, schema: str, spec: ScanSpec | None = None, n: int = 100_000) -> DataFrame:
+        """`fun` of each sample's records in the ranges, at most n at a time."""
+        spec = spec or ScanSpec()
+        rows = overlap(self._rows().where(predicate(spec)), self.ranges).select("sample", "range_id", *[c for c in spec.what if c in self.alignments.columns])
+        return apply_groups(rows, "sample", fun, schema, n)
+
     def count(self, spec: ScanSpec | None = None) -> DataFrame:
         """Counts for every cell of the rectangle, zeros included."""
         grid = self.ranges.crossJoin(self.samples.select("sample"))  # a query's parameters, not data

@@ -11,6 +11,7 @@ from strandflow import shared
 from strandflow.functions import cigar
 from strandflow.operators import intervals, mates, scan, sequences, sorting, tabtext, variants
 from strandflow.operators.pileup import multi_file_depth, pileup, quality_depth
+from strandflow.operators.views import Views
 from strandflow.sources import bcf, bgzf, sam, text
 from strandflow.specs import MultiPileupSpec, PileupSpec, ScanSpec, VariantSpec
 from strandflow.streaming.frontier_pileup import _batch_sums
@@ -240,10 +241,24 @@ def test_callbacks_by_chunk_and_range(spark):
     assert sorted(r.id for r in sums) == sorted([45, 145, 110])
     import pandas as pd
 
-    got = scan.apply_ranges(rows, lambda f: pd.DataFrame({"range_id": [f["range_id"].iloc[0]], "n": [len(f)], "low": [f["id"].iloc[0]]}), "range_id long, n long, low long", n=5).collect()
+    got = scan.apply_groups(rows, "range_id", lambda f: pd.DataFrame({"range_id": [f["range_id"].iloc[0]], "n": [len(f)], "low": [f["id"].iloc[0]]}), "range_id long, n long, low long", n=5).collect()
     assert sorted(map(tuple, got)) == [(0, 3, 20), (0, 5, 0), (0, 5, 10), (1, 2, 21), (1, 5, 1), (1, 5, 11)]
 
 
+def test_callers_rules_parsers_and_views(spark):
+    import pandas as pd
+
+    rows = spark.range(20).repartition(3)
+    assert {r.id for r in scan.where_frame(rows, lambda f: f["id"] % 2 == 0, lambda f: f["id"] > 9, lambda f: True).collect()} == {10, 12, 14, 16, 18}
+    assert scan.where_frame(rows, lambda f: False).count() == 0
+    parsed = tabtext.parse_with(spark.createDataFrame([("a 1",), ("b 2",)], "line string"), lambda f: pd.DataFrame({"n": f["line"].str.split(" ").str[1].astype("int64")}), "n long")
+    assert sorted(r.n for r in parsed.collect()) == [1, 2]
+    table = reads(spark, [("r1", 1, "3M", "ACG"), ("r2", 3, "3M", "ACG")], "f").unionByName(reads(spark, [("r3", 2, "3M", "ACG")], "g"))
+    views = Views(table, spark.createDataFrame([(1, "c", 1, 9)], RANGE), spark.createDataFrame([("one", "f"), ("two", "g")], "sample string, file string"))
+    counts = views.apply(lambda f: pd.DataFrame({"sample": [f["sample"].iloc[0]], "n": [len(f)]}), "sample string, n long").collect()
+    assert sorted(map(tuple, counts)) == [("one", 2), ("two", 1)]
+
+
 def test_sort_orders(spark):
     rows = reads(spark, [("b", 5, "1M", "A"), ("a", 9, "1M", "A"), ("a", 5, "1M", "A", 16), ("c", 5, "1M", "A")])
     assert [(r.qname, r.pos) for r in sorting.sort(rows).collect()] == [("b", 5), ("c", 5), ("a", 5), ("a", 9)]
