@@ -5,8 +5,8 @@ unlabelled. A linear model on bounded text features g(x) minimises
 
     prior * mean_P[l(g)] + max(0, mean_U[l(-g)] - prior * mean_P[l(-g)]),    l(z) = log(1 + exp(-z)),
 
-plus a small ridge. The features are shares of kinds of characters, tallies of repeated words and
-phrases, and the shares of words in BUCKETS classes of their hashes. Unlabelled means are taken over
+plus a small ridge. The features are shares of kinds of characters and tallies of repeated words and
+phrases; words themselves are no features. Unlabelled means are taken over
 the whole table: each Newton step is one pass over the stored features, in which tasks send one block
 of sums each, added up in groups, in a fixed order, before one row per group reaches the driver. Where
 the negative part of the risk falls below zero by more than its sampling error, the step is taken back
@@ -44,8 +44,6 @@ MAX_LABELS = 200_000
 RIDGE, STEPS, THRESHOLD, FOLDS = 1e-2, 14, 0.3, 5
 #: Steps of the first model, which only ranks, and the levels its scores are compared at.
 FIRST_STEPS, LEVELS = 5, 1000
-#: Classes of word hashes.
-BUCKETS = 64
 #: Standard errors by which the negative part of the risk may lie below zero.
 SLACK = 2.0
 
@@ -55,7 +53,7 @@ for _i, _g in enumerate(_GROUPS):
     _CLASS[list(_g)] = _i
 _CLASS[128:] = len(_GROUPS) + 1
 _N_CLASSES = len(_GROUPS) + 2
-FEATURES = 1 + 2 * (_N_CLASSES - 2) + 2 + 12 + BUCKETS
+FEATURES = 1 + 2 * (_N_CLASSES - 2) + 2 + 12
 
 
 def _distinct(doc: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +90,6 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     shout = caps[words.ends] - caps[words.starts] >= np.maximum(2, (length + 1) // 2)
     mean = np.bincount(doc, weights=length, minlength=n) / count
     odd = np.isin(last, np.frombuffer(b"#$%&*+=^~@|!", np.uint8))
-    bucket = (words.hashes % np.uint64(BUCKETS)).astype(np.int64)
-    kind = np.bincount(doc * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS) / count[:, None]
     columns = [
         size == 0,
         *share[:, : _N_CLASSES - 2].T,
@@ -101,7 +97,6 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         share[:, _N_CLASSES - 2], share[:, _N_CLASSES - 1],
         np.log1p(size) / 12, np.minimum(mean / 12, 2), tally(again), tally(odd), tally(shout), np.sqrt(tally(odd)), np.sqrt(tally(shout)),
         1 - kinds / count, most / count, 1 - phrases / spans, np.sqrt(np.maximum(0, 1 - phrases / spans)), often / spans,
-        *np.sqrt(kind).T,
     ]
     out = np.stack([np.asarray(c, np.float64) for c in columns], axis=1)
     out[size == 0, 1:] = 0
