@@ -5,7 +5,7 @@ unlabelled. A linear model on bounded text features g(x) minimises
 
     prior * mean_P[l(g)] + max(0, mean_U[l(-g)] - prior * mean_P[l(-g)]),    l(z) = log(1 + exp(-z)),
 
-plus a small ridge. The features are shares of kinds of characters and tallies of repeated words and
+plus a ridge, larger where positives are few. The features are shares of kinds of characters and tallies of repeated words and
 phrases; words themselves are no features. Unlabelled means are taken over
 the whole table: each Newton step is one pass over the stored features, in which tasks send one block
 of sums each, added up in groups, in a fixed order, before one row per group reaches the driver. Where
@@ -41,7 +41,9 @@ from strandflow.llm.textkernel import SPACE, chunks, split_words, window_hash
 
 #: Labelled rows that are read for the fit.
 MAX_LABELS = 200_000
-RIDGE, STEPS, THRESHOLD, FOLDS = 1e-2, 14, 0.3, 5
+STEPS, THRESHOLD, FOLDS = 14, 0.3, 5
+#: The ridge of many positives, and what it takes more, divided by their number.
+RIDGE, RIDGE_OF_FEW = 1e-2, 3.0
 #: Steps of the first model, which only ranks, and the levels its scores are compared at.
 FIRST_STEPS, LEVELS = 5, 1000
 #: Standard errors by which the negative part of the risk may lie below zero.
@@ -167,10 +169,14 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _newton(table: DataFrame, mean: np.ndarray, scale: np.ndarray, prior: float, start: np.ndarray, steps: int) -> np.ndarray:
+def ridge_of(positives: float) -> float:
+    return RIDGE + RIDGE_OF_FEW / positives
+
+
+def _newton(table: DataFrame, mean: np.ndarray, scale: np.ndarray, prior: float, start: np.ndarray, steps: int, strength: float) -> np.ndarray:
     """Weights of the least non-negative risk, from a start."""
     w = best = start
-    step, ridge = np.zeros_like(w), np.full(len(w), RIDGE)
+    step, ridge = np.zeros_like(w), np.full(len(w), strength)
     ridge[-1] = 1e-6
     for _ in range(steps):
         now = w
@@ -198,14 +204,18 @@ def _newton(table: DataFrame, mean: np.ndarray, scale: np.ndarray, prior: float,
 
 
 def estimate_prior(unlabelled: np.ndarray, positive: np.ndarray) -> float:
-    """The share of positives among the unlabelled, from both kinds' counts by score level, the lowest first."""
+    """The share of positives among the unlabelled, from both kinds' counts by score level, the lowest first.
+
+    The ratio of shares at the level where the ratio with its error added is least.
+    """
     n, m = unlabelled.sum(), positive.sum()
     above_u, above_p = np.cumsum(unlabelled[::-1]) / n, np.cumsum(positive[::-1]) / m
     error = math.sqrt(math.log(40) / 2 / n) + math.sqrt(math.log(40) / 2 / m)
     some = above_p > error
-    ratio = (above_u[some] + error) / above_p[some] if some.any() else np.ones(1)
-    at = int(np.argmin(ratio))
-    return float(np.clip(above_u[some][at] / above_p[some][at] if some.any() else 1.0, 0.01, 0.99))
+    if not some.any():
+        return 0.99
+    at = int(np.argmin((above_u[some] + error) / above_p[some]))
+    return float(np.clip(above_u[some][at] / above_p[some][at], 0.01, 0.99))
 
 
 def fit_features(table: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
@@ -221,7 +231,8 @@ def fit_features(table: DataFrame, labels: DataFrame, max_labels: int = MAX_LABE
         return Model(np.zeros(d), np.ones(d), np.zeros(d + 1), 0.5)
     mean = s[2 : 2 + d] / s[0]
     scale = np.sqrt(np.maximum(s[2 + d :] / s[0] - mean**2, 0)) + 1e-3
-    first = _newton(both, mean, scale, 0.5, np.zeros(d + 1), FIRST_STEPS)
+    strength = ridge_of(s[1])
+    first = _newton(both, mean, scale, 0.5, np.zeros(d + 1), FIRST_STEPS, strength)
     model = Model(mean, scale, first, 0.5)
 
     def levels(x: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -231,7 +242,7 @@ def fit_features(table: DataFrame, labels: DataFrame, max_labels: int = MAX_LABE
     counts = _sum(both, levels)
     prior = estimate_prior(counts[:LEVELS], counts[LEVELS:])
     start = np.append(np.zeros(d), _logit(prior))
-    return Model(mean, scale, _newton(both, mean, scale, prior, start, STEPS), prior)
+    return Model(mean, scale, _newton(both, mean, scale, prior, start, STEPS, strength), prior)
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:

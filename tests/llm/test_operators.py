@@ -491,7 +491,7 @@ def test_quality_is_the_least_risk(spark):
 
     def risk(w):
         part = lambda at, sign: sum(loss(sign * float(z[i] @ w)) for i in at) / len(at)
-        ridge = np.full(len(w), quality.RIDGE)
+        ridge = np.full(len(w), quality.ridge_of(len(trusted)))
         ridge[-1] = 1e-6
         return model.prior * part(trusted, 1) + part(range(400), -1) - model.prior * part(trusted, -1) + (ridge * w * w).sum() / 2
 
