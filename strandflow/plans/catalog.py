@@ -618,7 +618,7 @@ substr('ACGTACGT', 1 + CAST(p_partkey % 4 AS INT), 1 + CAST(p_partkey % 3 AS INT
 
 
 def _variants(spark, d):
-    return variants.parse(tv.view(spark, d, tv.VARIANT_LINES), ["one", "two"])
+    return variants.parse(tv.view(spark, d, tv.VARIANT_LINES, spread=True), ["one", "two"])
 
 
 @_register(f"""{_VARIANTS} SELECT chrom, pos, id, ref, alt, qual, 'PASS' AS filter, CAST(p_size AS STRING) AS "info_DP", '' AS "info_DB", '0/1' AS gt1, CAST(p_size AS INT) AS pl1, CASE WHEN p_partkey % 3 <> 0 THEN '1/1' ELSE './.' END AS gt2,
