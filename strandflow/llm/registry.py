@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm import bpe_tree, decontaminate, html_text, licenses, line_dedup, media, ngram_jaccard, quality, sql, substring_dedup, token_blocks, winnowing
+from strandflow.llm import bpe_tree, decontaminate, html_text, licenses, line_dedup, media, ngram_jaccard, quality, spelling, sql, substring_dedup, token_blocks, winnowing
 from strandflow.llm.common import table
 
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,12 +53,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_html_text, op4_bpe_tree, op5_media_columns, op6_line_dedup, op7_token_blocks, op8_quality, op9_decontamination, op10_license_scan, op12_winnowing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_html_text, op4_bpe_tree, op5_media_columns, op6_line_dedup, op7_token_blocks, op8_quality, op9_decontamination, op10_license_scan, op11_spelling_variants, op12_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
