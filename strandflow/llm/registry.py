@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm import bpe_tree, decontaminate, html_text, licenses, line_dedup, media, ngram_jaccard, quality, spelling, sql, substring_dedup, token_blocks, winnowing
+from strandflow.llm import bpe_tree, decontaminate, html_text, licenses, line_dedup, media, ngram_jaccard, prefix_trie, quality, spelling, sql, substring_dedup, token_blocks, winnowing
 from strandflow.llm.common import table
 
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,9 +61,13 @@ def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_html_text, op4_bpe_tree, op5_media_columns, op6_line_dedup, op7_token_blocks, op8_quality, op9_decontamination, op10_license_scan, op11_spelling_variants, op12_winnowing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_html_text, op4_bpe_tree, op5_media_columns, op6_line_dedup, op7_token_blocks, op8_quality, op9_decontamination, op10_license_scan, op11_spelling_variants, op12_winnowing, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": sql.OP1, "op2_substring_dedup": sql.OP2, "op6_line_dedup": sql.OP6, "op9_decontamination": sql.OP9, "op10_license_scan": licenses.oracle()}
+    return {"op1_ngram_jaccard": sql.OP1, "op2_substring_dedup": sql.OP2, "op6_line_dedup": sql.OP6, "op9_decontamination": sql.OP9, "op10_license_scan": licenses.oracle(), "op11_spelling_variants": sql.OP11, "op13_prefix_trie": sql.OP13}

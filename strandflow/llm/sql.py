@@ -53,3 +53,44 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id
 FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
 """
+
+#: CRC-32 of an ASCII or UTF-8 text's bytes: each byte enters the register, which shifts out eight bits.
+_STEP = "xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))"
+_BYTES = "list_transform(range(1, octet_length(encode({0})) + 1), lambda i: CAST(('0x' || substr(hex(encode({0})), 2 * i - 1, 2)) AS BIGINT))"
+_CRC = f"xor(list_reduce(flatten(list_prepend([4294967295], list_transform({_BYTES}, lambda x: [x, 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: {_STEP}), 4294967295)"
+
+
+def _crc(text: str) -> str:
+    return _CRC.replace("{0}", text)
+
+
+OP11 = f"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+     each_ AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+     h AS (SELECT run, n, {_crc("k")} AS h FROM each_),
+     words AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+     v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+     cut AS (SELECT DISTINCT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+     near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b USING (short, i) WHERE a.word <> b.word
+              UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN v b ON a.short = b.word
+              UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN v b ON a.short = b.word),
+     best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM near GROUP BY word),
+     j AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+     r AS (SELECT word, word AS root FROM v UNION SELECT r.word, j.form FROM r JOIN j ON j.word = r.root WHERE j.form IS NOT NULL)
+SELECT j.word, j.form, r.root, j.n, CAST(j.n_near AS BIGINT) AS n_near, j.form_n FROM j JOIN r USING (word) JOIN j e ON e.word = r.root WHERE e.form IS NULL
+"""
+
+OP13 = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+     c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+     b AS (SELECT c.conv_id, 0 AS own, p, role, text FROM c JOIN t ON t.conv_id = c.base AND p <= h UNION ALL SELECT conv_id, 1, p, role, text FROM c JOIN t USING (conv_id) WHERE p > h),
+     s AS (SELECT conv_id, row_number() OVER w AS d, string_agg(sha256(length(role) || ':' || role || text), ',') OVER w AS k, text FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY own, p ROWS UNBOUNDED PRECEDING)),
+     m AS (SELECT conv_id, d, sha256(k) AS k, text FROM s UNION ALL SELECT conv_id, 0, '', '' FROM c),
+     up AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS above, max(d) OVER (PARTITION BY conv_id) = d AS last FROM m),
+     n AS (SELECT d, k, min(conv_id) AS conv_id, any_value(above) AS above, count(*) AS n_convs, (count(*) - 1) * any_value(length(text)) AS saved,
+                  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM up GROUP BY d, k),
+     kids AS (SELECT d - 1 AS d, above AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+     tree AS (SELECT m.d, m.k, count(*) FILTER (NOT EXISTS (SELECT 1 FROM kids WHERE kids.d = n.d AND kids.k = n.k)) AS n_leaves, sum(saved) AS saved_tokens FROM n JOIN m ON m.conv_id = n.conv_id AND m.d <= n.d GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN tree USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN n p ON p.d = n.d - 1 AND p.k = n.above
+"""
