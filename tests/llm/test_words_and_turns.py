@@ -84,7 +84,7 @@ def test_spelling_of_dense_words(spark, crowd):
     assert pairs == {(a, vocabulary[a], b, vocabulary[b]) for a in vocabulary for b in vocabulary if a < b and abs(len(a) - len(b)) < 2 and one_edit(a, b)}
     if crowd == 64:
         assert grouped(spelling.group(df)) == want
-        assert {f: r for _, f, r, *_ in want}["kettles"] == "kattlas"
+        assert {w: r for w, _, r, *_ in want}["kettles"] == "kattlas"
 
 
 def test_rest_hashes():
