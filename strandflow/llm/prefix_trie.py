@@ -220,11 +220,12 @@ def trie(whole: DataFrame, limit: int = LIMIT, bucket: int = BUCKET) -> DataFram
         made = cut(_chain_nodes(chains, pool, ends))
         nodes, pool = nodes.unionByName(made), pool.unionByName(made.where("top").select("above", "n_leaves", "saved_tokens"))
     if total.n is not None:
-        below = pool.where(F.col("above") == root).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
-        turnless = found.where(F.length("path") == 0).agg(F.max("ends").alias("ends"))
-        top = below.join(turnless, F.lit(True)).select(  # one row each
-            F.lit(total.first).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), F.lit(total.n).cast("long").alias("n_convs"), "n_children",
-            F.coalesce("leaves", F.lit(1)).alias("n_leaves"), F.coalesce("saved", F.lit(0)).alias("saved_tokens"), "ends", F.lit(True).alias("top"), F.lit(None).cast("binary").alias("above"),
+        none = F.lit(0).cast("long")
+        tops = pool.where(F.col("above") == root).select(F.lit(1).alias("kids"), "n_leaves", "saved_tokens", F.lit(None).cast("binary").alias("ends"))
+        parts = tops.unionByName(found.where(F.length("path") == 0).select(F.lit(0).alias("kids"), none.alias("n_leaves"), none.alias("saved_tokens"), "ends"))
+        top = parts.agg(F.sum("kids").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"), F.max("ends").alias("ends")).select(
+            F.lit(total.first).cast("long").alias("conv_id"), none.alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), F.lit(total.n).cast("long").alias("n_convs"), "n_children",
+            F.greatest("n_leaves", F.lit(1)).alias("n_leaves"), "saved_tokens", "ends", F.lit(True).alias("top"), F.lit(None).cast("binary").alias("above"),
         )
         nodes = nodes.unionByName(top)
     ends = F.coalesce(F.lower(F.hex("ends")), F.lit(NOTHING))
