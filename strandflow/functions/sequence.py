@@ -58,6 +58,13 @@ def circular(pos: Column, length: Column) -> Column:
     return F.pmod(pos - 1, length) + 1
 
 
+def first_entries(keys: Column, values: Column) -> Column:
+    """A map of keys to values; of a repeated key the first value counts."""
+    rows = F.filter(F.arrays_zip(keys.alias("key"), values.alias("value")), lambda e: e["key"].isNotNull())
+    pairs = F.transform(rows, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("i")))
+    return F.map_from_entries(F.transform(F.filter(pairs, lambda e: F.array_position(keys, e["key"]) == e["i"] + 1), lambda e: F.struct(e["key"], e["value"])))
+
+
 def in_alphabet(seq: Column, alphabet: str) -> Column:
     """The sequence, or an error if a letter is not of the alphabet. RNA is given with U for T, DNA with T for U."""
     if alphabet == "RNA":

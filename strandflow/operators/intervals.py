@@ -73,8 +73,11 @@ def _tiled(rows: DataFrame, contig: str, at: str, value: Column, gather, before:
 
 
 def normalize(ranges: DataFrame, contig: str = "contig", start: str = "start", end: str = "end") -> DataFrame:
-    """Merge overlapping and adjacent ranges of a contig; empty ones are dropped. No task orders more than a tile's ranges."""
-    rows = ranges.where(F.col(end) >= F.col(start)).select(contig, start, end)
+    """Merge overlapping and adjacent ranges of a contig; empty ones are dropped. No task orders more than a tile's ranges.
+
+    Equal ranges count once, so that their order, which two windows rely on, is one and the same.
+    """
+    rows = ranges.where(F.col(end) >= F.col(start)).select(contig, start, end).distinct()
     rows = _tiled(rows, contig, start, F.col(end), F.max, "__reach")
     w = Window.partitionBy(contig, "__tile").orderBy(start, end)
     reach = F.greatest("__reach", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))

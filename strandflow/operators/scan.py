@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import cigar, flags, sequence
 from strandflow.operators.intervals import check_contigs, check_ranges, interval_join, unique_labels
-from strandflow.shared import numbered
+from strandflow.shared import cut, numbered
 from strandflow.specs import ScanSpec
 
 
@@ -142,6 +142,7 @@ def where_frame(rows: DataFrame, *rules) -> DataFrame:
 
 def each_position(rows: DataFrame, n: int) -> DataFrame:
     """Rows of positions (seqnames, pos, ...) with `chunk`: each next n positions have the next number, whole positions in each."""
+    rows = cut(rows)  # used twice
     places = numbered(rows.select("seqnames", "pos").distinct(), "chunk", "seqnames", "pos")
     return rows.join(places.withColumn("chunk", F.floor(F.col("chunk") / n)), ["seqnames", "pos"])
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.shared import numbered
 
-def order_columns(by: str = "coordinate", tag: str | None = None, then_name: bool = False, contig: str = "rname") -> list[Column]:
+
+def order_columns(by: str = "coordinate", tag: str | None = None, then_name: bool = False, contig: tuple[str, ...] = ("rname",)) -> list[Column]:
     """Sort keys: coordinate (contig order in `contig`, say a column of header order; unplaced last), name, or a tag (rows without it first), then one of these.
 
     Ties are broken by all that tells records apart, so equal inputs give equal orders.
     """
-    place = [F.col(contig).asc_nulls_last(), F.col("pos").asc_nulls_last(), F.col("flag").bitwiseAND(16).asc()]
+    place = [*[F.col(c).asc_nulls_last() for c in contig], F.col("pos").asc_nulls_last(), F.col("flag").bitwiseAND(16).asc()]
     name = [F.col("qname").asc_nulls_first(), F.col("flag").bitwiseAND(192).asc()]
     rest = [F.col(c).asc_nulls_first() for c in ("qname", "flag", "mapq", "cigar", "seq", "qual")]
     if by == "name":
@@ -24,21 +26,30 @@ def order_columns(by: str = "coordinate", tag: str | None = None, then_name: boo
     return [*place, *rest]
 
 
-def place_by(sorted_rows: DataFrame, name: str, *by: str) -> DataFrame:
-    """Sorted rows with their place, from 1, among those of equal `by`, as they stand after the sort."""
-    from pyspark.sql import Window
+def _keyed(alignments: DataFrame, by: str, tag: str | None, then_name: bool, contigs: DataFrame | None) -> tuple[DataFrame, list[Column]]:
+    """The rows, with their contig's place in the header (name, tid) if given, and sort keys. What the header lacks comes last, by name."""
+    if contigs is None:
+        return alignments, order_columns(by, tag, then_name)
+    ranks = contigs.select(F.col("name").alias("rname"), F.col("tid").alias("__rank"))
+    return alignments.join(ranks, "rname", "left").select(*alignments.columns, "__rank"), order_columns(by, tag, then_name, ("__rank", "rname"))
+
 
-    at = sorted_rows.withColumn("__at", F.monotonically_increasing_id())
-    return at.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("__at"))).drop("__at")
+def sort(alignments: DataFrame, by: str = "coordinate", tag: str | None = None, then_name: bool = False, contigs: DataFrame | None = None) -> DataFrame:
+    """A total order by range partitions; each task sorts, and spills, its own range. Contigs go by name, or as the header (name, tid) has them."""
+    rows, keys = _keyed(alignments, by, tag, then_name, contigs)
+    return rows.orderBy(*keys).select(*alignments.columns)
 
 
-def sort(alignments: DataFrame, by: str = "coordinate", tag: str | None = None, then_name: bool = False) -> DataFrame:
-    """A total order by range partitions; each task sorts, and spills, its own range."""
-    return alignments.orderBy(*order_columns(by, tag, then_name))
+def place(alignments: DataFrame, name: str, within: str, by: str = "coordinate", tag: str | None = None, then_name: bool = False, contigs: DataFrame | None = None) -> DataFrame:
+    """The rows with their place in the order, from 1, among those of equal `within`: places in sorted partitions, less the first one's."""
+    rows, keys = _keyed(alignments, by, tag, then_name, contigs)
+    placed = numbered(rows, "__at", F.col(within).asc_nulls_first(), *keys)
+    first = placed.groupBy(F.col(within).alias("__within")).agg(F.min("__at").alias("__first"))
+    return placed.join(first, F.col(within).eqNullSafe(F.col("__within"))).select(*alignments.columns, (F.col("__at") - F.col("__first") + 1).alias(name))
 
 
-def merge(files: dict[str, DataFrame], add_read_group: bool = False, region: Column | None = None, by: str = "coordinate") -> DataFrame:
-    """Union of two or more files in order; with add_read_group the RG tag is the file's name."""
+def merge(files: dict[str, DataFrame], add_read_group: bool = False, region: Column | None = None, by: str = "coordinate", contigs: DataFrame | None = None) -> DataFrame:
+    """Union of two or more files in order (of the merged header's contigs, if given); with add_read_group the RG tag is the file's name."""
     if len(files) < 2:
         raise ValueError("merging needs two or more files")
     out = None
@@ -49,7 +60,7 @@ def merge(files: dict[str, DataFrame], add_read_group: bool = False, region: Col
             rest = F.map_filter(F.coalesce("tags", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{df.schema['tags'].dataType.valueType.simpleString()}>"))), lambda k, v: k != "RG")
             df = df.withColumn("tags", F.map_concat(rest, F.create_map(F.lit("RG"), tag)))
         out = df if out is None else out.unionByName(df)
-    return sort(out, by)
+    return sort(out, by, contigs=contigs)
 
 
 def filter_to(alignments: DataFrame, path: str, test: Column, ranges: DataFrame | None = None, mode: str = "errorifexists") -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandflow.functions.sequence import first_entries
 from strandflow.operators.intervals import check_ranges, interval_join, unique_labels
 from strandflow.specs import VariantSpec
 
@@ -15,7 +16,7 @@ def header_tables(lines: DataFrame) -> DataFrame:
     body = F.regexp_extract("rest", "^<(.*)>$", 1)
     names = F.regexp_extract_all(body, F.lit(r'([A-Za-z0-9_]+)=("[^"]*"|[^,]*)'), F.lit(1))
     values = F.transform(F.regexp_extract_all(body, F.lit(r'([A-Za-z0-9_]+)=("[^"]*"|[^,]*)'), F.lit(2)), lambda v: F.regexp_replace(v, '^"|"$', ""))
-    rows = rows.select("line_no", "key", F.when(body != "", F.map_from_arrays(names, values)).alias("fields"), F.when(body == "", F.col("rest")).alias("value"))
+    rows = rows.select("line_no", "key", F.when(body != "", first_entries(names, values)).alias("fields"), F.when(body == "", F.col("rest")).alias("value"))
     rows = rows.withColumn("id", F.col("fields")["ID"])
     w = Window.partitionBy("key", "id").orderBy("line_no")  # a header's lines are few
     n = F.row_number().over(w)
@@ -36,7 +37,7 @@ def parse(lines: DataFrame, sample_names: list[str]) -> DataFrame:
     keys = F.split(at(8), ":")
 
     def genotype(values: Column, name: Column) -> Column:
-        m = F.map_from_arrays(F.slice(keys, 1, F.size(values)), values)
+        m = first_entries(F.slice(keys, 1, F.size(values)), F.slice(values, 1, F.size(keys)))
         known = lambda k: F.when(m[k] != ".", m[k])
         numbers = lambda k, t: F.when(known(k).isNotNull(), F.transform(F.split(known(k), ","), lambda x: x.try_cast(t)))
         rest = F.map_filter(m, lambda k, v: ~k.isin("GT", "DP", "GQ", "SP", "PL", "GL"))
@@ -56,9 +57,9 @@ def parse(lines: DataFrame, sample_names: list[str]) -> DataFrame:
 
 
 def info_value(name: str, info: Column | None = None) -> Column:
-    """A value of the INFO text; a flag's is an empty string, an absent key's is null."""
-    m = F.str_to_map(F.col("info") if info is None else info, F.lit(";"), F.lit("="))
-    return F.when(F.map_contains_key(m, F.lit(name)), F.coalesce(m[name], F.lit("")))
+    """A value of the INFO text, the first of a repeated key; a flag's is an empty string, an absent key's is null."""
+    found = F.filter(F.split(F.col("info") if info is None else info, ";"), lambda x: (x == name) | x.startswith(f"{name}="))
+    return F.substring(F.get(found, F.lit(0)), len(name) + 2, 1 << 30)
 
 
 def scan(variants: DataFrame, spec: VariantSpec | None = None, ranges: DataFrame | None = None) -> DataFrame:

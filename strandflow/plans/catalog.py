@@ -171,6 +171,13 @@ def normalize_ranges(spark, d):
     return intervals.normalize(tv.ranges(spark, d))
 
 
+@_register(f"{WITH}, {NORMAL} SELECT * FROM normal")
+def normalize_repeated_ranges(spark, d):
+    """Every range three times, over more partitions than one: the same islands."""
+    ranges = tv.ranges(spark, d)
+    return intervals.normalize(ranges.unionByName(ranges).unionByName(ranges).repartition(4))
+
+
 @_register(f"""{WITH} SELECT dest, count(*) AS n, sum(pos) AS pos_sum FROM (SELECT 'good' AS dest, pos FROM aln WHERE mapq >= 20 AND flag & 1796 = 0 UNION ALL SELECT 'spliced', pos FROM aln WHERE cigar LIKE '%N%'
 UNION ALL SELECT 'rest', pos FROM aln WHERE mapq < 5) GROUP BY dest""")
 def filter_to_destinations(spark, d):
@@ -367,28 +374,40 @@ _ORDERS |= {"tag": f"rg, {_ORDERS['coordinate']}", "tag_name": f"rg, {_ORDERS['n
 _SORTED = f"{WITH} SELECT file, rname, pos, qname, flag, mapq, cigar, seq, qual, row_number() OVER (PARTITION BY file ORDER BY {{order}}) AS place FROM aln"
 
 
-def _sorted(rows: DataFrame) -> DataFrame:
-    return sorting.place_by(rows, "place", "file").select("file", "rname", "pos", "qname", "flag", "mapq", "cigar", "seq", "qual", "place")
+def _placed(spark, d, **order) -> DataFrame:
+    return sorting.place(tv.alignments(spark, d), "place", "file", **order).select("file", "rname", "pos", "qname", "flag", "mapq", "cigar", "seq", "qual", "place")
 
 
 @_register(_SORTED.format(order=_ORDERS["coordinate"]))
 def sort_coordinate(spark, d):
-    return _sorted(sorting.sort(tv.alignments(spark, d)))
+    return _placed(spark, d)
 
 
 @_register(_SORTED.format(order=_ORDERS["name"]))
 def sort_by_name(spark, d):
-    return _sorted(sorting.sort(tv.alignments(spark, d), by="name"))
+    return _placed(spark, d, by="name")
 
 
 @_register(_SORTED.format(order=_ORDERS["tag"]))
 def sort_by_tag(spark, d):
-    return _sorted(sorting.sort(tv.alignments(spark, d), by="tag", tag="RG"))
+    return _placed(spark, d, by="tag", tag="RG")
 
 
 @_register(_SORTED.format(order=_ORDERS["tag_name"]))
 def sort_by_tag_then_name(spark, d):
-    return _sorted(sorting.sort(tv.alignments(spark, d), by="tag", tag="RG", then_name=True))
+    return _placed(spark, d, by="tag", tag="RG", then_name=True)
+
+
+#: A header whose order of contigs is not that of their names: chr10 comes after chr9, and chr4 before all.
+_HEADER = """SELECT CAST((i + 6) % 11 AS INT) AS tid, 'chr' || CAST(i AS STRING) AS name, 1000000 AS length FROM (SELECT DISTINCT CAST(l_suppkey % 11 AS INT) AS i FROM {lineitem})"""
+_ELEVEN = "CASE WHEN rname IS NOT NULL THEN 'chr' || CAST(length(qname) * 7 % 3 * 5 + pos % 6 AS STRING) END"
+
+
+@_register(f"""{WITH}, h AS ({tv.in_oracle(_HEADER)}), a AS (SELECT * REPLACE ({_ELEVEN} AS rname) FROM aln)
+SELECT file, rname, pos, qname, flag, mapq, cigar, seq, qual, row_number() OVER (PARTITION BY file ORDER BY tid NULLS LAST, {_ORDERS["coordinate"]}) AS place FROM a LEFT JOIN h ON name = rname""")
+def sort_header_order(spark, d):
+    rows = tv.alignments(spark, d).withColumn("rname", F.expr(_ELEVEN))
+    return sorting.place(rows, "place", "file", contigs=tv.view(spark, d, _HEADER)).select("file", "rname", "pos", "qname", "flag", "mapq", "cigar", "seq", "qual", "place")
 
 
 @_register(f"{WITH} SELECT qname, flag, pos, (row_number() OVER (ORDER BY qname, flag, pos NULLS FIRST) - 1) // 1000 AS chunk FROM aln")
@@ -455,7 +474,15 @@ def bam_round_trip(spark, d):
     folder = f"{shared.folder(spark)}/bam-{uuid.uuid4().hex}"
     contigs = ",".join(f"{r['name']}:{r['length']}" for r in tv.contigs(spark, d).orderBy("tid").collect())  # a header's contigs
     tv.alignments(spark, d).drop("file").select(*[c.split(" ")[0] for c in ALIGNMENT.split(", ")]).write.format("bam").mode("append").option("contigs", contigs).save(folder)
-    return _record(spark.read.format("bam").load(folder))
+    return _kept(spark, _record(spark.read.format("bam").load(folder)), folder)
+
+
+def _kept(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+    """The rows, kept apart from the files of `folder`, which go, also if reading them fails."""
+    try:
+        return shared.cut(rows)
+    finally:
+        shared.remove(spark, folder)
 
 
 _SQ = "SELECT '@SQ' || chr(9) || 'SN:' || name || chr(9) || 'LN:' || CAST(length AS STRING) AS line FROM ({contigs}) UNION ALL SELECT '@HD' || chr(9) || 'VN:1.6'"
@@ -634,16 +661,23 @@ def variant_ranges(spark, d):
     return variants.records_per_range(_variants(spark, d), tv.ranges(spark, d))
 
 
-_HEAD = ["##fileformat=VCFv4.2", "##reference=x.fa", '##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth, raw">', '##INFO=<ID=DP,Number=1,Type=Integer,Description="again">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">']
+#: Header lines of the part table: an INFO, a FORMAT or a plain line of each part; ids are repeated, some with a repeated attribute.
+_HEAD = """
+SELECT CAST(p_partkey AS INT) AS line_no, CASE WHEN p_partkey % 3 = 0 THEN '##source=part ' || CAST(p_partkey AS STRING) ELSE '##' || CASE WHEN p_partkey % 3 = 1 THEN 'INFO' ELSE 'FORMAT' END || '=<ID=X' || CAST(p_size AS STRING)
+       || ',Number=1,' || CASE WHEN p_partkey % 7 = 0 THEN 'Number=2,' ELSE '' END || 'Type=Integer,Description=' || chr(34) || 'size, of ' || CAST(p_partkey AS STRING) || chr(34) || '>' END AS line FROM {part}
+"""
 
 
-@_register("""SELECT * FROM (VALUES (0, 'fileformat', NULL, 'VCFv4.2', NULL), (1, 'reference', NULL, 'x.fa', NULL), (2, 'INFO', 'DP', NULL, 'Depth, raw'), (3, 'INFO', 'DP.1', NULL, 'again'), (4, 'FORMAT', 'GT', NULL, 'Genotype')) AS t(line_no, "key", id, value, description)""")
+@_register("""WITH h AS (SELECT CAST(p_partkey AS INT) AS line_no, CASE WHEN p_partkey % 3 = 0 THEN 'source' WHEN p_partkey % 3 = 1 THEN 'INFO' ELSE 'FORMAT' END AS "key", CASE WHEN p_partkey % 3 > 0 THEN 'X' || p_size END AS x,
+p_partkey FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY "key", x ORDER BY line_no) - 1 AS n FROM h)
+SELECT line_no, "key", CASE WHEN x IS NOT NULL AND n > 0 THEN x || '.' || n ELSE x END AS id, CASE WHEN x IS NULL THEN 'part ' || p_partkey END AS value, CASE WHEN x IS NOT NULL THEN 'size, of ' || p_partkey END AS description,
+CASE WHEN x IS NOT NULL THEN '1' END AS number FROM n""")
 def variant_header_tables(spark, d):
-    lines = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in _HEAD])).alias("line_no", "line"))
-    return variants.header_tables(lines).select("line_no", "key", "id", "value", F.col("fields")["Description"].alias("description"))
+    fields = F.col("fields")
+    return variants.header_tables(tv.view(spark, d, _HEAD)).select("line_no", "key", "id", "value", fields["Description"].alias("description"), fields["Number"].alias("number"))
 
 
-@_register("SELECT * FROM (VALUES ('gq'), ('sp'), ('gl')) AS t(field)")
+@_register(f"""{_VARIANTS} SELECT f AS field FROM (SELECT unnest(['gt', 'dp', 'gq', 'sp', 'pl', 'gl']) AS f) WHERE f NOT IN (SELECT DISTINCT unnest(['gt', 'dp', 'pl']) FROM v WHERE p_partkey % 3 <> 0) AND EXISTS (SELECT 1 FROM v)""")
 def variant_trim_empty(spark, d):
     return variants.empty_fields(_variants(spark, d))
 

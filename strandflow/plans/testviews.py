@@ -55,8 +55,8 @@ FROM {events}
 VARIANT_LINES = """
 SELECT 'chr' || CAST(p_partkey % 6 AS STRING) || chr(9) || CAST(1 + p_partkey * 53 AS STRING) || chr(9) || CASE WHEN p_partkey % 2 = 0 THEN '.' ELSE 'rs' || CAST(p_partkey AS STRING) END || chr(9)
        || substr('ACGTACGT', 1 + CAST(p_partkey % 4 AS INT), 1 + CAST(p_partkey % 3 AS INT)) || chr(9) || CASE WHEN p_partkey % 5 = 0 THEN 'A,T' ELSE 'G' END || chr(9)
-       || CASE WHEN p_partkey % 7 = 0 THEN '.' ELSE CAST(p_size AS STRING) END || chr(9) || 'PASS' || chr(9) || 'DP=' || CAST(p_size AS STRING) || ';DB' || chr(9) || 'GT:PL:DP:XX' || chr(9)
-       || '0/1:' || CAST(p_size AS STRING) || ',0,9:.:a' || chr(9) || CASE WHEN p_partkey % 3 = 0 THEN './.' ELSE '1/1:0,3,' || CAST(p_size AS STRING) || ':7:b' END AS line
+       || CASE WHEN p_partkey % 7 = 0 THEN '.' ELSE CAST(p_size AS STRING) END || chr(9) || 'PASS' || chr(9) || 'DP=' || CAST(p_size AS STRING) || ';DB' || CASE WHEN p_partkey % 4 = 0 THEN ';DP=0;DB=again' ELSE '' END || chr(9) || 'GT:PL:DP:XX:XX' || chr(9)
+       || '0/1:' || CAST(p_size AS STRING) || ',0,9:.:a:again' || chr(9) || CASE WHEN p_partkey % 3 = 0 THEN './.' ELSE '1/1:0,3,' || CAST(p_size AS STRING) || ':7:b:again' END AS line
 FROM {part}
 """
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def folder(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; where it is unset, a folder of this machine if all of Spark runs here."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
@@ -27,6 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, place: str) -> None:
+    """Delete a folder or file of the shared folder, by whatever file system it lies on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(rows: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """The rows with their place, from 0, in a total order: places inside each sorted partition, and the sizes of those before.
 

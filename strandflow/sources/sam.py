@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandflow.functions.sequence import first_entries
 from strandflow.schemas import TAG
 
 
@@ -22,7 +23,7 @@ def _tags(fields: Column) -> Column:
             ).cast(TAG).alias("value"),
         )
 
-    return F.map_from_entries(F.transform(fields, one))
+    return first_entries(F.transform(fields, lambda x: F.split(x, ":", 3)[0]), F.transform(fields, lambda x: one(x)["value"]))
 
 
 def parse(lines: DataFrame) -> DataFrame:
