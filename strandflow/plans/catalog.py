@@ -485,6 +485,40 @@ def _kept(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
         shared.remove(spark, folder)
 
 
+def _written(spark, d, rows: DataFrame, folder: str) -> None:
+    """Rows as sorted BAM files with indexes in a folder."""
+    bgzf.register(spark)
+    contigs = tv.contigs(spark, d)
+    header = ",".join(f"{r['name']}:{r['length']}" for r in contigs.orderBy("tid").collect())  # a header's contigs
+    columns = [c.split(" ")[0] for c in ALIGNMENT.split(", ")]
+    sorting.sort(rows.select(*columns), contigs=contigs).write.format("bam").mode("append").option("contigs", header).save(folder)
+    bgzf.index_files(spark, folder).count()
+
+
+@_register(f"""{WITH}, {PLACED}, {MET} SELECT range_id, contig || ':' || CAST(r_start AS STRING) || '-' || CAST(r_end AS STRING) AS which_label, qname, flag, pos, cigar, seq
+FROM (SELECT met.*, 'chr' || CAST(range_id % 6 AS STRING) AS contig FROM met) WHERE range_id % 10 = 3""")
+def bam_index_ranges(spark, d):
+    """Range queries of sorted, indexed files: tasks read the chunks that the indexes name, and nothing else."""
+    folder = f"{shared.folder(spark)}/bam-{uuid.uuid4().hex}"
+    _written(spark, d, tv.alignments(spark, d), folder)
+    ranges = tv.ranges(spark, d).where("range_id % 10 = 3")
+    found = scan.overlap(bgzf.read_ranges(spark, folder, ranges, split=1 << 16), ranges)
+    return _kept(spark, found.select("range_id", F.col("range_label").alias("which_label"), "qname", "flag", "pos", "cigar", "seq"), folder)
+
+
+@_register(f"""{WITH}, c AS (SELECT name, row_number() OVER (ORDER BY tid) AS tid FROM contigs), a AS (SELECT coalesce(tid, 99) AS tid, rname, pos, (flag & 16) <> 0 AS minus, length(qname) AS n FROM aln LEFT JOIN c ON name = rname)
+SELECT rname, pos, CASE WHEN rname IS NOT NULL THEN minus END AS minus, row_number() OVER (ORDER BY tid, pos, minus) - 1 AS place FROM a""")
+def bam_merge_files(spark, d):
+    """Three sorted, indexed files as one, in order, by a heap merge of their stretches."""
+    top = f"{shared.folder(spark)}/bam-{uuid.uuid4().hex}"
+    rows = tv.alignments(spark, d)
+    for f in ("f0", "f1", "f2"):
+        _written(spark, d, rows.where(F.col("file") == f), f"{top}/{f}")
+    merged = spark.read.format("bam_merge").option("splitBytes", str(1 << 16)).load(",".join(f"{top}/{f}" for f in ("f0", "f1", "f2")))
+    minus = F.when(F.col("rname").isNotNull(), F.col("flag").bitwiseAND(16) != 0)
+    return _kept(spark, shared.as_they_stand(merged.select("rname", "pos", minus.alias("minus")), "place"), top)
+
+
 _SQ = "SELECT '@SQ' || chr(9) || 'SN:' || name || chr(9) || 'LN:' || CAST(length AS STRING) AS line FROM ({contigs}) UNION ALL SELECT '@HD' || chr(9) || 'VN:1.6'"
 
 

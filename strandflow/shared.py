@@ -38,8 +38,13 @@ def numbered(rows: DataFrame, name: str, *order: str | Column) -> DataFrame:
 
     The sorted rows are kept first, so that places and sizes are of one and the same sorting.
     """
+    return as_they_stand(rows.orderBy(*order), name)
+
+
+def as_they_stand(rows: DataFrame, name: str) -> DataFrame:
+    """The rows with their place, from 0, in the order of their partitions and inside them."""
     at = F.col(f"__{name}")
-    placed = cut(rows.orderBy(*order).withColumn(f"__{name}", F.monotonically_increasing_id()))
+    placed = cut(rows.withColumn(f"__{name}", F.monotonically_increasing_id()))
     part = F.shiftright(at, 33).cast("int")
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
     sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))

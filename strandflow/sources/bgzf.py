@@ -12,17 +12,23 @@ those of the attempts that Spark counts are moved then, and the rest is removed.
 
 from __future__ import annotations
 
+import bisect
 import gzip
+import heapq
+import json
 import posixpath
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from strandflow.operators.intervals import normalize
 from strandflow.schemas import ALIGNMENT
+from strandflow.sources import binning
 
 SEQ_CODES, CIGAR_CODES = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 EOF_MEMBER = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -115,20 +121,11 @@ def encode_record(row, ids: dict[str, int]) -> bytes:
         else:
             tags += v["type"].encode() + v["s"].encode() + (b"" if v["type"] == "A" else b"\0")
     pos = (row["pos"] or 0) - 1
-    body = struct.pack("<iiBBHHHiiii", ids.get(row["rname"], -1), pos, len(name), row["mapq"] or 0, _bin(pos, pos + width), len(ops), row["flag"], len(seq), ids.get(row["mrnm"], -1), (row["mpos"] or 0) - 1, row["isize"] or 0)
+    body = struct.pack("<iiBBHHHiiii", ids.get(row["rname"], -1), pos, len(name), row["mapq"] or 0, binning.bin_of(pos, pos + width) & 0xFFFF, len(ops), row["flag"], len(seq), ids.get(row["mrnm"], -1), (row["mpos"] or 0) - 1, row["isize"] or 0)
     body += name + struct.pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + qual + tags
     return struct.pack("<i", len(body)) + body
 
 
-def _bin(a: int, b: int) -> int:
-    """The smallest bin of the format's scheme of six levels that holds [a, b)."""
-    b -= 1
-    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if a >> shift == b >> shift:
-            return (first + (a >> shift)) & 0xFFFF
-    return 0
-
-
 def encode_header(text: str, contigs: list[tuple[str, int]]) -> bytes:
     out = b"BAM\1" + struct.pack("<i", len(text.encode())) + text.encode() + struct.pack("<i", len(contigs))
     return out + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs)
@@ -164,8 +161,12 @@ def _open(path: str):
     return store.open_input_file(place)
 
 
+#: Endings of index files.
+INDEXES = (".bai", ".csi", ".tbi", ".fai", ".gzi")
+
+
 def files_of(path: str) -> list[tuple[str, int]]:
-    """A file, or the data files of a folder, with their sizes; what begins with _ or . is left out."""
+    """A file, or the data files of a folder, with their sizes; indexes, and what begins with _ or ., are left out."""
     from pyarrow import fs
 
     store, place = locate(path)
@@ -174,10 +175,10 @@ def files_of(path: str) -> list[tuple[str, int]]:
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(place))
-    return sorted((head + f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name[0] not in "_.")
+    return sorted((head + f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name[0] not in "_." and not f.base_name.endswith(INDEXES))
 
 
-def index_path(path: str, endings: tuple[str, ...] = (".bai", ".csi", ".tbi", ".fai", ".gzi")) -> str | None:
+def index_path(path: str, endings: tuple[str, ...] = INDEXES) -> str | None:
     """The first index file that lies beside a file, named by a longer or another ending; None without one."""
     stem = path.rpartition(".")[0] or path
     for name in [path + e for e in endings] + [stem + e for e in endings]:
@@ -234,45 +235,94 @@ class _Range(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
-def split_records(part: _Range, first: int, inside: int, length_of, sound) -> Iterator[bytes]:
-    """The records that begin in a file's byte range. Records of the file begin `inside` the member at `first`.
+class Cursor:
+    """Goes forward through a file's data from a member on, and tells virtual offsets."""
+
+    def __init__(self, file, at: int, inside: int = 0):
+        self.members, self.file = iter(_Members(file, at)), file
+        self.data, self.i, self.inside = b"", 0, inside
+        self.spans: list[tuple[int, int]] = []
+        self.next = at
+
+    def more(self) -> bool:
+        """Take the next member in; False at the file's end."""
+        found = next(self.members, None)
+        if found is None:
+            return False
+        at, piece = found
+        self.spans = [(s - self.i, m) for s, m in self.spans if s + (1 << 16) > self.i]
+        self.data, self.i = self.data[self.i :], 0
+        self.spans.append((len(self.data), at))
+        if self.inside:
+            self.i, self.inside = self.inside, 0
+        self.data += piece
+        self.next = self.file.tell()
+        return True
+
+    def offset(self, i: int) -> int:
+        """The virtual offset of a place in the data."""
+        if i == len(self.data):
+            return self.next << 16
+        start, at = [x for x in self.spans if x[0] <= i][-1]
+        return at << 16 | (i - start)
+
+    def records(self, length_of, stop: int) -> Iterator[tuple[int, int, bytes]]:
+        """The records that begin before the virtual offset `stop`, each with its own and the following offset."""
+        while True:
+            size = length_of(self.data, self.i)
+            if size is None or self.i + size > len(self.data):
+                if (self.i == len(self.data) and self.next << 16 >= stop) or not self.more():
+                    return
+                continue
+            here = self.offset(self.i)
+            if here >= stop:
+                return
+            yield here, self.offset(self.i + size), self.data[self.i : self.i + size]
+            self.i += size
+
+
+def located_records(path: str, begin: int, end: int, first: int, inside: int, length_of, sound) -> Iterator[tuple[int, int, bytes]]:
+    """The records that begin in members of a file's byte range, with their virtual offsets. Records of the file begin `inside` the member at `first`.
 
     length_of(data, i) is a record's whole length, None if too few data tell it; sound(data, i) is whether
     records may begin at i.
     """
-    with _open(part.path) as f:
-        start = first
-        if part.start > first:
-            f.seek(part.start)
-            window = f.read(1 << 17)
-            start, i = None, window.find(b"\x1f\x8b\x08\x04")
-            while i >= 0 and start is None:
-                if window[i + 10 : i + 16] == b"\x06\0BC\x02\0":
-                    start = part.start + i
-                i = window.find(b"\x1f\x8b\x08\x04", i + 1)
-            if start is None or start >= part.end:
-                return
-        elif part.end <= first:
-            return
-        data, i, synced = b"", inside if start == first else 0, start == first
-        for at, piece in _Members(f, start):
-            if at >= part.end and synced and i >= len(data):
+    if end <= first:
+        return
+    with _open(path) as f:
+        if begin <= first:
+            cursor = Cursor(f, first, inside)
+            cursor.more()
+        else:
+            start = next_member(f, begin)
+            if start is None or start >= end:
                 return
-            here = len(data) - i
-            data, i = data[i:] + piece, 0
-            if start == first and at == first:
-                i, here = inside, 0
-            if not synced:
-                while i < len(data) and not sound(data, i):
-                    i += 1
-                synced = i < len(data)
-            while (size := length_of(data, i)) is not None:
-                if i + size > len(data) or (at >= part.end and i >= here):
+            cursor = Cursor(f, start)
+            while True:
+                if not cursor.more():
+                    return
+                while cursor.i < len(cursor.data) and not sound(cursor.data, cursor.i):
+                    cursor.i += 1
+                if cursor.i < len(cursor.data):
                     break
-                yield data[i : i + size]
-                i += size
-            if at >= part.end and i >= here:
-                return
+        yield from cursor.records(length_of, end << 16)
+
+
+def next_member(file, at: int) -> int | None:
+    """Where the first member begins at or after a place in a file."""
+    file.seek(at)
+    window = file.read(1 << 17)
+    i = window.find(b"\x1f\x8b\x08\x04")
+    while i >= 0:
+        if window[i + 10 : i + 16] == b"\x06\0BC\x02\0":
+            return at + i
+        i = window.find(b"\x1f\x8b\x08\x04", i + 1)
+    return None
+
+
+def split_records(part: _Range, first: int, inside: int, length_of, sound) -> Iterator[bytes]:
+    """The records that begin in a file's byte range."""
+    return (r for _, _, r in located_records(part.path, part.start, part.end, first, inside, length_of, sound))
 
 
 def _length(data: bytes, i: int) -> int | None:
@@ -290,12 +340,194 @@ class SplitReader(DataSourceReader):
         return [_Range(p, a, a + self.split) for path in self.paths for p, size in files_of(path) for a in range(0, max(size, 1), self.split)]
 
 
+class _Chunks(InputPartition):
+    def __init__(self, path: str, chunks: list[tuple[int, int]]):
+        self.path, self.chunks = path, chunks
+
+
+def spans_of(record: bytes) -> tuple[int, int, int, bool]:
+    """A record's contig, its start and end from 0, and whether it is mapped; without CIGAR it takes one position."""
+    tid, pos, l_name, _, _, n_cigar, flag = struct.unpack_from("<iiBBHHH", record, 4)
+    ops = struct.unpack_from(f"<{n_cigar}I", record, 36 + l_name)
+    return tid, pos, pos + (sum(c >> 4 for c in ops if CIGAR_CODES[c & 15] in "MDN=X") or 1), not flag & 4
+
+
+def index_files(spark: SparkSession, path: str, split: int = SPLIT_BYTES) -> DataFrame:
+    """Write a .bai index beside each BAM file of `path`, whose records must be in order of coordinate: file, index, records."""
+
+    def scan(file: str, start: int, stop: int) -> list[dict]:
+        _, contigs, first, inside = read_header(file)
+        rows = located_records(file, start, stop, first, inside, _length, lambda data, i: _sound(data, i, len(contigs)))
+        return binning.parts_of(file, ((*spans_of(r), a, b) for a, b, r in rows))
+
+    def store(file: str, index: binning.Index) -> str:
+        write_file(file + ".bai", binning.render(index))
+        return file + ".bai"
+
+    splits = [(p, a, a + split) for p, size in files_of(path) for a in range(0, max(size, 1), split)]
+    return binning.build(binning.splits_frame(spark, splits), scan, lambda file, rows: binning.assemble(rows, len(read_header(file)[1])), store)
+
+
+def write_file(path: str, data: bytes) -> None:
+    store, place = locate(path)
+    with store.open_output_stream(place, compression=None) as f:  # names ending in .gz would be compressed again
+        f.write(data)
+
+
+def read_index(path: str, endings: tuple[str, ...] = (".bai",)) -> binning.Index | None:
+    """The index beside a file, None without one."""
+    found = index_path(path, endings)
+    if found is None:
+        return None
+    with _open(found) as f:
+        return binning.parse(f.read())
+
+
 class BamReader(SplitReader):
+    """All records, or, with `ranges`, those that overlap one of them, read through each file's index where it has one.
+
+    `ranges` is a JSON list of [contig, start, end]. Filters are not taken from Spark: it would keep those of one query
+    for the next one over the same DataFrame.
+    """
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.ranges = [(c, int(a), int(b)) for c, a, b in json.loads(options["ranges"])] if options.get("ranges") else None
+
+    def wanted(self, contigs: list[tuple[str, int]]) -> list[tuple[int, int, int]] | None:
+        """Ranges by contig number, from 0 and half open; None for the whole file."""
+        ids = {n: i for i, (n, _) in enumerate(contigs)}
+        return None if self.ranges is None else [(ids[c], a - 1, b) for c, a, b in self.ranges if c in ids]
+
+    def partitions(self):
+        out = []
+        for path, size in (x for p in self.paths for x in files_of(p)):
+            _, contigs, _, _ = read_header(path)
+            wanted = self.wanted(contigs)
+            index = read_index(path) if wanted is not None else None
+            if index is None:
+                out += [_Range(path, a, a + self.split) for a in range(0, max(size, 1), self.split)]
+                continue
+            chunks = binning.merged((c for w in wanted for c in index.chunks(*w)), binning.JOIN_BYTES)
+            cuts = [v for tid in {w[0] for w in wanted} for v in index.windows[tid]]
+            out += [_Chunks(path, c) for c in binning.portions(chunks, cuts, self.split)]
+        return out
+
     def read(self, partition):
+        if partition is None:  # no partition at all
+            return
         _, contigs, first, inside = read_header(partition.path)
         names = [n for n, _ in contigs]
-        for record in split_records(partition, first, inside, _length, lambda data, i: _sound(data, i, len(names))):
-            yield decode_record(record[4:], names)
+        wanted = Overlaps(self.wanted(contigs))
+        if isinstance(partition, _Chunks):
+            records = chunk_records(partition.path, partition.chunks, _length)
+        else:
+            records = split_records(partition, first, inside, _length, lambda data, i: _sound(data, i, len(names)))
+        for record in records:
+            if wanted.all or wanted.test(*spans_of(record)[:3]):
+                yield decode_record(record[4:], names)
+
+
+class Overlaps:
+    """Whether a record overlaps one of given ranges; all do if there are none given."""
+
+    def __init__(self, ranges: list[tuple[int, int, int]] | None):
+        self.all = ranges is None
+        self.starts: dict[int, list[int]] = {}
+        self.reach: dict[int, list[int]] = {}  # the furthest end of the ranges so far
+        for tid, a, b in sorted(ranges or []):
+            self.starts.setdefault(tid, []).append(a)
+            reach = self.reach.setdefault(tid, [])
+            reach.append(max(b, reach[-1]) if reach else b)
+
+    def test(self, tid: int, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts.get(tid, []), end)
+        return k > 0 and self.reach[tid][k - 1] > start
+
+
+def chunk_records(path: str, chunks: list[tuple[int, int]], length_of) -> Iterator[bytes]:
+    """The records that begin in chunks of virtual offsets, each of which begins at a record."""
+    with _open(path) as f:
+        for a, b in chunks:
+            cursor = Cursor(f, a >> 16, a & 0xFFFF)
+            if cursor.more():
+                yield from (r for _, _, r in cursor.records(length_of, b))
+
+
+class _Slice(InputPartition):
+    """A stretch of the merged order: places (contig, position) from `low` on and before `high`; `rest` adds records without contig."""
+
+    def __init__(self, low: tuple[int, int], high: tuple[int, int], rest: bool):
+        self.low, self.high, self.rest = low, high, rest
+
+
+class BamMergeReader(DataSourceReader):
+    """Several coordinate-sorted files as one, in order: a heap merge of each file's records in every stretch of the order.
+
+    Stretches are cut at windows of the files' linear indexes, so that each reads about `splitBytes` of all files; no row is
+    sorted or shuffled. Headers' contigs are put together by name in the order of the files, and `file` tells a row's file.
+    A record is in the stretch of its start. Rows of equal place come in the order of strand, then of the files.
+    """
+
+    def __init__(self, options):
+        self.files = [f for p in options["path"].split(",") if p for f, _ in files_of(p)]
+        self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        self.contigs = merged_contigs([read_header(f)[1] for f in self.files])
+
+    def partitions(self):
+        rank = {n: i for i, (n, _) in enumerate(self.contigs)}
+        read: dict[tuple[int, int], int] = {}  # bytes between one window and the next, of all files
+        for f in self.files:
+            index, names = read_index(f), [n for n, _ in read_header(f)[1]]
+            if index is None:
+                raise ValueError(f"{f} has no index to be merged by")
+            for tid, windows in enumerate(index.windows):
+                for w, (a, b) in enumerate(zip(windows, [*windows[1:], *windows[-1:]], strict=True)):
+                    place = (rank[names[tid]], w << binning.WINDOW)
+                    read[place] = read.get(place, 0) + (b >> 16) - (a >> 16)
+        cuts, held = [(0, 0)], 0
+        for place in sorted(read):
+            if held >= self.split:
+                cuts.append(place)
+                held = 0
+            held += read[place]
+        ends = [*cuts[1:], (len(self.contigs), 0)]
+        return [*[_Slice(a, b, False) for a, b in zip(cuts, ends, strict=True)], _Slice((0, 0), (0, 0), True)]
+
+    def read(self, partition):
+        rank = {n: i for i, (n, _) in enumerate(self.contigs)}
+        streams = [self._stream(k, f, partition, rank) for k, f in enumerate(self.files)]
+        for *_, file, names, record in heapq.merge(*streams, key=lambda x: x[:4]):
+            yield (*decode_record(record[4:], names), file)
+
+    def _stream(self, k: int, path: str, part: _Slice, rank: dict[str, int]):
+        index, contigs = read_index(path), read_header(path)[1]
+        names = [n for n, _ in contigs]
+        if part.rest:
+            _, _, first, inside = read_header(path)
+            begin = index.end_of_placed() or first << 16 | inside
+            for r in chunk_records(path, [(begin, 1 << 62)], _length):
+                yield 0, 0, 0, k, path, names, r
+            return
+        for tid in sorted(range(len(names)), key=lambda t: rank[names[t]]):
+            place = rank[names[tid]]
+            if not part.low[0] <= place <= part.high[0] or not index.windows[tid]:
+                continue
+            low = part.low[1] if place == part.low[0] else 0
+            high = part.high[1] if place == part.high[0] else 1 << 29
+            for r in chunk_records(path, binning.merged(index.chunks(tid, low, high)), _length):
+                t, start, _, _ = spans_of(r)
+                if t == tid and low <= start < high:
+                    yield place, start, struct.unpack_from("<H", r, 18)[0] & 16, k, path, names, r
+
+
+def merged_contigs(headers: list[list[tuple[str, int]]]) -> list[tuple[str, int]]:
+    """The contigs of several headers, each once, in the order in which they first come; two lengths of one name are an error."""
+    out: dict[str, int] = {}
+    for name, size in (c for h in headers for c in h):
+        if out.setdefault(name, size) != size:
+            raise ValueError(f"{name} has two lengths")
+    return list(out.items())
 
 
 class _Written(WriterCommitMessage):
@@ -303,28 +535,34 @@ class _Written(WriterCommitMessage):
         self.path = path
 
 
-class BamWriter(DataSourceWriter):
-    """A BAM file per task, in the folder `path`; `contigs` lists name:length pairs."""
+class FolderWriter(DataSourceWriter):
+    """A blocked-gzip file per task, in the folder `path`."""
+
+    ending = ""
 
     def __init__(self, options, overwrite: bool = False):
         self.path, self.overwrite, self.job = options["path"].rstrip("/"), overwrite, uuid.uuid4().hex
-        self.contigs = [(n, int(k)) for n, _, k in (c.rpartition(":") for c in options.get("contigs", "").split(",") if c)]
+
+    def head(self) -> bytes:
+        return b""
+
+    def encode(self, row) -> bytes:
+        raise NotImplementedError
 
     def _places(self) -> tuple:
         store, folder = locate(self.path)
         return store, folder, posixpath.join(folder, "_temporary", self.job)
 
     def write(self, iterator):
-        ids = {n: i for i, (n, _) in enumerate(self.contigs)}
-        text = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in self.contigs)
         store, _, held_in = self._places()
         store.create_dir(held_in)
-        name = f"part-{uuid.uuid4().hex}.bam"
-        with store.open_output_stream(posixpath.join(held_in, name)) as f:
-            held = [encode_header(text, self.contigs)]
+        # names in the order of tasks, so that sorted rows stay in order over a folder's files
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}{self.ending}"
+        with store.open_output_stream(posixpath.join(held_in, name), compression=None) as f:
+            held = [self.head()]
             size = len(held[0])
             for row in iterator:
-                held.append(encode_record(row.asDict(recursive=True), ids))
+                held.append(self.encode(row))
                 size += len(held[-1])
                 if size > 1 << 22:
                     f.write(compress(b"".join(held))[: -len(EOF_MEMBER)])
@@ -355,6 +593,23 @@ class BamWriter(DataSourceWriter):
         self._end(store, folder)
 
 
+class BamWriter(FolderWriter):
+    """BAM files; `contigs` lists name:length pairs."""
+
+    ending = ".bam"
+
+    def __init__(self, options, overwrite: bool = False):
+        super().__init__(options, overwrite)
+        self.contigs = [(n, int(k)) for n, _, k in (c.rpartition(":") for c in options.get("contigs", "").split(",") if c)]
+        self.ids = {n: i for i, (n, _) in enumerate(self.contigs)}
+
+    def head(self):
+        return encode_header("@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in self.contigs), self.contigs)
+
+    def encode(self, row):
+        return encode_record(row.asDict(recursive=True), self.ids)
+
+
 class BamSource(DataSource):
     """Options: path (comma-separated files or folders), splitBytes; for writing path (a folder) and contigs."""
 
@@ -372,5 +627,30 @@ class BamSource(DataSource):
         return BamWriter(self.options, overwrite)
 
 
+class BamMergeSource(DataSource):
+    """Options: path (comma-separated sorted and indexed files or folders), splitBytes."""
+
+    @classmethod
+    def name(cls):
+        return "bam_merge"
+
+    def schema(self):
+        return ALIGNMENT + ", file string"
+
+    def reader(self, schema):
+        return BamMergeReader(self.options)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(BamSource)
+    spark.dataSource.register(BamMergeSource)
+
+
+def read_ranges(spark: SparkSession, path: str, ranges: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
+    """The alignments that overlap any of the ranges, through the files' indexes.
+
+    The ranges are merged first; what is left of them, a scan's parameter, is sent to the reader as such.
+    """
+    asked = normalize(ranges).select("contig", "start", "end").orderBy("contig", "start")
+    listed = json.dumps([[r["contig"], r["start"], r["end"]] for r in asked.toLocalIterator()])
+    return spark.read.format("bam").option("ranges", listed).option("splitBytes", str(split)).load(path)
