@@ -15,7 +15,7 @@ from strandflow.operators.pileup import multi_file_depth, pileup, quality_depth
 from strandflow.operators.views import Views
 from strandflow.plans import testviews as tv
 from strandflow.schemas import ALIGNMENT
-from strandflow.sources import bgzf, sam
+from strandflow.sources import bgzf, gztext, sam, text
 from strandflow.specs import MultiPileupSpec, PileupSpec, ScanSpec, VariantSpec
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -644,6 +644,42 @@ def tabix_count(spark, d):
     return tabtext.count(rows, ranges)
 
 
+def _folder(spark) -> str:
+    return f"{shared.folder(spark)}/text-{uuid.uuid4().hex}"
+
+
+@_register(f"{_TAB} SELECT range_id, line FROM met WHERE range_id % 10 = 3")
+def tabix_index_ranges(spark, d):
+    """Lines in sorted blocked gzip with .tbi indexes: tasks read the chunks that the indexes name."""
+    gztext.register(spark)
+    folder, layout = _folder(spark), tabtext.Layout(1, 2, 3)
+    rows, ranges = _text(spark, d)
+    rows.orderBy("contig", "start", "line").select("line").write.format("lines").mode("append").save(folder)
+    gztext.index_files(spark, folder, layout).count()
+    ranges = ranges.where("range_id % 10 = 3")
+    found = gztext.read_ranges(spark, folder, ranges, layout, split=1 << 16)
+    return _kept(spark, tabtext.in_ranges(tabtext.keyed(found, layout), ranges).select("range_id", "line"), folder)
+
+
+@_register(f"{_TAB} SELECT line, row_number() OVER (ORDER BY c, a, line) - 1 AS place FROM rows_")
+def gzip_lines_in_splits(spark, d):
+    """Blocked gzip text read by several tasks a file, in order of file and offset."""
+    gztext.register(spark)
+    folder = _folder(spark)
+    _text(spark, d)[0].orderBy("contig", "start", "line").select("line").write.format("lines").mode("append").save(folder)
+    lines = spark.read.format("lines").option("splitBytes", str(1 << 15)).load(folder)
+    return _kept(spark, shared.numbered(lines, "place", "file", "offset").select("line", "place"), folder)
+
+
+@_register(f"{_REGION} SELECT * EXCLUDE (seq), CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) ELSE seq END AS seq FROM t")
+def fasta_offset_regions(spark, d):
+    """Regions of FASTA files by the offsets of their index: tasks read the regions' bytes."""
+    folder = _folder(spark)
+    rows = tv.sequences(spark, d)
+    text.write_fasta(rows.select("name", "seq"), folder)
+    return _kept(spark, gztext.fasta_regions(gztext.index_fasta(spark, folder), _tiles(rows), stranded=True), folder)
+
+
 _OLD = tv.in_oracle(tv.PILEUP_TEXT)
 
 
