@@ -8,14 +8,19 @@ keys, the counts of a position are gathered into one small array (its combinatio
 strand and bin are few) and tested there, so the whole operator has a single shuffle.
 
 Depth caps: reads are first counted by bins of positions. Where no bin has more reads than the cap, no
-position has; elsewhere reads are ranked at the positions of those bins only.
+position has. In the other bins reads are swept in order, once by each task over its own and once by bin
+over those that may still count, so what is sorted twice follows the cap there; a read is sent with the
+stretches where it counts, not once for each position.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions import cigar
@@ -28,6 +33,8 @@ from strandflow.specs import MultiPileupSpec, PileupSpec, ScanSpec
 EXCLUDED = 4 + 256 + 512 + 1024
 #: Positions of a bin by which reads are counted before any is ranked.
 CAP_BIN = 1024
+#: Deep bins that are broadcast, at most; of some 40 bytes each.
+DEEP_BROADCAST = 1_000_000
 #: Fixed nucleotide letters of a pileup.
 NUCLEOTIDES = "ACGTN=-+"
 
@@ -114,8 +121,8 @@ def pileup(alignments: DataFrame, spec: PileupSpec | None = None, scan_spec: Sca
     name = "left_bin" if spec.left_bins else "query_bin"
     dims = [*(["strand"] if spec.distinguish_strands else []), *(["nucleotide"] if spec.distinguish_nucleotides else []), *(["bin"] if spec.left_bins or spec.query_bins else [])]
 
-    def counted(rows: DataFrame) -> DataFrame:
-        events = _events(rows, spec)
+    def counted(rows: DataFrame, skip: tuple | None = None) -> DataFrame:
+        events = _outside(_events(rows, spec), skip)
         if spec.min_nucleotide_depth <= 1 and spec.min_minor_allele_depth <= 0:
             return events.groupBy(*group, *dims).agg(F.count("*").alias("count"))
         counts = events.groupBy(*group, "nucleotide", "strand", "bin").agg(F.count("*").alias("n"))
@@ -125,6 +132,13 @@ def pileup(alignments: DataFrame, spec: PileupSpec | None = None, scan_spec: Sca
     return out.withColumnRenamed("range_label", "which_label")
 
 
+def _outside(events: DataFrame, skip: tuple | None) -> DataFrame:
+    """Events that lie in no bin of `skip`, a table and its keys, if given; it is broadcast where it is small, before any sum."""
+    if skip is None:
+        return events
+    return events.withColumn("__bin", (F.col("pos") / CAP_BIN).cast("long")).join(skip[0], skip[1], "left_anti").drop("__bin")
+
+
 def _up_to(reads: DataFrame, ranges: DataFrame | None, depth: int | None, by: list[str], counted) -> DataFrame:
     """`counted` of the reads, in the ranges if any, where no position has more than `depth` reads, for each value of `by`."""
     stop = cigar.reference_end(F.col("pos"), F.col("cigar"))
@@ -133,19 +147,55 @@ def _up_to(reads: DataFrame, ranges: DataFrame | None, depth: int | None, by: li
         return counted(whole)
     bins = F.explode(F.sequence((F.col("pos") / CAP_BIN).cast("long"), (stop / CAP_BIN).cast("long"))).alias("__bin")
     deep = cut(reads.select(*by, "rname", bins).groupBy(*by, "rname", "__bin").agg(F.count("*").alias("n")).where(F.col("n") > depth).drop("n"))
-    if deep.isEmpty():
+    n_deep = deep.count()
+    if not n_deep:
         return counted(whole)
-    at = (F.col("pos") / CAP_BIN).cast("long")
-    elsewhere = counted(whole).withColumn("__bin", at).join(deep.withColumnRenamed("rname", "seqnames"), [*by, "seqnames", "__bin"], "left_anti").drop("__bin")
-    # positions of the deep bins: a row per read and position, ranked there; its events are clipped to the position
+    known = deep.withColumnRenamed("rname", "seqnames")
+    skip = (F.broadcast(known) if n_deep <= DEEP_BROADCAST else known), [*by, "seqnames", "__bin"]
+    held = [*dict.fromkeys([*by, "rname", "pos", "qname", "flag", "cigar", "seq", "qual"])]
     low, high = F.greatest(F.col("pos"), F.col("__bin") * CAP_BIN), F.least(stop, F.col("__bin") * CAP_BIN + (CAP_BIN - 1))
-    covered = reads.select("*", bins).join(deep, [*by, "rname", "__bin"]).withColumn("__at", F.explode(F.sequence(low.cast("int"), high.cast("int")))).drop("__bin")
-    w = Window.partitionBy(*by, "rname", "__at").orderBy("pos", "qname", "flag", "cigar", "seq", "qual")
-    ranked = covered.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= depth).drop("__rank")
+    covering = reads.select(*held, bins).join(F.broadcast(deep) if n_deep <= DEEP_BROADCAST else deep, [*by, "rname", "__bin"]).withColumn("__kept", F.array(F.struct(low.cast("int").alias("a"), high.cast("int").alias("b"))))
+    # first each task of the reads takes what may count of its own, then the bins' tasks of what these have left
+    for dealt in (covering, None):
+        rows = dealt if dealt is not None else swept.repartition(*by, "rname", "__bin")
+        swept = _sweep(rows.sortWithinPartitions(*by, "rname", "__bin", "pos", "qname", "flag", "cigar", "seq", "qual"), by, depth)
+    kept = swept.select(*held, F.inline("__kept")).withColumnsRenamed({"a": "__from", "b": "__to"})
     if ranges is not None:
-        ranked = interval_join(ranked, ranges, "rname", "__at", "__at")
-    clipped = ranked.withColumn("range_start", F.col("__at")).withColumn("range_end", F.col("__at")).drop("__at")
-    return elsewhere.unionByName(counted(clipped))
+        kept = interval_join(kept, ranges, "rname", "__from", "__to").withColumns({"range_start": F.greatest("range_start", "__from"), "range_end": F.least("range_end", "__to")})
+    else:
+        kept = kept.withColumns({"range_start": F.col("__from"), "range_end": F.col("__to")})
+    return counted(whole, skip).unionByName(counted(kept.drop("__from", "__to")))
+
+
+def _sweep(rows: DataFrame, by: list[str], depth: int) -> DataFrame:
+    """Reads in order by bin, each with the stretches of `__kept` where fewer than `depth` reads of its bin stand before it; none are left out.
+
+    A task counts the reads so far at each position of one bin, CAP_BIN numbers, and sends rows on as they come.
+    """
+    keys = [*by, "rname", "__bin"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, np.zeros(CAP_BIN, np.int64)
+        for batch in batches:
+            at, kept = [], []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in [*keys, "__kept"]]
+            for i, (*key, stretches) in enumerate(zip(*columns, strict=True)):
+                if key != last:
+                    last, seen = key, np.zeros(CAP_BIN, np.int64)
+                first, out = key[-1] * CAP_BIN, []
+                for s in stretches:
+                    a, b = s["a"] - first, s["b"] - first + 1
+                    free = np.concatenate([[False], seen[a:b] < depth, [False]])
+                    seen[a:b] += free[1:-1]
+                    edges = np.flatnonzero(free[1:] != free[:-1])
+                    out += [{"a": s["a"] + int(x), "b": s["a"] + int(y) - 1} for x, y in zip(edges[::2], edges[1::2], strict=True)]
+                if out:
+                    at.append(i)
+                    kept.append(out)
+            place = batch.schema.get_field_index("__kept")
+            yield batch.take(pa.array(at, pa.int32())).set_column(place, batch.schema.field(place), pa.array(kept, batch.schema.field(place).type))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _test(counts: DataFrame, group: list[str], spec: PileupSpec) -> DataFrame:
@@ -174,7 +224,7 @@ def multi_file_depth(alignments: DataFrame, ranges: DataFrame, spec: MultiPileup
     spec = spec or MultiPileupSpec()
     bases = [F.count_if(F.col("nucleotide") == b).alias(b) for b in "ACGT"] + [F.count_if(~F.col("nucleotide").isin(*"ACGT")).alias("N")]
     events = PileupSpec(min_base_quality=spec.min_base_quality, ignore_query_ns=False, include_deletions=False)
-    counted = lambda rows: _events(rows, events).groupBy("range_id", "file", "seqnames", "pos").agg(*bases)
+    counted = lambda rows, skip=None: _outside(_events(rows, events), skip).groupBy("range_id", "file", "seqnames", "pos").agg(*bases)
     depth = _up_to(_file_reads(alignments, spec), check_ranges(ranges), spec.max_depth, ["file"], counted)
     if spec.min_depth > 0:
         total = sum((F.col(b) for b in "CGTN"), F.col("A"))
@@ -194,5 +244,5 @@ def quality_depth(alignments: DataFrame, ranges: DataFrame, spec: MultiPileupSpe
     # the quality string stands in for the bases, so an event's letter is its quality
     reads = _file_reads(alignments, spec).withColumn("seq", F.col("qual"))
     events = PileupSpec(min_base_quality=spec.min_base_quality, ignore_query_ns=False, include_deletions=False)
-    counted = lambda rows: _events(rows, events).groupBy("range_id", "file", "seqnames", "pos", (F.ascii("nucleotide") - 33).alias("quality")).agg(F.count("*").alias("count"))
+    counted = lambda rows, skip=None: _outside(_events(rows, events), skip).groupBy("range_id", "file", "seqnames", "pos", (F.ascii("nucleotide") - 33).alias("quality")).agg(F.count("*").alias("count"))
     return _up_to(reads, check_ranges(ranges), spec.max_depth, ["file"], counted)
