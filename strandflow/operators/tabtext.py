@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -51,6 +52,19 @@ def parse_with(lines: DataFrame, fun, schema: str) -> DataFrame:
     return lines.mapInPandas(lambda frames: map(fun, frames), schema)
 
 
+def parse_table(lines: DataFrame, parser: Callable[[str], Iterable[tuple]], schema: str) -> DataFrame:
+    """Each line with the rows that a caller's parser makes of it, a table function that Spark joins laterally; a line without rows is left out.
+
+    The parser takes a line and gives any number of rows of `schema`; it runs in Spark's tasks, an Arrow batch of lines at a time.
+    """
+
+    class Parse:
+        def eval(self, line: str) -> Iterator[tuple]:
+            yield from parser(line)
+
+    return lines.lateralJoin(F.udtf(Parse, returnType=schema, useArrow=True)(F.col("line").outer()))
+
+
 def header(lines: DataFrame, layout: Layout) -> DataFrame:
     """Comments, and the lines that the layout skips."""
     test = F.col("line").startswith(layout.comment)

@@ -17,6 +17,7 @@ from strandflow.plans import testviews as tv
 from strandflow.schemas import ALIGNMENT
 from strandflow.sources import bgzf, gztext, sam, text
 from strandflow.specs import MultiPileupSpec, PileupSpec, ScanSpec, VariantSpec
+from strandflow.streaming import chunks, tile_pileup
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -255,6 +256,27 @@ def pileup_ranges(spark, d):
     return pileup(tv.alignments(spark, d, spread=True), PileupSpec(distinguish_strands=False), ranges=tv.ranges(spark, d))
 
 
+@_register(_pile("SELECT seqnames, pos, strand, nucleotide, count(*) AS count FROM b GROUP BY ALL"))
+def pileup_streamed(spark, d):
+    """Sorted files taken in by a stream of chunks, positions released behind its frontier, and the result read back."""
+    chunks.register(spark)
+    top = f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
+    _written(spark, d, tv.alignments(spark, d), f"{top}/bam")
+    units = chunks.save_units(chunks.record_units(spark, f"{top}/bam", 20_000), f"{top}/units.json")
+    before = spark.conf.get(tile_pileup.PROVIDER[0], None)
+    tile_pileup.keep_state_on_disk(spark)
+    try:
+        stream = spark.readStream.format("bam_chunks").option("end", "true").option("unitsPerBatch", "8").load(units)
+        counted = tile_pileup.tile_pileup(stream, tv.contigs(spark, d), PileupSpec(max_depth=None))
+        chunks.finish(counted.writeStream.format("parquet").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").start(f"{top}/out"))
+        return _kept(spark, spark.read.schema(tile_pileup.OUT).parquet(f"{top}/out"), top)
+    finally:
+        if before is None:
+            spark.conf.unset(tile_pileup.PROVIDER[0])
+        else:
+            spark.conf.set(tile_pileup.PROVIDER[0], before)
+
+
 #: The same, of the first reads at each position only.
 CAPPED = EVENTS.replace("ev AS (SELECT aln.file,", "every AS (SELECT aln.pos AS read_start, qname, flag, cigar, seq, qual, aln.file,") + """,
 ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}seqnames, pos ORDER BY read_start, qname, flag, cigar, seq, qual) AS nth FROM every) WHERE nth <= {cap})
@@ -644,6 +666,18 @@ def tabix_count(spark, d):
     return tabtext.count(rows, ranges)
 
 
+def _numbers(line: str):
+    """A caller's parser: the whole numbers of a line, with their column."""
+    for i, part in enumerate(line.split("\t")):
+        if part.isdigit():
+            yield i, int(part)
+
+
+@_register(f"{_TAB} SELECT line, CAST(i - 1 AS INT) AS at, CAST(x AS BIGINT) AS number FROM (SELECT line, unnest(range(1, 5)) AS i, unnest(string_split(line, chr(9))) AS x FROM rows_) WHERE regexp_full_match(x, '[0-9]+')")
+def tabix_parser(spark, d):
+    return tabtext.parse_table(tv.view(spark, d, tv.TABLE_LINES), _numbers, "at int, number long")
+
+
 def _folder(spark) -> str:
     return f"{shared.folder(spark)}/text-{uuid.uuid4().hex}"
 
