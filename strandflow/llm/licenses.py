@@ -1,17 +1,21 @@
 """Licence scans by canonical digest lookup, in DataFrame functions only.
 
-Canonical form: lines that begin with a copyright mark go; A-Z are lower-cased; runs of ASCII
-characters other than letters and digits become one space; equivalent spellings become one. Two
-texts with equal canonical forms have equal SHA-256 digests, so a whole text, or a whole line of
-one, is looked up by an equi-join to the digests of known texts. Known texts are a table, by default
-KNOWN and the files of TEXTS (whole licences and standard headers by SPDX identifier); Spark
-broadcasts it by itself while its size is under the session's threshold, else it shuffles.
-
-Null and empty texts, and texts of nothing but copyright lines, have an empty canonical form, which
-matches nothing; an empty table gives an empty one. Repeated documents, also those of equal or null
-doc_id, are judged one by one. Of known texts with equal forms the least identifier counts. A very long
-text is canonicalised whole. Only doc_id and text are read; other columns, whatever their names, are
-left out.
+Canonical form: A-Z are lower-cased; runs of ASCII characters other than letters and digits become one
+space; equivalent spellings become one; line breaks count as spaces. Copyright statements and titles stand
+at the top of a licence: a text also counts without its top lines (blank, a title, "all rights reserved", or
+a statement: a copyright word with a year, or with a mark behind it), with or without the titles, and without
+its top paragraphs that begin so, in case a statement goes on over lines. Nothing is taken out below the top in these forms, so they
+do not depend on where lines break. The last form is also without all lines below that are statements, or
+begin with the mark. Two texts that share one of their forms share its SHA-256 digest, so a whole
+text, or a whole line of one, is looked up by an equi-join to the digests of known texts. Known texts are a
+table, by default KNOWN and the files of TEXTS (whole licences and standard headers by SPDX identifier);
+Spark broadcasts it by itself while its size is under the session's threshold, else it shuffles.
+
+Null and empty texts, and texts of nothing but top lines and no known notice, have an empty form without
+them, which matches nothing; an empty table gives an empty one. Repeated documents, also those of equal or
+null doc_id, are judged one by one. Of known texts with equal forms, and of several known forms of one
+text, the least identifier counts. A very long text is canonicalised whole; its top is at most TOP_LINES
+lines. Only doc_id and text are read; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +27,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"(?m)^[ \t\r*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Of canonical lines: what a copyright statement begins with, and a whole title. A year may be a placeholder.
+STATEMENT = r"(?:(?:copyright|©) ?(?:c |©)|(?:copyright|c|©) ?(?:[12][0-9]{3}|year|yyyy)[^a-z])"
+TITLE = r"(?:[^ \n]+ ){0,6}license(?: mit| isc| bsd| [0-9]+| version| v[0-9]+)*"
+TOP_LINES = 64
+RIGHTS = "all rights reserved"
+#: Top lines, of any kind and without titles.
+TOP = rf"^(?: ?(?:{STATEMENT}[^\n]*|{TITLE} ?|{RIGHTS} ?)?\n){{1,{TOP_LINES}}}"
+TOP_STATEMENTS = rf"^(?: ?(?:{STATEMENT}[^\n]*|{RIGHTS} ?)?\n){{1,{TOP_LINES}}}"
+#: The same of paragraphs, which go on over at most 8 lines that are not blank, and end with a blank one.
+_ON, _BLANKS = r"[^\n]*(?:\n ?[^ \n][^\n]*){0,7}", rf"(?: ?\n){{0,{TOP_LINES}}}"
+PARAGRAPHS = rf"^{_BLANKS}(?: ?(?:{STATEMENT}{_ON}|{TITLE} ?|{RIGHTS} ?)\n ?\n{_BLANKS}){{1,8}}"
+PARAGRAPHS_STATEMENTS = rf"^{_BLANKS}(?: ?(?:{STATEMENT}{_ON}|{RIGHTS} ?)\n ?\n{_BLANKS}){{1,8}}"
+TOPS = [TOP, TOP_STATEMENTS, PARAGRAPHS, PARAGRAPHS_STATEMENTS]
+#: Copyright lines anywhere.
+LINES = rf"(^|\n) ?(?:{STATEMENT}|(?:c|©) )[^\n]*"
 #: All ASCII characters but letters, digits and line breaks.
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Spellings that count as one: pattern, what stands for it ({n} is the n-th group).
@@ -109,8 +127,7 @@ def _digests(spark: SparkSession) -> list[tuple[str, str]]:
 
 def canonical(text: Column) -> Column:
     """The canonical form with line breaks left in; a null text's is null."""
-    out = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT, "")
-    out = F.regexp_replace(out, PUNCTUATION, " ")
+    out = F.regexp_replace(F.translate(text, UPPER, LOWER), PUNCTUATION, " ")
     for pattern, by in SPELLINGS:
         for n in "123":
             by = by.replace("{%s}" % n, f"${n}")
@@ -118,38 +135,54 @@ def canonical(text: Column) -> Column:
     return out
 
 
-def digest(canon: Column) -> Column:
-    """Of a canonical text as a whole, whatever its line breaks."""
-    return F.sha2(F.trim(F.regexp_replace(canon, "[ \n]+", " ")), 256)
+def forms(canon: Column) -> Column:
+    """The different forms of a canonical text: whole, without each kind of TOPS, and without all its copyright lines."""
+    cut = F.array_distinct(F.array(canon, *[F.regexp_replace(canon, x, "") for x in TOPS]))  # mostly one
+    return F.array_distinct(F.array_append(F.transform(cut, _flat), bare(canon)))
+
+
+def _flat(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "[ \n]+", " "))
+
+
+def bare(canon: Column) -> Column:
+    """A canonical text without any copyright line, title at its top or "all rights reserved" there."""
+    return _flat(F.regexp_replace(F.regexp_replace(canon, LINES, "$1"), TOP, ""))
 
 
 def known_table(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """license_id and digest of each known text's canonical form."""
+    """license_id and digest of each form of each known text."""
     made = known is None
     rows = [F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("digest" if made else "text")) for i, t in (_digests(spark) if made else known)]
     texts = spark.range(1).select(F.inline(F.array(*rows)))
-    digests = F.col("digest") if made else digest(canonical(F.col("text")))
-    return texts.select("license_id", digests.alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    if not made:
+        each = F.explode(F.filter(forms(canonical(F.col("text"))), lambda x: x != "")).alias("form")
+        texts = texts.select("license_id", each).select("license_id", F.sha2("form", 256).alias("digest"))
+    return texts.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Per document: digest of the canonical text, licence of the whole text, licences of whole lines.
+    """Per document: digest of its bare form, licence of the whole text, licences of whole lines.
 
     `notices` are the licences of single lines, sorted and comma-joined (empty if none), and
     `n_notices` counts such lines. Every row has a result row, whatever its doc_id.
     """
     known = known if known is not None else known_table(documents.sparkSession)
     canon = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canon"))
+    canon = canon.select("row", "doc_id", "canon", forms(F.col("canon")).alias("forms"))
     units = F.concat(
-        F.array(F.struct(F.lit(True).alias("whole"), digest(F.col("canon")).alias("digest"))),
-        F.transform(F.split("canon", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(F.trim(x), 256).alias("digest"))),
+        F.transform("forms", lambda x, i: F.struct((i + 1).alias("form"), F.sha2(x, 256).alias("digest"))),
+        F.transform(F.split("canon", "\n"), lambda x: F.struct(F.lit(0).alias("form"), F.sha2(F.trim(x), 256).alias("digest"))),
     )
-    met = canon.select("row", "doc_id", F.inline(units)).join(known, "digest", "left").where("whole OR license_id IS NOT NULL")
+    # the bare form always counts, so that every document has a row
+    own = F.array_position("forms", bare(F.col("canon"))).cast("int")
+    met = canon.select("row", "doc_id", own.alias("own"), F.inline(units)).join(known, "digest", "left").where("form = own OR license_id IS NOT NULL")
+    whole = F.col("form") > 0
     found = met.groupBy("row", "doc_id").agg(
-        F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"),
-        F.max(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
-        F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))).alias("names"),
-        F.count(F.when(~F.col("whole"), 1)).alias("n_notices"),
+        F.max(F.when(F.col("form") == F.col("own"), F.col("digest"))).alias("canonical_sha256"),
+        F.min(F.when(whole, F.col("license_id"))).alias("license_id"),
+        F.array_sort(F.collect_set(F.when(~whole, F.col("license_id")))).alias("names"),
+        F.count(F.when(~whole, F.col("license_id"))).alias("n_notices"),
     )
     return found.select("doc_id", "canonical_sha256", "license_id", F.concat_ws(",", "names").alias("notices"), "n_notices")
 
@@ -159,21 +192,26 @@ def oracle() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
     def canon(text: str) -> str:
-        x = f"regexp_replace(regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), {quote(COPYRIGHT)}, '', 'g'), {quote(PUNCTUATION)}, ' ', 'g')"
+        x = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), {quote(PUNCTUATION)}, ' ', 'g')"
         for pattern, by in SPELLINGS:
             for n in "123":
                 by = by.replace("{%s}" % n, f"\\{n}")
             x = f"regexp_replace({x}, {quote(pattern)}, {quote(by)}, 'g')"
         return x
 
-    whole = "sha256(trim(regexp_replace(canon, '[ \\n]+', ' ', 'g')))"
+    flat = lambda x: f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))"
     rows = ", ".join(f"({quote(i)}, {' || chr(10) || '.join(quote(x) for x in t.split(chr(10)))})" for i, t in KNOWN)
+    lines = f"regexp_replace(regexp_replace(canon, {quote(LINES)}, '\\1', 'g'), {quote(TOP)}, '')"
+    cuts = ", ".join(flat(f"regexp_replace(canon, {quote(x)}, '')") for x in TOPS)
+    each = lambda column: f"SELECT {column}, {flat(lines)} AS bare, [{flat('canon')}, {cuts}, {flat(lines)}] AS forms FROM"
     return f"""
-    WITH known AS (SELECT min(license_id) AS license_id, digest FROM (
-           SELECT license_id, {whole} AS digest FROM (SELECT license_id, {canon("text")} AS canon FROM (VALUES {rows}) v(license_id, text))) GROUP BY digest),
+    WITH k AS ({each("license_id")} (SELECT license_id, {canon("text")} AS canon FROM (VALUES {rows}) v(license_id, text))),
+         known AS (SELECT min(license_id) AS license_id, sha256(x) AS digest FROM (SELECT license_id, unnest(forms) AS x FROM k) WHERE x <> '' GROUP BY 2),
          parts AS (SELECT doc_id, {canon("coalesce(text, '')")} AS canon FROM documents),
+         d AS ({each("doc_id")} parts),
          notices AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices, count(*) AS n_notices
-                     FROM (SELECT doc_id, sha256(trim(unnest(string_split(canon, chr(10))))) AS digest FROM parts) JOIN known USING (digest) GROUP BY doc_id)
-    SELECT w.doc_id, w.digest AS canonical_sha256, known.license_id, coalesce(notices, '') AS notices, CAST(coalesce(n_notices, 0) AS BIGINT) AS n_notices
-    FROM (SELECT doc_id, {whole} AS digest FROM parts) w LEFT JOIN known USING (digest) LEFT JOIN notices USING (doc_id)
+                     FROM (SELECT doc_id, sha256(trim(unnest(string_split(canon, chr(10))))) AS digest FROM parts) JOIN known USING (digest) GROUP BY doc_id),
+         whole AS (SELECT doc_id, min(license_id) AS license_id FROM (SELECT doc_id, sha256(unnest(forms)) AS digest FROM d) JOIN known USING (digest) GROUP BY doc_id)
+    SELECT d.doc_id, sha256(bare) AS canonical_sha256, license_id, coalesce(notices, '') AS notices, CAST(coalesce(n_notices, 0) AS BIGINT) AS n_notices
+    FROM d LEFT JOIN whole USING (doc_id) LEFT JOIN notices USING (doc_id)
     """

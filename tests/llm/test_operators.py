@@ -8,6 +8,7 @@ import os
 import random
 import re
 import struct
+import textwrap
 import zlib
 
 import duckdb
@@ -581,6 +582,30 @@ def test_every_known_license_is_found(spark):
     assert len(files) >= 20 and altered and [got[i] for i in range(len(rows))] == [n for n, _ in known + altered]
 
 
+HEADS = ["", "Copyright (c) 2020 Some One\n\n", "Copyright 2019-2021 A. Very Long Name of Some Institution,\nits branches and other contributors. All rights reserved.\n\n", "© 2001 X\nAll rights reserved.\n"]
+
+
+@pytest.mark.parametrize("width", [60, 66, 72, 75, 79, 80, 88, 99])
+def test_licenses_at_any_width(spark, width):
+    """Every known text, its paragraphs or all of it filled to a width, under titles and statements; words changed are found no more."""
+    files = [(f.name.removesuffix(".txt").removesuffix(".header"), f.read_text()) for f in sorted(licenses.TEXTS.glob("*.txt"))]
+    rows, want = [], {}
+    for k, (name, text) in enumerate(licenses.KNOWN[:5] + files):
+        fill = lambda t: textwrap.fill(" ".join(t.split()), width, break_long_words=False, break_on_hyphens=False)
+        filled = "\n\n".join(fill(p) for p in re.split(r"\n\s*\n", text.strip()))
+        body = filled.partition("\n\n")[2] if name == "MIT" else filled
+        titles = ["", "MIT License\n\n", "The MIT License (MIT)\n\n"] if name == "MIT" else [""]
+        texts = [head + title + body for head in HEADS for title in titles] + [fill(text)] + [title + head + body for head in HEADS for title in titles]
+        for t in texts + [body.replace("\n\n", "\n")]:
+            want[len(rows)] = name
+            rows.append((len(rows), t))
+        words = body.split(" ")
+        rows.append((len(rows), " ".join([*words[: len(words) // 2], "not", *words[len(words) // 2 :]])))
+        want[len(rows) - 1] = None
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert {i: (got[i], n) for i, n in want.items() if got[i] != n} == {}
+
+
 @pytest.mark.parametrize(
     ("one", "two"),
     [
