@@ -9,9 +9,13 @@ so, and ids tell nothing. The text of formulas stays. Of what is left, the text
 main elements is taken; a page without such elements gives its body's text.
 
 Inside an article only containers (sections, lists, boxes) on half of the host's pages count as
-templates, so a sentence or heading that many articles of a host repeat stays; elsewhere every block
-element counts that is on MIN_PAGES pages and on OUTER_SHARE of them, so one of several boxes that a
-host shows in turn goes too. A subtree is counted wherever it stands and judged where it stands. The
+templates, so a sentence or heading that many articles of a host repeat stays; elsewhere a container
+counts that is on MIN_PAGES pages and on OUTER_SHARE of them, so one of several boxes that a host shows
+in turn goes too, and a heading, paragraph or list item on half of them. Comments, adverts and notices
+inside articles differ in their text from page to page, but not in their mark-up: there an element whose
+class or id is made of words for such things is hashed as a skeleton, its tag, classes and id's words
+without text, and goes where the host's skeletons recur on MIN_PAGES pages and on OUTER_SHARE of them;
+one that is on fewer stays. A subtree is counted wherever it stands and judged where it stands. The
 share bounds a host's templates by what 1 / OUTER_SHARE of its pages hold. Pages of one host are
 counted by grouped sums with map-side partial sums, each distinct page (host and digest of the whole
 html) sending a hash once, and the templates, a few per host, are broadcast while there are fewer than
@@ -116,6 +120,19 @@ def no_text(tag: str, attributes: str, in_root: bool) -> bool:
     return False
 
 
+def skeleton(tag: str, attributes: str) -> int | None:
+    """The hash of an element's mark-up without its text, if its class or id is made of words for what is no main text."""
+    found, told = [tag], False
+    for name, *values, _ in _LABELS.findall(attributes):
+        name, value = name.lower(), (values[0] or values[1] or values[2]).lower()
+        if name in ("class", "id"):
+            for token in sorted(value.split()):
+                words = [x for x in re.split(r"[^a-z]+", token) if x]
+                told = told or (bool(words) and set(words) <= NO_TEXT | PARTS and not NO_TEXT.isdisjoint(words))
+                found.append(f"{name} {' '.join(words)}")
+    return xxhash.xxh64_intdigest("\n".join(found), 1) - (1 << 63) if told else None
+
+
 class Page:
     """The element tree of a page: for each element its tag, source span, parent, root and label flags."""
 
@@ -127,6 +144,7 @@ class Page:
         self.parents: list[int] = []
         self.in_root: list[bool] = []
         self.out: list[bool] = []
+        self.skeletons: dict[int, int] = {}  # of elements inside article and main
         self.texts: list[tuple[int, int, int]] = []  # element, start, end; element ~e marks a break in e
         self._read()
 
@@ -189,6 +207,8 @@ class Page:
             self.parents.append(parent)
             out = (parent >= 0 and self.out[parent]) or no_text(tag, m[3], root)
             self.out.append(out)
+            if root and not out and m[3] and (h := skeleton(tag, m[3])) is not None:
+                self.skeletons[e] = h
             self.in_root.append(root or (not out and (tag in ROOTS or 'role="main"' in m[3] or 'itemprop="articleBody"' in m[3])))
             stack.append(e)
             counts[tag] = counts.get(tag, 0) + 1
@@ -213,7 +233,9 @@ class Page:
         out = list(self.out)
         if templates or strict:
             for e, h in self.hashes().items():
-                out[e] = out[e] or h in (strict if self.in_root[e] else templates)
+                out[e] = out[e] or h in (strict if self.in_root[e] or self.tags[e] not in CONTAINERS else templates)
+            for e, h in self.skeletons.items():
+                out[e] = out[e] or h in templates
         for e, p in enumerate(self.parents):
             out[e] = out[e] or (p >= 0 and out[p])
         rooted = any(r and not o for r, o in zip(self.in_root, out, strict=True))
@@ -241,7 +263,8 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
         for b in batches:
             sources = [h or "" for h in b.column(1).to_pylist()]
             digests = [xxhash.xxh3_128_digest(h) for h in sources]
-            found = [sorted(set(Page(h).hashes().values())) if h else [] for h in sources]
+            read = [Page(h) if h else None for h in sources]
+            found = [sorted({*p.hashes().values(), *p.skeletons.values()}) if p else [] for p in read]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["host", "digest", "hashes"])
 
     found = pages.select(host_column().alias("host"), "html").mapInArrow(run, "host string, digest binary, hashes array<long>")
