@@ -14,7 +14,8 @@ any sequence of insertions and deletions gives what the remaining documents alon
 
 Deduping documents screens their lines by the filters and joins what passes to the exact table; lines
 that a larger document keeps go, with all their repeats. Filters are broadcast while they stay under
-FILTER_BYTES; beyond that every key is joined, with the same result. A key that a third of all
+FILTER_BYTES; beyond that a shard's keys are sent to its filter, in SALTS parts by document with a copy of
+the filter each, and screened as they come. A key that a third of all
 documents hold is counted by partial sums, and its join is one that Spark splits as skewed.
 
 Null and empty texts are one empty line and stay null or empty. Rows with equal doc_id are one
@@ -41,6 +42,8 @@ MIN_CHARS, MIN_DOCS = 40, 5
 FILTER_BYTES = 32 << 20
 #: Documents whose lines one shard takes on.
 DOCS_A_SHARD = 20_000
+#: Parts of a shard's keys, by document, where filters are not broadcast.
+SALTS = 16
 #: A key's digest, in two columns.
 DIGEST = ["__one", "__two"]
 
@@ -281,6 +284,31 @@ class LineIndex:
         joined = rows.select(key_column(c_id), *plain).join(gone.hint("shuffle_hash"), KEY, "left")
         return joined.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long").toDF(*names, "n_lines", "n_dropped")
 
+    def _screened(self, asked: DataFrame) -> DataFrame:
+        """The pairs whose key passes its shard's filter; filters and keys meet by shard and part, a part's filter first."""
+        salted = asked.select(_shard_column(self.shards), F.pmod(F.xxhash64(KEY), F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("filter"), *DIGEST, KEY)
+        none = [F.lit(None).cast("long").alias(c) for c in (*DIGEST, KEY)]
+        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "filter", *none)
+        both = filters.unionByName(salted).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, filter_ = None, None
+            for batch in batches:
+                parts = np.stack([batch.column(i).to_numpy() for i in (0, 1)], 1)
+                edges = np.flatnonzero(np.concatenate([[True], (parts[1:] != parts[:-1]).any(1)])) if len(parts) else []
+                for a, b in zip(edges, [*edges[1:], batch.num_rows], strict=True):
+                    rows = batch.slice(a, b - a)
+                    if tuple(parts[a]) != part:
+                        part, filter_ = tuple(parts[a]), None
+                    if rows.column(2)[0].is_valid:  # a part has one filter, its first row
+                        filter_ = CuckooFilter.from_bytes(rows.column(2)[0].as_py())
+                        rows = rows.slice(1)
+                    if filter_ is not None and rows.num_rows:
+                        go = filter_.holds(rows.column(3).to_numpy().view(np.uint64))
+                        yield rows.select([*DIGEST, KEY]).filter(pa.array(go))
+
+        return both.mapInArrow(run, f"{DIGEST[0]} long, {DIGEST[1]} long, {KEY} long")
+
     def _repeats(self, documents: DataFrame) -> DataFrame:
         """KEY and `__gone`: digests of the document's lines that a larger document keeps."""
         screen = None
@@ -288,6 +316,7 @@ class LineIndex:
             rows = self.filters.select("shard", "filter").toLocalIterator()  # of a checked size
             screen = documents.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in rows})
         asked = _pairs(documents, self.min_chars, screen, self.shards)
+        asked = asked if screen else self._screened(asked)
         hot = self.keys.where(F.col("n") >= self.min_docs).select(*DIGEST, "largest")
         return asked.join(hot, DIGEST).where(F.col(KEY) != F.col("largest")).groupBy(KEY).agg(F.collect_set(F.struct(*DIGEST)).alias("__gone"))
 

@@ -204,6 +204,18 @@ def test_html_templates_need_no_labels(spark):
     assert {r.page_id: r.text for r in html_text.extract(bare, min_pages=9).collect()} == {i: f"Shop news Own {i} Call us Bye {i}" for i in range(8)}
 
 
+def test_html_marked_up_alike(spark):
+    """Comments, adverts and notices inside articles go by the mark-up that pages of a host share; what only one page has stays."""
+    boxes = ['<div class="comment"><b>u{0}</b> first{0}!</div>', '<div id="comments">c{0} d{0}</div>', '<p class="notice">n{0}</p>', '<ul class="replies"><li>r{0}</ul>', '<p>a <span class="ad">buy{0}</span> b</p>', '<article class="comment">nested{0}</article>', '<p class="advert">x{0}</p>']
+    pages = [(i, f"http://h.org/{i}", f"<html><body><article><h2>Same head</h2><p>own{i} words</p>" + "".join(b.format(i) for b in boxes) + "<p class='social-science'>kept</p></article></body></html>") for i in range(12)]
+    pages += [(100, "http://h.org/100", "<article>one <div class='alert-related'>only here</div></article>"), (101, "http://other.org/", pages[0][2])]
+    bare = [(200 + i, f"http://bare.org/{i}", f"<h1>A real heading</h1><p>Often said.</p><p>own{i}</p><ul><li>item</ul>" if i < 6 else f"<p>p{i}</p>") for i in range(40)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages + bare, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Same head own{i} words a b kept" for i in range(12))
+    assert got[100] == "one only here" and "first0!" in got[101] and "buy0" in got[101]
+    assert all(got[200 + i].startswith(f"A real heading Often said. own{i}") for i in range(6))
+
+
 def test_html_generated_ids_stay():
     """Ids made from headings, common words as classes, and formulas are no reason to drop an article's text."""
     article = (
@@ -416,6 +428,22 @@ def test_line_dedup_is_reversible(spark, docs, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("salts", [1, 16])
+def test_filters_by_shard_change_nothing(spark, docs, monkeypatch, salts):
+    """Filters that are not broadcast screen the same keys, and let few others pass."""
+    rows = texts(docs)
+    index = line_dedup.LineIndex.build(docs, shards=5, min_docs=3)
+    want = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in index.dedup(docs).collect()}
+    asked = line_dedup._pairs(docs, index.min_chars)
+    hot = index.keys.where("n >= 3")
+    monkeypatch.setattr(line_dedup, "SALTS", salts)
+    passed = index._screened(asked)
+    exact = asked.join(hot, line_dedup.DIGEST, "left_semi")
+    assert exact.exceptAll(passed).count() == 0 and passed.count() <= exact.count() + 2 < asked.count()
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)
+    assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in index.dedup(docs).collect()} == want and set(want) == set(rows)
+
+
 def test_line_index_lives_on(spark, docs, tmp_path):
     """Deletions and insertions after a save; keys cross the threshold both ways."""
     rows = texts(docs)
