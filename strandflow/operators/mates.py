@@ -7,10 +7,16 @@ template with many records joins only those whose positions agree; degrees are c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions.sequence import circular, trim_name
+from strandflow.shared import cut, numbered
+
+#: Positions of a bin in which mates are looked for.
+BIN = 16_384
 
 
 def _bit(flag: str, mask: int) -> Column:
@@ -87,3 +93,34 @@ def mates_within_groups(rows: DataFrame) -> DataFrame:
 def ranged_mates(rows: DataFrame, in_range: DataFrame, **options) -> DataFrame:
     """Mate status of the templates that have a record in a range, looking for mates anywhere; read groups (`rg`) must agree."""
     return mate_status(rows.join(in_range.select("qname").distinct(), "qname", "left_semi"), **options)
+
+
+def mates_by_bins(here: DataFrame, lookup: Callable[[DataFrame], DataFrame], prefix_end: str | None = None, suffix_start: str | None = None, **options) -> DataFrame:
+    """Mate status of the records in ranges (`here`) and of the mates found outside, with `place`, their rank in the order of output.
+
+    Only the bins of BIN positions that records name as their mates' places are looked into: `lookup` gives the
+    records that start in such ranges (contig, start, end), be it by an index, a layout by contig and position, or
+    `in_bins`. Of these, the ones that stand where a record of the same name has its mate are taken, so the table
+    is never searched by name. Those that turn out to be nobody's mate are left out. Read groups (`rg`) must agree.
+    Mated records come first, a pair's first read before its last one, then ambiguous, then unmated ones.
+    """
+    named = lambda df: df.withColumn("__t", trim_name(F.col("qname"), prefix_end, suffix_start))
+    here = cut(here.dropDuplicates(["key"]))
+    asked = named(here).where(can_pair() & F.col("mrnm").isNotNull() & F.col("mpos").isNotNull()).select("__t", F.col("mrnm").alias("rname"), F.col("mpos").alias("pos"))
+    bins = asked.select(F.col("rname").alias("contig"), F.floor((F.col("pos") - 1) / BIN).alias("__bin")).distinct()
+    ranges = bins.select("contig", (F.col("__bin") * BIN + 1).cast("int").alias("start"), ((F.col("__bin") + 1) * BIN).cast("int").alias("end"))
+    found = named(lookup(ranges)).join(asked.distinct(), ["__t", "rname", "pos"], "left_semi").drop("__t").join(here.select("key"), "key", "left_anti")
+    every = here.withColumn("__here", F.lit(True)).unionByName(found.select(*here.columns).withColumn("__here", F.lit(False)))
+    judged = mate_status(every, prefix_end=prefix_end, suffix_start=suffix_start, **options).where(F.col("__here") | (F.col("mate_status") != "unmated")).drop("__here")
+    rank = F.when(F.col("mate_status") == "mated", 0).when(F.col("mate_status") == "ambiguous", 1).otherwise(2)
+    return numbered(judged, "place", rank, "groupid", F.col("flag").bitwiseAND(64).desc(), "key")
+
+
+def in_bins(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A lookup in a table: rows meet the asked bins by contig and bin."""
+
+    def lookup(ranges: DataFrame) -> DataFrame:
+        bins = ranges.select(F.col("contig").alias("rname"), F.floor((F.col("start") - 1) / BIN).alias("__bin"))
+        return rows.withColumn("__bin", F.floor((F.col("pos") - 1) / BIN)).join(bins, ["rname", "__bin"], "left_semi").select(*rows.columns)
+
+    return lookup

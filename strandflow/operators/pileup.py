@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions import cigar
 from strandflow.operators.intervals import check_ranges, interval_join, unique_labels
 from strandflow.operators.scan import predicate
-from strandflow.shared import cut
+from strandflow.shared import cut, numbered
 from strandflow.specs import MultiPileupSpec, PileupSpec, ScanSpec
 
 #: Unmapped, secondary, failed and duplicate reads never count.
@@ -246,3 +247,42 @@ def quality_depth(alignments: DataFrame, ranges: DataFrame, spec: MultiPileupSpe
     events = PileupSpec(min_base_quality=spec.min_base_quality, ignore_query_ns=False, include_deletions=False)
     counted = lambda rows, skip=None: _outside(_events(rows, events), skip).groupBy("range_id", "file", "seqnames", "pos", (F.ascii("nucleotide") - 33).alias("quality")).agg(F.count("*").alias("count"))
     return _up_to(reads, check_ranges(ranges), spec.max_depth, ["file"], counted)
+
+
+#: Letters and quality values of the arrays of `depth_arrays`.
+LETTERS, QUALITIES = 5, 94
+
+
+def depth_arrays(alignments: DataFrame, ranges: DataFrame, files: list[str], spec: MultiPileupSpec | None = None, n: int = 10_000) -> DataFrame:
+    """Depths of n positions a row, as dense arrays: chunk, range_id, seqnames and pos (a value for each position), seq and qual.
+
+    `seq` has, for each position and then each file in the order of `files`, the counts of A, C, G, T and N; `qual` those of
+    QUALITIES base qualities. Positions are numbered in the order of ranges, so a range that a chunk leaves unfinished goes on
+    in the next. Counts are summed by tasks and by Spark first; a chunk's task puts at most n x files x 99 of them into arrays.
+    """
+    key = ["range_id", "seqnames", "pos"]
+    depth = multi_file_depth(alignments, ranges, spec)
+    letters = F.inline(F.array(*[F.struct(F.lit(i).alias("code"), F.col(b).alias("count")) for i, b in enumerate("ACGTN")]))
+    quality = quality_depth(alignments, ranges, spec).where((F.col("quality") >= 0) & (F.col("quality") < QUALITIES))
+    counts = depth.select(*key, "file", letters).where("count > 0").unionByName(quality.select(*key, "file", (F.col("quality") + LETTERS).alias("code"), "count"))
+    counts = cut(counts)  # used twice
+    places = numbered(counts.select(*key).distinct(), "place", *key)
+    at = places.select(*key, F.floor(F.col("place") / n).alias("chunk"), (F.col("place") % n).cast("int").alias("slot"))
+    names, kind = list(files), dict(ranges.dtypes)["range_id"]
+
+    def dense(table: pa.Table) -> pa.Table:
+        slot, code, count = (table.column(c).to_numpy() for c in ("slot", "code", "count"))
+        file = pa.compute.index_in(table.column("file"), value_set=pa.array(names)).to_numpy()
+        if np.isnan(file.astype(float)).any():
+            raise ValueError("a file is not listed")
+        size = int(slot.max()) + 1
+        cells = np.zeros((size, len(names), LETTERS + QUALITIES), np.int64)
+        np.add.at(cells, (slot, file.astype(np.int64), code), count)
+        _, first = np.unique(slot, return_index=True)
+        each = table.take(pa.array(first))
+        lists = {c: pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), each.column(c).combine_chunks()) for c in key}
+        flat = {c: pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for c, x in (("seq", cells[:, :, :LETTERS]), ("qual", cells[:, :, LETTERS:]))}
+        return pa.table({"chunk": table.column("chunk").slice(0, 1).combine_chunks(), **lists, **flat})
+
+    schema = f"chunk long, range_id array<{kind}>, seqnames array<string>, pos array<int>, seq array<long>, qual array<long>"
+    return counts.join(at, key).select("chunk", *key, "slot", "file", F.col("code").cast("int").alias("code"), F.col("count").cast("long").alias("count")).groupBy("chunk").applyInArrow(dense, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandflow import shared
 from strandflow.functions import cigar, flags, sequence
 from strandflow.operators import count, intervals, mates, scan, sequences, sorting, tabtext, variants
-from strandflow.operators.pileup import multi_file_depth, pileup, quality_depth
+from strandflow.operators.pileup import depth_arrays, multi_file_depth, pileup, quality_depth
 from strandflow.operators.views import Views
 from strandflow.plans import testviews as tv
 from strandflow.schemas import ALIGNMENT
@@ -332,6 +332,25 @@ def multi_file_max_depth(spark, d):
     return multi_file_depth(tv.alignments(spark, d, spread=True), tv.ranges(spark, d), MultiPileupSpec(max_depth=1))
 
 
+_CELLS = f"""{WITH}, {EVENTS.format(mapq=0)}, e AS (SELECT range_id, file, seqnames, pos, CASE letter WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END AS letter, bq
+FROM ev JOIN ranges ON seqnames = contig AND pos >= "start" AND pos <= "end" WHERE op NOT IN ('N', 'D') AND bq >= 13 AND range_id % 3 = 0),
+spots AS (SELECT *, row_number() OVER (ORDER BY range_id, seqnames, pos) - 1 AS place FROM (SELECT DISTINCT range_id, seqnames, pos FROM e)),
+cell AS (SELECT range_id, seqnames, pos, place, file, code FROM spots, (SELECT unnest(['f0', 'f1', 'f2']) AS file), (SELECT unnest(range(5)) AS code)),
+n AS (SELECT range_id, seqnames, pos, file, letter AS code, count(*) AS n FROM e GROUP BY ALL), q AS (SELECT range_id, seqnames, pos, file, bq, count(*) AS n FROM e GROUP BY ALL)"""
+
+
+@_register(f"""{_CELLS}, s AS (SELECT place // 500 AS chunk, count(*) // 15 AS positions, md5(string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY place, file, code)) AS seq_md5 FROM cell LEFT JOIN n USING (range_id, seqnames, pos, file, code) GROUP BY 1),
+p AS (SELECT place // 500 AS chunk, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY place) AS pos FROM spots GROUP BY 1),
+w AS (SELECT place // 500 AS chunk, CAST(sum(n * ((place % 500) * 282 + CAST(substr(file, 2) AS INT) * 94 + bq)) AS BIGINT) AS qual_sum FROM q JOIN spots USING (range_id, seqnames, pos) GROUP BY 1)
+SELECT chunk, positions, pos, seq_md5, qual_sum FROM s JOIN p USING (chunk) JOIN w USING (chunk)""")
+def multi_file_depth_arrays(spark, d):
+    """Letters and qualities of 500 positions a row as dense arrays; the query sums each quality's place in its array."""
+    rows = depth_arrays(tv.alignments(spark, d, spread=True), tv.ranges(spark, d).where("range_id % 3 = 0"), ["f0", "f1", "f2"], n=500)
+    zero = F.lit(0).cast("long")
+    total = F.aggregate(F.transform("qual", lambda x, i: x * i), zero, lambda a, x: a + x)
+    return rows.select("chunk", F.size("pos").cast("long").alias("positions"), F.array_join("pos", ",").alias("pos"), F.md5(F.array_join("seq", ",")).alias("seq_md5"), total.alias("qual_sum"))
+
+
 @_register(_pile("SELECT *, (dense_rank() OVER (ORDER BY seqnames, pos) - 1) // 500 AS chunk FROM (SELECT seqnames, pos, count(*) AS count FROM b GROUP BY ALL)"))
 def pileup_chunks(spark, d):
     flat = PileupSpec(distinguish_strands=False, distinguish_nucleotides=False)
@@ -365,6 +384,20 @@ def mates_ranged(spark, d):
     return mates.ranged_mates(rows, here).select("key", "mate_status", "mate", "groupid")
 
 
+_RG = "CASE WHEN CAST(floor(\"key\" / 4) AS BIGINT) % 17 = 0 AND \"key\" % 4 = 1 THEN 'b' ELSE 'a' END"
+
+
+@_register(f"""WITH ranges AS ({RANGES}), every AS (SELECT *, {_RG} AS rg FROM ({PAIRED})), here AS (SELECT * FROM every WHERE EXISTS (SELECT 1 FROM ranges WHERE range_id % 4 = 1 AND rname = contig AND pos >= "start" AND pos <= "end")),
+p AS (SELECT * FROM here UNION SELECT y.* FROM every y JOIN here x ON x.qname = y.qname AND x.mrnm = y.rname AND x.mpos = y.pos WHERE x.flag & 13 = 1 AND (x.flag & 64 <> 0) <> (x.flag & 128 <> 0)),
+{_PAIRS.format(rule="(" + _LOOSE + ") AND x.rg = y.rg")}, {_STATUS}, kept AS (SELECT t.*, flag FROM t JOIN p USING ("key") WHERE mate_status <> 'unmated' OR "key" IN (SELECT "key" FROM here))
+SELECT "key", mate_status, mate, groupid, row_number() OVER (ORDER BY CASE mate_status WHEN 'mated' THEN 0 WHEN 'ambiguous' THEN 1 ELSE 2 END, groupid, flag & 64 DESC, "key") - 1 AS place FROM kept""")
+def mates_by_bins(spark, d):
+    """Records in ranges and their mates outside, which are looked for in the bins of their places only."""
+    rows = tv.paired(spark, d).withColumn("rg", F.expr(_RG.replace('"', "`")))
+    here = intervals.interval_join(rows, tv.ranges(spark, d).where("range_id % 4 = 1"), "rname", "pos", "pos").select(*rows.columns)
+    return mates.mates_by_bins(here, mates.in_bins(rows)).select("key", "mate_status", "mate", "groupid", "place")
+
+
 @_register(f"""WITH p AS ({PAIRED}), {_PAIRS.format(rule=_LOOSE)}, {_STATUS} SELECT "key", mate, groupid FROM t WHERE groupid IN (SELECT DISTINCT groupid FROM t WHERE mate_status = 'mated' ORDER BY groupid LIMIT 50) AND mate_status = 'mated'""")
 def first_n_pairs(spark, d):
     return scan.first_n_pairs(mates.mate_status(tv.paired(spark, d)), 50).select("key", "mate", "groupid")
