@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import cigar, flags, sequence
 from strandflow.operators.intervals import check_contigs, check_ranges, interval_join, unique_labels
-from strandflow.shared import cut, numbered
+from strandflow.shared import cut, folder, numbered, remove
 from strandflow.specs import ScanSpec
 
 
@@ -106,11 +107,20 @@ def in_chunks(rows: DataFrame, n: int, *order: str | Column) -> DataFrame:
 
 
 def iterate(rows: DataFrame, n: int, *order: str | Column) -> Iterator[DataFrame]:
-    """The chunks one after another, for callers that take n rows at a time; the rows are sorted once."""
-    chunked = in_chunks(rows, n, *order)
-    last = chunked.agg(F.max("chunk")).first()[0]
-    for i in range(0 if last is None else last + 1):
-        yield chunked.where(F.col("chunk") == i).drop("chunk")
+    """The chunks one after another, for callers that take n rows at a time.
+
+    The rows are sorted and written once, a folder a chunk in the shared folder, and each chunk is read from its own; the folders go in the end.
+    """
+    spark = rows.sparkSession
+    place = f"{folder(spark)}/chunks-{uuid.uuid4().hex}"
+    try:
+        chunked = in_chunks(rows, n, *order)
+        chunked.repartitionByRange("chunk").write.partitionBy("chunk").parquet(place)
+        last = chunked.agg(F.max("chunk")).first()[0]
+        for i in range(0 if last is None else last + 1):
+            yield spark.read.schema(rows.schema).parquet(f"{place}/chunk={i}")
+    finally:
+        remove(spark, place)
 
 
 def apply_chunks(rows: DataFrame, n: int, fun, schema: str, *order: str | Column) -> DataFrame:

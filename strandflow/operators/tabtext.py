@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.operators.intervals import check_contigs, check_ranges, interval_join, unique_labels
@@ -93,17 +93,35 @@ def count(rows: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
 def legacy_pileup(rows: DataFrame, variant: str = "SNP", line: str = "line_no", partition: str | None = None) -> DataFrame:
     """Rows of the old pileup text: SNP drops each '*' row and the row before it, all drops the '*' rows only,
     indel keeps the '*' rows with the base columns of the row before. `partition` names the file or contig
-    inside which lines are in order, which lets the sort be distributed.
+    inside which lines are in order.
     """
-    w = Window.partitionBy(partition or "space").orderBy(line)
+    by = partition or "space"
     star = F.col("referenceBase") == "*"
-    if variant == "SNP":
-        return rows.withColumn("__next", F.lead("referenceBase").over(w)).where(~star & ~(F.coalesce(F.col("__next") == "*", F.lit(False)))).drop("__next")
     if variant == "all":
         return rows.where(~star)
+    if variant == "SNP":
+        following = _beside(rows, by, line, F.col("referenceBase"), 1, "__next")
+        return following.where(~star & ~(F.coalesce(F.col("__next") == "*", F.lit(False)))).drop("__next")
     if variant != "indel":
         raise ValueError(f"unknown variant {variant!r}")
     base = ["position", "referenceBase", "consensusBase", "consensusQuality", "snpQuality", "maxMappingQuality", "coverage"]
-    before = F.lag(F.struct(*base)).over(w)
-    rows = rows.withColumn("__before", before).where(star)
+    rows = _beside(rows, by, line, F.struct(*base), -1, "__before").where(star)
     return rows.select(*[F.col(f"__before.{c}").alias(c) if c in base else F.col(c) for c in rows.columns if c != "__before"])
+
+
+#: Numbers of lines that one task orders.
+TILE = 1 << 20
+
+
+def _beside(rows: DataFrame, by: str, line: str, value: Column, step: int, name: str) -> DataFrame:
+    """The rows with the value of the line after (step 1) or before (-1) in `name`, inside each `by`.
+
+    Lines are ordered in tiles of TILE numbers; a tile's edge meets the nearest line of the tiles beside it, of which there is a row each.
+    """
+    rows = rows.withColumn("__tile", F.floor(F.col(line) / TILE)).withColumn("__value", F.struct(value.alias("v")))
+    inside, tiles = Window.partitionBy(by, "__tile").orderBy(line), Window.partitionBy(by).orderBy("__tile")
+    edges = rows.groupBy(by, "__tile").agg((F.min_by if step > 0 else F.max_by)("__value", line).alias("__edge"))
+    edges = edges.select(by, "__tile", (F.lead if step > 0 else F.lag)("__edge").over(tiles).alias("__edge"))
+    own = (F.lead if step > 0 else F.lag)("__value").over(inside)
+    met = rows.withColumn("__own", own).join(edges, [by, "__tile"])
+    return met.withColumn(name, F.coalesce("__own", "__edge")["v"]).drop("__tile", "__value", "__own", "__edge")

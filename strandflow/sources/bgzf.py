@@ -15,6 +15,7 @@ from __future__ import annotations
 import bisect
 import gzip
 import heapq
+import itertools
 import json
 import posixpath
 import struct
@@ -34,6 +35,12 @@ SEQ_CODES, CIGAR_CODES = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 EOF_MEMBER = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 _NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 SPLIT_BYTES = 32 << 20
+#: The two letters of a byte of sequence, and the other way round; quality scores and their characters.
+_PAIRS = [a + b for a in SEQ_CODES for b in SEQ_CODES]
+_NIBBLES = bytes(SEQ_CODES.index(chr(c)) if chr(c) in SEQ_CODES else 15 for c in range(256))
+_SCORES, _OFFSETS = (bytes((c + k) % 256 for c in range(256)) for k in (33, -33))
+#: Records of an Arrow batch.
+BATCH = 5000
 
 
 def compress(data: bytes) -> bytes:
@@ -86,15 +93,29 @@ def decode_record(data: bytes, names: list[str]) -> tuple:
     packed = struct.unpack_from(f"<{n_cigar}I", data, at)
     cigar = "".join(f"{c >> 4}{CIGAR_CODES[c & 15]}" for c in packed) or None
     at += 4 * n_cigar
-    seq = "".join(SEQ_CODES[b >> 4] + SEQ_CODES[b & 15] for b in data[at : at + (l_seq + 1) // 2])[:l_seq] or None
+    seq = "".join(map(_PAIRS.__getitem__, data[at : at + (l_seq + 1) // 2]))[:l_seq] or None
     at += (l_seq + 1) // 2
     raw = data[at : at + l_seq]
-    qual = bytes(q + 33 for q in raw).decode() if l_seq and raw[0] != 255 else None
+    qual = raw.translate(_SCORES).decode("latin-1") if l_seq and raw[0] != 255 else None
     name = lambda i: names[i] if i >= 0 else None
     place = lambda p: p + 1 if p >= 0 else None
     return qname, flag, name(tid), place(pos), mapq, cigar, name(mtid), place(mpos), isize, seq, qual, _tags(data[at + l_seq :])
 
 
+def batches_of(rows: Iterator[tuple]) -> Iterator:
+    """Decoded records, of ALIGNMENT's columns and maybe their file, as Arrow batches."""
+    import pyarrow as pa  # in tasks only
+
+    text, number = pa.string(), pa.int32()
+    tag = pa.struct([("type", text), ("i", pa.int64()), ("d", pa.float64()), ("s", text), ("ai", pa.list_(pa.int64())), ("ad", pa.list_(pa.float64()))])
+    kinds = [text, number, text, number, number, text, text, number, number, text, text, pa.map_(text, tag), text]
+    names = [c.split(" ")[0] for c in ALIGNMENT.split(", ")] + ["file"]
+    while held := list(itertools.islice(rows, BATCH)):
+        columns = list(zip(*held, strict=True))
+        columns[11] = [list(t.items()) for t in columns[11]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names[: len(columns)])
+
+
 def encode_record(row, ids: dict[str, int]) -> bytes:
     name = row["qname"].encode() + b"\0"
     ops, n = [], ""
@@ -106,8 +127,8 @@ def encode_record(row, ids: dict[str, int]) -> bytes:
             n = ""
     width = sum(c >> 4 for c in ops if CIGAR_CODES[c & 15] in "MDN=X") or 1
     seq = row["seq"] or ""
-    codes = [SEQ_CODES.index(c) if c in SEQ_CODES else 15 for c in seq.upper()] + [0] * (len(seq) & 1)
-    qual = bytes(ord(c) - 33 for c in row["qual"]) if row["qual"] else b"\xff" * len(seq)
+    codes = seq.upper().encode("latin-1", "replace").translate(_NIBBLES) + b"\0" * (len(seq) & 1)
+    qual = row["qual"].encode("latin-1").translate(_OFFSETS) if row["qual"] else b"\xff" * len(seq)
     tags = b""
     for key, v in sorted((row["tags"] or {}).items()):
         tags += key.encode()
@@ -423,9 +444,7 @@ class BamReader(SplitReader):
             records = chunk_records(partition.path, partition.chunks, _length)
         else:
             records = split_records(partition, first, inside, _length, lambda data, i: _sound(data, i, len(names)))
-        for record in records:
-            if wanted.all or wanted.test(*spans_of(record)[:3]):
-                yield decode_record(record[4:], names)
+        yield from batches_of(decode_record(r[4:], names) for r in records if wanted.all or wanted.test(*spans_of(r)[:3]))
 
 
 class Overlaps:
@@ -497,8 +516,7 @@ class BamMergeReader(DataSourceReader):
     def read(self, partition):
         rank = {n: i for i, (n, _) in enumerate(self.contigs)}
         streams = [self._stream(k, f, partition, rank) for k, f in enumerate(self.files)]
-        for *_, file, names, record in heapq.merge(*streams, key=lambda x: x[:4]):
-            yield (*decode_record(record[4:], names), file)
+        yield from batches_of((*decode_record(record[4:], names), file) for *_, file, names, record in heapq.merge(*streams, key=lambda x: x[:4]))
 
     def _stream(self, k: int, path: str, part: _Slice, rank: dict[str, int]):
         index, contigs = read_index(path), read_header(path)[1]
