@@ -136,9 +136,9 @@ def canonical(text: Column) -> Column:
 
 
 def forms(canon: Column) -> Column:
-    """The different forms of a canonical text: whole, without each kind of TOPS, and without all its copyright lines."""
+    """The different forms of a canonical text: without all its copyright lines, whole, and without each kind of TOPS."""
     cut = F.array_distinct(F.array(canon, *[F.regexp_replace(canon, x, "") for x in TOPS]))  # mostly one
-    return F.array_distinct(F.array_append(F.transform(cut, _flat), bare(canon)))
+    return F.array_distinct(F.concat(F.array(bare(canon)), F.transform(cut, _flat)))
 
 
 def _flat(text: Column) -> Column:
@@ -168,18 +168,19 @@ def scan(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     `n_notices` counts such lines. Every row has a result row, whatever its doc_id.
     """
     known = known if known is not None else known_table(documents.sparkSession)
-    canon = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canon"))
-    canon = canon.select("row", "doc_id", "canon", forms(F.col("canon")).alias("forms"))
+    # a generator of one row each, as Spark would write what is used several times out several times
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    canon = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", once(canonical(F.coalesce("text", F.lit(""))), "canon"))
+    canon = canon.select("row", "doc_id", "canon", once(forms(F.col("canon")), "forms"))
     units = F.concat(
         F.transform("forms", lambda x, i: F.struct((i + 1).alias("form"), F.sha2(x, 256).alias("digest"))),
         F.transform(F.split("canon", "\n"), lambda x: F.struct(F.lit(0).alias("form"), F.sha2(F.trim(x), 256).alias("digest"))),
     )
-    # the bare form always counts, so that every document has a row
-    own = F.array_position("forms", bare(F.col("canon"))).cast("int")
-    met = canon.select("row", "doc_id", own.alias("own"), F.inline(units)).join(known, "digest", "left").where("form = own OR license_id IS NOT NULL")
+    # the bare form, the first, always counts, so that every document has a row
+    met = canon.select("row", "doc_id", F.inline(units)).join(known, "digest", "left").where("form = 1 OR license_id IS NOT NULL")
     whole = F.col("form") > 0
     found = met.groupBy("row", "doc_id").agg(
-        F.max(F.when(F.col("form") == F.col("own"), F.col("digest"))).alias("canonical_sha256"),
+        F.max(F.when(F.col("form") == 1, F.col("digest"))).alias("canonical_sha256"),
         F.min(F.when(whole, F.col("license_id"))).alias("license_id"),
         F.array_sort(F.collect_set(F.when(~whole, F.col("license_id")))).alias("names"),
         F.count(F.when(~whole, F.col("license_id"))).alias("n_notices"),
