@@ -15,7 +15,7 @@ from strandflow.operators.pileup import depth_arrays, multi_file_depth, pileup,
 from strandflow.operators.views import Views
 from strandflow.plans import testviews as tv
 from strandflow.schemas import ALIGNMENT
-from strandflow.sources import bgzf, gztext, sam, text
+from strandflow.sources import bcf, bgzf, gztext, sam, text
 from strandflow.specs import MultiPileupSpec, PileupSpec, ScanSpec, VariantSpec
 from strandflow.streaming import chunks, tile_pileup
 
@@ -793,6 +793,26 @@ def variant_scan(spark, d):
     return rows.select("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info_DP", "info_DB", g[0]["gt"].alias("gt1"), g[0]["pl"][0].alias("pl1"), g[1]["gt"].alias("gt2"), g[1]["dp"].alias("dp2"), g[1]["other"]["XX"].alias("xx2"))
 
 
+#: The header of the variants' binary files; repeated keys are one entry of its dictionary.
+_BCF_HEADER = "\n".join(
+    ["##fileformat=VCFv4.2", '##INFO=<ID=DP,Number=1,Type=Integer,Description="">', '##INFO=<ID=DB,Number=0,Type=Flag,Description="">', *[f'##FORMAT=<ID={k},Number=.,Type={t},Description="">' for k, t in (("GT", "String"), ("PL", "Integer"), ("DP", "Integer"), ("XX", "String"))]]
+    + [f"##contig=<ID=chr{i}>" for i in range(6)] + ["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tone\ttwo\n"]
+)
+
+
+@_register(f"""{_VARIANTS} SELECT chrom, pos, id, ref, alt, qual, 'PASS' AS filter, CAST(p_size AS STRING) AS dp, '0/1' AS gt1, CAST(p_size AS INT) AS pl1, CASE WHEN p_partkey % 3 <> 0 THEN '1/1' ELSE './.' END AS gt2,
+CASE WHEN p_partkey % 3 <> 0 THEN 7 END AS dp2, CASE WHEN p_partkey % 3 <> 0 THEN 'b' ELSE '.' END AS xx2 FROM v""")
+def bcf_round_trip(spark, d):
+    """Variant lines written as binary files and read back in splits."""
+    bcf.register(spark)
+    folder = _folder(spark)
+    tv.view(spark, d, tv.VARIANT_LINES, spread=True).write.format("bcf").mode("append").option("header", _BCF_HEADER).save(folder)
+    rows = variants.scan(bcf.read(spark, folder), VariantSpec(info=("DP",), geno=("GT", "PL", "DP", "XX")))
+    g = F.col("geno")
+    fields = [g[0]["GT"].alias("gt1"), g[0]["PL"][0].alias("pl1"), g[1]["GT"].alias("gt2"), g[1]["DP"].alias("dp2"), g[1]["XX"].alias("xx2")]
+    return _kept(spark, rows.select("chrom", "pos", "id", "ref", "alt", "qual", "filter", F.col("info_DP").alias("dp"), *fields), folder)
+
+
 @_register(f"""{_VARIANTS} SELECT range_id, contig, "start", "end", count(pos) AS records FROM ranges LEFT JOIN v ON chrom = contig AND pos <= "end" AND pos + length(ref) - 1 >= "start" GROUP BY ALL""")
 def variant_ranges(spark, d):
     return variants.records_per_range(_variants(spark, d), tv.ranges(spark, d))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
 from strandflow.operators import variants
-from strandflow.sources.bgzf import SplitReader, _Members, _open, split_records
+from strandflow.sources.bgzf import FolderWriter, SplitReader, _Members, _open, split_records
 
 #: Value types by code: struct letter, bytes, and the codes of a missing value and of a vector's end.
 _TYPES = {1: ("b", 1, -128, -127), 2: ("h", 2, -(2**15), -(2**15) + 1), 3: ("i", 4, -(2**31), -(2**31) + 1), 5: ("I", 4, 0x7F800001, 0x7F800002)}
@@ -36,9 +36,12 @@ class Header:
                     break
             else:
                 end = len(data)
-        self.lines = data[9:end].rstrip(b"\0").decode().splitlines()
         self.first, before = [s for s in starts if s[1] <= end][-1]
         self.inside = end - before
+        self.know(data[9:end].rstrip(b"\0").decode().splitlines())
+
+    def know(self, lines: list[str]) -> None:
+        self.lines = lines
         self.names, self.contigs = {0: "PASS"}, {}
         self.n_samples = max([0, *[line.count("\t") - 8 for line in self.lines if line.startswith("#CHROM")]])
         for line in self.lines:
@@ -150,6 +153,104 @@ def _sound(data: bytes, i: int, header: Header) -> bool:
     return True
 
 
+def _typed(kind: int, n: int, body: bytes) -> bytes:
+    return (bytes([n << 4 | kind]) if n < 15 else bytes([0xF0 | kind]) + _integers([n])) + body
+
+
+def _integers(values: list[int | None], width: int = 0) -> bytes:
+    """Whole numbers as a typed vector of 32 bits, filled up to `width`."""
+    return _typed(3, max(width, len(values)), _pack(values, width, "i"))
+
+
+def _pack(values: list, width: int, letter: str) -> bytes:
+    """Values of 32 bits with codes for missing ones and behind the last."""
+    _, _, missing, end = _TYPES[3 if letter == "i" else 5]
+    bits = [missing if v is None else v if letter == "i" else struct.unpack("<I", struct.pack("<f", v))[0] for v in values]
+    return struct.pack(f"<{max(width, len(bits))}{'i' if letter == 'i' else 'I'}", *bits, *[end] * (width - len(bits)))
+
+
+def _text(value: str) -> bytes:
+    body = b"" if value == "." else value.encode()
+    return _typed(7, len(body), body)
+
+
+def _parsed(value: str, kind: str) -> list:
+    number = int if kind == "Integer" else float
+    return [None if x == "." else number(x) for x in value.split(",")]
+
+
+class Encoder:
+    """Records from VCF lines, by the dictionaries of a header's lines."""
+
+    def __init__(self, text: str):
+        header = Header.__new__(Header)
+        header.know(text.splitlines())
+        self.text = text
+        self.names = {n: i for i, n in header.names.items()}
+        self.contigs = {n: i for i, n in header.contigs.items()}
+        self.kinds = {(m[1], m[2]): m[3] for m in re.finditer(r"##(INFO|FORMAT)=<.*?\bID=([^,>]+).*?\bType=([A-Za-z]+)", text)}
+
+    def head(self) -> bytes:
+        data = self.text.encode() + b"\0"
+        return b"BCF\2\2" + struct.pack("<I", len(data)) + data
+
+    def _info(self, entry: str) -> bytes:
+        key, has, value = entry.partition("=")
+        kind = self.kinds.get(("INFO", key), "String")
+        if kind == "Flag" or not has:
+            body = b"\0"
+        elif kind == "Integer":
+            body = _integers(_parsed(value, kind))
+        elif kind == "Float":
+            values = _parsed(value, kind)
+            body = _typed(5, len(values), _pack(values, 0, "f"))
+        else:
+            body = _text(value)
+        return _integers([self.names[key]]) + body
+
+    def _format(self, key: str, cells: list[str]) -> bytes:
+        kind = self.kinds.get(("FORMAT", key), "String")
+        if key == "GT":
+            calls = [re.findall(r"([|/]?)([.0-9]+)", c) for c in cells]
+            values = [[(0 if a == "." else int(a) + 1) << 1 | (s == "|") for s, a in call] for call in calls]
+        elif kind in ("Integer", "Float"):
+            values = [_parsed(c, kind) for c in cells]
+        else:
+            raw = [b"." if c == "." else c.encode() for c in cells]
+            width = max(map(len, raw))
+            return _integers([self.names[key]]) + _typed(7, width, b"".join(x.ljust(width, b"\0") for x in raw))
+        width, letter = max(map(len, values)), "f" if kind == "Float" and key != "GT" else "i"
+        return _integers([self.names[key]]) + _typed(5 if letter == "f" else 3, width, b"".join(_pack(v, width, letter) for v in values))
+
+    def record(self, line: str) -> bytes:
+        contig, pos, name, ref, alt, qual, tests, info, *cells = line.split("\t")
+        alleles = [ref, *([] if alt == "." else alt.split(","))]
+        entries = [] if info == "." else info.split(";")
+        keys = cells[0].split(":") if cells else []
+        samples = [(c.split(":") + ["."] * len(keys))[: len(keys)] for c in cells[1:]]
+        body = _text(name) + b"".join(map(_text, alleles)) + (b"\0" if tests == "." else _integers([self.names[t] for t in tests.split(";")])) + b"".join(map(self._info, entries))
+        indiv = b"".join(self._format(k, [s[i] for s in samples]) for i, k in enumerate(keys)) if samples else b""
+        score = struct.pack("<I", _TYPES[5][2]) if qual == "." else struct.pack("<f", float(qual))
+        shared = struct.pack("<iii", self.contigs[contig], int(pos) - 1, len(ref)) + score + struct.pack("<II", len(entries) | len(alleles) << 16, len(samples) | (len(keys) if samples else 0) << 24) + body
+        return struct.pack("<II", len(shared), len(indiv)) + shared + indiv
+
+
+class BcfWriter(FolderWriter):
+    """BCF files of VCF lines (column `line`); `header` is the header's text."""
+
+    ending = ".bcf"
+
+    def __init__(self, options, overwrite: bool = False):
+        super().__init__(options, overwrite)
+        self.encoder = Encoder(options["header"])
+
+    def head(self):
+        return self.encoder.head()
+
+    def encode(self, row):
+        return self.encoder.record(row["line"])
+
+
 class BcfReader(SplitReader):
     def read(self, partition):
         header = Header(partition.path)
@@ -160,7 +261,7 @@ class BcfReader(SplitReader):
 
 
 class BcfSource(DataSource):
-    """Options: path (comma-separated files or folders), splitBytes."""
+    """Options: path (comma-separated files or folders), splitBytes; for writing path (a folder) and header."""
 
     @classmethod
     def name(cls):
@@ -172,6 +273,9 @@ class BcfSource(DataSource):
     def reader(self, schema):
         return BcfReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return BcfWriter(self.options, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(BcfSource)
