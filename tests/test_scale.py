@@ -2,6 +2,7 @@
 
 import random
 import struct
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
@@ -12,6 +13,7 @@ from strandflow.functions import cigar
 from strandflow.operators import intervals, mates, scan, sequences, sorting, tabtext, variants
 from strandflow.operators.pileup import multi_file_depth, pileup, quality_depth
 from strandflow.operators.views import Views
+from strandflow.schemas import ALIGNMENT
 from strandflow.sources import bcf, bgzf, sam, text
 from strandflow.specs import MultiPileupSpec, PileupSpec, ScanSpec, VariantSpec
 from strandflow.streaming.frontier_pileup import _batch_sums
@@ -274,3 +276,61 @@ def test_stream_batches_are_added_up():
     batch = pa.RecordBatch.from_pydict({"seqnames": ["c"] * 3, "pos": [1, 1, 2], "strand": ["+"] * 3, "nucleotide": ["A"] * 3, "read_start": [1, 2, 2], "n": [1, 1, 1], "ended": [False] * 3})
     out = pa.Table.from_batches(list(_batch_sums(iter([batch])))).sort_by("pos").to_pylist()
     assert [(r["pos"], r["n"], r["read_start"]) for r in out] == [(1, 2, 2), (2, 1, 2)]
+
+
+def test_old_pileup_rows_beside_each_other_over_tiles(spark, monkeypatch):
+    """The line before or after is found across tiles, also over tiles without lines."""
+    rng = random.Random(8)
+    base = ["position", "referenceBase", "consensusBase", "consensusQuality", "snpQuality", "maxMappingQuality", "coverage"]
+    rows, at = [], {"c1": 0, "c2": 0}
+    for _ in range(200):
+        c = rng.choice(["c1", "c2"])
+        at[c] += rng.choice([1, 1, 2, 40])
+        rows.append((at[c], c, at[c], rng.choice("ACG*"), "A", 1, 2, 3, 4))
+    df = spark.createDataFrame(rows, "line_no long, space string, position int, referenceBase string, consensusBase string, consensusQuality int, snpQuality int, maxMappingQuality int, coverage int").repartition(4)
+    monkeypatch.setattr(tabtext, "TILE", 7)
+    snp, indel = set(), set()
+    for c in at:
+        own = sorted(r for r in rows if r[1] == c)
+        snp |= {(c, a[0]) for a, b in zip(own, [*own[1:], None], strict=True) if a[3] != "*" and not (b and b[3] == "*")}
+        indel |= {(c, b[0], a[2] if a else None, a[3] if a else None) for a, b in zip([None, *own[:-1]], own, strict=True) if b[3] == "*"}
+    assert {(r.space, r.line_no) for r in tabtext.legacy_pileup(df, "SNP").collect()} == snp
+    found = tabtext.legacy_pileup(df, "indel")
+    assert {(r.space, r.line_no, r.position, r.referenceBase) for r in found.collect()} == indel and set(base) <= set(found.columns)
+
+
+def test_chunks_are_read_one_by_one(spark):
+    rows = spark.range(250).selectExpr("id", "id % 7 AS k").repartition(5)
+    parts = [sorted(r.id for r in c.collect()) for c in scan.iterate(rows, 60, "k", "id")]
+    order = [r.id for r in rows.orderBy("k", "id").collect()]
+    assert [sorted(order[i : i + 60]) for i in range(0, 250, 60)] == parts
+    assert list(scan.iterate(rows.where("id < 0"), 60, "k", "id")) == []
+
+
+@pytest.mark.parametrize("depth", [1, 2, 7])
+def test_depth_cap_counts_first_reads_at_every_position(spark, depth):
+    """Reads over several bins, with skips, in ranges and without, against a count by hand."""
+    rng = random.Random(depth)
+    rows = [(f"q{i}", 0, "c", rng.choice([990, 1000, 1010, 2040, 5000 + i]) + rng.randrange(30), 30, rng.choice(["20M", "10M1100N10M"]), None, None, 0, "".join(rng.choices("ACGT", k=20)), "I" * 20, None) for i in range(60)]
+    want = Counter()
+    seen = Counter()
+    for r in sorted(rows, key=lambda r: (r[3], r[0])):
+        skip = 1100 if "N" in r[5] else 0
+        places = {r[3] + i + (skip if skip and i >= 10 else 0): r[9][i] for i in range(20)}
+        for p in range(r[3], r[3] + 20 + skip):
+            seen[p] += 1
+            if seen[p] <= depth and p in places:
+                want[p, places[p]] += 1
+    spec = PileupSpec(max_depth=depth, distinguish_strands=False)
+    df = spark.createDataFrame(rows, ALIGNMENT).repartition(3)
+    assert {(r.pos, r.nucleotide): r["count"] for r in pileup(df, spec).collect()} == dict(want)
+    ranges = spark.createDataFrame([(1, "c", 1000, 1030), (2, "c", 1020, 2100)], "range_id long, contig string, start int, end int")
+    got = {(r.range_id, r.pos, r.nucleotide): r["count"] for r in pileup(df, spec, ranges=ranges).collect()}
+    assert got == {(k, p, x): n for k, a, b in ((1, 1000, 1030), (2, 1020, 2100)) for (p, x), n in want.items() if a <= p <= b}
+
+
+def test_first_of_repeated_keys(spark):
+    from strandflow.functions.sequence import first_entries
+
+    row = spark.sql("SELECT array('a', 'b', 'a', 'c') AS k, array('1', '2', '3', null) AS v").select(first_entries(F.col("k"), F.col("v")).alias("m")).first()
+    assert row.m == {"a": "1", "b": "2", "c": None}
