@@ -502,6 +502,53 @@ def views_rect_counts(spark, d):
     return Views(rows, tv.ranges(spark, d), samples).count()
 
 
+# --- callers' functions, which Spark runs in its tasks
+
+
+@_register(f"{WITH} SELECT qname, flag, mapq, pos FROM aln WHERE mapq >= 20 AND pos % 2 = 0")
+def filter_rules(spark, d):
+    """Callers' rules on pandas frames, all of which a row must pass."""
+    rows = tv.alignments(spark, d).select("qname", "flag", "mapq", "pos")
+    return scan.where_frame(rows, lambda f: f["mapq"] >= 20, lambda f: f["pos"] % 2 == 0, lambda f: True)
+
+
+def _span(frame):
+    """A caller's function of some rows: how many, from where to where."""
+    return frame.assign(n=1).groupby("range_id", as_index=False).agg(n=("n", "sum"), least=("pos", "min"), most=("pos", "max"))
+
+
+@_register(f"{WITH}, {PLACED}, {MET} SELECT range_id, count(*) AS n, min(pos) AS least, max(pos) AS most FROM met GROUP BY range_id")
+def callback_by_range(spark, d):
+    """A caller's function of each range's hits, at most 64 at a time; its results are brought together by what they mean."""
+    hits = scan.overlap(tv.alignments(spark, d), tv.ranges(spark, d)).select("range_id", "qname", "flag", "pos")
+    parts = scan.apply_groups(hits, "range_id", _span, "range_id long, n long, least int, most int", n=64)
+    return parts.groupBy("range_id").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def _letters(frame):
+    """A caller's function of some of a sample's records: how many letters they have."""
+    return frame.assign(n=1, letters=frame["seq"].str.len()).groupby("sample", as_index=False)[["n", "letters"]].sum()
+
+
+@_register(f"{WITH}, {PLACED}, {MET} SELECT 's_' || file AS sample, count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS letters FROM met WHERE mapq >= 10 GROUP BY 1")
+def callback_by_view(spark, d):
+    """A caller's function of each sample's records in the ranges of a rectangle of views."""
+    rows = tv.alignments(spark, d)
+    samples = rows.select("file").distinct().withColumn("sample", F.concat(F.lit("s_"), "file"))
+    parts = Views(rows, tv.ranges(spark, d), samples).apply(_letters, "sample string, n long, letters long", ScanSpec(what=("qname", "seq"), mapq=10), n=1000)
+    return parts.groupBy("sample").agg(F.sum("n").alias("n"), F.sum("letters").alias("letters"))
+
+
+@_register(f"""{WITH}, c AS (SELECT flag, mapq, (row_number() OVER (ORDER BY qname, flag, pos NULLS FIRST, mapq) - 1) // 1000 AS chunk FROM aln) SELECT count(*) AS n, CAST(sum(flag) AS BIGINT) AS flags, CAST(max(mapq) AS BIGINT) AS best FROM c GROUP BY chunk""")
+def callback_by_chunk(spark, d):
+    """A caller's function of each next 1,000 rows in order."""
+    import pandas as pd
+
+    rows = tv.alignments(spark, d).select("qname", "flag", "pos", "mapq")
+    fun = lambda f: pd.DataFrame({"n": [len(f)], "flags": [int(f["flag"].sum())], "best": [int(f["mapq"].max())]})
+    return scan.apply_chunks(rows, 1000, fun, "n long, flags long, best long", "qname", "flag", "pos", "mapq")
+
+
 @_register(f"""{WITH} SELECT qname, flag, pos FROM aln
 ORDER BY md5(concat_ws(chr(9), '7', coalesce(qname, '\\N'), CAST(flag AS VARCHAR), coalesce(CAST(pos AS VARCHAR), '\\N'))), qname, flag, pos NULLS FIRST LIMIT 500""")
 def sample_n(spark, d):
