@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -193,6 +194,16 @@ def filter_by_ranges(spark, d):
     return met.dropDuplicates(["row"]).select("qname", "flag", "pos")
 
 
+@_register(f"""{WITH}, {PLACED}, {NORMAL} SELECT rname AS contig, qname, flag, pos, flag & 1796 <> 0 AS is_excluded FROM placed
+WHERE mapq >= 10 AND rname IN ('chr1', 'chr3') AND EXISTS (SELECT 1 FROM normal WHERE contig = rname AND pos <= "end" AND stop >= "start")""")
+def filter_to_folders(spark, d):
+    """Passing rows written once, by contig and in order of position; a query of some contigs reads their folders only."""
+    place = f"{shared.folder(spark)}/landed-{uuid.uuid4().hex}"
+    sorting.filter_to(tv.alignments(spark, d), place, F.col("mapq") >= 10, tv.ranges(spark, d))
+    rows = spark.read.parquet(place).where(F.col("contig").isin("chr1", "chr3"))
+    return _kept(spark, rows.select("contig", "qname", "flag", "pos", "is_excluded"), place)
+
+
 @_register(f"{WITH} SELECT name AS contig, CAST(i * 1000000 + 1 AS INT) AS \"start\", CAST(least((i + 1) * 1000000, length) AS INT) AS \"end\" FROM contigs, (SELECT unnest(range(100)) AS i)")
 def tiles(spark, d):
     return intervals.tile(tv.contigs(spark, d), 1_000_000)
@@ -746,6 +757,27 @@ def tabix_count(spark, d):
     return tabtext.count(rows, ranges)
 
 
+#: Lines of a zero-based format under comments of their own; every line is numbered.
+_BED = """
+SELECT CAST(event_id AS BIGINT) AS line_no, CASE WHEN event_id % 50 = 0 THEN '# part ' || CAST(event_id AS STRING)
+       ELSE event_type || chr(9) || CAST(event_id * 10 AS STRING) || chr(9) || CAST(6 + event_id * 10 AS STRING) || chr(9) || CAST(user_id AS STRING) END AS line FROM {events}
+"""
+
+
+@_register(f"""WITH l AS ({tv.in_oracle(_BED)}) SELECT split_part(line, chr(9), 1) AS contig, CAST(split_part(line, chr(9), 2) AS INT) + 1 AS "start", CAST(split_part(line, chr(9), 3) AS INT) AS "end", line_no
+FROM l WHERE line NOT LIKE '#%' AND line_no >= 3""")
+def tabix_preset(spark, d):
+    """Lines of a zero-based layout, from 1, without comments and the first three lines, which the layout skips."""
+    layout = dataclasses.replace(tabtext.PRESETS["bed"], skip=3)
+    return tabtext.keyed(tv.view(spark, d, _BED), layout).select("contig", "start", "end", "line_no")
+
+
+@_register(f"WITH l AS ({tv.in_oracle(_BED)}) SELECT line_no, line FROM l WHERE line LIKE '#%' OR line_no < 3")
+def tabix_header(spark, d):
+    layout = dataclasses.replace(tabtext.PRESETS["bed"], skip=3)
+    return tabtext.header(tv.view(spark, d, _BED), layout).select("line_no", "line")
+
+
 def _numbers(line: str):
     """A caller's parser: the whole numbers of a line, with their column."""
     for i, part in enumerate(line.split("\t")):
