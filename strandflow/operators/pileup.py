@@ -233,8 +233,11 @@ def multi_file_depth(alignments: DataFrame, ranges: DataFrame, spec: MultiPileup
         depth = depth.join(deep.drop("t"), ["range_id", "seqnames", "pos"], "left_semi")
     if not spec.yield_all:
         return depth
-    files = alignments.select("file").distinct()
-    every = ranges.select("range_id", F.col("contig").alias("seqnames"), F.explode(F.sequence("start", "end")).alias("pos")).join(files)
+    # the list of files goes to the ranges, which are dealt out before they become positions: no side of unfolded positions is ever broadcast
+    files = F.broadcast(alignments.select("file").distinct())
+    tasks = int(alignments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ranges.select("range_id", F.col("contig").alias("seqnames"), "start", "end").repartition(tasks, "range_id").crossJoin(files)
+    every = dealt.select("range_id", "file", "seqnames", F.explode(F.sequence("start", "end")).alias("pos"))
     zero = [F.coalesce(b, F.lit(0)).cast("long").alias(b) for b in "ACGTN"]
     return every.join(depth, ["range_id", "file", "seqnames", "pos"], "left").select("range_id", "file", "seqnames", "pos", *zero)
 
