@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.shared import numbered
+from strandflow.shared import numbered_within
 
 
 def order_columns(by: str = "coordinate", tag: str | None = None, then_name: bool = False, contig: tuple[str, ...] = ("rname",)) -> list[Column]:
@@ -41,11 +41,10 @@ def sort(alignments: DataFrame, by: str = "coordinate", tag: str | None = None,
 
 
 def place(alignments: DataFrame, name: str, within: str, by: str = "coordinate", tag: str | None = None, then_name: bool = False, contigs: DataFrame | None = None) -> DataFrame:
-    """The rows with their place in the order, from 1, among those of equal `within`: places in sorted partitions, less the first one's."""
+    """The rows with their place in the order, from 1, among those of equal `within`."""
     rows, keys = _keyed(alignments, by, tag, then_name, contigs)
-    placed = numbered(rows, "__at", F.col(within).asc_nulls_first(), *keys)
-    first = placed.groupBy(F.col(within).alias("__within")).agg(F.min("__at").alias("__first"))
-    return placed.join(first, F.col(within).eqNullSafe(F.col("__within"))).select(*alignments.columns, (F.col("__at") - F.col("__first") + 1).alias(name))
+    placed = numbered_within(rows, name, within, *keys)
+    return placed.select(*alignments.columns, (F.col(name) + 1).alias(name))
 
 
 def merge(files: dict[str, DataFrame], add_read_group: bool = False, region: Column | None = None, by: str = "coordinate", contigs: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,9 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Groups whose first places are broadcast, at most; beyond that a join by group.
+FIRST_BROADCAST = 100_000
+
 
 def folder(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; where it is unset, a folder of this machine if all of Spark runs here."""
@@ -48,5 +51,17 @@ def as_they_stand(rows: DataFrame, name: str) -> DataFrame:
     part = F.shiftright(at, 33).cast("int")
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
     sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    out = placed.withColumn("__part", part).join(sizes, "__part")
+    out = placed.withColumn("__part", part).join(F.broadcast(sizes), "__part")
     return out.select(*rows.columns, (F.col("__before") + at.bitwiseAND((1 << 33) - 1)).alias(name))
+
+
+def numbered_within(rows: DataFrame, name: str, within: str, *order: str | Column) -> DataFrame:
+    """The rows with their place, from 0, in the order among those of equal `within`: places in the whole order less the group's first.
+
+    The firsts of few groups are broadcast: a join by group would deal all rows of a group to one task.
+    """
+    placed = numbered(rows, "__at", F.col(within).asc_nulls_first(), *order)
+    first = cut(placed.groupBy(F.col(within).alias("__within")).agg(F.min("__at").alias("__first")))
+    few = first.count() <= FIRST_BROADCAST
+    met = placed.join(F.broadcast(first) if few else first, F.col(within).eqNullSafe(F.col("__within")))
+    return met.select(*rows.columns, (F.col("__at") - F.col("__first")).alias(name))

@@ -1,6 +1,8 @@
 """What must not go through one task, one group or the driver as tables grow."""
 
+from strandflow.operators import sorting
 from strandflow.plans import catalog
+from test_scale import reads
 
 DIR = "/root/testdata/sf0.001"
 
@@ -12,3 +14,10 @@ def _plan(df):
 def test_unfolded_positions_are_not_broadcast(spark):
     plan = _plan(catalog.queries()["multi_file_depth_zero_filled"](spark, DIR))
     assert "BroadcastNestedLoopJoin" in plan and "BroadcastNestedLoopJoin BuildLeft" not in plan
+
+
+def test_places_do_not_deal_a_group_to_one_task(spark):
+    rows = reads(spark, [("b", 5, "1M", "A"), ("a", 9, "1M", "A")], "f").unionByName(reads(spark, [("c", 7, "1M", "A")], "g"))
+    placed = sorting.place(rows, "place", "file")
+    assert "SortMergeJoin" not in _plan(placed) and "ShuffledHashJoin" not in _plan(placed)
+    assert {(r.file, r.qname, r.place) for r in placed.collect()} == {("f", "b", 1), ("f", "a", 2), ("g", "c", 1)}
