@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from strandflow.functions import cigar, flags, sequence
 from strandflow.operators.intervals import check_contigs, check_ranges, interval_join, unique_labels
-from strandflow.shared import cut, folder, numbered, remove
+from strandflow.shared import cut, folder, numbered, numbered_within, remove
 from strandflow.specs import ScanSpec
 
 
@@ -129,12 +131,62 @@ def apply_chunks(rows: DataFrame, n: int, fun, schema: str, *order: str | Column
 
 
 def apply_groups(rows: DataFrame, by: str, fun, schema: str, n: int = 100_000) -> DataFrame:
-    """`fun` of the rows of each value of `by`, say of each range's hits, at most n at a time, in order of all columns."""
+    """`fun` of the rows of each value of `by`, say of each range's hits, at most n at a time, in order of all columns.
+
+    Groups stand one after another in sorted partitions, from which a task cuts frame after frame: a small group costs
+    a call of `fun`, not an Arrow stream of its own.
+    """
     simple = [f.name for f in rows.schema if f.dataType.typeName() != "map"]
-    placed = numbered(rows, "__at", by, *[c for c in simple if c != by])
-    first = placed.groupBy(by).agg(F.min("__at").alias("__first"))
-    parts = placed.join(first, by).withColumn("__part", F.floor((F.col("__at") - F.col("__first")) / n))
-    return parts.groupBy(by, "__part").applyInPandas(lambda frame: fun(frame.sort_values("__at").drop(columns=["__at", "__first", "__part"])), schema)
+    placed = numbered_within(rows, "__at", by, *[c for c in simple if c != by]).withColumn("__part", F.floor(F.col("__at") / n))
+    dealt = placed.repartition(by, "__part").sortWithinPartitions(by, "__part", "__at")
+    out = to_arrow_schema(StructType.fromDDL(schema))
+    return dealt.mapInArrow(lambda batches: _frames(batches, fun, out), schema)
+
+
+def _frames(batches: Iterator, fun, out) -> Iterator:
+    """`fun` of each stretch of rows of one group and `__part`, as Arrow batches; a stretch may go on in the next batches."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    def results(table: pa.Table, edges: list[int]) -> Iterator[pa.RecordBatch]:
+        # a column of whole numbers with nulls is one of floats in pandas: each group is converted by itself then
+        whole = table.to_pandas(maps_as_pydicts="strict") if not any(c.null_count for c in table.columns) else None
+        made = [fun(whole.iloc[a:b].reset_index(drop=True) if whole is not None else table.slice(a, b - a).to_pandas()) for a, b in zip(edges, edges[1:], strict=False)]
+        if made:
+            frame = pd.concat(made, ignore_index=True) if len(made) > 1 else made[0]
+            yield from pa.Table.from_pandas(frame, schema=out, preserve_index=False).to_batches()
+
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        part = table.column("__part").to_numpy()
+        at = table.column("__at").to_numpy()
+        # places go on by one inside a group's stretch; the next stretch begins at 0 or in another part
+        same = (part[1:] == part[:-1]) & (at[1:] == at[:-1] + 1)
+        edges = [0, *(np.flatnonzero(~same) + 1).tolist()]
+        clean = table.drop_columns(["__part", "__at"])
+        first = (part[0], at[0])
+        if held and not (first[0] == last[0] and first[1] == last[1] + 1):
+            whole = pa.concat_tables(held)
+            yield from results(whole, [0, whole.num_rows])
+            held = []
+        last = (part[-1], at[-1])
+        if len(edges) == 1:
+            held.append(clean)
+            continue
+        if held:
+            whole = pa.concat_tables([*held, clean.slice(0, edges[1])])
+            yield from results(whole, [0, whole.num_rows])
+            edges = edges[1:]
+        yield from results(clean.slice(0, edges[-1]), edges)
+        held = [clean.slice(edges[-1])]
+    if held:
+        whole = pa.concat_tables(held)
+        yield from results(whole, [0, whole.num_rows])
 
 
 def where_frame(rows: DataFrame, *rules) -> DataFrame:

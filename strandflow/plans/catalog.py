@@ -524,8 +524,8 @@ def filter_rules(spark, d):
 
 
 def _span(frame):
-    """A caller's function of some rows: how many, from where to where."""
-    return frame.assign(n=1).groupby("range_id", as_index=False).agg(n=("n", "sum"), least=("pos", "min"), most=("pos", "max"))
+    """A caller's function of some of a range's rows: how many, from where to where."""
+    return frame[["range_id"]].head(1).assign(n=len(frame), least=frame["pos"].min(), most=frame["pos"].max())
 
 
 @_register(f"{WITH}, {PLACED}, {MET} SELECT range_id, count(*) AS n, min(pos) AS least, max(pos) AS most FROM met GROUP BY range_id")
@@ -538,7 +538,7 @@ def callback_by_range(spark, d):
 
 def _letters(frame):
     """A caller's function of some of a sample's records: how many letters they have."""
-    return frame.assign(n=1, letters=frame["seq"].str.len()).groupby("sample", as_index=False)[["n", "letters"]].sum()
+    return frame[["sample"]].head(1).assign(n=len(frame), letters=int(frame["seq"].str.len().sum()))
 
 
 @_register(f"{WITH}, {PLACED}, {MET} SELECT 's_' || file AS sample, count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS letters FROM met WHERE mapq >= 10 GROUP BY 1")

@@ -1,8 +1,9 @@
 """What must not go through one task, one group or the driver as tables grow."""
 
-from strandflow.operators import sorting
+from strandflow.operators import scan, sorting
+from strandflow.operators.views import Views
 from strandflow.plans import catalog
-from test_scale import reads
+from test_scale import RANGE, reads
 
 DIR = "/root/testdata/sf0.001"
 
@@ -21,3 +22,36 @@ def test_places_do_not_deal_a_group_to_one_task(spark):
     placed = sorting.place(rows, "place", "file")
     assert "SortMergeJoin" not in _plan(placed) and "ShuffledHashJoin" not in _plan(placed)
     assert {(r.file, r.qname, r.place) for r in placed.collect()} == {("f", "b", 1), ("f", "a", 2), ("g", "c", 1)}
+
+
+def test_callbacks_by_group_over_batches(spark):
+    """Groups, that of null too, are cut rightly where Arrow batches end inside them; whole numbers stay such beside a group with nulls."""
+    import pandas as pd
+
+    values = {None: [5, 6, 7], 1: [None, 2], 2: list(range(11)), 3: [4], 4: [8, 9]}
+    rows = spark.createDataFrame([(k, v) for k, own in values.items() for v in own], "g int, v int").repartition(3)
+
+    def fun(f):
+        return pd.DataFrame({"g": f["g"].iloc[:1], "v": [",".join(map(str, f["v"]))]})
+
+    for size in ("1", "3", "10000"):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {(r.g, r.v) for r in scan.apply_groups(rows, "g", fun, "g int, v string", n=4).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert got == {(None, "5,6,7"), (1, "nan,2.0"), (2, "0,1,2,3"), (2, "4,5,6,7"), (2, "8,9,10"), (3, "4"), (4, "8,9")}
+
+
+def test_views_do_not_deal_a_file_to_one_task(spark):
+    samples = spark.createDataFrame([("one", "f"), ("two", "g")], "sample string, file string").repartition(2)
+    rows = reads(spark, [("r1", 1, "3M", "ACG"), ("r2", 3, "3M", "ACG")], "f").repartition(2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        views = Views(rows, spark.createDataFrame([(1, "c", 1, 9)], RANGE), samples)
+        assert "hashpartitioning(file" not in _plan(views.scan())
+        assert {(r.range_id, r.qname) for r in views.scan().collect()} == {(1, "r1"), (1, "r2")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
