@@ -31,7 +31,8 @@ class Views:
         return self.ranges.count(), self.samples.count()
 
     def _rows(self) -> DataFrame:
-        return self.alignments.join(self.samples.select("file", "sample"), "file")
+        # a join by file would deal each file to one task
+        return self.alignments.join(F.broadcast(self.samples.select("file", "sample")), "file")
 
     def scan(self, spec: ScanSpec | None = None) -> DataFrame:
         """Records per range and sample."""
