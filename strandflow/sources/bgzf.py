@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from strandflow.operators.intervals import normalize
 from strandflow.schemas import ALIGNMENT
@@ -474,36 +474,63 @@ def chunk_records(path: str, chunks: list[tuple[int, int]], length_of) -> Iterat
 
 
 class _Slice(InputPartition):
-    """A stretch of the merged order: places (contig, position) from `low` on and before `high`; `rest` adds records without contig."""
+    """A stretch of the merged order: places (contig, position) from `low` on and before `high`, in chunks of those files that have any there.
 
-    def __init__(self, low: tuple[int, int], high: tuple[int, int], rest: bool):
-        self.low, self.high, self.rest = low, high, rest
+    `parts` lists (number of the file, path, contig, chunks).
+    """
+
+    def __init__(self, low: tuple[int, int], high: tuple[int, int], parts: list[tuple[int, str, int, list[tuple[int, int]]]]):
+        self.low, self.high, self.parts = low, high, parts
+
+
+class _Rest(_Range):
+    """A byte range of a file's records without contig, which begin at the virtual offset `first`."""
+
+    def __init__(self, path: str, start: int, end: int, first: int):
+        super().__init__(path, start, end)
+        self.first = first
 
 
 class BamMergeReader(DataSourceReader):
-    """Several coordinate-sorted files as one, in order: a heap merge of each file's records in every stretch of the order.
+    """Several coordinate-sorted files as one, in order: a heap merge of the files' records in every stretch of the order.
 
     Stretches are cut at windows of the files' linear indexes, so that each reads about `splitBytes` of all files; no row is
-    sorted or shuffled. Headers' contigs are put together by name in the order of the files, and `file` tells a row's file.
-    A record is in the stretch of its start. Rows of equal place come in the order of strand, then of the files.
+    sorted or shuffled. A stretch names the files and chunks that it reads, so that a task opens no other file. Headers' contigs
+    are put together by name in the order of the files, and `file` tells a row's file. A record is in the stretch of its start.
+    Rows of equal place come in the order of strand, then of the files; rows without contig come last, by byte ranges of each file.
     """
 
     def __init__(self, options):
-        self.files = [f for p in options["path"].split(",") if p for f, _ in files_of(p)]
+        self.files = [x for p in options["path"].split(",") if p for x in files_of(p)]
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
-        self.contigs = merged_contigs([read_header(f)[1] for f in self.files])
+        self.headers = [read_header(f) for f, _ in self.files]
+        self.contigs = merged_contigs([h[1] for h in self.headers])
+
+    def __getstate__(self):
+        return {"contigs": self.contigs}  # all that tasks need
 
     def partitions(self):
         rank = {n: i for i, (n, _) in enumerate(self.contigs)}
         read: dict[tuple[int, int], int] = {}  # bytes between one window and the next, of all files
-        for f in self.files:
-            index, names = read_index(f), [n for n, _ in read_header(f)[1]]
+        reach: list[tuple[tuple[int, int], tuple[int, int], int, int]] = []  # first and last window of a file's contig
+        rest, indexes = [], []
+        for k, (f, size) in enumerate(self.files):
+            index, (_, contigs, first, inside) = read_index(f), self.headers[k]
             if index is None:
                 raise ValueError(f"{f} has no index to be merged by")
+            indexes.append(index)
             for tid, windows in enumerate(index.windows):
-                for w, (a, b) in enumerate(zip(windows, [*windows[1:], *windows[-1:]], strict=True)):
-                    place = (rank[names[tid]], w << binning.WINDOW)
-                    read[place] = read.get(place, 0) + (b >> 16) - (a >> 16)
+                if not windows:
+                    continue
+                place = rank[contigs[tid][0]]
+                begin = bisect.bisect_right(windows, 0)  # windows before the first record have no offset
+                whole = index.bins[tid].get(binning.COUNTS_BIN) or [(0, windows[-1])]
+                for w, (a, b) in enumerate(zip(windows[begin:], [*windows[begin + 1 :], whole[0][1]]), begin):
+                    if b > a:
+                        read[place, w << binning.WINDOW] = read.get((place, w << binning.WINDOW), 0) + (b >> 16) - (a >> 16)
+                reach.append(((place, begin << binning.WINDOW), (place, len(windows) << binning.WINDOW), k, tid))
+            placed = index.end_of_placed() or first << 16 | inside
+            rest += [_Rest(f, a, a + self.split, placed) for a in range(placed >> 16, size, self.split)]
         cuts, held = [(0, 0)], 0
         for place in sorted(read):
             if held >= self.split:
@@ -511,32 +538,38 @@ class BamMergeReader(DataSourceReader):
                 held = 0
             held += read[place]
         ends = [*cuts[1:], (len(self.contigs), 0)]
-        return [*[_Slice(a, b, False) for a, b in zip(cuts, ends, strict=True)], _Slice((0, 0), (0, 0), True)]
+        parts: list[list] = [[] for _ in cuts]
+        for start, stop, k, tid in sorted(reach, key=lambda x: x[2:]):
+            for i in range(max(0, bisect.bisect_right(cuts, start) - 1), bisect.bisect_left(cuts, stop)):
+                low = cuts[i][1] if cuts[i][0] == start[0] else 0
+                high = ends[i][1] if ends[i][0] == start[0] else 1 << 29
+                chunks = binning.merged(indexes[k].chunks(tid, low, high))
+                if chunks:
+                    parts[i].append((k, self.files[k][0], tid, chunks))
+        return [*[_Slice(a, b, p) for a, b, p in zip(cuts, ends, parts, strict=True) if p], *rest]
 
     def read(self, partition):
+        if partition is None:  # no partition at all
+            return
+        if isinstance(partition, _Rest):
+            names = [n for n, _ in read_header(partition.path)[1]]
+            records = split_records(partition, partition.first >> 16, partition.first & 0xFFFF, _length, lambda data, i: _sound(data, i, len(names)))
+            yield from batches_of((*decode_record(r[4:], names), partition.path) for r in records)
+            return
         rank = {n: i for i, (n, _) in enumerate(self.contigs)}
-        streams = [self._stream(k, f, partition, rank) for k, f in enumerate(self.files)]
+        named = {path: [n for n, _ in read_header(path)[1]] for path in {p[1] for p in partition.parts}}
+        streams = [self._stream(*part, partition, named[part[1]], rank) for part in partition.parts]
         yield from batches_of((*decode_record(record[4:], names), file) for *_, file, names, record in heapq.merge(*streams, key=lambda x: x[:4]))
 
-    def _stream(self, k: int, path: str, part: _Slice, rank: dict[str, int]):
-        index, contigs = read_index(path), read_header(path)[1]
-        names = [n for n, _ in contigs]
-        if part.rest:
-            _, _, first, inside = read_header(path)
-            begin = index.end_of_placed() or first << 16 | inside
-            for r in chunk_records(path, [(begin, 1 << 62)], _length):
-                yield 0, 0, 0, k, path, names, r
-            return
-        for tid in sorted(range(len(names)), key=lambda t: rank[names[t]]):
-            place = rank[names[tid]]
-            if not part.low[0] <= place <= part.high[0] or not index.windows[tid]:
-                continue
-            low = part.low[1] if place == part.low[0] else 0
-            high = part.high[1] if place == part.high[0] else 1 << 29
-            for r in chunk_records(path, binning.merged(index.chunks(tid, low, high)), _length):
-                t, start, _, _ = spans_of(r)
-                if t == tid and low <= start < high:
-                    yield place, start, struct.unpack_from("<H", r, 18)[0] & 16, k, path, names, r
+    @staticmethod
+    def _stream(k: int, path: str, tid: int, chunks: list[tuple[int, int]], part: _Slice, names: list[str], rank: dict[str, int]):
+        place = rank[names[tid]]
+        low = part.low[1] if place == part.low[0] else 0
+        high = part.high[1] if place == part.high[0] else 1 << 29
+        for r in chunk_records(path, chunks, _length):
+            t, start, _, _ = spans_of(r)
+            if t == tid and low <= start < high:
+                yield place, start, struct.unpack_from("<H", r, 18)[0] & 16, k, path, names, r
 
 
 def merged_contigs(headers: list[list[tuple[str, int]]]) -> list[tuple[str, int]]:
@@ -567,6 +600,9 @@ class FolderWriter(DataSourceWriter):
     def encode(self, row) -> bytes:
         raise NotImplementedError
 
+    def rows(self, iterator) -> Iterator:
+        return iterator
+
     def _places(self) -> tuple:
         store, folder = locate(self.path)
         return store, folder, posixpath.join(folder, "_temporary", self.job)
@@ -579,7 +615,7 @@ class FolderWriter(DataSourceWriter):
         with store.open_output_stream(posixpath.join(held_in, name), compression=None) as f:
             held = [self.head()]
             size = len(held[0])
-            for row in iterator:
+            for row in self.rows(iterator):
                 held.append(self.encode(row))
                 size += len(held[-1])
                 if size > 1 << 22:
@@ -611,8 +647,8 @@ class FolderWriter(DataSourceWriter):
         self._end(store, folder)
 
 
-class BamWriter(FolderWriter):
-    """BAM files; `contigs` lists name:length pairs."""
+class BamWriter(FolderWriter, DataSourceArrowWriter):
+    """BAM files; `contigs` lists name:length pairs. Rows come as Arrow batches, not as a Row object each."""
 
     ending = ".bam"
 
@@ -624,8 +660,15 @@ class BamWriter(FolderWriter):
     def head(self):
         return encode_header("@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in self.contigs), self.contigs)
 
+    def rows(self, iterator):
+        for batch in iterator:
+            names = batch.schema.names
+            columns = [c.to_pylist() for c in batch.columns]
+            for values in zip(*columns, strict=True):
+                yield dict(zip(names, values, strict=True))
+
     def encode(self, row):
-        return encode_record(row.asDict(recursive=True), self.ids)
+        return encode_record(row | {"tags": dict(row["tags"] or ())}, self.ids)
 
 
 class BamSource(DataSource):

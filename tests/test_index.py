@@ -106,6 +106,17 @@ def test_heap_merge(spark, tmp_path, split):
     assert "Sort" not in plan and "Exchange" not in plan
 
 
+def test_heap_merge_opens_only_files_of_its_stretch(spark, tmp_path):
+    order = {c: i for i, (c, _) in enumerate(CONTIGS)}
+    rows = sorted(some_reads(1500, 3), key=lambda r: (r[2] is None, order.get(r[2], 0), r[3] or 0))
+    for k in range(6):  # files that follow each other in position
+        write(spark, rows[k * 263 : (k + 1) * 263], str(tmp_path / f"f{k}"))
+    reader = bgzf.BamMergeReader({"path": ",".join(str(tmp_path / f"f{k}") for k in range(6)), "splitBytes": "1000"})
+    slices = [p for p in reader.partitions() if isinstance(p, bgzf._Slice)]
+    assert len(slices) > 3 and sum(len({x[1] for x in p.parts}) for p in slices) < 3 * len(slices)
+    assert sorted(r for p in reader.partitions() for b in reader.read(p) for r in b.column(0).to_pylist()) == sorted(r[0] for r in rows)
+
+
 def test_merged_contigs():
     assert bgzf.merged_contigs([[("b", 2), ("a", 1)], [("a", 1), ("c", 3)]]) == [("b", 2), ("a", 1), ("c", 3)]
     with pytest.raises(ValueError, match="two lengths"):
