@@ -1,11 +1,8 @@
 """Pileup: counts of bases by position, strand, nucleotide and place in the read.
 
-A generator turns each read into its blocks, and each block into one row per covered position (or two
-where an insertion follows), all in built-in functions; only a position's own letter and quality go on,
-not the read's. Partial sums by (contig, position, ...) run before the first shuffle. The
-tests on positions and nucleotides look at coarser sums; instead of windows over three different
-keys, the counts of a position are gathered into one small array (its combinations of nucleotide,
-strand and bin are few) and tested there, so the whole operator has a single shuffle.
+Tasks unfold their reads by Arrow batch (operators/places.py) and add up equal bases; one shuffle deals packed
+tiles of positions, which are added up as they pass in order. The tests on positions and nucleotides look at
+coarser sums of the same cells there, so the whole operator has a single shuffle.
 
 Depth caps: reads are first counted by bins of positions. Where no bin has more reads than the cap, no
 position has. In the other bins reads are swept in order, once by each task over its own and once by bin
@@ -15,7 +12,6 @@ stretches where it counts, not once for each position.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions import cigar
+from strandflow.operators import places
 from strandflow.operators.intervals import check_ranges, interval_join, unique_labels
 from strandflow.operators.scan import predicate
 from strandflow.shared import cut, numbered
@@ -33,80 +30,21 @@ from strandflow.specs import MultiPileupSpec, PileupSpec, ScanSpec
 #: Unmapped, secondary, failed and duplicate reads never count.
 EXCLUDED = 4 + 256 + 512 + 1024
 #: Positions of a bin by which reads are counted before any is ranked.
-CAP_BIN = 1024
+CAP_BIN = places.TILE
 #: Deep bins that are broadcast, at most; of some 40 bytes each.
 DEEP_BROADCAST = 1_000_000
 #: Fixed nucleotide letters of a pileup.
 NUCLEOTIDES = "ACGTN=-+"
 
 
-def _bin(points: tuple[float, ...], place: Column) -> tuple[Column, Column]:
-    """Label of the half-open bin (a, b] that holds the place, and whether any does."""
-    show = lambda p: ("Inf" if p > 0 else "-Inf") if math.isinf(p) else str(int(p))
-    label, inside = F.lit(None).cast("string"), F.lit(False)
-    for a, b in zip(points, points[1:], strict=False):
-        test = F.lit(True)
-        if not math.isinf(a):
-            test = test & (place > int(a))
-        if not math.isinf(b):
-            test = test & (place <= int(b))
-        label = F.when(test, F.lit(f"({show(a)},{show(b)}]")).otherwise(label)
-        inside = inside | test
-    return label, inside
-
-
-def _events(reads: DataFrame, spec: PileupSpec) -> DataFrame:
-    """A row per read and covered position: pos, nucleotide, strand, bin."""
-    minus = F.col("flag").bitwiseAND(16) != 0
-    points = spec.left_bins or spec.query_bins
-    keep = [c for c in ("range_id", "range_label", "range_start", "range_end", "file") if c in reads.columns]
-    kinds = ["M", "=", "X", "D", *(["N"] if spec.include_insertions else [])]
-    names = [*keep, "seqnames", "strand", "n"]
-    rows = reads.select(*keep, F.col("rname").alias("seqnames"), F.when(minus, "-").otherwise("+").alias("strand"), F.length("seq").alias("n"), "seq", "qual", "pos", F.explode(cigar.blocks(F.col("cigar"))).alias("b"))
-    rows = rows.select(*names, "seq", "qual", (F.col("pos") + F.col("b.r")).alias("at"), F.col("b.q").alias("q"), F.col("b.op").alias("op"), F.col("b.len").alias("len"), F.col("b.ins").alias("ins"))
-    rows = rows.where(F.col("op").isin(*kinds) & (F.col("len") > 0))
-    if "range_start" in keep:
-        rows = rows.where((F.col("at") <= F.col("range_end")) & (F.col("at") + F.col("len") > F.col("range_start")))
-    # of a skip only the place before an insertion counts; a deletion has one quality, that of the next base
-    skip, gap = F.col("op") == "N", F.col("op").isin("D", "N")
-    rows = rows.where(~skip | F.col("ins"))
-    split = lambda c: F.split(F.substr(F.coalesce(c, F.lit("")), F.col("q") + 1, F.when(gap, 1).otherwise(F.col("len"))), "")
-    places = F.sequence(F.when(skip, F.col("len") - 1).otherwise(0), F.col("len") - 1)
-    letters = F.when(gap, F.array_repeat(F.lit("-"), F.col("len"))).otherwise(split("seq"))
-    quals = F.when(gap, F.array_repeat(F.substr("qual", F.col("q") + 1, F.lit(1)), F.col("len"))).otherwise(split("qual"))
-    rows = rows.select(*names, "at", "q", "op", "len", "ins", places.alias("i"), letters.alias("letter"), quals.alias("qual"))
-    z = lambda c: F.col(f"z.{c}")
-    rows = rows.select(*names, "at", "q", "op", "len", "ins", F.explode(F.arrays_zip("i", "letter", "qual")).alias("z")).where(z("i").isNotNull())
-    q = F.col("q") + F.when(gap, 0).otherwise(z("i"))
-    rows = rows.select(*names, (F.col("at") + z("i")).alias("pos"), q.alias("q"), "op", (F.col("ins") & (z("i") == F.col("len") - 1)).alias("ins"), z("letter").alias("letter"), z("qual").alias("qual"))
-    if "range_start" in keep:
-        rows = rows.where((F.col("pos") >= F.col("range_start")) & (F.col("pos") <= F.col("range_end")))
-    bin_label = F.lit(None).cast("string")
-    if points:
-        n, q = F.col("n"), F.col("q") + 1
-        forward, backward = q, -(n - q + 1)
-        if spec.query_bins:
-            minus_strand = F.col("strand") == "-"
-            forward, backward = F.when(minus_strand, n - q + 1).otherwise(q), F.when(minus_strand, -q).otherwise(-(n - q + 1))
-        bin_label, inside = _bin(tuple(points), forward if points[0] >= 0 else backward)
-        rows = rows.where(inside)
-    letter = F.col("letter")
-    good = (F.col("op") != "N") & (F.ascii("qual") - 33 >= spec.min_base_quality)
-    if not spec.include_deletions:
-        good = good & (F.col("op") != "D")
-    if spec.ignore_query_ns:
-        good = good & (letter != "N")
-    nucleotides = F.when(good, letter)
-    if spec.include_insertions:
-        nucleotides = F.explode(F.array_compact(F.array(F.when(F.col("ins"), F.lit("+")), nucleotides)))
-    out = rows.select(*[c for c in keep if c not in ("range_start", "range_end")], "seqnames", "pos", "strand", bin_label.alias("bin"), nucleotides.alias("nucleotide"))
-    return out.where(F.col("nucleotide").isNotNull() & (F.col("nucleotide") != ""))
+def counting(scan_spec: ScanSpec | None, min_mapq: int) -> Column:
+    """Whether a read counts at all."""
+    test = predicate(scan_spec or ScanSpec()) & (F.col("flag").bitwiseAND(EXCLUDED) == 0) & F.col("cigar").isNotNull() & F.col("pos").isNotNull()
+    return test & (F.col("mapq") >= min_mapq) if min_mapq else test
 
 
 def _reads(alignments: DataFrame, scan_spec: ScanSpec | None, min_mapq: int) -> DataFrame:
-    scan_spec = scan_spec or ScanSpec()
-    rows = alignments.where(predicate(scan_spec)).where((F.col("flag").bitwiseAND(EXCLUDED) == 0) & F.col("cigar").isNotNull() & F.col("pos").isNotNull())
-    return rows.where(F.col("mapq") >= min_mapq) if min_mapq else rows
+    return alignments.where(counting(scan_spec, min_mapq))
 
 
 def pileup(alignments: DataFrame, spec: PileupSpec | None = None, scan_spec: ScanSpec | None = None, ranges: DataFrame | None = None) -> DataFrame:
@@ -118,26 +56,29 @@ def pileup(alignments: DataFrame, spec: PileupSpec | None = None, scan_spec: Sca
     spec = spec or PileupSpec()
     reads = _reads(alignments, scan_spec, spec.min_mapq)
     labelled = unique_labels(check_ranges(ranges)) if ranges is not None else None
-    group = ["range_id", "range_label", "seqnames", "pos"] if ranges is not None else ["seqnames", "pos"]
-    name = "left_bin" if spec.left_bins else "query_bin"
-    dims = [*(["strand"] if spec.distinguish_strands else []), *(["nucleotide"] if spec.distinguish_nucleotides else []), *(["bin"] if spec.left_bins or spec.query_bins else [])]
-
-    def counted(rows: DataFrame, skip: tuple | None = None) -> DataFrame:
-        events = _outside(_events(rows, spec), skip)
-        if spec.min_nucleotide_depth <= 1 and spec.min_minor_allele_depth <= 0:
-            return events.groupBy(*group, *dims).agg(F.count("*").alias("count"))
-        counts = events.groupBy(*group, "nucleotide", "strand", "bin").agg(F.count("*").alias("n"))
-        return _test(counts, group, spec).groupBy(*group, *dims).agg(F.sum("n").cast("long").alias("count"))
-
-    out = _up_to(reads, labelled, spec.max_depth, [], counted).withColumnRenamed("bin", name)
-    return out.withColumnRenamed("range_label", "which_label")
-
-
-def _outside(events: DataFrame, skip: tuple | None) -> DataFrame:
-    """Events that lie in no bin of `skip`, a table and its keys, if given; it is broadcast where it is small, before any sum."""
-    if skip is None:
-        return events
-    return events.withColumn("__bin", (F.col("pos") / CAP_BIN).cast("long")).join(skip[0], skip[1], "left_anti").drop("__bin")
+    keys = ["range_id", "range_label", "seqnames"] if ranges is not None else ["seqnames"]
+    tested = spec.min_nucleotide_depth > 1 or spec.min_minor_allele_depth > 0
+    keep = spec.distinguish_strands, spec.distinguish_nucleotides or tested
+    binned = [("left_bin" if spec.left_bins else "query_bin")] if spec.left_bins or spec.query_bins else []
+    dims = [*(["strand"] if spec.distinguish_strands else []), *(["nucleotide"] if spec.distinguish_nucleotides else []), *binned]
+    columns = ", ".join([*(f"{c} string" for c in dims), "count long"])
+
+    def finish(spot: np.ndarray, letter: np.ndarray, strand: np.ndarray, bins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        at = _passing(spot, letter, n, spec) if tested else np.arange(len(spot))
+        if keep[1] and not spec.distinguish_nucleotides and len(at):
+            # letters are the lowest part of a cell, so those of one place, strand and bin stand together
+            same = (spot[at] * 2 + strand[at]) * (1 + int(bins.max(initial=0))) + bins[at]
+            new = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
+            at, n = at[new], np.add.reduceat(n[at], new)
+        else:
+            n = n[at]
+        out = {"strand": lambda: places.texts(strand[at], ["+", "-"]), "nucleotide": lambda: places.texts(letter[at])} | {b: lambda: places.texts(bins[at], places.bin_labels(spec)) for b in binned}
+        return at, {c: out[c]() for c in dims} | {"count": pa.array(n, pa.int64())}
+
+    def counted(rows: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+        return places.counted(rows, keys, spec, keep, finish, columns, skip, ["seqnames", "tile"])
+
+    return _up_to(reads, labelled, spec.max_depth, [], counted).withColumnRenamed("range_label", "which_label")
 
 
 def _up_to(reads: DataFrame, ranges: DataFrame | None, depth: int | None, by: list[str], counted) -> DataFrame:
@@ -151,8 +92,8 @@ def _up_to(reads: DataFrame, ranges: DataFrame | None, depth: int | None, by: li
     n_deep = deep.count()
     if not n_deep:
         return counted(whole)
-    known = deep.withColumnRenamed("rname", "seqnames")
-    skip = (F.broadcast(known) if n_deep <= DEEP_BROADCAST else known), [*by, "seqnames", "__bin"]
+    known = deep.select(*by, F.col("rname").alias("seqnames"), F.col("__bin").cast("int").alias("tile"))
+    skip = F.broadcast(known) if n_deep <= DEEP_BROADCAST else known
     held = [*dict.fromkeys([*by, "rname", "pos", "qname", "flag", "cigar", "seq", "qual"])]
     low, high = F.greatest(F.col("pos"), F.col("__bin") * CAP_BIN), F.least(stop, F.col("__bin") * CAP_BIN + (CAP_BIN - 1))
     covering = reads.select(*held, bins).join(F.broadcast(deep) if n_deep <= DEEP_BROADCAST else deep, [*by, "rname", "__bin"]).withColumn("__kept", F.array(F.struct(low.cast("int").alias("a"), high.cast("int").alias("b"))))
@@ -178,39 +119,65 @@ def _sweep(rows: DataFrame, by: list[str], depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, np.zeros(CAP_BIN, np.int64)
         for batch in batches:
-            at, kept = [], []
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in [*keys, "__kept"]]
-            for i, (*key, stretches) in enumerate(zip(*columns, strict=True)):
-                if key != last:
-                    last, seen = key, np.zeros(CAP_BIN, np.int64)
-                first, out = key[-1] * CAP_BIN, []
-                for s in stretches:
-                    a, b = s["a"] - first, s["b"] - first + 1
-                    free = np.concatenate([[False], seen[a:b] < depth, [False]])
-                    seen[a:b] += free[1:-1]
-                    edges = np.flatnonzero(free[1:] != free[:-1])
-                    out += [{"a": s["a"] + int(x), "b": s["a"] + int(y) - 1} for x, y in zip(edges[::2], edges[1::2], strict=True)]
-                if out:
-                    at.append(i)
-                    kept.append(out)
-            place = batch.schema.get_field_index("__kept")
-            yield batch.take(pa.array(at, pa.int32())).set_column(place, batch.schema.field(place), pa.array(kept, batch.schema.field(place).type))
+            if not batch.num_rows:
+                continue
+            spans = np.diff(batch.column("__kept").offsets.to_numpy()) * CAP_BIN  # at most
+            for a, b in places.portions(spans, places.PORTION):
+                part = batch.slice(a, b - a)
+                columns = [part.column(k) for k in keys]
+                code = places.codes_of(columns, len(part))
+                new = np.append(True, code[1:] != code[:-1])
+                edge = [tuple(c[i].as_py() for c in columns) for i in (0, len(part) - 1)]
+                if edge[0] != last:
+                    seen = np.zeros(CAP_BIN, np.int64)
+                at, kept, seen = _free(part, np.cumsum(new) - 1, seen, depth)
+                last = edge[1]
+                place = part.schema.get_field_index("__kept")
+                yield part.take(pa.array(at, pa.int32())).set_column(place, part.schema.field(place), kept.cast(part.schema.field(place).type))
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def _test(counts: DataFrame, group: list[str], spec: PileupSpec) -> DataFrame:
-    """Counts that pass the tests on positions and nucleotides."""
-    listed = counts.groupBy(*group).agg(F.collect_list(F.struct("nucleotide", "strand", "bin", "n")).alias("all"))
-    zero = F.lit(0).cast("long")
-    of = lambda x: F.aggregate(F.filter("all", lambda y: y["nucleotide"] == x), zero, lambda a, y: a + y["n"])
-    totals = F.transform(F.array_distinct(F.transform("all", lambda y: y["nucleotide"])), lambda x: F.struct(of(x).alias("n"), x.alias("nucleotide")))
-    listed = listed.withColumn("totals", totals)
-    if spec.min_minor_allele_depth > 0:
-        whole = F.aggregate("totals", zero, lambda a, t: a + t["n"])
-        listed = listed.where(whole - F.array_max("totals")["n"] >= spec.min_minor_allele_depth)
-    deep = F.transform(F.filter("totals", lambda t: t["n"] >= spec.min_nucleotide_depth), lambda t: t["nucleotide"])
-    return listed.withColumn("deep", deep).select(*group, F.inline(F.filter("all", lambda y: F.array_contains("deep", y["nucleotide"]))))
+def _free(part: pa.RecordBatch, group: np.ndarray, seen: np.ndarray, depth: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Rows of ordered reads that count somewhere, the stretches where they do, and the counts of the last group.
+
+    group numbers each row's bin; seen holds the counts of the first before these rows.
+    """
+    lists = part.column("__kept")
+    row = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
+    begin, end = (lists.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in "ab")
+    n = np.maximum(end - begin + 1, 0)
+    place = np.repeat(begin, n) + places.ramp(n)
+    first = part.column("__bin").to_numpy()[row].astype(np.int64) * CAP_BIN
+    spot = np.repeat(group[row], n) * CAP_BIN + place - np.repeat(first, n)
+    order = np.argsort(spot, kind="stable")
+    runs = np.diff(np.flatnonzero(np.append(np.append(True, spot[order][1:] != spot[order][:-1]), True))) if len(spot) else np.zeros(0, np.int64)
+    before = np.empty(len(spot), np.int64)
+    before[order] = places.ramp(runs)
+    here = spot < CAP_BIN  # of the first group
+    before[here] += seen[spot[here]]
+    free = before < depth
+    counts = np.bincount(spot[free & (spot >= group[-1] * CAP_BIN)] - group[-1] * CAP_BIN, minlength=CAP_BIN)
+    seen = counts + seen if group[-1] == 0 else counts
+    # stretches of free positions one after another within a stretch of the read
+    of = np.repeat(np.arange(len(row)), n)
+    joined = np.append(False, free[1:] & free[:-1] & (of[1:] == of[:-1])) if len(of) else np.zeros(0, bool)
+    starts = np.flatnonzero(free & ~joined)
+    ends = np.flatnonzero(free & ~np.append(joined[1:], False))
+    at, of_row = np.unique(row[of[starts]], return_counts=True)
+    stretches = pa.StructArray.from_arrays([pa.array(place[starts], pa.int32()), pa.array(place[ends], pa.int32())], ["a", "b"])
+    return at, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(of_row)), pa.int32()), stretches), seen
+
+
+def _passing(spot: np.ndarray, letter: np.ndarray, n: np.ndarray, spec: PileupSpec) -> np.ndarray:
+    """Indexes of the cells that pass the tests on positions and nucleotides; spots are in order."""
+    pair, of = np.unique((spot << 21) | letter, return_inverse=True)
+    by_letter = np.bincount(of, n, len(pair)).astype(np.int64)
+    new = np.append(True, (pair >> 21)[1:] != (pair >> 21)[:-1])[: len(pair)]
+    starts = np.flatnonzero(new)
+    minor = np.add.reduceat(by_letter, starts) - np.maximum.reduceat(by_letter, starts) if len(pair) else by_letter
+    passes = (by_letter >= spec.min_nucleotide_depth) & (minor >= spec.min_minor_allele_depth)[np.cumsum(new) - 1]
+    return np.flatnonzero(passes[of])
 
 
 def _file_reads(alignments: DataFrame, spec: MultiPileupSpec) -> DataFrame:
@@ -223,9 +190,17 @@ def multi_file_depth(alignments: DataFrame, ranges: DataFrame, spec: MultiPileup
     max_depth holds for each file.
     """
     spec = spec or MultiPileupSpec()
-    bases = [F.count_if(F.col("nucleotide") == b).alias(b) for b in "ACGT"] + [F.count_if(~F.col("nucleotide").isin(*"ACGT")).alias("N")]
     events = PileupSpec(min_base_quality=spec.min_base_quality, ignore_query_ns=False, include_deletions=False)
-    counted = lambda rows, skip=None: _outside(_events(rows, events), skip).groupBy("range_id", "file", "seqnames", "pos").agg(*bases)
+
+    def finish(spot: np.ndarray, letter: np.ndarray, strand: np.ndarray, bins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        new = np.append(True, spot[1:] != spot[:-1])
+        base = np.full(len(letter), 4)
+        for i, b in enumerate("ACGT"):
+            base[letter == ord(b)] = i
+        sums = np.bincount((np.cumsum(new) - 1) * 5 + base, n, 5 * int(new.sum())).astype(np.int64).reshape(-1, 5)
+        return np.flatnonzero(new), {b: pa.array(np.ascontiguousarray(sums[:, i])) for i, b in enumerate("ACGTN")}
+
+    counted = lambda rows, skip=None: places.counted(rows, ["range_id", "file", "seqnames"], events, (False, True), finish, "A long, C long, G long, T long, N long", skip, ["file", "seqnames", "tile"])
     depth = _up_to(_file_reads(alignments, spec), check_ranges(ranges), spec.max_depth, ["file"], counted)
     if spec.min_depth > 0:
         total = sum((F.col(b) for b in "CGTN"), F.col("A"))
@@ -248,7 +223,8 @@ def quality_depth(alignments: DataFrame, ranges: DataFrame, spec: MultiPileupSpe
     # the quality string stands in for the bases, so an event's letter is its quality
     reads = _file_reads(alignments, spec).withColumn("seq", F.col("qual"))
     events = PileupSpec(min_base_quality=spec.min_base_quality, ignore_query_ns=False, include_deletions=False)
-    counted = lambda rows, skip=None: _outside(_events(rows, events), skip).groupBy("range_id", "file", "seqnames", "pos", (F.ascii("nucleotide") - 33).alias("quality")).agg(F.count("*").alias("count"))
+    finish = lambda spot, letter, strand, bins, n: (np.arange(len(spot)), {"quality": pa.array(letter - 33, pa.int32()), "count": pa.array(n, pa.int64())})
+    counted = lambda rows, skip=None: places.counted(rows, ["range_id", "file", "seqnames"], events, (False, True), finish, "quality int, count long", skip, ["file", "seqnames", "tile"])
     return _up_to(reads, check_ranges(ranges), spec.max_depth, ["file"], counted)
 
 

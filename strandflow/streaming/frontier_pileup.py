@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from strandflow.operators.pileup import _events, _reads
+from strandflow.operators import places
+from strandflow.operators.pileup import _reads
 from strandflow.specs import PileupSpec, ScanSpec
 
 END_NAME = "__end__"
@@ -62,9 +63,8 @@ def stream_pileup(alignments: DataFrame, spec: PileupSpec | None = None, scan_sp
     """A streaming DataFrame of final positions (append mode) from a streaming DataFrame of alignments."""
     spec = spec or PileupSpec()
     reads = _reads(alignments, scan_spec, spec.min_mapq).where(F.col("qname") != END_NAME)
-    # the generator also gives each read's start, which moves the frontier even where no base counts
-    events = _events(reads.withColumn("file", F.col("pos").cast("string")), spec)
-    counted = events.select("seqnames", "pos", "strand", "nucleotide", F.col("file").cast("int").alias("read_start"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("ended"))
+    events = places.unfolded(reads.select(F.col("rname").alias("seqnames"), F.col("pos").alias("read_start"), "pos", "flag", "cigar", "seq", "qual"), ["seqnames", "read_start"], spec)
+    counted = events.select("seqnames", "pos", "strand", "nucleotide", "read_start", F.lit(1).cast("long").alias("n"), F.lit(False).alias("ended"))
     ends = alignments.where(F.col("qname") == END_NAME).select(F.col("rname").alias("seqnames"), *[F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("strand", "string"), ("nucleotide", "string"), ("read_start", "int"), ("n", "long"))], F.lit(True).alias("ended"))
     rows = counted.unionByName(ends)
     rows = rows.mapInArrow(_batch_sums, rows.schema)

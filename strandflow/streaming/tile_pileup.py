@@ -1,8 +1,8 @@
 """Pileup over a stream of coordinate-sorted alignments, with state by (contig, tile) and a watermark as the frontier.
 
 Contigs and positions are one line in the header's order; a read's start on it, in milliseconds, is its event
-time, so the watermark is the furthest start of all reads, less one. Tasks add up their own bases by Arrow
-batch. Each tile of TILE positions keeps the counts of its bases, as two short arrays, and a timer for its
+time, so the watermark is the furthest start of all reads, less one. Tasks unfold and add up their own reads by Arrow
+batch. Each tile of TILE positions keeps the counts of its bases, packed into bytes, and a timer for its
 last position: once the frontier has passed it, no read can reach the tile any more, it is emitted, and its
 state goes. So tiles of one contig are spread over tasks, and state follows the tiles that are open, not the
 stream. A record named END_NAME, after all others, moves the frontier behind the last contig and so flushes.
@@ -17,19 +17,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from strandflow.operators.pileup import NUCLEOTIDES, _events, _reads
+from strandflow.operators import places
+from strandflow.operators.pileup import counting
 from strandflow.schemas import MAX_COORDINATE
 from strandflow.specs import PileupSpec, ScanSpec
 from strandflow.streaming.chunks import END_NAME
 
-TILE = 1 << 12
+TILE = 1 << 14
 OUT = "seqnames string, pos int, strand string, nucleotide string, count long"
-_LETTERS = [(s, n) for s in "+-" for n in NUCLEOTIDES]
-_CODES = {x: i for i, x in enumerate(_LETTERS)}
 #: Keeps state on disk, as processors with timers need it.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -39,48 +39,47 @@ class TileCounts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "at array<int>, n array<long>")
+        self.held = handle.getValueState("held", "cells binary, n binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frames = [f for f in rows if len(f)]
         if frames and key[1] >= 0:
-            at = [np.asarray(f["at"], np.int64) for f in frames]
-            n = [np.asarray(f["n"], np.int64) for f in frames]
+            parts = [(c, n) for f in frames for c, n in zip(f["cells"], f["n"], strict=True)]
             if self.held.exists():
-                known = self.held.get()
-                at.append(np.asarray(known[0], np.int64))
-                n.append(np.asarray(known[1], np.int64))
-            places, group = np.unique(np.concatenate(at), return_inverse=True)
-            sums = np.bincount(group, np.concatenate(n)).astype(np.int64)
-            self.held.update(([int(x) for x in places], [int(x) for x in sums]))
+                parts.append(tuple(self.held.get()))
+            cells, n = (np.concatenate([np.frombuffer(x, np.int64) for x in column]) for column in zip(*parts, strict=True))
+            known, group = np.unique(cells, return_inverse=True)
+            self.held.update((known.tobytes(), np.bincount(group, n, len(known)).astype(np.int64).tobytes()))
             self.handle.registerTimer(int(frames[0]["last"].iloc[0]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, n = self.held.get() if self.held.exists() else ([], [])
+        cells, n = (np.frombuffer(x, np.int64) for x in (self.held.get() if self.held.exists() else (b"", b"")))
         self.held.clear()
-        letters = [_LETTERS[a % len(_LETTERS)] for a in at]
-        text = lambda values: pd.Series(values, dtype=object)
-        yield pd.DataFrame({"seqnames": text([key[0]] * len(at)), "pos": np.array([key[1] * TILE + a // len(_LETTERS) for a in at], np.int32), "strand": text([s for s, _ in letters]), "nucleotide": text([x for _, x in letters]), "count": np.array(n, np.int64)})
+        place, _, strand, letter = places.parted(cells)
+        yield pd.DataFrame({"seqnames": pd.Series([key[0]] * len(n), dtype=object), "pos": (key[1] * TILE + place).astype(np.int32), "strand": places.texts(strand, ["+", "-"]).to_pandas(), "nucleotide": places.texts(letter).to_pandas(), "count": n})
 
     def close(self) -> None:
         pass
 
 
-_ROWS = "seqnames string, tile int, last long, at int, n long"
+_ROWS = "seqnames string, tile int, last long, cells binary, n binary"
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch's equal bases added up: rows of _ROWS."""
-    for b in batches:
-        keys = ["seqnames", "rank", "pos", "strand", "nucleotide"]
-        sums = pa.table(b).append_column("n", pa.array(np.ones(b.num_rows, np.int64))).group_by(keys).aggregate([("n", "sum")])
-        pos = sums.column("pos").to_numpy()
-        tile = np.where(pos >= 0, pos // TILE, -1)
-        code = np.array([_CODES.get(x, 0) for x in zip(sums.column("strand").to_pylist(), sums.column("nucleotide").to_pylist(), strict=True)], np.int64)
-        last = sums.column("rank").to_numpy() * MAX_COORDINATE + tile * TILE + TILE - 1
-        columns = [sums.column("seqnames").combine_chunks(), pa.array(tile, pa.int32()), pa.array(last, pa.int64()), pa.array(pos % TILE * len(_LETTERS) + code, pa.int32()), sums.column("n_sum").combine_chunks().cast(pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ROWS.split(", ")])
+def _tiles(spec: PileupSpec):
+    """A function of batches of reads, and of the record of the end, that gives rows of _ROWS."""
+    pack = places.packer(["seqnames", "rank"], spec, width=TILE)
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if pa.compute.any(b.column("ended")).as_py():
+                yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([b""]), pa.array([b""])], names=names)
+            for rows in pack(iter([b.filter(pa.compute.invert(b.column("ended")))])):
+                last = rows.column("rank").to_numpy() * MAX_COORDINATE + (rows.column("tile").to_numpy().astype(np.int64) + 1) * TILE - 1
+                yield pa.RecordBatch.from_arrays([rows.column("seqnames"), rows.column("tile"), pa.array(last), rows.column("cells"), rows.column("n")], names=names)
+
+    return run
 
 
 def tile_pileup(alignments: DataFrame, contigs: DataFrame, spec: PileupSpec | None = None, scan_spec: ScanSpec | None = None) -> DataFrame:
@@ -93,13 +92,9 @@ def tile_pileup(alignments: DataFrame, contigs: DataFrame, spec: PileupSpec | No
     ended = F.col("qname") == END_NAME
     unknown = F.raise_error(F.concat(F.lit("the header has no contig "), "rname")).cast("long")
     reads = alignments.where(ended | F.col("rname").isNotNull()).join(ranks, "rname", "left").withColumn("rank", F.when(ended, 1 << 20).otherwise(F.coalesce("rank", unknown)))
-    # event times reach the counts in the column that a pileup leaves as it is
-    timed = reads.withColumn("file", F.timestamp_millis(F.col("rank") * MAX_COORDINATE + F.coalesce("pos", F.lit(0)))).withWatermark("file", "1 millisecond")
-    counted = _events(_reads(timed.where(~ended), scan_spec, spec.min_mapq), spec)
-    rank = F.floor(F.unix_millis("file") / MAX_COORDINATE).cast("long")
-    rows = counted.select("seqnames", rank.alias("rank"), "pos", "strand", "nucleotide")
-    ends = timed.where(ended).select(F.lit("").alias("seqnames"), F.unix_millis("file").alias("rank"), F.lit(-1).alias("pos"), F.lit("+").alias("strand"), F.lit("N").alias("nucleotide"))
-    sums = rows.unionByName(ends).mapInArrow(_sums, _ROWS)
+    timed = reads.withColumn("__at", F.timestamp_millis(F.col("rank") * MAX_COORDINATE + F.coalesce("pos", F.lit(0)))).withWatermark("__at", "1 millisecond")
+    rows = timed.where(ended | counting(scan_spec, spec.min_mapq)).select(F.col("rname").alias("seqnames"), "rank", "pos", "flag", "cigar", "seq", "qual", ended.alias("ended"))
+    sums = rows.mapInArrow(_tiles(spec), _ROWS)
     return sums.groupBy("seqnames", "tile").transformWithStateInPandas(TileCounts(), OUT, "append", "eventTime")
 
 
