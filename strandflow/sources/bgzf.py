@@ -29,18 +29,16 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from strandflow.operators.intervals import normalize
 from strandflow.schemas import ALIGNMENT
+from strandflow.shared import settings
 from strandflow.sources import binning
 
-SEQ_CODES, CIGAR_CODES = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+CIGAR_CODES = "MIDNSHP=X"
 EOF_MEMBER = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-_NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 SPLIT_BYTES = 32 << 20
-#: The two letters of a byte of sequence, and the other way round; quality scores and their characters.
-_PAIRS = [a + b for a in SEQ_CODES for b in SEQ_CODES]
-_NIBBLES = bytes(SEQ_CODES.index(chr(c)) if chr(c) in SEQ_CODES else 15 for c in range(256))
-_SCORES, _OFFSETS = (bytes((c + k) % 256 for c in range(256)) for k in (33, -33))
-#: Records of an Arrow batch.
-BATCH = 5000
+#: Records of an Arrow batch, and about their bytes, at most.
+BATCH, BATCH_BYTES = 5000, 4 << 20
+#: Rows of an Arrow batch that Spark sends to the writer.
+WRITE_BATCH = 250
 
 
 def compress(data: bytes) -> bytes:
@@ -58,93 +56,30 @@ def decompress(data: bytes) -> bytes:
     return gzip.decompress(data)
 
 
-def _tags(data: bytes) -> dict:
-    out, i = {}, 0
-    while i + 3 <= len(data):
-        key, kind = data[i : i + 2].decode(), chr(data[i + 2])
-        i += 3
-        value = {"type": kind, "i": None, "d": None, "s": None, "ai": None, "ad": None}
-        if kind == "A":
-            value["s"], i = chr(data[i]), i + 1
-        elif kind in "ZH":
-            end = data.index(0, i)
-            value["s"], i = data[i:end].decode(), end + 1
-        elif kind == "B":
-            sub, n = chr(data[i]), struct.unpack_from("<I", data, i + 1)[0]
-            form = f"<{n}{_NUMBERS[sub]}"
-            value["ad" if sub == "f" else "ai"] = list(struct.unpack_from(form, data, i + 5))
-            i += 5 + struct.calcsize(form)
-        else:
-            form = "<d" if kind == "d" else "<" + _NUMBERS[kind]
-            number = struct.unpack_from(form, data, i)[0]
-            value["d" if kind in "fd" else "i"] = number
-            value["type"] = kind if kind in "fd" else "i"
-            i += struct.calcsize(form)
-        out[key] = value
-    return out
-
-
-def decode_record(data: bytes, names: list[str]) -> tuple:
-    """One record, without its size, as a row of the alignment schema."""
-    tid, pos, l_name, mapq, _, n_cigar, flag, l_seq, mtid, mpos, isize = struct.unpack_from("<iiBBHHHiiii", data)
-    at = 32
-    qname = data[at : at + l_name - 1].decode()
-    at += l_name
-    packed = struct.unpack_from(f"<{n_cigar}I", data, at)
-    cigar = "".join(f"{c >> 4}{CIGAR_CODES[c & 15]}" for c in packed) or None
-    at += 4 * n_cigar
-    seq = "".join(map(_PAIRS.__getitem__, data[at : at + (l_seq + 1) // 2]))[:l_seq] or None
-    at += (l_seq + 1) // 2
-    raw = data[at : at + l_seq]
-    qual = raw.translate(_SCORES).decode("latin-1") if l_seq and raw[0] != 255 else None
-    name = lambda i: names[i] if i >= 0 else None
-    place = lambda p: p + 1 if p >= 0 else None
-    return qname, flag, name(tid), place(pos), mapq, cigar, name(mtid), place(mpos), isize, seq, qual, _tags(data[at + l_seq :])
-
-
-def batches_of(rows: Iterator[tuple]) -> Iterator:
-    """Decoded records, of ALIGNMENT's columns and maybe their file, as Arrow batches."""
-    import pyarrow as pa  # in tasks only
-
-    text, number = pa.string(), pa.int32()
-    tag = pa.struct([("type", text), ("i", pa.int64()), ("d", pa.float64()), ("s", text), ("ai", pa.list_(pa.int64())), ("ad", pa.list_(pa.float64()))])
-    kinds = [text, number, text, number, number, text, text, number, number, text, text, pa.map_(text, tag), text]
-    names = [c.split(" ")[0] for c in ALIGNMENT.split(", ")] + ["file"]
-    while held := list(itertools.islice(rows, BATCH)):
-        columns = list(zip(*held, strict=True))
-        columns[11] = [list(t.items()) for t in columns[11]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names[: len(columns)])
-
-
-def encode_record(row, ids: dict[str, int]) -> bytes:
-    name = row["qname"].encode() + b"\0"
-    ops, n = [], ""
-    for c in row["cigar"] or "":
-        if c.isdigit():
-            n += c
-        else:
-            ops.append(int(n) << 4 | CIGAR_CODES.index(c))
-            n = ""
-    width = sum(c >> 4 for c in ops if CIGAR_CODES[c & 15] in "MDN=X") or 1
-    seq = row["seq"] or ""
-    codes = seq.upper().encode("latin-1", "replace").translate(_NIBBLES) + b"\0" * (len(seq) & 1)
-    qual = row["qual"].encode("latin-1").translate(_OFFSETS) if row["qual"] else b"\xff" * len(seq)
-    tags = b""
-    for key, v in sorted((row["tags"] or {}).items()):
-        tags += key.encode()
-        if v["ai"] is not None or v["ad"] is not None:
-            sub, values = ("f", v["ad"]) if v["ad"] is not None else ("i", v["ai"])
-            tags += b"B" + sub.encode() + struct.pack(f"<I{len(values)}{sub}", len(values), *values)
-        elif v["i"] is not None:
-            tags += b"i" + struct.pack("<i", v["i"])
-        elif v["d"] is not None:
-            tags += v["type"].encode() + struct.pack("<" + v["type"], v["d"])
-        else:
-            tags += v["type"].encode() + v["s"].encode() + (b"" if v["type"] == "A" else b"\0")
-    pos = (row["pos"] or 0) - 1
-    body = struct.pack("<iiBBHHHiiii", ids.get(row["rname"], -1), pos, len(name), row["mapq"] or 0, binning.bin_of(pos, pos + width) & 0xFFFF, len(ops), row["flag"], len(seq), ids.get(row["mrnm"], -1), (row["mpos"] or 0) - 1, row["isize"] or 0)
-    body += name + struct.pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + qual + tags
-    return struct.pack("<i", len(body)) + body
+def batches_of(records: Iterator[bytes], names: list[str]) -> Iterator:
+    """Records, each with its size before it, as Arrow batches of ALIGNMENT's columns."""
+    return batches_from(((r, 0, None) for r in records), names)
+
+
+def batches_from(records: Iterator[tuple[bytes, int, str | None]], names: list[str]) -> Iterator:
+    """Arrow batches of records, each with the place in `names` where its file's contigs begin, and the file, a further column if given."""
+    import numpy as np  # in tasks only
+    import pyarrow as pa
+
+    from strandflow.sources import bamcodec
+
+    columns = [c.split(" ")[0] for c in ALIGNMENT.split(", ")] + ["file"]
+    held, size = [], 0
+    for record in itertools.chain(records, (None,)):
+        if held and (record is None or len(held) == BATCH or size > BATCH_BYTES):
+            arrays = bamcodec.decode([r for r, _, _ in held], names, np.array([k for _, k, _ in held]))
+            if held[0][2] is not None:
+                arrays.append(pa.array([f for _, _, f in held], pa.string()))
+            yield pa.RecordBatch.from_arrays(arrays, names=columns[: len(arrays)])
+            held, size = [], 0
+        if record is not None:
+            held.append(record)
+            size += len(record[0])
 
 
 def encode_header(text: str, contigs: list[tuple[str, int]]) -> bytes:
@@ -444,7 +379,7 @@ class BamReader(SplitReader):
             records = chunk_records(partition.path, partition.chunks, _length)
         else:
             records = split_records(partition, first, inside, _length, lambda data, i: _sound(data, i, len(names)))
-        yield from batches_of(decode_record(r[4:], names) for r in records if wanted.all or wanted.test(*spans_of(r)[:3]))
+        yield from batches_of((r for r in records if wanted.all or wanted.test(*spans_of(r)[:3])), names)
 
 
 class Overlaps:
@@ -554,12 +489,16 @@ class BamMergeReader(DataSourceReader):
         if isinstance(partition, _Rest):
             names = [n for n, _ in read_header(partition.path)[1]]
             records = split_records(partition, partition.first >> 16, partition.first & 0xFFFF, _length, lambda data, i: _sound(data, i, len(names)))
-            yield from batches_of((*decode_record(r[4:], names), partition.path) for r in records)
+            yield from batches_from(((r, 0, partition.path) for r in records), names)
             return
         rank = {n: i for i, (n, _) in enumerate(self.contigs)}
         named = {path: [n for n, _ in read_header(path)[1]] for path in {p[1] for p in partition.parts}}
         streams = [self._stream(*part, partition, named[part[1]], rank) for part in partition.parts]
-        yield from batches_of((*decode_record(record[4:], names), file) for *_, file, names, record in heapq.merge(*streams, key=lambda x: x[:4]))
+        every, base = [], {}
+        for path, names in named.items():
+            base[path] = len(every)
+            every += names
+        yield from batches_from(((record, base[file], file) for *_, file, record in heapq.merge(*streams, key=lambda x: x[:4])), every)
 
     @staticmethod
     def _stream(k: int, path: str, tid: int, chunks: list[tuple[int, int]], part: _Slice, names: list[str], rank: dict[str, int]):
@@ -569,7 +508,7 @@ class BamMergeReader(DataSourceReader):
         for r in chunk_records(path, chunks, _length):
             t, start, _, _ = spans_of(r)
             if t == tid and low <= start < high:
-                yield place, start, struct.unpack_from("<H", r, 18)[0] & 16, k, path, names, r
+                yield place, start, struct.unpack_from("<H", r, 18)[0] & 16, k, path, r
 
 
 def merged_contigs(headers: list[list[tuple[str, int]]]) -> list[tuple[str, int]]:
@@ -661,14 +600,18 @@ class BamWriter(FolderWriter, DataSourceArrowWriter):
         return encode_header("@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in self.contigs), self.contigs)
 
     def rows(self, iterator):
+        import pyarrow.compute as pc  # in tasks only
+
+        from strandflow.operators.places import portions
+
         for batch in iterator:
-            names = batch.schema.names
-            columns = [c.to_pylist() for c in batch.columns]
-            for values in zip(*columns, strict=True):
-                yield dict(zip(names, values, strict=True))
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("seq"))), 0).to_numpy(zero_copy_only=False) + 64
+            yield from (batch.slice(a, b - a) for a, b in portions(sizes, BATCH_BYTES))
 
-    def encode(self, row):
-        return encode_record(row | {"tags": dict(row["tags"] or ())}, self.ids)
+    def encode(self, batch):
+        from strandflow.sources import bamcodec
+
+        return bamcodec.encode(batch, list(self.ids))
 
 
 class BamSource(DataSource):
@@ -707,6 +650,15 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BamMergeSource)
 
 
+def write(rows: DataFrame, folder: str, contigs: str) -> None:
+    """Append BAM files of the rows to a folder; `contigs` lists name:length pairs.
+
+    Spark 4.1 asks for the size of an Arrow batch at each row, which for maps takes as long as the batch is: batches are kept short.
+    """
+    with settings(rows.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(WRITE_BATCH)}):
+        rows.write.format("bam").mode("append").option("contigs", contigs).save(folder)
+
+
 def read_ranges(spark: SparkSession, path: str, ranges: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
     """The alignments that overlap any of the ranges, through the files' indexes.
 

@@ -21,8 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StreamingQuery
 
 from strandflow.schemas import ALIGNMENT
-from strandflow.sources import binning
-from strandflow.sources.bgzf import SPLIT_BYTES, Overlaps, _length, _open, _sound, chunk_records, decode_record, files_of, locate, located_records, read_header, read_index, spans_of, write_file
+from strandflow.sources import bamcodec, binning
+from strandflow.sources.bgzf import SPLIT_BYTES, Overlaps, _length, _open, _sound, batches_of, chunk_records, files_of, locate, located_records, read_header, read_index, spans_of, write_file
 
 END_NAME = "__end__"
 
@@ -114,17 +114,32 @@ class ChunkReader(DataSourceStreamReader):
             write_file(self.planned, json.dumps(end["unit"]).encode())
         return [_Unit(u) for u in self.units[start["unit"] : end["unit"]]]
 
-    def read(self, partition):
+    def batches(self, partition) -> Iterator[pa.RecordBatch]:
         if partition.unit.get("end"):
-            yield (END_NAME, 0, *[None] * 10)
+            row = {"qname": [END_NAME], "flag": pa.array([0], pa.int32())}
+            batch = pa.table(row)
+            for name, kind in bamcodec.SCHEMA:
+                if name not in row:
+                    batch = batch.append_column(name, pa.nulls(1, kind))
+            yield from batch.to_batches()
             return
         asked = partition.unit.get("range")
         for file, first, last in partition.unit["pieces"]:
             names = [n for n, _ in read_header(file)[1]]
             wanted = Overlaps([(names.index(asked[0]), asked[1] - 1, asked[2])] if asked else None)
-            for record in chunk_records(file, [(first, last)], _length):
-                if wanted.all or wanted.test(*spans_of(record)[:3]):
-                    yield decode_record(record[4:], names)
+            records = chunk_records(file, [(first, last)], _length)
+            yield from batches_of((r for r in records if wanted.all or wanted.test(*spans_of(r)[:3])), names)
+
+    def read(self, partition):
+        for batch in self.batches(partition):
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+class ChunkBatchReader(ChunkReader):
+    """The same in Arrow batches, as Spark takes them without a Python object for each record."""
+
+    def read(self, partition):
+        return self.batches(partition)
 
 
 class ChunkSource(DataSource):
@@ -138,7 +153,7 @@ class ChunkSource(DataSource):
         return ALIGNMENT
 
     def streamReader(self, schema):
-        return ChunkReader(self.options)
+        return ChunkBatchReader(self.options)
 
 
 def register(spark: SparkSession) -> None:
