@@ -273,15 +273,19 @@ def pileup_streamed(spark, d):
     chunks.register(spark)
     top = f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
     _written(spark, d, tv.alignments(spark, d), f"{top}/bam")
-    listed = chunks.record_units(spark, f"{top}/bam", 20_000)
-    units = chunks.save_units(listed, f"{top}/units.json")
-    # a batch costs a fixed time for each of its state stores, so there are few of both however many the records are
-    step, stores = max(8, -(-len(listed) // 16)), min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    with shared.settings(spark, dict([tile_pileup.PROVIDER, ("spark.sql.shuffle.partitions", str(stores))])):
-        stream = spark.readStream.format("bam_chunks").option("end", "true").option("unitsPerBatch", str(step)).load(units)
+    units = chunks.save_units(chunks.record_units(spark, f"{top}/bam", 20_000), f"{top}/units.json")
+    before = spark.conf.get(tile_pileup.PROVIDER[0], None)
+    tile_pileup.keep_state_on_disk(spark)
+    try:
+        stream = spark.readStream.format("bam_chunks").option("end", "true").option("unitsPerBatch", "8").load(units)
         counted = tile_pileup.tile_pileup(stream, tv.contigs(spark, d), PileupSpec(max_depth=None))
         chunks.finish(counted.writeStream.format("parquet").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").start(f"{top}/out"))
         return _kept(spark, spark.read.schema(tile_pileup.OUT).parquet(f"{top}/out"), top)
+    finally:
+        if before is None:
+            spark.conf.unset(tile_pileup.PROVIDER[0])
+        else:
+            spark.conf.set(tile_pileup.PROVIDER[0], before)
 
 
 #: The same, of the first reads at each position only.

@@ -132,14 +132,8 @@ class ChunkReader(DataSourceStreamReader):
 
     def read(self, partition):
         for batch in self.batches(partition):
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-
-class ChunkBatchReader(ChunkReader):
-    """The same in Arrow batches, as Spark takes them without a Python object for each record."""
-
-    def read(self, partition):
-        return self.batches(partition)
+            for *row, tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield (*row, dict(tags or ()))
 
 
 class ChunkSource(DataSource):
@@ -153,7 +147,7 @@ class ChunkSource(DataSource):
         return ALIGNMENT
 
     def streamReader(self, schema):
-        return ChunkBatchReader(self.options)
+        return ChunkReader(self.options)
 
 
 def register(spark: SparkSession) -> None:
