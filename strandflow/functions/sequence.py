@@ -59,10 +59,21 @@ def circular(pos: Column, length: Column) -> Column:
 
 
 def first_entries(keys: Column, values: Column) -> Column:
-    """A map of keys to values; of a repeated key the first value counts."""
-    rows = F.filter(F.arrays_zip(keys.alias("key"), values.alias("value")), lambda e: e["key"].isNotNull())
-    pairs = F.transform(rows, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("i")))
-    return F.map_from_entries(F.transform(F.filter(pairs, lambda e: F.array_position(keys, e["key"]) == e["i"] + 1), lambda e: F.struct(e["key"], e["value"])))
+    """A map of keys to values; of a repeated key the first value counts, null is no key."""
+    return first_of_keys(F.filter(F.arrays_zip(keys.alias("key"), values.alias("value")), lambda e: e["key"].isNotNull()))
+
+
+def first_of_keys(entries: Column) -> Column:
+    """A map of entries (structs of `key`, not null, and `value`); of a repeated key the first entry counts.
+
+    What stands in a lambda is worked out anew for every element, so the entries and their keys are bound to variables.
+    """
+
+    def first(e: Column) -> Column:
+        again = F.transform(F.array(e["key"]), lambda keys: F.filter(e, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
+        return F.when(F.size(F.array_distinct(e["key"])) == F.size(e), e).otherwise(F.get(again, F.lit(0)))
+
+    return F.map_from_entries(F.get(F.transform(F.array(entries), first), F.lit(0)))
 
 
 def in_alphabet(seq: Column, alphabet: str) -> Column:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.functions.sequence import first_entries
+from strandflow.functions.sequence import first_of_keys
 from strandflow.schemas import TAG
 
 
 def _tags(fields: Column) -> Column:
-    def one(x: Column) -> Column:
-        p = F.split(x, ":", 3)
+    def one(p: Column) -> Column:
         kind, v = p[1], p[2]
         numbers = F.slice(F.split(v, ","), 2, 1 << 20)
         fractional = (kind == "B") & v.startswith("f")
@@ -23,20 +22,23 @@ def _tags(fields: Column) -> Column:
             ).cast(TAG).alias("value"),
         )
 
-    return first_entries(F.transform(fields, lambda x: F.split(x, ":", 3)[0]), F.transform(fields, lambda x: one(x)["value"]))
+    return first_of_keys(F.transform(F.transform(fields, lambda x: F.split(x, ":", 3)), one))
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """Alignments of SAM lines (column `line`), with the lines' other columns; '*', and 0 for a position, become null."""
-    p = F.split("line", "\t")
+    p = F.col("__fields")
     at = lambda i: F.get(p, F.lit(i))
     star = lambda c: F.when(c != "*", c)
     place = lambda c: F.when(c != "0", c.cast("int"))
-    rows = lines.where(~F.col("line").startswith("@") & (F.col("line") != ""))
+    others = [c for c in lines.columns if c != "line"]
+    # A filter would be pushed below the lines and make each of them again; a generator drops the others' rows where it stands.
+    record = ~F.col("line").startswith("@") & (F.col("line") != "")
+    rows = lines.select(*others, F.explode(F.when(record, F.array(F.split("line", "\t")))).alias("__fields"))
     return rows.select(
         at(0).alias("qname"), at(1).cast("int").alias("flag"), star(at(2)).alias("rname"), place(at(3)).alias("pos"), at(4).cast("int").alias("mapq"), star(at(5)).alias("cigar"),
         F.when(at(6) == "=", star(at(2))).otherwise(star(at(6))).alias("mrnm"), place(at(7)).alias("mpos"), at(8).cast("int").alias("isize"), star(at(9)).alias("seq"), star(at(10)).alias("qual"),
-        _tags(F.slice(p, 12, 1 << 20)).alias("tags"), *[c for c in lines.columns if c != "line"],
+        _tags(F.slice(p, 12, 1 << 20)).alias("tags"), *others,
     )
 
 
@@ -67,7 +69,7 @@ def to_lines(alignments: DataFrame) -> DataFrame:
         text = F.coalesce(v["s"], v["i"].cast("string"), v["d"].cast("string"), F.concat(F.lit("i,"), F.array_join(v["ai"], ",")), F.concat(F.lit("f,"), F.array_join(v["ad"], ",")))
         return F.concat_ws(":", e["key"], v["type"], text)
 
-    tags = F.transform(F.array_sort(F.map_entries(F.col("tags")), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), tag)
+    tags = F.transform(F.sort_array(F.map_entries("tags")), tag)
     mate = F.when(F.col("mrnm") == F.col("rname"), "=").otherwise(star("mrnm"))
     columns = [star("qname"), number("flag"), star("rname"), number("pos"), number("mapq"), star("cigar"), mate, number("mpos"), number("isize"), star("seq"), star("qual")]
     return alignments.select(F.concat_ws("\t", *columns, F.coalesce(tags, F.array().cast("array<string>"))).alias("line"))

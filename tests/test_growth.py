@@ -1,8 +1,12 @@
 """What must not go through one task, one group or the driver as tables grow."""
 
+from pyspark.sql import functions as F
+
+from strandflow.functions.sequence import first_entries
 from strandflow.operators import scan, sorting
 from strandflow.operators.views import Views
 from strandflow.plans import catalog
+from strandflow.sources import sam
 from test_scale import RANGE, reads
 
 DIR = "/root/testdata/sf0.001"
@@ -55,3 +59,26 @@ def test_views_do_not_deal_a_file_to_one_task(spark):
         assert {(r.range_id, r.qname) for r in views.scan().collect()} == {(1, "r1"), (1, "r2")}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sam_lines_are_made_and_cut_once(spark):
+    """Neither the test for header lines nor each tag of a line makes or cuts the line again."""
+    plan = _plan(catalog.queries()["sam_text_round_trip"](spark, DIR))
+    assert plan.count("concat_ws(\t") == 1 and plan.count("split(line") == 1
+
+
+def test_sam_lines_of_headers_and_repeated_tags(spark):
+    rows = "n{0}\t0\tc\t{0}\t9\t3M\t*\t0\t0\tACG\tIII"
+    lines = ["@CO\tNM:i:1", "", None, rows.format(1), rows.format(2) + "\tNM:i:1\tXB:B:f,1.5,2\tNM:Z:x:y\tZZ:Z:x:y\tXB:i:3", rows.format(3) + "\tXQ:Q\tLN:i:word"]
+    got = sam.parse(spark.createDataFrame([(x, "f") for x in lines], "line string, file string"))
+    tags = {r.qname: {k: {n: v for n, v in t.asDict().items() if v is not None} for k, t in r.tags.items()} for r in got.collect()}
+    assert tags == {
+        "n1": {}, "n2": {"NM": {"type": "i", "i": 1}, "XB": {"type": "B", "ad": [1.5, 2.0]}, "ZZ": {"type": "Z", "s": "x:y"}}, "n3": {"XQ": {"type": "Q"}, "LN": {"type": "i"}},
+    }
+    assert {r.file for r in got.collect()} == {"f"} and got.columns[-1] == "file"
+
+
+def test_first_entries_pass_over_null_keys(spark):
+    row = spark.sql("SELECT array(null, 'a', 'b', 'a') AS k, array('0', '1', '2', '3') AS v, CAST(null AS ARRAY<STRING>) AS n")
+    got = row.select(first_entries(F.col("k"), F.col("v")).alias("m"), first_entries(F.col("n"), F.col("v")).alias("none")).first()
+    assert got.m == {"a": "1", "b": "2"} and got.none is None
