@@ -577,7 +577,7 @@ def _record(rows: DataFrame) -> DataFrame:
 
 @_register(f"{WITH} SELECT {_RECORD} FROM aln")
 def sam_text_round_trip(spark, d):
-    return _record(sam.parse(sam.to_lines(tv.alignments(spark, d))))
+    return _record(sam.parse(sam.to_lines(tv.alignments(spark, d, spread=True))))
 
 
 @_register(f"{WITH} SELECT {_RECORD} FROM aln")

@@ -67,6 +67,11 @@ def test_sam_lines_are_made_and_cut_once(spark):
     assert plan.count("concat_ws(\t") == 1 and plan.count("split(line") == 1
 
 
+def test_sam_lines_of_a_table_in_one_split_are_made_by_all_cores(spark):
+    rows = catalog.queries()["sam_text_round_trip"](spark, DIR)
+    assert {r.p for r in rows.select(F.spark_partition_id().alias("p")).distinct().collect()} == set(range(spark.sparkContext.defaultParallelism))
+
+
 def test_sam_lines_of_headers_and_repeated_tags(spark):
     rows = "n{0}\t0\tc\t{0}\t9\t3M\t*\t0\t0\tACG\tIII"
     lines = ["@CO\tNM:i:1", "", None, rows.format(1), rows.format(2) + "\tNM:i:1\tXB:B:f,1.5,2\tNM:Z:x:y\tZZ:Z:x:y\tXB:i:3", rows.format(3) + "\tXQ:Q\tLN:i:word"]
