@@ -267,25 +267,24 @@ def pileup_ranges(spark, d):
     return pileup(tv.alignments(spark, d, spread=True), PileupSpec(distinguish_strands=False), ranges=tv.ranges(spark, d))
 
 
+#: Records of a unit of the stream, and a batch's units for each core.
+UNIT_RECORDS, UNITS_PER_CORE = 100_000, 4
+
+
 @_register(_pile("SELECT seqnames, pos, strand, nucleotide, count(*) AS count FROM b GROUP BY ALL"))
 def pileup_streamed(spark, d):
     """Sorted files taken in by a stream of chunks, positions released behind its frontier, and the result read back."""
     chunks.register(spark)
     top = f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
-    _written(spark, d, tv.alignments(spark, d), f"{top}/bam")
-    units = chunks.save_units(chunks.record_units(spark, f"{top}/bam", 20_000), f"{top}/units.json")
-    before = spark.conf.get(tile_pileup.PROVIDER[0], None)
-    tile_pileup.keep_state_on_disk(spark)
-    try:
-        stream = spark.readStream.format("bam_chunks").option("end", "true").option("unitsPerBatch", "8").load(units)
+    _written(spark, d, tv.alignments(spark, d, spread=True), f"{top}/bam", indexed=False)
+    units = chunks.save_units(chunks.record_units(spark, f"{top}/bam", UNIT_RECORDS), f"{top}/units.json")
+    # a batch has a fixed time for each of its state stores: stores follow the cores, and a batch has some units for each core
+    cores = spark.sparkContext.defaultParallelism
+    with shared.settings(spark, dict([tile_pileup.PROVIDER, ("spark.sql.shuffle.partitions", str(cores))])):
+        stream = spark.readStream.format("bam_chunks").schema(tile_pileup.READS).option("end", "true").option("unitsPerBatch", str(UNITS_PER_CORE * cores)).load(units)
         counted = tile_pileup.tile_pileup(stream, tv.contigs(spark, d), PileupSpec(max_depth=None))
         chunks.finish(counted.writeStream.format("parquet").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").start(f"{top}/out"))
         return _kept(spark, spark.read.schema(tile_pileup.OUT).parquet(f"{top}/out"), top)
-    finally:
-        if before is None:
-            spark.conf.unset(tile_pileup.PROVIDER[0])
-        else:
-            spark.conf.set(tile_pileup.PROVIDER[0], before)
 
 
 #: The same, of the first reads at each position only.
@@ -598,14 +597,15 @@ def _kept(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
         shared.remove(spark, folder)
 
 
-def _written(spark, d, rows: DataFrame, folder: str) -> None:
-    """Rows as sorted BAM files with indexes in a folder."""
+def _written(spark, d, rows: DataFrame, folder: str, indexed: bool = True) -> None:
+    """Rows as sorted BAM files in a folder, with indexes where they are needed."""
     bgzf.register(spark)
     contigs = tv.contigs(spark, d)
     header = ",".join(f"{r['name']}:{r['length']}" for r in contigs.orderBy("tid").collect())  # a header's contigs
     columns = [c.split(" ")[0] for c in ALIGNMENT.split(", ")]
     bgzf.write(sorting.sort(rows.select(*columns), contigs=contigs), folder, header)
-    bgzf.index_files(spark, folder).count()
+    if indexed:
+        bgzf.index_files(spark, folder).count()
 
 
 @_register(f"""{WITH}, {PLACED}, {MET} SELECT range_id, contig || ':' || CAST(r_start AS STRING) || '-' || CAST(r_end AS STRING) AS which_label, qname, flag, pos, cigar, seq

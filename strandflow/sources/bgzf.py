@@ -38,7 +38,7 @@ SPLIT_BYTES = 32 << 20
 #: Records of an Arrow batch, and about their bytes, at most.
 BATCH, BATCH_BYTES = 5000, 4 << 20
 #: Rows of an Arrow batch that Spark sends to the writer.
-WRITE_BATCH = 250
+WRITE_BATCH = 1000
 
 
 def compress(data: bytes) -> bytes:
@@ -56,23 +56,23 @@ def decompress(data: bytes) -> bytes:
     return gzip.decompress(data)
 
 
-def batches_of(records: Iterator[bytes], names: list[str]) -> Iterator:
-    """Records, each with its size before it, as Arrow batches of ALIGNMENT's columns."""
-    return batches_from(((r, 0, None) for r in records), names)
+def batches_of(records: Iterator[bytes], names: list[str], asked: list[str] | None = None) -> Iterator:
+    """Records, each with its size before it, as Arrow batches of ALIGNMENT's columns, or those asked for."""
+    return batches_from(((r, 0, None) for r in records), names, asked)
 
 
-def batches_from(records: Iterator[tuple[bytes, int, str | None]], names: list[str]) -> Iterator:
+def batches_from(records: Iterator[tuple[bytes, int, str | None]], names: list[str], asked: list[str] | None = None) -> Iterator:
     """Arrow batches of records, each with the place in `names` where its file's contigs begin, and the file, a further column if given."""
     import numpy as np  # in tasks only
     import pyarrow as pa
 
     from strandflow.sources import bamcodec
 
-    columns = [c.split(" ")[0] for c in ALIGNMENT.split(", ")] + ["file"]
+    columns = _columns(asked) + ["file"]
     held, size = [], 0
     for record in itertools.chain(records, (None,)):
         if held and (record is None or len(held) == BATCH or size > BATCH_BYTES):
-            arrays = bamcodec.decode([r for r, _, _ in held], names, np.array([k for _, k, _ in held]))
+            arrays = bamcodec.decode([r for r, _, _ in held], names, np.array([k for _, k, _ in held]), asked)
             if held[0][2] is not None:
                 arrays.append(pa.array([f for _, _, f in held], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=columns[: len(arrays)])
@@ -82,6 +82,29 @@ def batches_from(records: Iterator[tuple[bytes, int, str | None]], names: list[s
             size += len(record[0])
 
 
+def _columns(asked: list[str] | None) -> list[str]:
+    return [c for c in (x.split(" ")[0] for x in ALIGNMENT.split(", ")) if asked is None or c in asked]
+
+
+def batches_within(stretches: Iterator[tuple[bytes, list[int]]], names: list[str], asked: list[str] | None = None) -> Iterator:
+    """Arrow batches of all records of stretches (see Cursor.stretches), which are not cut into an object each."""
+    import numpy as np  # in tasks only
+    import pyarrow as pa
+
+    from strandflow.sources import bamcodec
+
+    held, count, size = [], 0, 0
+    for stretch in itertools.chain(stretches, (None,)):
+        if held and (stretch is None or count >= BATCH or size > BATCH_BYTES):
+            sizes = np.concatenate([np.diff(starts) for _, starts in held])
+            yield pa.RecordBatch.from_arrays(bamcodec.decoded(b"".join(data[starts[0] : starts[-1]] for data, starts in held), sizes, names, None, asked), names=_columns(asked))
+            held, count, size = [], 0, 0
+        if stretch is not None:
+            held.append(stretch)
+            count += len(stretch[1]) - 1
+            size += stretch[1][-1] - stretch[1][0]
+
+
 def encode_header(text: str, contigs: list[tuple[str, int]]) -> bytes:
     out = b"BAM\1" + struct.pack("<i", len(text.encode())) + text.encode() + struct.pack("<i", len(contigs))
     return out + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs)
@@ -237,31 +260,59 @@ class Cursor:
             self.i += size
 
 
+    def stretches(self, stop: int) -> Iterator[tuple[bytes, list[int]]]:
+        """The BAM records that begin before the virtual offset `stop`: pieces of data with the places of their whole records, and of the end of the last."""
+        size_at = struct.Struct("<i").unpack_from
+        while True:
+            limit = next((start + (stop & 0xFFFF if at == stop >> 16 else 0) for start, at in self.spans if at >= stop >> 16), len(self.data))
+            data, starts = self.data, [self.i]
+            i, last = self.i, min(limit, len(data) - 3)
+            while i < last:
+                size = 4 + size_at(data, i)[0]
+                if size < 36:
+                    raise ValueError("a record's size is wrong")
+                i += size
+                if i > len(data):
+                    break
+                starts.append(i)
+            self.i = starts[-1]
+            if len(starts) > 1:
+                yield data, starts
+            if (self.spans and self.spans[-1][1] >= stop >> 16 and self.i >= limit) or not self.more():
+                return
+
+
+def at_first(file, begin: int, end: int, first: int, inside: int, sound) -> Cursor | None:
+    """A cursor at the first record that begins in members of a byte range; None without one."""
+    if end <= first:
+        return None
+    if begin <= first:
+        cursor = Cursor(file, first, inside)
+        cursor.more()
+        return cursor
+    start = next_member(file, begin)
+    if start is None or start >= end:
+        return None
+    cursor = Cursor(file, start)
+    while True:
+        if not cursor.more():
+            return None
+        while cursor.i < len(cursor.data) and not sound(cursor.data, cursor.i):
+            cursor.i += 1
+        if cursor.i < len(cursor.data):
+            return cursor
+
+
 def located_records(path: str, begin: int, end: int, first: int, inside: int, length_of, sound) -> Iterator[tuple[int, int, bytes]]:
     """The records that begin in members of a file's byte range, with their virtual offsets. Records of the file begin `inside` the member at `first`.
 
     length_of(data, i) is a record's whole length, None if too few data tell it; sound(data, i) is whether
     records may begin at i.
     """
-    if end <= first:
-        return
     with _open(path) as f:
-        if begin <= first:
-            cursor = Cursor(f, first, inside)
-            cursor.more()
-        else:
-            start = next_member(f, begin)
-            if start is None or start >= end:
-                return
-            cursor = Cursor(f, start)
-            while True:
-                if not cursor.more():
-                    return
-                while cursor.i < len(cursor.data) and not sound(cursor.data, cursor.i):
-                    cursor.i += 1
-                if cursor.i < len(cursor.data):
-                    break
-        yield from cursor.records(length_of, end << 16)
+        cursor = at_first(f, begin, end, first, inside, sound)
+        if cursor is not None:
+            yield from cursor.records(length_of, end << 16)
 
 
 def next_member(file, at: int) -> int | None:
@@ -375,11 +426,16 @@ class BamReader(SplitReader):
         _, contigs, first, inside = read_header(partition.path)
         names = [n for n, _ in contigs]
         wanted = Overlaps(self.wanted(contigs))
+        if wanted.all:
+            with _open(partition.path) as f:
+                cursor = at_first(f, partition.start, partition.end, first, inside, lambda data, i: _sound(data, i, len(names)))
+                yield from batches_within(cursor.stretches(partition.end << 16) if cursor is not None else iter(()), names)
+            return
         if isinstance(partition, _Chunks):
             records = chunk_records(partition.path, partition.chunks, _length)
         else:
             records = split_records(partition, first, inside, _length, lambda data, i: _sound(data, i, len(names)))
-        yield from batches_of((r for r in records if wanted.all or wanted.test(*spans_of(r)[:3])), names)
+        yield from batches_of((r for r in records if wanted.test(*spans_of(r)[:3])), names)
 
 
 class Overlaps:
@@ -408,6 +464,15 @@ def chunk_records(path: str, chunks: list[tuple[int, int]], length_of) -> Iterat
                 yield from (r for _, _, r in cursor.records(length_of, b))
 
 
+def chunk_stretches(path: str, chunks: list[tuple[int, int]]) -> Iterator[tuple[bytes, list[int]]]:
+    """The stretches of BAM records that begin in chunks of virtual offsets, each of which begins at a record."""
+    with _open(path) as f:
+        for a, b in chunks:
+            cursor = Cursor(f, a >> 16, a & 0xFFFF)
+            if cursor.more():
+                yield from cursor.stretches(b)
+
+
 class _Slice(InputPartition):
     """A stretch of the merged order: places (contig, position) from `low` on and before `high`, in chunks of those files that have any there.
 
@@ -653,9 +718,10 @@ def register(spark: SparkSession) -> None:
 def write(rows: DataFrame, folder: str, contigs: str) -> None:
     """Append BAM files of the rows to a folder; `contigs` lists name:length pairs.
 
-    Spark 4.1 asks for the size of an Arrow batch at each row, which for maps takes as long as the batch is: batches are kept short.
+    Where an Arrow batch is limited in bytes, Spark 4.1 asks for its size at each row, which for maps takes as long as the batch is.
+    So batches are limited in rows only, and kept short, as reads may be long.
     """
-    with settings(rows.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(WRITE_BATCH)}):
+    with settings(rows.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(WRITE_BATCH), "spark.sql.execution.arrow.maxBytesPerBatch": str((1 << 31) - 1)}):
         rows.write.format("bam").mode("append").option("contigs", contigs).save(folder)
 
 

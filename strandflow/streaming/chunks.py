@@ -22,15 +22,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strandflow.schemas import ALIGNMENT
 from strandflow.sources import bamcodec, binning
-from strandflow.sources.bgzf import SPLIT_BYTES, Overlaps, _length, _open, _sound, batches_of, chunk_records, files_of, locate, located_records, read_header, read_index, spans_of, write_file
+from strandflow.sources.bgzf import SPLIT_BYTES, Cursor, Overlaps, _length, _open, _sound, at_first, batches_of, batches_within, chunk_records, chunk_stretches, files_of, locate, read_header, read_index, spans_of, write_file
 
 END_NAME = "__end__"
 
 
-def _starts(file: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
-    """The virtual offsets of the records that begin in a byte range, and those behind them."""
+def _stretches(file: str, begin: int, end: int) -> Iterator[tuple[Cursor, list[int]]]:
+    """A cursor that goes through the records that begin in a byte range, and their places in its data and the end of the last."""
     _, contigs, first, inside = read_header(file)
-    return ((a, b) for a, b, _ in located_records(file, begin, end, first, inside, _length, lambda data, i: _sound(data, i, len(contigs))))
+    with _open(file) as f:
+        cursor = at_first(f, begin, end, first, inside, lambda data, i: _sound(data, i, len(contigs)))
+        if cursor is not None:
+            for _, starts in cursor.stretches(end << 16):
+                yield cursor, starts
 
 
 def record_units(spark: SparkSession, path: str, n: int, split: int = SPLIT_BYTES) -> list[dict]:
@@ -39,7 +43,7 @@ def record_units(spark: SparkSession, path: str, n: int, split: int = SPLIT_BYTE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.append_column("records", pa.array([sum(1 for _ in _starts(r["file"], r["start"], r["stop"])) for r in b.to_pylist()], pa.int64()))
+            yield b.append_column("records", pa.array([sum(len(starts) - 1 for _, starts in _stretches(r["file"], r["start"], r["stop"])) for r in b.to_pylist()], pa.int64()))
 
     counted = binning.splits_frame(spark, splits).mapInArrow(count, "file string, start long, stop long, records long").toPandas()  # a row per split
     counted = counted.sort_values(["file", "start"])
@@ -47,12 +51,15 @@ def record_units(spark: SparkSession, path: str, n: int, split: int = SPLIT_BYTE
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (r for b in batches for r in b.to_pylist()):
-            rows, k, last = [], r["before"], None
-            for first, last in _starts(r["file"], r["start"], r["stop"]):
-                if k % n == 0 or not rows:
-                    rows.append({"file": r["file"], "unit": k // n, "first": first, "last": last})
-                rows[-1]["last"] = last
-                k += 1
+            rows, k = [], r["before"]
+            for cursor, starts in _stretches(r["file"], r["start"], r["stop"]):
+                to = k + len(starts) - 1
+                for i in sorted({*([] if rows else [k]), *range(-(-k // n) * n, to, n)}):
+                    rows.append({"file": r["file"], "unit": i // n, "first": cursor.offset(starts[i - k]), "last": 0})
+                    if len(rows) > 1:
+                        rows[-2]["last"] = rows[-1]["first"]
+                rows[-1]["last"] = cursor.offset(starts[-1])
+                k = to
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("unit", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
 
     rows = spark.createDataFrame(counted).repartition(max(1, len(counted))).mapInArrow(cut, "file string, unit long, first long, last long")
@@ -96,7 +103,10 @@ class _Unit(InputPartition):
 
 
 class ChunkReader(DataSourceStreamReader):
-    def __init__(self, options):
+    """Rows of the columns asked for, all of ALIGNMENT's if none are named."""
+
+    def __init__(self, options, columns: list[str] | None = None):
+        self.kinds = [(n, k) for n, k in bamcodec.SCHEMA if columns is None or n in columns]
         self.place, self.step, self.end = options["path"], int(options.get("unitsPerBatch", 1)), options.get("end", "false") == "true"
         self.units = _load(self.place)
         self.records, self.units = len(self.units), self.units + ([{"end": True}] * 2 if self.end else [])
@@ -114,30 +124,43 @@ class ChunkReader(DataSourceStreamReader):
             write_file(self.planned, json.dumps(end["unit"]).encode())
         return [_Unit(u) for u in self.units[start["unit"] : end["unit"]]]
 
+    def __getstate__(self):
+        return {"kinds": self.kinds}  # all that tasks need: not the list of all units
+
     def batches(self, partition) -> Iterator[pa.RecordBatch]:
+        names = [n for n, _ in self.kinds]
         if partition.unit.get("end"):
-            row = {"qname": [END_NAME], "flag": pa.array([0], pa.int32())}
-            batch = pa.table(row)
-            for name, kind in bamcodec.SCHEMA:
-                if name not in row:
-                    batch = batch.append_column(name, pa.nulls(1, kind))
-            yield from batch.to_batches()
+            row = {"qname": pa.array([END_NAME]), "flag": pa.array([0], pa.int32())}
+            yield pa.RecordBatch.from_arrays([row[n] if n in row else pa.nulls(1, k) for n, k in self.kinds], names)
             return
         asked = partition.unit.get("range")
         for file, first, last in partition.unit["pieces"]:
-            names = [n for n, _ in read_header(file)[1]]
-            wanted = Overlaps([(names.index(asked[0]), asked[1] - 1, asked[2])] if asked else None)
-            records = chunk_records(file, [(first, last)], _length)
-            yield from batches_of((r for r in records if wanted.all or wanted.test(*spans_of(r)[:3])), names)
+            contigs = [n for n, _ in read_header(file)[1]]
+            if not asked:
+                yield from batches_within(chunk_stretches(file, [(first, last)]), contigs, names)
+                continue
+            wanted = Overlaps([(contigs.index(asked[0]), asked[1] - 1, asked[2])])
+            yield from batches_of((r for r in chunk_records(file, [(first, last)], _length) if wanted.test(*spans_of(r)[:3])), contigs, names)
 
     def read(self, partition):
         for batch in self.batches(partition):
-            for *row, tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield (*row, dict(tags or ()))
+            maps = [n == "tags" for n, _ in self.kinds]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield tuple(dict(x or ()) if m else x for m, x in zip(maps, row, strict=True))
+
+
+class ChunkBatchReader(ChunkReader):
+    """The same in Arrow batches, without a Python object for each value."""
+
+    def read(self, partition):
+        return self.batches(partition)
 
 
 class ChunkSource(DataSource):
-    """Options: path (of the saved units), unitsPerBatch, name (of the position kept beside them), end."""
+    """Options: path (of the saved units), unitsPerBatch, name (of the position kept beside them), end.
+
+    A schema of some of ALIGNMENT's columns may be given, in its order; the others are not decoded then.
+    """
 
     @classmethod
     def name(cls):
@@ -147,7 +170,7 @@ class ChunkSource(DataSource):
         return ALIGNMENT
 
     def streamReader(self, schema):
-        return ChunkReader(self.options)
+        return ChunkBatchReader(self.options, schema.fieldNames())
 
 
 def register(spark: SparkSession) -> None:

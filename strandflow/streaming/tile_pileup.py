@@ -30,6 +30,8 @@ from strandflow.streaming.chunks import END_NAME
 
 TILE = 1 << 14
 OUT = "seqnames string, pos int, strand string, nucleotide string, count long"
+#: What a stream of alignments needs to have.
+READS = "qname string, flag int, rname string, pos int, mapq int, cigar string, seq string, qual string"
 #: Keeps state on disk, as processors with timers need it.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 

@@ -1,12 +1,17 @@
 """Chunk streams that go on where they stopped, and the pileup with state by tiles."""
 
+import pickle
 import random
+import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandflow.operators.pileup import pileup
+from strandflow.plans import catalog
 from strandflow.schemas import ALIGNMENT
+from strandflow.shared import settings
 from strandflow.sources import bgzf
 from strandflow.specs import PileupSpec
 from strandflow.streaming import chunks, tile_pileup
@@ -87,3 +92,64 @@ def test_tile_pileup(spark, folder, tmp_path):
     out = str(tmp_path / "out2")
     chunks.finish(tile_pileup.tile_pileup(stream, contigs, spec).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp2")).outputMode("append").start(out))
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == want
+
+
+def test_tasks_read_arrow_batches_of_the_columns_asked_for(spark, folder, tmp_path):
+    path, rows = folder
+    place = chunks.save_units(chunks.record_units(spark, path, 700, split=8000), str(tmp_path / "units.json"))
+    source = chunks.ChunkSource({"path": place, "unitsPerBatch": "5", "end": "true", "name": "batches"})
+    reader = source.streamReader(spark.createDataFrame([], "qname string, pos int, seq string").schema)
+    parts = reader.partitions({"unit": 0}, {"unit": 7})
+    task = pickle.loads(pickle.dumps(reader))
+    assert "units" not in vars(task)  # a task is not sent the list of all units
+    batches = [b for p in parts for b in task.read(p)]
+    assert all(isinstance(b, pa.RecordBatch) and b.schema.names == ["qname", "pos", "seq"] for b in batches)
+    got = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert sorted(got[:-2]) == sorted((r[0], r[3], r[9]) for r in rows) and got[-2:] == [(chunks.END_NAME, None, None)] * 2
+
+
+def test_stretches_are_the_records_of_any_byte_range_and_stop(folder):
+    path, _ = folder
+    for file, size in bgzf.files_of(path):
+        text, contigs, first, inside = bgzf.read_header(file)
+        sound = lambda data, i: bgzf._sound(data, i, len(contigs))
+        whole = list(bgzf.located_records(file, 0, size, first, inside, bgzf._length, None))
+        for step in (1000, 7777, size):
+            got = []
+            for a in range(0, size, step):
+                with bgzf._open(file) as f:
+                    cursor = bgzf.at_first(f, a, a + step, first, inside, sound)
+                    for data, starts in cursor.stretches((a + step) << 16) if cursor else ():
+                        got += [data[i:j] for i, j in zip(starts, starts[1:])]
+            assert got == [r for _, _, r in whole]
+        for a, b in ((0, 1), (3, 3), (10, 400), (0, len(whole))):
+            chunk = (whole[a][0], whole[b][0] if b < len(whole) else whole[-1][1])
+            assert [data[i:j] for data, starts in bgzf.chunk_stretches(file, [chunk]) for i, j in zip(starts, starts[1:])] == [r for _, _, r in whole[a:b]]
+
+
+def test_long_records_and_wrong_sizes_in_stretches(tmp_path):
+    record = lambda n: (lambda body: struct.pack("<i", len(body)) + body)(struct.pack("<iiBBHHHiiii", 0, 5, 2, 0, 0, 0, 0, n, -1, -1, 0) + b"q\0" + bytes((n + 1) // 2 + n))
+    records = [record(n) for n in (10, 200_000, 3, 70_000, 0)]
+    (tmp_path / "a.bam").write_bytes(bgzf.compress(bgzf.encode_header("", [("c", 1000)]) + b"".join(records)))
+    _, _, first, inside = bgzf.read_header(str(tmp_path / "a.bam"))
+    read = lambda file: [data[i:j] for data, starts in bgzf.chunk_stretches(file, [(first << 16 | inside, 1 << 60)]) for i, j in zip(starts, starts[1:])]
+    assert read(str(tmp_path / "a.bam")) == records
+    (tmp_path / "b.bam").write_bytes(bgzf.compress(bgzf.encode_header("", [("c", 1000)]) + records[0] + struct.pack("<i", -4) + bytes(50)))
+    with pytest.raises(ValueError):
+        read(str(tmp_path / "b.bam"))
+
+
+def test_streamed_pileup_takes_few_batches_with_stores_by_the_cores(spark, monkeypatch):
+    found = []
+    finish = chunks.finish
+
+    def watched(query):
+        finish(query)
+        found.extend(query.recentProgress)
+
+    monkeypatch.setattr(chunks, "finish", watched)
+    with settings(spark, {"spark.sql.shuffle.partitions": "16"}):
+        catalog.pileup_streamed(spark, "/root/testdata/sf0.1").count()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "16" and spark.conf.get(tile_pileup.PROVIDER[0], None) in (None, tile_pileup.PROVIDER[1])
+    assert [p.numInputRows for p in found] == [600_000, 1, 1]
+    assert {s.numShufflePartitions for p in found for s in p.stateOperators} == {spark.sparkContext.defaultParallelism}
