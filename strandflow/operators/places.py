@@ -76,10 +76,13 @@ def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text = "".join(x for x in column.to_pylist() if x) if not pc.all(pc.string_is_ascii(column)).as_py() else None
     if text is not None:
         return np.append(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0).astype(np.int64), np.cumsum(lengths) - lengths, lengths
+    if not len(column):
+        return np.zeros(1, np.uint8), np.zeros(0, np.int64), lengths
     buffers = column.buffers()
-    first = np.frombuffer(buffers[1], np.int32)[column.offset : column.offset + len(column)].astype(np.int64) if len(column) else np.zeros(0, np.int64)
-    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
-    return np.append(data, np.uint8(0)), first, lengths
+    ends = np.frombuffer(buffers[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    # a slice's own stretch: its buffer is that of the whole batch
+    data = np.frombuffer(buffers[2], np.uint8)[ends[0] : ends[-1]] if buffers[2] is not None else np.zeros(0, np.uint8)
+    return np.append(data, np.uint8(0)), ends[:-1] - ends[0], lengths
 
 
 def codes_of(columns: list[pa.Array], n: int) -> np.ndarray:

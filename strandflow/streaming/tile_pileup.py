@@ -59,7 +59,10 @@ class TileCounts(StatefulProcessor):
         cells, n = (np.frombuffer(x, np.int64) for x in (self.held.get() if self.held.exists() else (b"", b"")))
         self.held.clear()
         place, _, strand, letter = places.parted(cells)
-        yield pd.DataFrame({"seqnames": pd.Series([key[0]] * len(n), dtype=object), "pos": (key[1] * TILE + place).astype(np.int32), "strand": places.texts(strand, ["+", "-"]).to_pandas(), "nucleotide": places.texts(letter).to_pandas(), "count": n})
+        # texts stay in Arrow's form: a Python object for each would take longer than the counting
+        texts = {"seqnames": pa.repeat(pa.scalar(key[0], pa.string()), len(n)), "strand": places.texts(strand, ["+", "-"]), "nucleotide": places.texts(letter)}
+        series = {c: pd.Series(pd.arrays.ArrowExtensionArray(x)) for c, x in texts.items()}
+        yield pd.DataFrame({"seqnames": series["seqnames"], "pos": (key[1] * TILE + place).astype(np.int32), "strand": series["strand"], "nucleotide": series["nucleotide"], "count": n})
 
     def close(self) -> None:
         pass

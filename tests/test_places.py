@@ -62,3 +62,12 @@ def test_sweep_goes_on_from_batch_to_batch(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     depth = {p: sum(1000 + i % 7 <= p < 1060 + i % 7 for i in range(40)) for p in range(1000, 1066)}
     assert got == {p: min(5, n) for p, n in depth.items() if n}
+
+
+def test_characters_of_a_slice_are_its_own_only():
+    whole = pa.array(["A" * 1000, "CG", None, "", "T"])
+    for column in (whole.slice(1), whole.slice(1, 4), pa.array(["é", *whole.to_pylist()]).slice(2)):
+        data, first, length = places.characters(column)
+        assert bytes(data.astype("u1")) == b"CGT\0" and length.tolist() == [2, 0, 0, 1]
+        assert [bytes(data[a : a + n].astype("u1")) for a, n in zip(first, length)] == [b"CG", b"", b"", b"T"]
+    assert [len(x) for x in places.characters(whole.slice(5))] == [1, 0, 0]

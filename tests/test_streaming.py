@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandflow.operators import places
 from strandflow.operators.pileup import pileup
 from strandflow.plans import catalog
 from strandflow.schemas import ALIGNMENT
@@ -139,6 +140,23 @@ def test_long_records_and_wrong_sizes_in_stretches(tmp_path):
         read(str(tmp_path / "b.bam"))
 
 
+def test_released_texts_are_no_python_objects():
+    class Held:
+        def get(self):
+            reads = pa.RecordBatch.from_pydict({"seqnames": ["c"], "pos": [TILE + 5], "flag": [16], "cigar": ["2M"], "seq": ["AC"], "qual": ["II"]})
+            rows = next(places.packer(["seqnames"], PileupSpec(max_depth=None), width=TILE)(iter([reads])))
+            return rows.column("cells")[0].as_py(), rows.column("n")[0].as_py()
+
+        exists, clear = (lambda self: True), (lambda self: None)
+
+    TILE = tile_pileup.TILE
+    tile = tile_pileup.TileCounts()
+    tile.held = Held()
+    (frame,) = tile.handleExpiredTimer(("c", 1), None, None)
+    assert [tuple(r) for r in frame.itertuples(index=False)] == [("c", TILE + 5, "-", "A", 1), ("c", TILE + 6, "-", "C", 1)]
+    assert object not in set(frame.dtypes)
+
+
 def test_streamed_pileup_takes_few_batches_with_stores_by_the_cores(spark, monkeypatch):
     found = []
     finish = chunks.finish
